@@ -95,3 +95,146 @@ def eval_popularity(spark, sf_dir):
         r6(F.avg("ndcg")).alias("ndcg_at_k"),
         r6(F.avg("hit")).alias("hit_rate"),
     ).select(F.lit("popularity").alias("arm"), F.lit(K).alias("k"), "*")
+
+
+# --------------------------------------------------------------------------
+# Phase 1: ingestion
+# --------------------------------------------------------------------------
+
+from ..operators import ingest as I  # noqa: E402
+from ..session import scratch_path  # noqa: E402
+from ..sources import slices as SL  # noqa: E402
+from ..streaming.slices import ingest_slices_stream  # noqa: E402
+
+_INTERACTIONS_SQL = Q.with_(Q.INTERACTIONS) + "SELECT playlist_id, track_id FROM interactions"
+
+
+def written_slices(spark, sf_dir):
+    """Slice documents derived from the tables, written to the shared scratch folder."""
+    return SL.write_slices_from_tables(spark, sf_dir, scratch_path(spark, "slices"))
+
+
+@query("slice_flatten", _INTERACTIONS_SQL)
+def slice_flatten(spark, sf_dir):
+    """S-01, P-01, P-02: scan multi-line JSON slices, flatten to (playlist, track)."""
+    return I.flatten_slices(SL.read_slices(spark, written_slices(spark, sf_dir)))
+
+
+@query("slice_ingest_stream", _INTERACTIONS_SQL)
+def slice_ingest_stream(spark, sf_dir):
+    """S-06/S-07/U-01: the same slices through the streaming file source, one
+    file per micro-batch, appended to a parquet sink with a checkpoint."""
+    src = written_slices(spark, sf_dir)
+    sink = scratch_path(spark, "interactions-sink")
+    ingest_slices_stream(spark, src, sink, scratch_path(spark, "ingest-ckpt"),
+                         files_per_trigger=4)
+    return spark.read.parquet(sink).select("playlist_id", "track_id")
+
+
+_URI_CLEAN_SQL = Q.with_(Q.INTERACTIONS, """
+uris AS (
+  SELECT CAST(o.o_custkey AS VARCHAR) AS playlist_id,
+         CASE WHEN l.l_linenumber = 1 THEN CAST(l.l_partkey AS VARCHAR)
+              WHEN l.l_linenumber = 3 THEN 'spotify:track:spotify:track:' || CAST(l.l_partkey AS VARCHAR)
+              ELSE 'spotify:track:' || CAST(l.l_partkey AS VARCHAR) END AS track_uri
+  FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+)""") + """
+SELECT playlist_id, track_uri,
+       CASE WHEN instr(track_uri, 'spotify:track:') > 0
+            THEN substr(track_uri, 1, instr(track_uri, 'spotify:track:') - 1)
+                 || substr(track_uri, instr(track_uri, 'spotify:track:') + 14)
+            ELSE track_uri END AS track_id_clean,
+       string_split(track_uri, ':')[-1] AS track_id_last
+FROM uris"""
+
+
+@query("uri_clean", _URI_CLEAN_SQL)
+def uri_clean(spark, sf_dir):
+    """P-03 (first prefix only) next to P-02 (last segment)."""
+    u = SL.interaction_uris(spark, sf_dir)
+    return u.select(F.col("pid").cast("string").alias("playlist_id"), "track_uri",
+                    I.strip_uri_prefix(F.col("track_uri")).alias("track_id_clean"),
+                    I.last_uri_segment(F.col("track_uri")).alias("track_id_last"))
+
+
+_FEATS6 = ", ".join(f"f.{c}" for c in
+                    ["danceability", "tempo", "energy", "acousticness", "loudness", "valence"])
+
+_CATALOG_SQL = Q.with_(Q.INTERACTIONS, Q.FEATURE_ARCHIVE) + f"""
+SELECT t.track_id, f.artist_name, f.track_name, {_FEATS6}
+FROM (SELECT DISTINCT track_id FROM interactions) t
+LEFT JOIN (SELECT replace(track_uri, 'spotify:track:', '') AS track_id, * EXCLUDE (track_uri)
+           FROM feature_archive) f ON f.track_id = t.track_id"""
+
+
+@query("catalog_left_join", _CATALOG_SQL)
+def catalog_left_join(spark, sf_dir):
+    """S-02, A-01, J-01, S-05, S-09: catalog of interaction tracks LEFT JOIN the
+    feature archive, written (overwrite) and read back with the fixed schema."""
+    from ..sources.schemas import FEATURES, TRACK_METADATA
+    cat = I.catalog(T.interactions(spark, sf_dir), T.feature_archive(spark, sf_dir))
+    path = SL.write_table(cat.select(*[f.name for f in TRACK_METADATA.fields]),
+                          scratch_path(spark, "track_metadata"))
+    back = spark.read.schema(TRACK_METADATA).parquet(path)
+    return back.select("track_id", "artist_name", "track_name", *FEATURES)
+
+
+_IDMAP_SQL = Q.with_(Q.INTERACTIONS) + """
+SELECT playlist_id, CAST(DENSE_RANK() OVER (ORDER BY playlist_id) - 1 AS BIGINT) AS playlist_int_id,
+       track_id, CAST(DENSE_RANK() OVER (ORDER BY track_id) - 1 AS BIGINT) AS track_int_id
+FROM interactions"""
+
+
+@query("id_mapping", _IDMAP_SQL)
+def id_mapping(spark, sf_dir):
+    """S-08, W-01: interaction_matrix_mapped with contiguous 0-based ids."""
+    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    return mapped
+
+
+@query("fk_orphans", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA) + """
+SELECT i.track_id, CAST(COUNT(*) AS BIGINT) AS n_interactions
+FROM interactions i WHERE i.track_id NOT IN (SELECT track_id FROM track_metadata)
+GROUP BY i.track_id""")
+def fk_orphans(spark, sf_dir):
+    """Q-01: interactions whose track is missing from track_metadata."""
+    return I.fk_orphans(T.interactions(spark, sf_dir), T.track_metadata(spark, sf_dir))
+
+
+@query("pk_duplicates", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA) + """
+SELECT track_id, CAST(COUNT(*) AS BIGINT) AS n_rows FROM track_metadata
+GROUP BY track_id HAVING COUNT(*) > 1""")
+def pk_duplicates(spark, sf_dir):
+    """Q-02: primary-key violations in track_metadata."""
+    return I.pk_duplicates(T.track_metadata(spark, sf_dir))
+
+
+_MAPPED_CTE = """
+mapped AS (
+  SELECT playlist_id, DENSE_RANK() OVER (ORDER BY playlist_id) - 1 AS playlist_int_id,
+         track_id, DENSE_RANK() OVER (ORDER BY track_id) - 1 AS track_int_id
+  FROM interactions
+)"""
+
+
+@query("interaction_confidence", Q.with_(Q.INTERACTIONS, _MAPPED_CTE) + """
+SELECT CAST(playlist_int_id AS INTEGER) AS playlist_int_id, CAST(track_int_id AS INTEGER) AS track_int_id,
+       CAST(COUNT(*) AS FLOAT) AS confidence
+FROM mapped GROUP BY 1, 2""")
+def interaction_confidence(spark, sf_dir):
+    """S-03, M-01, A-13, P-07, P-09: long-form sparse matrix, duplicates summed."""
+    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    return I.confidence(mapped)
+
+
+@query("matrix_stats", Q.with_(Q.INTERACTIONS, _MAPPED_CTE, """
+cells AS (SELECT playlist_int_id, track_int_id, COUNT(*) AS c FROM mapped GROUP BY 1, 2)""") + """
+SELECT CAST(MAX(playlist_int_id) + 1 AS BIGINT) AS n_playlists, CAST(MAX(track_int_id) + 1 AS BIGINT) AS n_tracks,
+       CAST(SUM(c) AS BIGINT) AS n_interactions, CAST(COUNT(*) AS BIGINT) AS n_nonzero,
+       CAST(COUNT(*) FILTER (WHERE c > 1) AS BIGINT) AS n_duplicate_cells,
+       ROUND(COUNT(*) / ((MAX(playlist_int_id) + 1) * (MAX(track_int_id) + 1))::DOUBLE, 9) AS density
+FROM cells""")
+def matrix_stats(spark, sf_dir):
+    """A-12, A-19: matrix shape and counts."""
+    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    return I.matrix_stats(mapped)

@@ -14,8 +14,11 @@ interactions AS (
 
 _PART_FEATURES = """
   FROM part p LEFT JOIN (
-    SELECT l_partkey, AVG(l_discount) AS a_disc, AVG(l_tax) AS a_tax,
-           AVG(l_quantity) AS a_qty, AVG(l_extendedprice) AS a_price
+    SELECT l_partkey,
+           SUM(CAST(ROUND(l_discount * 100) AS BIGINT)) / COUNT(l_discount) / 100.0 AS a_disc,
+           SUM(CAST(ROUND(l_tax * 100) AS BIGINT)) / COUNT(l_tax) / 100.0 AS a_tax,
+           SUM(CAST(ROUND(l_quantity * 1) AS BIGINT)) / COUNT(l_quantity) / 1.0 AS a_qty,
+           SUM(CAST(ROUND(l_extendedprice * 100) AS BIGINT)) / COUNT(l_extendedprice) / 100.0 AS a_price
     FROM lineitem GROUP BY l_partkey) a ON a.l_partkey = p.p_partkey"""
 
 _FEATURE_COLS = """

@@ -32,13 +32,20 @@ def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _exact_avg(c, scale: int):
+    """Mean of a fixed-point column as an integer sum / count: independent of
+    summation order, so every engine gets the same double bit for bit."""
+    scaled = F.round(c * F.lit(scale)).cast("long")
+    return F.sum(scaled) / F.count(c) / F.lit(float(scale))
+
+
 def _part_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     per_part = li.groupBy("l_partkey").agg(
-        F.avg("l_discount").alias("_disc"),
-        F.avg("l_tax").alias("_tax"),
-        F.avg("l_quantity").alias("_qty"),
-        F.avg("l_extendedprice").alias("_price"),
+        _exact_avg(F.col("l_discount"), 100).alias("_disc"),
+        _exact_avg(F.col("l_tax"), 100).alias("_tax"),
+        _exact_avg(F.col("l_quantity"), 1).alias("_qty"),
+        _exact_avg(F.col("l_extendedprice"), 100).alias("_price"),
     )
     part = table(spark, sf_dir, "part").select(
         "p_partkey", "p_name", "p_brand", "p_size", "p_retailprice")
