@@ -13,6 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.columns import exact_mean_sql, round_to
 from ..operators import metrics as M
 from ..operators import popularity as P
 from ..operators import split as S
@@ -40,7 +41,7 @@ def query(name: str, oracle: str | None = None):
 
 
 def r6(c):
-    return F.round(c, 6)
+    return round_to(c, 6)
 
 
 def eval_heldout(spark: SparkSession, sf_dir: str, frac: float = HOLDOUT, salt: str = SALT,
@@ -238,3 +239,144 @@ def matrix_stats(spark, sf_dir):
     """A-12, A-19: matrix shape and counts."""
     mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
     return I.matrix_stats(mapped)
+
+
+# --------------------------------------------------------------------------
+# Phase 2: profiles, features, samples
+# --------------------------------------------------------------------------
+
+from ..operators import profiles as PR  # noqa: E402
+from ..sources.schemas import AVG_FEATURES, DIFF_FEATURES, FEATURES, TRACK_FEATURES  # noqa: E402
+
+_AVG_SQL = ", ".join(f"ROUND({exact_mean_sql('m.' + f)}, 6) AS avg_{f}" for f in FEATURES)
+_PMAP_CTE = """
+pmap AS (
+  SELECT playlist_id, DENSE_RANK() OVER (ORDER BY playlist_id) - 1 AS playlist_int_id
+  FROM (SELECT DISTINCT playlist_id FROM interactions)
+),
+tmap AS (
+  SELECT track_id, DENSE_RANK() OVER (ORDER BY track_id) - 1 AS track_int_id
+  FROM (SELECT DISTINCT track_id FROM interactions)
+)"""
+_SPLIT_ELIGIBLE = (Q.INTERACTIONS, Q.eligible(MIN_TRACKS), Q.split("eligible_interactions", HOLDOUT, SALT))
+
+
+def _round_cols(df, cols):
+    return df.withColumns({c: r6(F.col(c)) for c in cols})
+
+
+@query("profile_playlist", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA, _PMAP_CTE) + f"""
+SELECT CAST(p.playlist_int_id AS BIGINT) AS request_id, {_AVG_SQL},
+       CAST(COUNT(i.track_id) AS BIGINT) AS playlist_length
+FROM interactions i JOIN pmap p USING (playlist_id) JOIN track_metadata m USING (track_id)
+GROUP BY p.playlist_int_id""")
+def profile_playlist(spark, sf_dir):
+    """A-03, J-03, P-06: known-playlist profile for every playlist int id
+    (int id -> text id through the id map, then rows ⋈ catalog, GROUP BY)."""
+    inter = T.interactions(spark, sf_dir)
+    pmap = I.id_map(inter, "playlist_id", "playlist_int_id")
+    reqs = inter.join(pmap, "playlist_id").select(F.col("playlist_int_id").alias("request_id"), "track_id")
+    prof = PR.profiles(reqs, T.track_metadata(spark, sf_dir), mode="rows")
+    return _round_cols(prof, AVG_FEATURES)
+
+
+def seed_requests(spark, sf_dir):
+    """Seed-track requests: the seed side of every eligible playlist's split."""
+    return eval_heldout(spark, sf_dir).filter("held = 0").select(
+        F.col("playlist_id").alias("request_id"), "track_id")
+
+
+_SEEDS_CTE = "seeds AS (SELECT playlist_id AS request_id, track_id FROM split WHERE pos > n_hold)"
+
+
+@query("profile_seeds", Q.with_(*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _SEEDS_CTE) + f"""
+SELECT r.request_id, {", ".join(f"x.avg_{f}" for f in FEATURES)},
+       CAST(COALESCE(x.playlist_length, 0) AS BIGINT) AS playlist_length
+FROM (SELECT DISTINCT request_id FROM seeds) r LEFT JOIN (
+  SELECT s.request_id, {_AVG_SQL}, COUNT(*) AS playlist_length
+  FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id)
+  GROUP BY s.request_id) x USING (request_id)""")
+def profile_seeds(spark, sf_dir):
+    """A-04, P-05, P-18, S-12: seed-list profile over distinct matched tracks;
+    requests with no match keep a row of NULLs and length 0 (K4)."""
+    reqs = seed_requests(spark, sf_dir)
+    prof = PR.profiles(reqs, T.track_metadata(spark, sf_dir), mode="distinct", keep_empty=True)
+    return _round_cols(prof, AVG_FEATURES)
+
+
+@query("profile_train", Q.with_(*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _SEEDS_CTE) + f"""
+SELECT s.request_id, {_AVG_SQL}
+FROM seeds s JOIN track_metadata m USING (track_id) GROUP BY s.request_id""")
+def profile_train(spark, sf_dir):
+    """A-05, J-07, S-04: training seed profile, mean over seed occurrences."""
+    prof = PR.profiles(seed_requests(spark, sf_dir), T.track_metadata(spark, sf_dir),
+                       mode="rows", with_length=False)
+    return _round_cols(prof, AVG_FEATURES)
+
+
+_TRACK_SQL = ", ".join(f"ROUND(m.{f}, 6) AS track_{f}" for f in FEATURES)
+_PROF_SQL = ", ".join(f"ROUND(x.avg_{f}, 6) AS avg_{f}" for f in FEATURES)
+_DIFF_SQL = ", ".join(f"ROUND(ABS(x.avg_{f} - m.{f}), 6) AS {f}_diff" for f in FEATURES)
+
+
+@query("cross_features", Q.with_(*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _PMAP_CTE, _SEEDS_CTE, f"""
+counts AS (SELECT track_id, COUNT(*) AS c FROM interactions GROUP BY track_id),
+cands AS (
+  SELECT DISTINCT s.playlist_id AS request_id, t.track_int_id
+  FROM split s JOIN tmap t USING (track_id) WHERE s.pos <= s.n_hold
+),
+prof AS (
+  SELECT r.request_id, {", ".join(f"x.avg_{f}" for f in FEATURES)},
+         COALESCE(x.playlist_length, 0) AS playlist_length
+  FROM (SELECT DISTINCT request_id FROM seeds) r LEFT JOIN (
+    SELECT s.request_id, {", ".join(f"{exact_mean_sql('m.' + f)} AS avg_{f}" for f in FEATURES)},
+           COUNT(*) AS playlist_length
+    FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id)
+    GROUP BY s.request_id) x USING (request_id)
+)""") + f"""
+SELECT c.request_id, CAST(c.track_int_id AS BIGINT) AS track_int_id, t.track_id, {_TRACK_SQL},
+       CAST(n.c AS DOUBLE) AS als_score, {_PROF_SQL}, CAST(x.playlist_length AS BIGINT) AS playlist_length,
+       {_DIFF_SQL}
+FROM cands c JOIN tmap t USING (track_int_id) JOIN counts n USING (track_id)
+JOIN track_metadata m USING (track_id) LEFT JOIN prof x USING (request_id)""")
+def cross_features(spark, sf_dir):
+    """M-07, P-04, P-08, F-02, A-02, J-02, J-04, J-05 for every request at once.
+
+    Candidate source (deterministic stand-in for retrieval): each playlist's
+    held-out tracks, scored by global track popularity; profile = the
+    playlist's seed-list profile (seed requests keep candidates, K4)."""
+    inter = T.interactions(spark, sf_dir)
+    split = eval_heldout(spark, sf_dir)
+    tmap = I.id_map(inter, "track_id", "track_int_id")
+    counts = P.track_counts(inter)
+    cands = (split.filter("held = 1").select(F.col("playlist_id").alias("request_id"), "track_id")
+             .distinct().join(tmap, "track_id").join(counts, "track_id")
+             .select("request_id", "track_int_id", F.col("n_interactions").cast("double").alias("als_score")))
+    meta = T.track_metadata(spark, sf_dir)
+    prof = PR.profiles(seed_requests(spark, sf_dir), meta, mode="distinct", keep_empty=True)
+    out = PR.candidate_features(cands, tmap, meta, prof, keep_unprofiled=True)
+    return _round_cols(out, TRACK_FEATURES + AVG_FEATURES + DIFF_FEATURES)
+
+
+@query("sample_playlists", Q.with_(Q.INTERACTIONS) + f"""
+SELECT playlist_id, CAST(COUNT(*) AS BIGINT) AS n_tracks, md5('{SALT}:' || playlist_id) AS sample_key
+FROM interactions GROUP BY playlist_id HAVING COUNT(*) >= {MIN_TRACKS}
+ORDER BY sample_key, playlist_id LIMIT 2000""")
+def sample_playlists(spark, sf_dir):
+    """L-02, A-07: seeded sample of 2000 eligible playlists (the sampling is
+    the feature; a top-n by hash key, no global sort)."""
+    return S.sample_playlists(T.interactions(spark, sf_dir), 2000, MIN_TRACKS, SALT).select(
+        "playlist_id", F.col("n_tracks").cast("long").alias("n_tracks"), "sample_key")
+
+
+@query("train_playlists", Q.with_(Q.INTERACTIONS, _MAPPED_CTE) + """
+SELECT CAST(playlist_int_id AS BIGINT) AS playlist_int_id, CAST(COUNT(*) AS BIGINT) AS n_tracks
+FROM mapped WHERE playlist_int_id IN (
+  SELECT DISTINCT playlist_int_id FROM mapped ORDER BY playlist_int_id LIMIT 10000)
+GROUP BY playlist_int_id HAVING COUNT(*) >= 2""")
+def train_playlists(spark, sf_dir):
+    """L-01, P-11, A-10: the first 10,000 playlist ids (K11) with >= 2 tracks."""
+    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    return S.train_playlists(mapped, 10000).select(
+        F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
+        F.col("n_tracks").cast("long").alias("n_tracks"))
