@@ -8,6 +8,7 @@ carry the same alias on both sides.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import exact_mean_sql, round_to
 from ..operators import metrics as M
+from ..session import ship_package
 from ..operators import popularity as P
 from ..operators import split as S
 from ..sources import tables as T
@@ -33,10 +35,14 @@ N_POPULAR = 50
 
 def query(name: str, oracle: str | None = None):
     def deco(fn):
-        QUERIES[name] = fn
+        @functools.wraps(fn)
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
+            return fn(spark, sf_dir)
+        QUERIES[name] = run
         if oracle is not None:
             ORACLE[name] = oracle
-        return fn
+        return run
     return deco
 
 
@@ -380,3 +386,85 @@ def train_playlists(spark, sf_dir):
     return S.train_playlists(mapped, 10000).select(
         F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
         F.col("n_tracks").cast("long").alias("n_tracks"))
+
+
+# --------------------------------------------------------------------------
+# Phase 3: retrieval on given factors (embeddings, FIXTURES F2)
+# --------------------------------------------------------------------------
+
+from ..operators import retrieval as RV  # noqa: E402
+
+N_CANDIDATES = 200
+
+_EMB_CTES = """
+dims AS (
+  SELECT label, generate_subscripts(embedding, 1) AS d, unnest(embedding) AS v FROM embeddings
+),
+umean AS (SELECT label AS user_id, d, CAST(AVG(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM dims GROUP BY label, d),
+uvec AS (SELECT CAST(user_id AS BIGINT) AS user_id, list(m ORDER BY d) AS uv FROM umean GROUP BY user_id),
+scores AS (
+  SELECT u.user_id, e.vec_id AS item_id,
+         list_dot_product(list_transform(u.uv, lambda x: CAST(x AS DOUBLE)),
+                          list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) AS score
+  FROM uvec u CROSS JOIN embeddings e
+)"""
+
+
+def _emb_topn(spark, sf_dir, unseen: bool):
+    items, users = T.embedding_factors(spark, sf_dir)
+    seen = None
+    if unseen:
+        seen = T.table(spark, sf_dir, "embeddings").select(
+            F.col("label").cast("long").alias("user_id"), F.col("vec_id").alias("item_id"))
+    return RV.top_n(users, items, N_CANDIDATES, seen=seen)
+
+
+@query("topn_dot_product", Q.with_(_EMB_CTES) + f"""
+SELECT user_id, item_id, ROUND(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM scores)
+WHERE rank <= {N_CANDIDATES}""")
+def topn_dot_product(spark, sf_dir):
+    """M-05, P-12: exact top-200 items per user on given factors (item factor =
+    embedding, user factor = mean of its label's vectors)."""
+    out = _emb_topn(spark, sf_dir, unseen=False)
+    return out.select("user_id", "item_id", r6(F.col("score")).alias("score"),
+                      F.col("rank").cast("long").alias("rank"))
+
+
+_UNSEEN_SQL = Q.with_(_EMB_CTES, """
+unseen AS (
+  SELECT s.* FROM scores s
+  WHERE NOT EXISTS (SELECT 1 FROM embeddings x WHERE x.label = s.user_id AND x.vec_id = s.item_id)
+),
+ranked AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM unseen
+)""")
+
+
+@query("topn_unseen", _UNSEEN_SQL + f"""
+SELECT user_id, item_id, ROUND(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM ranked
+WHERE rank <= {N_CANDIDATES}""")
+def topn_unseen(spark, sf_dir):
+    """M-03, J-10: top-200 with each user's own items (its label's vectors)
+    removed exactly (fetch k + n_seen, anti join, renumber)."""
+    out = _emb_topn(spark, sf_dir, unseen=True)
+    return out.select("user_id", "item_id", r6(F.col("score")).alias("score"),
+                      F.col("rank").cast("long").alias("rank"))
+
+
+@query("candidate_lookup", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA, _PMAP_CTE) + _UNSEEN_SQL.replace("WITH ", ",", 1) + f"""
+SELECT r.user_id, r.item_id, t.track_id, CAST(r.rank AS BIGINT) AS rank,
+       CAST(ROW_NUMBER() OVER (PARTITION BY r.user_id ORDER BY r.rank, r.item_id) AS BIGINT) AS position
+FROM ranked r JOIN tmap t ON t.track_int_id = r.item_id
+WHERE r.rank <= {N_CANDIDATES} AND t.track_id IN (SELECT track_id FROM track_metadata)""")
+def candidate_lookup(spark, sf_dir):
+    """J-09, A-11, P-10 (K15): candidate int ids -> track ids through the
+    catalog's id dimension; unmapped candidates drop out and positions close up."""
+    inter = T.interactions(spark, sf_dir)
+    tmap = I.id_map(inter, "track_id", "track_int_id")
+    catalog_ids = tmap.join(T.track_metadata(spark, sf_dir).select("track_id"), "track_id", "left_semi")
+    cands = _emb_topn(spark, sf_dir, unseen=True)
+    dim = catalog_ids.select(F.col("track_int_id").alias("item_id"), "track_id")
+    out = RV.lookup_ids(cands, dim, key="user_id", int_col="item_id", out_id="track_id")
+    return out.select("user_id", "item_id", "track_id", F.col("rank").cast("long").alias("rank"),
+                      F.col("position").cast("long").alias("position"))
