@@ -468,3 +468,67 @@ def candidate_lookup(spark, sf_dir):
     out = RV.lookup_ids(cands, dim, key="user_id", int_col="item_id", out_id="track_id")
     return out.select("user_id", "item_id", "track_id", F.col("rank").cast("long").alias("rank"),
                       F.col("position").cast("long").alias("position"))
+
+
+# --------------------------------------------------------------------------
+# Phase 4: stage-1 model (rows-only checks: not SQL-expressible)
+# --------------------------------------------------------------------------
+
+from ..operators import als as AL  # noqa: E402
+
+ALS_RANK, ALS_ITERS, ALS_REG = 50, 15, 0.01
+
+
+def trained_stage1(spark, sf_dir, fit_on: str = "all"):
+    """Map ids, build confidence cells, fit ALS (K16: ``fit_on='all'`` as the
+    reference; ``'seed_only'`` fits on the seed side of the eval split), save
+    and reload the artifact.  Returns (model, mapped, cells)."""
+    inter = T.interactions(spark, sf_dir)
+    mapped, pmap, tmap = I.map_ids(inter)
+    cells = I.confidence(mapped)
+    fit_cells = cells
+    if fit_on == "seed_only":
+        held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
+        seed_rows = mapped.join(held, ["playlist_id", "track_id"], "left_anti")
+        fit_cells = I.confidence(seed_rows)
+    model = AL.fit_als(fit_cells, ALS_RANK, ALS_ITERS, ALS_REG)
+    path = AL.save_model(model, scratch_path(spark, "als-model"))
+    return AL.load_model(path), mapped, cells
+
+
+@query("als_candidates")
+def als_candidates(spark, sf_dir):
+    """M-02, M-03, M-05, M-06, L-07, S-10, S-11: fit ALS (50 factors, 15
+    iterations, λ 0.01), save + load it, then the top-200 unseen tracks for
+    every playlist (``als_rank`` <= 20 is the stage-1-only arm)."""
+    model, mapped, cells = trained_stage1(spark, sf_dir)
+    users, items = AL.factors(model)
+    seen = cells.select(F.col("playlist_int_id").alias("user_id"), F.col("track_int_id").alias("item_id"))
+    cand = RV.top_n(users, items, N_CANDIDATES, seen=seen)
+    return cand.select(F.col("user_id").alias("playlist_int_id"), F.col("item_id").alias("track_int_id"),
+                       F.col("score").alias("als_score"), F.col("rank").cast("int").alias("als_rank"))
+
+
+def foldin_requests(spark, sf_dir, mapped):
+    """Seed requests keyed by playlist int id, seeds as track int ids."""
+    seeds = eval_heldout(spark, sf_dir).filter("held = 0").select("playlist_id", "track_id")
+    pm = mapped.select("playlist_id", "playlist_int_id").distinct()
+    tm = mapped.select("track_id", "track_int_id").distinct()
+    return (seeds.join(pm, "playlist_id").join(tm, "track_id")
+                 .select(F.col("playlist_int_id").alias("request_id"), F.col("track_int_id").alias("item_id")))
+
+
+@query("foldin_candidates")
+def foldin_candidates(spark, sf_dir):
+    """M-04, M-05: cold-start user vectors folded in from each eligible
+    playlist's seed tracks (occurrence confidence), then the top-200 tracks
+    that are not seeds."""
+    model, mapped, _ = trained_stage1(spark, sf_dir)
+    _, items = AL.factors(model)
+    seeds = foldin_requests(spark, sf_dir, mapped)
+    conf = AL.seed_confidence(seeds, "occurrence")
+    users = AL.fold_in(conf, items, ALS_REG).withColumnRenamed("request_id", "user_id")
+    cand = RV.top_n(users, items, N_CANDIDATES,
+                    seen=seeds.select(F.col("request_id").alias("user_id"), "item_id"))
+    return cand.select(F.col("user_id").alias("request_id"), F.col("item_id").alias("track_int_id"),
+                       F.col("score").alias("als_score"), F.col("rank").cast("int").alias("als_rank"))
