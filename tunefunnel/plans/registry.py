@@ -532,3 +532,160 @@ def foldin_candidates(spark, sf_dir):
                     seen=seeds.select(F.col("request_id").alias("user_id"), "item_id"))
     return cand.select(F.col("user_id").alias("request_id"), F.col("item_id").alias("track_int_id"),
                        F.col("score").alias("als_score"), F.col("rank").cast("int").alias("als_rank"))
+
+
+# --------------------------------------------------------------------------
+# Phase 5: training set.  SQL-checked with a deterministic candidate source:
+# given-factor retrieval (F2) where a playlist's vector is the mean of its
+# seed tracks' embedding vectors (track_int_id = vec_id).
+# --------------------------------------------------------------------------
+
+from ..operators import training as TR  # noqa: E402
+
+N_TRAIN, N_NEG = 10000, 50
+
+
+def training_split(spark, sf_dir):
+    """Split of the first N_TRAIN playlists with >= 2 tracks (L-01, P-11),
+    with int ids attached: [playlist_int_id, track_int_id, track_id, held]."""
+    inter = T.interactions(spark, sf_dir)
+    mapped, pmap, tmap = I.map_ids(inter)
+    keep = S.train_playlists(mapped, N_TRAIN).select("playlist_int_id")
+    rows = mapped.join(keep, "playlist_int_id", "left_semi").select("playlist_id", "track_id")
+    sp = S.holdout_split(rows, HOLDOUT, SALT)
+    sp = sp.join(pmap, "playlist_id").join(tmap, "track_id")
+    return sp.select("playlist_int_id", "track_int_id", "track_id", "held"), tmap
+
+
+def embedding_candidates(spark, sf_dir, seeds):
+    """Top-200 unseen items for each playlist's mean seed vector."""
+    emb = T.table(spark, sf_dir, "embeddings")
+    rows = seeds.join(emb.select(F.col("vec_id").alias("track_int_id"), "embedding"), "track_int_id")
+    users = T.element_mean(rows.select(F.col("playlist_int_id").alias("user_id"), F.col("embedding").alias("features")),
+                           "user_id", "features")
+    items = emb.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("features"))
+    seen = seeds.select(F.col("playlist_int_id").alias("user_id"), F.col("track_int_id").alias("item_id"))
+    c = RV.top_n(users, items, N_CANDIDATES, seen=seen)
+    return c.select(F.col("user_id").alias("playlist_int_id"), F.col("item_id").alias("track_int_id"),
+                    F.col("score").alias("als_score"), F.col("rank").cast("long").alias("als_rank"))
+
+
+def _training_pipeline(spark, sf_dir):
+    sp, tmap = training_split(spark, sf_dir)
+    seeds = sp.filter("held = 0")
+    targets = sp.filter("held = 1").select("playlist_int_id", "track_int_id")
+    cands = embedding_candidates(spark, sf_dir, seeds)
+    labelled = TR.label_candidates(cands, targets)
+    sampled = TR.hard_negatives(labelled, N_NEG)
+    return seeds, tmap, labelled, sampled
+
+
+_TRAIN_SQL = Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA, _PMAP_CTE, _MAPPED_CTE, f"""
+tp AS (SELECT DISTINCT playlist_int_id FROM mapped ORDER BY playlist_int_id LIMIT {N_TRAIN}),
+tsz AS (SELECT playlist_int_id FROM mapped WHERE playlist_int_id IN (SELECT playlist_int_id FROM tp)
+        GROUP BY playlist_int_id HAVING COUNT(*) >= 2),
+tr AS (SELECT playlist_id, track_id FROM mapped WHERE playlist_int_id IN (SELECT playlist_int_id FROM tsz))""",
+    Q.split("tr", HOLDOUT, SALT, name="tsplit"), f"""
+ts AS (
+  SELECT p.playlist_int_id, t.track_int_id, s.track_id, CASE WHEN s.pos <= s.n_hold THEN 1 ELSE 0 END AS held
+  FROM tsplit s JOIN pmap p USING (playlist_id) JOIN tmap t USING (track_id)
+),
+seeds AS (SELECT playlist_int_id, track_int_id, track_id FROM ts WHERE held = 0),
+targets AS (SELECT DISTINCT playlist_int_id, track_int_id FROM ts WHERE held = 1),
+sdims AS (
+  SELECT s.playlist_int_id, generate_subscripts(e.embedding, 1) AS d, unnest(e.embedding) AS v
+  FROM seeds s JOIN embeddings e ON e.vec_id = s.track_int_id
+),
+smean AS (SELECT playlist_int_id, d, CAST(AVG(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM sdims GROUP BY 1, 2),
+svec AS (SELECT playlist_int_id, list(m ORDER BY d) AS uv FROM smean GROUP BY 1),
+sc AS (
+  SELECT u.playlist_int_id, e.vec_id AS track_int_id,
+         list_dot_product(list_transform(u.uv, lambda x: CAST(x AS DOUBLE)),
+                          list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) AS als_score
+  FROM svec u CROSS JOIN embeddings e
+  WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.playlist_int_id = u.playlist_int_id AND x.track_int_id = e.vec_id)
+),
+cands AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY playlist_int_id ORDER BY als_score DESC, track_int_id)
+                 AS als_rank FROM sc) WHERE als_rank <= {N_CANDIDATES}
+),
+lab AS (
+  SELECT c.*, CAST(CASE WHEN t.track_int_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label
+  FROM cands c LEFT JOIN targets t USING (playlist_int_id, track_int_id)
+),
+labelled AS (SELECT * FROM lab WHERE playlist_int_id IN (SELECT playlist_int_id FROM lab WHERE label = 1)),
+sampled AS (
+  SELECT * EXCLUDE (r) FROM (
+    SELECT *, ROW_NUMBER() OVER (PARTITION BY playlist_int_id, label ORDER BY als_rank, track_int_id) AS r
+    FROM labelled) WHERE label = 1 OR r <= {N_NEG}
+),
+prof AS (
+  SELECT s.playlist_int_id, {", ".join(f"{exact_mean_sql('m.' + f)} AS avg_{f}" for f in FEATURES)}
+  FROM seeds s JOIN track_metadata m USING (track_id) GROUP BY s.playlist_int_id
+),
+frame AS (
+  SELECT x.playlist_int_id, t.track_id, x.label, x.als_score,
+         {", ".join(f"m.{f} AS track_{f}" for f in FEATURES)},
+         {", ".join(f"p.avg_{f}" for f in FEATURES)},
+         {", ".join(f"ABS(p.avg_{f} - m.{f}) AS {f}_diff" for f in FEATURES)}
+  FROM sampled x JOIN tmap t USING (track_int_id) JOIN track_metadata m USING (track_id)
+  JOIN prof p USING (playlist_int_id)
+)""")
+
+_CAND_COLS_SQL = """CAST(playlist_int_id AS BIGINT) AS playlist_int_id, CAST(track_int_id AS BIGINT) AS track_int_id,
+       ROUND(als_score, 6) AS als_score, CAST(als_rank AS BIGINT) AS als_rank, label"""
+
+
+def _cand_cols(df):
+    return df.select(F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
+                     F.col("track_int_id").cast("long").alias("track_int_id"),
+                     r6(F.col("als_score")).alias("als_score"),
+                     F.col("als_rank").cast("long").alias("als_rank"), "label")
+
+
+@query("label_candidates", _TRAIN_SQL + f"SELECT {_CAND_COLS_SQL} FROM labelled")
+def label_candidates(spark, sf_dir):
+    """P-13, P-14: candidates labelled by the held-out targets; playlists with
+    no retrieved target dropped (K24)."""
+    _, _, labelled, _ = _training_pipeline(spark, sf_dir)
+    return _cand_cols(labelled)
+
+
+@query("hard_negatives", _TRAIN_SQL + f"SELECT {_CAND_COLS_SQL} FROM sampled")
+def hard_negatives(spark, sf_dir):
+    """W-04, U-02: positives plus the 50 highest-scored negatives per playlist."""
+    _, _, _, sampled = _training_pipeline(spark, sf_dir)
+    return _cand_cols(sampled)
+
+
+def _train_frame(spark, sf_dir):
+    seeds, tmap, _, sampled = _training_pipeline(spark, sf_dir)
+    return TR.training_frame(sampled.drop("als_rank"), tmap, T.track_metadata(spark, sf_dir),
+                             seeds.select("playlist_int_id", "track_id"))
+
+
+_FRAME_COLS = TRACK_FEATURES + AVG_FEATURES + DIFF_FEATURES
+
+
+@query("training_frame", _TRAIN_SQL + f"""
+SELECT CAST(playlist_int_id AS BIGINT) AS playlist_int_id, track_id, label, ROUND(als_score, 6) AS als_score,
+       {", ".join(f"ROUND({c}, 6) AS {c}" for c in _FRAME_COLS)}
+FROM frame""")
+def training_frame(spark, sf_dir):
+    """M-08, J-06, P-17 inputs: labelled rows with track, profile and
+    difference features."""
+    f = _train_frame(spark, sf_dir)
+    return f.select(F.col("playlist_int_id").cast("long").alias("playlist_int_id"), "track_id", "label",
+                    r6(F.col("als_score")).alias("als_score"), *[r6(F.col(c)).alias(c) for c in _FRAME_COLS])
+
+
+@query("both_label_groups", _TRAIN_SQL + """
+SELECT CAST(playlist_int_id AS BIGINT) AS playlist_int_id, CAST(COUNT(*) AS BIGINT) AS n_rows,
+       CAST(SUM(label) AS BIGINT) AS n_pos
+FROM frame GROUP BY playlist_int_id HAVING COUNT(DISTINCT label) = 2""")
+def both_label_groups(spark, sf_dir):
+    """A-08, P-15, A-09, L-05: groups with both labels, contiguous by playlist,
+    and their sizes in playlist order."""
+    f = TR.grouped_by_playlist(TR.both_label_groups(_train_frame(spark, sf_dir)))
+    return TR.group_sizes(f).select(F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
+                                    "n_rows", "n_pos")

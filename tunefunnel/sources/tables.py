@@ -105,7 +105,9 @@ def embedding_factors(spark: SparkSession, sf_dir: str):
 
 def element_mean(df: DataFrame, key: str, vec: str) -> DataFrame:
     """Element-wise mean of fixed-length vectors by key, as a distributed
-    aggregate (posexplode -> groupBy(key, index) partial avg -> reassemble)."""
+    aggregate (posexplode -> groupBy(key, index) partial avg -> reassemble;
+    the reassembly collects one value per dimension, a bound set by the
+    vector length)."""
     exploded = df.select(key, F.posexplode(vec).alias("_k", "_v"))
     per_k = exploded.groupBy(key, "_k").agg(F.avg(F.col("_v").cast("double")).alias("_m"))
     return per_k.groupBy(key).agg(
