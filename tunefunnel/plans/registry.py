@@ -689,3 +689,85 @@ def both_label_groups(spark, sf_dir):
     f = TR.grouped_by_playlist(TR.both_label_groups(_train_frame(spark, sf_dir)))
     return TR.group_sizes(f).select(F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
                                     "n_rows", "n_pos")
+
+
+# --------------------------------------------------------------------------
+# Phase 6: ranker, rerank, batch recommendation
+# --------------------------------------------------------------------------
+
+from ..operators import ranker as RK  # noqa: E402
+from . import recommend as REC  # noqa: E402
+
+# Trees in the registered checks: each MLlib tree fit costs ~3 s of job
+# latency on one machine, so the checks train 20 rounds; the library default
+# (Params.n_trees) stays at the reference's 100.
+CHECK_TREES = 20
+
+
+def check_params() -> REC.Params:
+    return REC.Params(n_trees=CHECK_TREES)
+
+
+@query("rerank_topk", Q.with_(*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _PMAP_CTE, _SEEDS_CTE, f"""
+counts AS (SELECT track_id, COUNT(*) AS c FROM interactions GROUP BY track_id),
+cands AS (
+  SELECT DISTINCT s.playlist_id AS request_id, t.track_int_id
+  FROM split s JOIN tmap t USING (track_id) WHERE s.pos <= s.n_hold
+),
+prof AS (
+  SELECT r.request_id, x.avg_acousticness
+  FROM (SELECT DISTINCT request_id FROM seeds) r LEFT JOIN (
+    SELECT s.request_id, {exact_mean_sql('m.acousticness')} AS avg_acousticness
+    FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id)
+    GROUP BY s.request_id) x USING (request_id)
+),
+scored AS (
+  SELECT c.request_id, c.track_int_id, CAST(n.c AS DOUBLE) AS als_score,
+         0.0 - ROUND(COALESCE(ABS(x.avg_acousticness - m.acousticness), 1000.0)) AS rank_score
+  FROM cands c JOIN tmap t USING (track_int_id) JOIN counts n USING (track_id)
+  JOIN track_metadata m USING (track_id) LEFT JOIN prof x USING (request_id)
+)""") + f"""
+SELECT * FROM (
+  SELECT request_id, CAST(track_int_id AS BIGINT) AS track_int_id, als_score, rank_score,
+         CAST(ROW_NUMBER() OVER (PARTITION BY request_id
+              ORDER BY rank_score DESC, als_score DESC, track_int_id ASC) AS BIGINT) AS rank
+  FROM scored) WHERE rank <= {K}""")
+def rerank_topk(spark, sf_dir):
+    """W-03, M-10 tie-break (K14) on given scores: the cross-feature frame of
+    ``cross_features`` scored by a coarse given score with many ties
+    (``0 - round(|acousticness diff|)``), top-20 by (score, als_score, id)."""
+    feats = cross_features.__wrapped__(spark, sf_dir)
+    scored = feats.withColumn(
+        "rank_score", F.lit(0.0) - F.round(F.coalesce(F.col("acousticness_diff"), F.lit(1000.0))))
+    top = RK.rerank_topk(scored, K)
+    return top.select("request_id", F.col("track_int_id").cast("long").alias("track_int_id"),
+                      "als_score", "rank_score", F.col("rank").cast("long").alias("rank"))
+
+
+def eval_seed_requests(spark, sf_dir):
+    """Seed requests of every eligible playlist, keyed by a long request id."""
+    sp = eval_heldout(spark, sf_dir)
+    return sp.filter("held = 0").select(F.col("playlist_id").cast("long").alias("request_id"), "track_id")
+
+
+@query("ranker_scores")
+def ranker_scores(spark, sf_dir):
+    """M-08 -> M-09 -> M-10: train LambdaMART on stage-1 candidates of the
+    training playlists and score every eligible playlist's candidate pool."""
+    recs, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    return scored.select("request_id", "track_int_id", "track_id", "als_score", "rank_score")
+
+
+@query("recommend_batch")
+def recommend_batch(spark, sf_dir):
+    """M-11, M-12: top-20 of the full engine and of stage 1 alone (same pool)
+    for every eligible playlist's seed tracks."""
+    recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    return recs
+
+
+@query("recommend_named")
+def recommend_named(spark, sf_dir):
+    """S-13, J-08, L-06: the engine's top-20 with artist and track names."""
+    recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    return REC.present(recs.filter("arm = 'engine'"), T.track_metadata(spark, sf_dir))
