@@ -771,3 +771,308 @@ def recommend_named(spark, sf_dir):
     """S-13, J-08, L-06: the engine's top-20 with artist and track names."""
     recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
     return REC.present(recs.filter("arm = 'engine'"), T.track_metadata(spark, sf_dir))
+
+
+# --------------------------------------------------------------------------
+# Phase 7-8: evaluation and experiment.  SQL-checked queries use two
+# deterministic arms: 'popularity' (counts over all interactions, as the
+# reference) and 'popularity_seed' (counts over seed rows only, i.e. without
+# the held-out rows -- the leakage-free variant, cf. K16).
+# --------------------------------------------------------------------------
+
+from ..operators import experiment as EX  # noqa: E402
+from ..operators import stats as ST  # noqa: E402
+
+ARM_A, ARM_B = "popularity_seed", "popularity"
+PILOT_N = 200
+
+
+def seed_popularity(inter, held, k):
+    """Top-k by interaction count without the held-out rows."""
+    c = P.track_counts(inter).join(held.groupBy("track_id").agg(F.count(F.lit(1)).alias("_h")), "track_id", "left")
+    c = c.select("track_id", (F.col("n_interactions") - F.coalesce("_h", F.lit(0))).alias("n_interactions"))
+    c = c.filter("n_interactions > 0")
+    from pyspark.sql import Window
+    top = c.orderBy(F.desc("n_interactions"), F.asc("track_id")).limit(k)
+    w = Window.orderBy(F.desc("n_interactions"), F.asc("track_id"))   # over k rows
+    return top.select(F.row_number().over(w).cast("long").alias("rank"), "track_id", "n_interactions")
+
+
+def two_arm_metrics(spark, sf_dir, longtail: bool = False):
+    inter = T.interactions(spark, sf_dir)
+    held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
+    tops = {ARM_B: P.popularity_topk(inter, K), ARM_A: seed_popularity(inter, held, K)}
+    scored_held = M.longtail_heldout(held, P.popular_head(inter, N_POPULAR)) if longtail else held
+    per = [M.metrics_at_k(scored_held, top, K, shared=True).withColumn("arm", F.lit(name))
+           for name, top in tops.items()]
+    return per[0].unionByName(per[1])
+
+
+_TWO_ARM_CTES = (*_SPLIT_ELIGIBLE,
+                 "held AS (SELECT playlist_id, track_id FROM split WHERE pos <= n_hold)",
+                 Q.popularity(K), f"""
+hcounts AS (SELECT track_id, COUNT(*) AS h FROM held GROUP BY track_id),
+seedc AS (
+  SELECT c.track_id, c.n_interactions - COALESCE(h.h, 0) AS n_interactions
+  FROM top_counts c LEFT JOIN hcounts h USING (track_id) WHERE c.n_interactions - COALESCE(h.h, 0) > 0
+),
+top2 AS (
+  SELECT * FROM (
+    SELECT CAST(ROW_NUMBER() OVER (ORDER BY n_interactions DESC, track_id ASC) AS BIGINT) AS rank,
+           track_id, n_interactions FROM seedc) WHERE rank <= {K}
+)""")
+
+
+def _two_arm_sql(held_name: str = "held") -> tuple:
+    return (Q.metrics(held_name, "top", K, True, "pa"), Q.metrics(held_name, "top2", K, True, "pb"), f"""
+per_all AS (
+  SELECT '{ARM_B}' AS arm, * FROM pa UNION ALL SELECT '{ARM_A}' AS arm, * FROM pb
+)""")
+
+
+_METRIC_COLS_SQL = """playlist_id, arm, n_held, n_held_distinct, n_hits, ROUND(recall, 6) AS recall,
+       ROUND(ndcg, 6) AS ndcg, hit"""
+
+
+def _metric_cols(df):
+    return df.select("playlist_id", "arm", "n_held", "n_held_distinct", "n_hits",
+                     r6(F.col("recall")).alias("recall"), r6(F.col("ndcg")).alias("ndcg"), "hit")
+
+
+@query("metrics_by_playlist", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql()) + f"SELECT {_METRIC_COLS_SQL} FROM per_all")
+def metrics_by_playlist(spark, sf_dir):
+    """E-01..E-04, J-11, W-02, F-03, F-04, U-03: recall / NDCG / hit at 20 for
+    every eligible playlist under two arms; zero-hit playlists kept."""
+    return _metric_cols(two_arm_metrics(spark, sf_dir))
+
+
+_LT_CTES = (*_TWO_ARM_CTES, Q.popularity(N_POPULAR, "head"), """
+held_lt AS (SELECT * FROM held WHERE track_id NOT IN (SELECT track_id FROM head))""")
+
+
+@query("metrics_longtail", Q.with_(*_LT_CTES, *_two_arm_sql("held_lt")) + f"SELECT {_METRIC_COLS_SQL} FROM per_all")
+def metrics_longtail(spark, sf_dir):
+    """E-05, P-16, U-04: the same metrics on held-out tracks outside the top-50
+    popular head; only playlists with a long-tail held-out track are scored."""
+    return _metric_cols(two_arm_metrics(spark, sf_dir, longtail=True))
+
+
+@query("heldout_composition", Q.with_(*_SPLIT_ELIGIBLE, "held AS (SELECT playlist_id, track_id FROM split WHERE pos <= n_hold)",
+                                      Q.popularity(N_POPULAR, "head")) + """,
+flag AS (
+  SELECT h.playlist_id, CASE WHEN h.track_id IN (SELECT track_id FROM head) THEN 1 ELSE 0 END AS pop FROM held h
+),
+pk AS (SELECT playlist_id, SUM(pop) AS p, SUM(1 - pop) AS lt FROM flag GROUP BY playlist_id)
+SELECT CAST(SUM(p) AS BIGINT) AS n_popular_heldout, CAST(SUM(lt) AS BIGINT) AS n_longtail_heldout,
+       CAST(COUNT(*) FILTER (WHERE lt > 0) AS BIGINT) AS n_playlists_with_longtail,
+       CAST(COUNT(*) AS BIGINT) AS n_playlists,
+       ROUND(100.0 * SUM(lt) / (SUM(p) + SUM(lt)), 6) AS pct_longtail
+FROM pk""")
+def heldout_composition(spark, sf_dir):
+    """A-16: popular vs long-tail held-out counts."""
+    inter = T.interactions(spark, sf_dir)
+    held = eval_heldout(spark, sf_dir).filter("held = 1")
+    out = M.heldout_composition(held, P.popular_head(inter, N_POPULAR))
+    return out.withColumn("pct_longtail", r6(F.col("pct_longtail")))
+
+
+@query("eval_summary", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql()) + """
+SELECT arm, CAST(COUNT(*) AS BIGINT) AS n_playlists, ROUND(AVG(recall), 6) AS recall_at_k,
+       ROUND(AVG(ndcg), 6) AS ndcg_at_k, ROUND(AVG(hit), 6) AS hit_rate
+FROM per_all GROUP BY arm""")
+def eval_summary(spark, sf_dir):
+    """E-06, A-15: mean of each metric by arm."""
+    s = M.summarize_arms(two_arm_metrics(spark, sf_dir))
+    return s.select("arm", "n_playlists", *[r6(F.col(c)).alias(c) for c in ("recall_at_k", "ndcg_at_k", "hit_rate")])
+
+
+_TTEST_COLS = ["n", "mean_a", "mean_b", "lift", "lift_pct", "t_stat", "df"]
+
+
+def _paired_sql(metric):
+    return f"""
+SELECT '{metric}' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, CAST(COUNT(*) AS BIGINT) AS n,
+       ROUND(AVG(a), 6) AS mean_a, ROUND(AVG(b), 6) AS mean_b, ROUND(AVG(a) - AVG(b), 6) AS lift,
+       ROUND(100.0 * (AVG(a) - AVG(b)) / AVG(b), 6) AS lift_pct,
+       ROUND(AVG(a - b) / (STDDEV_SAMP(a - b) / SQRT(COUNT(*))), 6) AS t_stat,
+       CAST(COUNT(*) - 1 AS DOUBLE) AS df
+FROM (SELECT playlist_id, MAX(CASE WHEN arm = '{ARM_A}' THEN {metric} END) AS a,
+             MAX(CASE WHEN arm = '{ARM_B}' THEN {metric} END) AS b
+      FROM per_all GROUP BY playlist_id) WHERE a IS NOT NULL AND b IS NOT NULL"""
+
+
+@query("paired_ttest", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql()) + _paired_sql("ndcg") + " UNION ALL " + _paired_sql("recall"))
+def paired_ttest(spark, sf_dir):
+    """E-07: paired t statistics (pairs by playlist) for NDCG and recall; the
+    p-value (F-09) is added by ``stats.with_t_p`` in the reports."""
+    per = two_arm_metrics(spark, sf_dir)
+    out = ST.paired_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.paired_ttest(per, "recall", ARM_A, ARM_B))
+    return out.select("metric", "arm_a", "arm_b", *[r6(F.col(c)).alias(c) if c not in ("n", "df") else c
+                                                    for c in _TTEST_COLS])
+
+
+_PILOT_CTES = (*_TWO_ARM_CTES, *_two_arm_sql(), f"""
+pilot AS (SELECT playlist_id FROM eligible ORDER BY md5('{SALT}:' || playlist_id), playlist_id LIMIT {PILOT_N}),
+pstats AS (
+  SELECT arm, COUNT(*) AS n, AVG(recall) AS mean_recall, STDDEV_SAMP(recall) AS std_recall,
+         AVG(ndcg) AS mean_ndcg, STDDEV_SAMP(ndcg) AS std_ndcg, AVG(hit) AS mean_hit, STDDEV_SAMP(hit) AS std_hit
+  FROM per_all WHERE playlist_id IN (SELECT playlist_id FROM pilot) GROUP BY arm
+)""")
+_PSTATS = ["mean_recall", "std_recall", "mean_ndcg", "std_ndcg", "mean_hit", "std_hit"]
+
+
+def pilot_metrics(spark, sf_dir):
+    inter = T.interactions(spark, sf_dir)
+    pilot = S.sample_playlists(inter, PILOT_N, MIN_TRACKS, SALT).select("playlist_id")
+    return two_arm_metrics(spark, sf_dir).join(pilot, "playlist_id", "left_semi")
+
+
+@query("pilot_stats", Q.with_(*_PILOT_CTES) + f"""
+SELECT arm, CAST(n AS BIGINT) AS n, {", ".join(f"ROUND({c}, 6) AS {c}" for c in _PSTATS)} FROM pstats""")
+def pilot_stats(spark, sf_dir):
+    """E-17, A-14: pilot of 200 sampled playlists scored under both arms."""
+    s = EX.pilot_stats(pilot_metrics(spark, sf_dir))
+    return s.select("arm", "n", *[r6(F.col(c)).alias(c) for c in _PSTATS])
+
+
+def _per_arm_n(spark, sf_dir):
+    inter = T.interactions(spark, sf_dir)
+    return S.eligible_playlists(inter, MIN_TRACKS).count() // 2
+
+
+def _power_sql():
+    za, zb = ST.Z_ALPHA, ST.Z_BETA
+    zz = (za + zb) ** 2
+    return Q.with_(*_PILOT_CTES, f"""
+pw AS (
+  SELECT MAX(CASE WHEN arm = '{ARM_A}' THEN mean_hit END) AS ha, MAX(CASE WHEN arm = '{ARM_B}' THEN mean_hit END) AS hb,
+         MAX(CASE WHEN arm = '{ARM_A}' THEN std_recall END) AS ra, MAX(CASE WHEN arm = '{ARM_B}' THEN std_recall END) AS rb,
+         MAX(CASE WHEN arm = '{ARM_A}' THEN std_ndcg END) AS na, MAX(CASE WHEN arm = '{ARM_B}' THEN std_ndcg END) AS nb,
+         (SELECT COUNT(*) FROM eligible) // 2 AS per_arm_n
+  FROM pstats
+),
+tbl AS (
+  SELECT 'binary' AS metric, 0.03 AS target_mde,
+         {za + zb!r} * SQRT(2.0 * ((ha + hb) / 2.0) * (1.0 - (ha + hb) / 2.0) / per_arm_n) AS mde_at_n,
+         CAST(CEIL({zz!r} * 2.0 * ((ha + hb) / 2.0) * (1.0 - (ha + hb) / 2.0) / {0.03 ** 2!r}) AS BIGINT) AS required_n,
+         per_arm_n FROM pw
+  UNION ALL
+  SELECT 'recall', 0.03, {za + zb!r} * SQRT((ra * ra + rb * rb) / per_arm_n),
+         CAST(CEIL({zz!r} * (ra * ra + rb * rb) / {0.03 ** 2!r}) AS BIGINT), per_arm_n FROM pw
+  UNION ALL
+  SELECT 'ndcg', 0.03, {za + zb!r} * SQRT((na * na + nb * nb) / per_arm_n),
+         CAST(CEIL({zz!r} * (na * na + nb * nb) / {0.03 ** 2!r}) AS BIGINT), per_arm_n FROM pw
+),
+full_tbl AS (
+  SELECT * FROM tbl UNION ALL
+  SELECT 'overall', NULL, NULL, MAX(required_n), MAX(per_arm_n) FROM tbl
+)""") + """
+SELECT metric, CAST(target_mde AS DOUBLE) AS target_mde, ROUND(mde_at_n, 6) AS mde_at_n, required_n,
+       CAST(per_arm_n AS BIGINT) AS per_arm_n, CAST(CASE WHEN per_arm_n >= required_n THEN 1 ELSE 0 END AS INTEGER) AS ok
+FROM full_tbl"""
+
+
+@query("power_table", _power_sql())
+def power_table(spark, sf_dir):
+    """E-13..E-16, E-18, E-19, F-07, F-08: MDE at the planned per-arm n (half
+    of the eligible playlists), required per-arm n per metric (target 0.03,
+    power 0.8, alpha 0.05) and the binding requirement."""
+    pilot = EX.pilot_stats(pilot_metrics(spark, sf_dir))
+    t = EX.power_table(pilot, _per_arm_n(spark, sf_dir), arm_a=ARM_A, arm_b=ARM_B)
+    return t.select("metric", "target_mde", r6(F.col("mde_at_n")).alias("mde_at_n"), "required_n", "per_arm_n", "ok")
+
+
+EXP_SALT = "43"   # the full sample is drawn with seed + 1 (K17)
+
+_ASSIGN_CTE = f"""
+assign AS (
+  SELECT playlist_id, CAST(position AS BIGINT) AS position,
+         CASE WHEN (position - 1) % 2 = 0 THEN '{ARM_A}' ELSE '{ARM_B}' END AS arm
+  FROM (SELECT playlist_id, ROW_NUMBER() OVER (ORDER BY md5('{EXP_SALT}:' || playlist_id), playlist_id) AS position
+        FROM eligible)
+)"""
+
+
+@query("ab_assignment", Q.with_(Q.INTERACTIONS, Q.eligible(MIN_TRACKS), _ASSIGN_CTE) + "SELECT * FROM assign")
+def ab_assignment(spark, sf_dir):
+    """W-06, E-20: every eligible playlist shuffled by md5(43:playlist) and
+    assigned alternately -- one arm per playlist, exactly balanced."""
+    elig = S.eligible_playlists(T.interactions(spark, sf_dir), MIN_TRACKS)
+    return EX.assign_arms(elig, EXP_SALT, arms=(ARM_A, ARM_B))
+
+
+def assigned_metrics(spark, sf_dir):
+    elig = S.eligible_playlists(T.interactions(spark, sf_dir), MIN_TRACKS)
+    return EX.experiment_metrics(two_arm_metrics(spark, sf_dir), EX.assign_arms(elig, EXP_SALT, arms=(ARM_A, ARM_B)))
+
+
+_EXP_CTES = (*_TWO_ARM_CTES, *_two_arm_sql(), _ASSIGN_CTE, """
+exp AS (SELECT p.* FROM per_all p JOIN assign a USING (playlist_id, arm))""")
+
+
+def _welch_sql(metric):
+    return f"""
+SELECT '{metric}' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, n_a, n_b, ROUND(ma, 6) AS mean_a,
+       ROUND(mb, 6) AS mean_b, ROUND(ma - mb, 6) AS lift,
+       ROUND((ma - mb) / SQRT(va / n_a + vb / n_b), 6) AS t_stat,
+       ROUND((va / n_a + vb / n_b) * (va / n_a + vb / n_b)
+             / ((va / n_a) * (va / n_a) / (n_a - 1) + (vb / n_b) * (vb / n_b) / (n_b - 1)), 6) AS df
+FROM (SELECT CAST(COUNT(*) FILTER (WHERE arm = '{ARM_A}') AS BIGINT) AS n_a,
+             CAST(COUNT(*) FILTER (WHERE arm = '{ARM_B}') AS BIGINT) AS n_b,
+             AVG(CASE WHEN arm = '{ARM_A}' THEN {metric} END) AS ma, AVG(CASE WHEN arm = '{ARM_B}' THEN {metric} END) AS mb,
+             VAR_SAMP(CASE WHEN arm = '{ARM_A}' THEN {metric} END) AS va,
+             VAR_SAMP(CASE WHEN arm = '{ARM_B}' THEN {metric} END) AS vb FROM exp)"""
+
+
+@query("welch_ttest", Q.with_(*_EXP_CTES) + _welch_sql("ndcg") + " UNION ALL " + _welch_sql("recall"))
+def welch_ttest(spark, sf_dir):
+    """E-10: Welch statistics between the disjoint arms of the experiment."""
+    per = assigned_metrics(spark, sf_dir)
+    out = ST.welch_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.welch_ttest(per, "recall", ARM_A, ARM_B))
+    return out.select("metric", "arm_a", "arm_b", "n_a", "n_b",
+                      *[r6(F.col(c)).alias(c) for c in ("mean_a", "mean_b", "lift", "t_stat", "df")])
+
+
+@query("two_prop_ztest", Q.with_(*_EXP_CTES) + f"""
+SELECT 'hit' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, n_a, n_b, ROUND(pa, 6) AS p_a, ROUND(pb, 6) AS p_b,
+       ROUND(pa - pb, 6) AS lift,
+       ROUND(CASE WHEN se = 0 THEN 0.0 ELSE (pa - pb) / se END, 6) AS z_stat
+FROM (SELECT *, SQRT(pool * (1.0 - pool) * (1.0 / n_a + 1.0 / n_b)) AS se FROM (
+  SELECT n_a, n_b, sa / n_a AS pa, sb / n_b AS pb, (sa + sb) / (n_a + n_b) AS pool FROM (
+    SELECT CAST(COUNT(*) FILTER (WHERE arm = '{ARM_A}') AS BIGINT) AS n_a,
+           CAST(COUNT(*) FILTER (WHERE arm = '{ARM_B}') AS BIGINT) AS n_b,
+           CAST(SUM(CASE WHEN arm = '{ARM_A}' THEN hit END) AS DOUBLE) AS sa,
+           CAST(SUM(CASE WHEN arm = '{ARM_B}' THEN hit END) AS DOUBLE) AS sb FROM exp)))""")
+def two_prop_ztest(spark, sf_dir):
+    """E-09: pooled two-proportion z statistic for the hit rate."""
+    out = ST.two_prop_ztest(assigned_metrics(spark, sf_dir), "hit", ARM_A, ARM_B)
+    return out.select("metric", "arm_a", "arm_b", "n_a", "n_b",
+                      *[r6(F.col(c)).alias(c) for c in ("p_a", "p_b", "lift", "z_stat")])
+
+
+N_BOOT = 5000
+
+
+@query("bootstrap_ci", Q.with_(*_EXP_CTES, f"""
+idx AS (SELECT arm, ndcg AS v, ROW_NUMBER() OVER (PARTITION BY arm ORDER BY playlist_id) - 1 AS i FROM exp),
+sizes AS (SELECT arm, COUNT(*) AS n FROM idx GROUP BY arm),
+draws AS (
+  SELECT s.arm, r.id // s.n AS rep,
+         ('0x' || substr(md5('42:' || s.arm || ':' || CAST(r.id // s.n AS VARCHAR) || ':' || CAST(r.id % s.n AS VARCHAR)), 1, 8))::BIGINT % s.n AS i
+  FROM sizes s, range(0, {N_BOOT} * (SELECT MAX(n) FROM sizes)) r(id)
+  WHERE r.id < {N_BOOT} * s.n
+),
+reps AS (SELECT d.arm, d.rep, AVG(x.v) AS m FROM draws d JOIN idx x ON x.arm = d.arm AND x.i = d.i GROUP BY d.arm, d.rep),
+diffs AS (
+  SELECT a.m - b.m AS d FROM reps a JOIN reps b ON a.rep = b.rep AND a.arm = '{ARM_A}' AND b.arm = '{ARM_B}'
+)""") + f"""
+SELECT 'ndcg' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, {N_BOOT} AS n_boot,
+       ROUND(AVG(d), 6) AS boot_mean_diff, ROUND(quantile_cont(d, 0.025), 6) AS ci_low,
+       ROUND(quantile_cont(d, 0.975), 6) AS ci_high
+FROM diffs""")
+def bootstrap_ci(spark, sf_dir):
+    """E-11, A-18: 5000-replicate independent-groups bootstrap CI (95 %) of the
+    NDCG difference between the experiment arms (md5 draws, portable)."""
+    out = ST.bootstrap_ci(assigned_metrics(spark, sf_dir), "ndcg", ARM_A, ARM_B, N_BOOT, 95.0, seed=42, draw="md5")
+    return out.select("metric", "arm_a", "arm_b", "n_boot",
+                      *[r6(F.col(c)).alias(c) for c in ("boot_mean_diff", "ci_low", "ci_high")])
