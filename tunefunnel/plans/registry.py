@@ -1076,3 +1076,80 @@ def bootstrap_ci(spark, sf_dir):
     out = ST.bootstrap_ci(assigned_metrics(spark, sf_dir), "ndcg", ARM_A, ARM_B, N_BOOT, 95.0, seed=42, draw="md5")
     return out.select("metric", "arm_a", "arm_b", "n_boot",
                       *[r6(F.col(c)).alias(c) for c in ("boot_mean_diff", "ci_low", "ci_high")])
+
+
+# --------------------------------------------------------------------------
+# Reports over the real arms (engine, stage-1 only, popularity): rows-only.
+# --------------------------------------------------------------------------
+
+def engine_recs(spark, sf_dir):
+    """Both model arms' top-20 for every eligible playlist, computed once and
+    persisted (the expensive part of every report)."""
+    recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    recs = recs.select(F.col("request_id").cast("string").alias("playlist_id"), "arm", "rank", "track_id")
+    recs = recs.persist()
+    recs.count()
+    return recs
+
+
+def engine_arm_metrics(spark, sf_dir, recs, longtail: bool = False):
+    """E-04: per-playlist metrics of the three arms over the same splits,
+    paired by playlist.  Stage 1 is trained on all interactions (K16)."""
+    inter = T.interactions(spark, sf_dir)
+    held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
+    if longtail:
+        held = M.longtail_heldout(held, P.popular_head(inter, N_POPULAR))
+    per = []
+    for arm in ("engine", "als_only"):
+        per.append(M.metrics_at_k(held, recs.filter(F.col("arm") == arm), K).withColumn("arm", F.lit(arm)))
+    per.append(M.metrics_at_k(held, P.popularity_topk(inter, K), K, shared=True).withColumn("arm", F.lit("popularity")))
+    out = per[0].unionByName(per[1]).unionByName(per[2]).persist()
+    out.count()
+    return out
+
+
+@query("eval_report")
+def eval_report(spark, sf_dir):
+    """E-04, E-05, E-06, E-07, F-09: three-arm offline evaluation -- mean
+    recall / NDCG by arm plus paired t-tests (with p-values) of the full engine
+    against stage 1 alone and against popularity, on all and on long-tail
+    held-out tracks."""
+    rows = []
+    recs = engine_recs(spark, sf_dir)
+    for view, per in (("all", engine_arm_metrics(spark, sf_dir, recs)),
+                      ("longtail", engine_arm_metrics(spark, sf_dir, recs, longtail=True))):
+        for metric in ("ndcg", "recall"):
+            for other in ("als_only", "popularity"):
+                rows.append(ST.with_t_p(ST.paired_ttest(per, metric, "engine", other))
+                            .withColumn("view", F.lit(view)))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+@query("rerank_diagnostics")
+def rerank_diagnostics(spark, sf_dir):
+    """E-08, A-17, J-12: rank-score spread per playlist, degenerate flag, and
+    how many stage-1 hits in the top 20 survive the rerank."""
+    _, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    held = eval_heldout(spark, sf_dir).filter("held = 1").select(
+        F.col("playlist_id").cast("long").alias("request_id"), "track_id")
+    return EX.rerank_diagnostics(scored, held, K)
+
+
+@query("ab_report")
+def ab_report(spark, sf_dir):
+    """E-12, E-17..E-21: pilot (200 playlists, both arms) -> power analysis ->
+    one arm per eligible playlist (engine 'treatment' vs stage-1 'als') ->
+    Welch / z tests with p-values, bootstrap CIs, agreement and power flags."""
+    per = engine_arm_metrics(spark, sf_dir, engine_recs(spark, sf_dir)).filter(F.col("arm").isin("engine", "als_only"))
+    per = per.withColumn("arm", F.when(F.col("arm") == "engine", F.lit("treatment")).otherwise(F.lit("als")))
+    inter = T.interactions(spark, sf_dir)
+    pilot_ids = S.sample_playlists(inter, PILOT_N, MIN_TRACKS, SALT).select("playlist_id")
+    pilot = EX.pilot_stats(per.join(pilot_ids, "playlist_id", "left_semi"))
+    power = EX.power_table(pilot, _per_arm_n(spark, sf_dir))
+    required = power.filter("metric = 'overall'").first()["required_n"]   # one row
+    elig = S.eligible_playlists(inter, MIN_TRACKS)
+    assigned = EX.experiment_metrics(per, EX.assign_arms(elig, EXP_SALT))
+    return EX.report(assigned, "treatment", "als", required_per_arm_n=int(required) if required else None)
