@@ -48,10 +48,11 @@ def metrics_at_k(held: DataFrame, recs: DataFrame, k: int = 20, key: str = KEY,
     ``held`` is the held-out bag ``[key, item]``; ``recs`` is ``[key, rank, item]``
     or, with ``shared=True``, one list ``[rank, item]`` for every playlist.
     """
-    held = held.select(key, item)
-    per_key = held.groupBy(key).agg(F.count(F.lit(1)).alias("n_held"))
-    distinct_held = held.groupBy(key, item).agg(F.lit(1).alias("_one")).drop("_one")
-    per_key_distinct = distinct_held.groupBy(key).agg(F.count(F.lit(1)).alias("n_held_distinct"))
+    # one aggregation of the held-out bag: copies per distinct pair
+    pairs = held.select(key, item).groupBy(key, item).agg(F.count(F.lit(1)).alias("_c"))
+    per_key = pairs.groupBy(key).agg(F.sum("_c").alias("n_held"),
+                                     F.count(F.lit(1)).alias("n_held_distinct"))
+    distinct_held = pairs.select(key, item)
     top = recs.filter(F.col("rank") <= k)
     if shared:
         hits = distinct_held.join(F.broadcast(top.select("rank", item)), item)
@@ -59,7 +60,7 @@ def metrics_at_k(held: DataFrame, recs: DataFrame, k: int = 20, key: str = KEY,
         hits = distinct_held.join(top.select(key, "rank", item), [key, item])
     hit_agg = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_hits"),
                                     F.sum(discount(F.col("rank"))).alias("_dcg"))
-    out = per_key.join(per_key_distinct, key).join(hit_agg, key, "left")
+    out = per_key.join(hit_agg, key, "left")
     n_hits = F.coalesce(F.col("n_hits"), F.lit(0)).cast("long")
     idcg = ideal_dcg(F.col("n_held_distinct"), k)
     return out.select(

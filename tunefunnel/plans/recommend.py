@@ -22,7 +22,7 @@ from ..operators import retrieval as RV
 from ..operators import split as S
 from ..operators import training as TR
 from ..session import scratch_path
-from ..sources import tables as T
+from . import cache as C
 
 
 @dataclass
@@ -58,9 +58,7 @@ def _memo_key(spark, sf_dir, what, params):
 
 def train_stage1(spark, sf_dir, p: Params) -> Stage1:
     key = _memo_key(spark, sf_dir, "als", (p.rank, p.iters, p.reg))
-    inter = T.interactions(spark, sf_dir)
-    mapped, _, tmap = I.map_ids(inter)
-    mapped = mapped.persist(StorageLevel.MEMORY_AND_DISK)
+    mapped = C.mapped(spark, sf_dir)
     if key not in _MEMO:
         model = AL.fit_als(I.confidence(mapped), p.rank, p.iters, p.reg)
         _MEMO[key] = AL.save_model(model, scratch_path(spark, "als-model"))
@@ -106,7 +104,7 @@ def train_stage2(spark, sf_dir, s1: Stage1, p: Params):
     if labelled.limit(1).count() == 0:
         raise ValueError("no usable training playlists: no held-out target was retrieved (K24)")
     sampled = TR.hard_negatives(labelled, p.n_neg)
-    frame = TR.training_frame(sampled.drop("als_rank"), s1.tmap, T.track_metadata(spark, sf_dir),
+    frame = TR.training_frame(sampled.drop("als_rank"), s1.tmap, C.track_metadata(spark, sf_dir),
                               seeds.select("playlist_int_id", "track_id"))
     frame = TR.both_label_groups(frame)
     model = RK.fit_lambdamart(frame, p.n_trees, p.learning_rate, p.depth)
@@ -136,7 +134,7 @@ def recommend(spark, sf_dir, seed_requests: DataFrame, p: Params, with_engine: b
     if not with_engine:
         return als_only, pool
     ranker = train_stage2(spark, sf_dir, s1, p)
-    meta = T.track_metadata(spark, sf_dir)
+    meta = C.track_metadata(spark, sf_dir)
     prof = PR.profiles(seed_requests, meta, mode="distinct", keep_empty=True)
     feats = PR.candidate_features(pool.drop("als_rank"), s1.tmap, meta, prof, keep_unprofiled=True)
     scored = ranker.score(PR.assemble(feats))

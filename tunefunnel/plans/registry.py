@@ -20,6 +20,7 @@ from ..session import ship_package
 from ..operators import popularity as P
 from ..operators import split as S
 from ..sources import tables as T
+from . import cache as C
 from . import sql_fragments as Q
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,10 +53,13 @@ def r6(c):
 
 def eval_heldout(spark: SparkSession, sf_dir: str, frac: float = HOLDOUT, salt: str = SALT,
                  min_tracks: int = MIN_TRACKS) -> DataFrame:
-    """The split of every eligible playlist (>= min_tracks rows), all of them."""
-    inter = T.interactions(spark, sf_dir)
-    elig = S.eligible_playlists(inter, min_tracks).select("playlist_id")
-    return S.holdout_split(inter.join(elig, "playlist_id", "left_semi"), frac, salt)
+    """The split of every eligible playlist (>= min_tracks rows), all of them,
+    written once per application and shared by every evaluation query."""
+    def build():
+        inter = C.interactions(spark, sf_dir)
+        elig = S.eligible_playlists(inter, min_tracks).select("playlist_id")
+        return S.holdout_split(inter.join(elig, "playlist_id", "left_semi"), frac, salt)
+    return C.shared_table(spark, ("eval_split", sf_dir, frac, str(salt), min_tracks), build)
 
 
 # --------------------------------------------------------------------------
@@ -64,19 +68,19 @@ def eval_heldout(spark: SparkSession, sf_dir: str, frac: float = HOLDOUT, salt:
 
 @query("popularity_topk", Q.with_(Q.INTERACTIONS, Q.popularity(K)) + "SELECT * FROM top")
 def popularity_topk(spark, sf_dir):
-    return P.popularity_topk(T.interactions(spark, sf_dir), K)
+    return P.popularity_topk(C.interactions(spark, sf_dir), K)
 
 
 @query("popular_head", Q.with_(Q.INTERACTIONS, Q.popularity(N_POPULAR)) + "SELECT * FROM top")
 def popular_head(spark, sf_dir):
-    return P.popularity_topk(T.interactions(spark, sf_dir), N_POPULAR)
+    return P.popularity_topk(C.interactions(spark, sf_dir), N_POPULAR)
 
 
 @query("holdout_split",
        Q.with_(Q.INTERACTIONS, Q.split("interactions", HOLDOUT, SALT))
        + "SELECT *, CAST(CASE WHEN pos <= n_hold THEN 1 ELSE 0 END AS INTEGER) AS held FROM split")
 def holdout_split(spark, sf_dir):
-    return S.holdout_split(T.interactions(spark, sf_dir), HOLDOUT, SALT)
+    return S.holdout_split(C.interactions(spark, sf_dir), HOLDOUT, SALT)
 
 
 _EVAL_POP_SQL = Q.with_(
@@ -93,7 +97,7 @@ FROM per"""
 @query("eval_popularity", _EVAL_POP_SQL)
 def eval_popularity(spark, sf_dir):
     """Phase-0 slice: how good is the popularity baseline at k = 20?"""
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     held = eval_heldout(spark, sf_dir).filter("held = 1")
     per = M.metrics_at_k(held, P.popularity_topk(inter, K), K, shared=True)
     return per.agg(
@@ -179,7 +183,7 @@ def catalog_left_join(spark, sf_dir):
     """S-02, A-01, J-01, S-05, S-09: catalog of interaction tracks LEFT JOIN the
     feature archive, written (overwrite) and read back with the fixed schema."""
     from ..sources.schemas import FEATURES, TRACK_METADATA
-    cat = I.catalog(T.interactions(spark, sf_dir), T.feature_archive(spark, sf_dir))
+    cat = I.catalog(C.interactions(spark, sf_dir), T.feature_archive(spark, sf_dir))
     path = SL.write_table(cat.select(*[f.name for f in TRACK_METADATA.fields]),
                           scratch_path(spark, "track_metadata"))
     back = spark.read.schema(TRACK_METADATA).parquet(path)
@@ -195,7 +199,7 @@ FROM interactions"""
 @query("id_mapping", _IDMAP_SQL)
 def id_mapping(spark, sf_dir):
     """S-08, W-01: interaction_matrix_mapped with contiguous 0-based ids."""
-    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    mapped, _, _ = I.map_ids(C.interactions(spark, sf_dir))
     return mapped
 
 
@@ -205,7 +209,7 @@ FROM interactions i WHERE i.track_id NOT IN (SELECT track_id FROM track_metadata
 GROUP BY i.track_id""")
 def fk_orphans(spark, sf_dir):
     """Q-01: interactions whose track is missing from track_metadata."""
-    return I.fk_orphans(T.interactions(spark, sf_dir), T.track_metadata(spark, sf_dir))
+    return I.fk_orphans(C.interactions(spark, sf_dir), C.track_metadata(spark, sf_dir))
 
 
 @query("pk_duplicates", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA) + """
@@ -213,7 +217,7 @@ SELECT track_id, CAST(COUNT(*) AS BIGINT) AS n_rows FROM track_metadata
 GROUP BY track_id HAVING COUNT(*) > 1""")
 def pk_duplicates(spark, sf_dir):
     """Q-02: primary-key violations in track_metadata."""
-    return I.pk_duplicates(T.track_metadata(spark, sf_dir))
+    return I.pk_duplicates(C.track_metadata(spark, sf_dir))
 
 
 _MAPPED_CTE = """
@@ -230,7 +234,7 @@ SELECT CAST(playlist_int_id AS INTEGER) AS playlist_int_id, CAST(track_int_id AS
 FROM mapped GROUP BY 1, 2""")
 def interaction_confidence(spark, sf_dir):
     """S-03, M-01, A-13, P-07, P-09: long-form sparse matrix, duplicates summed."""
-    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    mapped = C.mapped(spark, sf_dir)
     return I.confidence(mapped)
 
 
@@ -243,7 +247,7 @@ SELECT CAST(MAX(playlist_int_id) + 1 AS BIGINT) AS n_playlists, CAST(MAX(track_i
 FROM cells""")
 def matrix_stats(spark, sf_dir):
     """A-12, A-19: matrix shape and counts."""
-    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    mapped = C.mapped(spark, sf_dir)
     return I.matrix_stats(mapped)
 
 
@@ -279,10 +283,10 @@ GROUP BY p.playlist_int_id""")
 def profile_playlist(spark, sf_dir):
     """A-03, J-03, P-06: known-playlist profile for every playlist int id
     (int id -> text id through the id map, then rows ⋈ catalog, GROUP BY)."""
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     pmap = I.id_map(inter, "playlist_id", "playlist_int_id")
     reqs = inter.join(pmap, "playlist_id").select(F.col("playlist_int_id").alias("request_id"), "track_id")
-    prof = PR.profiles(reqs, T.track_metadata(spark, sf_dir), mode="rows")
+    prof = PR.profiles(reqs, C.track_metadata(spark, sf_dir), mode="rows")
     return _round_cols(prof, AVG_FEATURES)
 
 
@@ -306,7 +310,7 @@ def profile_seeds(spark, sf_dir):
     """A-04, P-05, P-18, S-12: seed-list profile over distinct matched tracks;
     requests with no match keep a row of NULLs and length 0 (K4)."""
     reqs = seed_requests(spark, sf_dir)
-    prof = PR.profiles(reqs, T.track_metadata(spark, sf_dir), mode="distinct", keep_empty=True)
+    prof = PR.profiles(reqs, C.track_metadata(spark, sf_dir), mode="distinct", keep_empty=True)
     return _round_cols(prof, AVG_FEATURES)
 
 
@@ -315,7 +319,7 @@ SELECT s.request_id, {_AVG_SQL}
 FROM seeds s JOIN track_metadata m USING (track_id) GROUP BY s.request_id""")
 def profile_train(spark, sf_dir):
     """A-05, J-07, S-04: training seed profile, mean over seed occurrences."""
-    prof = PR.profiles(seed_requests(spark, sf_dir), T.track_metadata(spark, sf_dir),
+    prof = PR.profiles(seed_requests(spark, sf_dir), C.track_metadata(spark, sf_dir),
                        mode="rows", with_length=False)
     return _round_cols(prof, AVG_FEATURES)
 
@@ -351,14 +355,14 @@ def cross_features(spark, sf_dir):
     Candidate source (deterministic stand-in for retrieval): each playlist's
     held-out tracks, scored by global track popularity; profile = the
     playlist's seed-list profile (seed requests keep candidates, K4)."""
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     split = eval_heldout(spark, sf_dir)
     tmap = I.id_map(inter, "track_id", "track_int_id")
     counts = P.track_counts(inter)
     cands = (split.filter("held = 1").select(F.col("playlist_id").alias("request_id"), "track_id")
              .distinct().join(tmap, "track_id").join(counts, "track_id")
              .select("request_id", "track_int_id", F.col("n_interactions").cast("double").alias("als_score")))
-    meta = T.track_metadata(spark, sf_dir)
+    meta = C.track_metadata(spark, sf_dir)
     prof = PR.profiles(seed_requests(spark, sf_dir), meta, mode="distinct", keep_empty=True)
     out = PR.candidate_features(cands, tmap, meta, prof, keep_unprofiled=True)
     return _round_cols(out, TRACK_FEATURES + AVG_FEATURES + DIFF_FEATURES)
@@ -371,7 +375,7 @@ ORDER BY sample_key, playlist_id LIMIT 2000""")
 def sample_playlists(spark, sf_dir):
     """L-02, A-07: seeded sample of 2000 eligible playlists (the sampling is
     the feature; a top-n by hash key, no global sort)."""
-    return S.sample_playlists(T.interactions(spark, sf_dir), 2000, MIN_TRACKS, SALT).select(
+    return S.sample_playlists(C.interactions(spark, sf_dir), 2000, MIN_TRACKS, SALT).select(
         "playlist_id", F.col("n_tracks").cast("long").alias("n_tracks"), "sample_key")
 
 
@@ -382,7 +386,7 @@ FROM mapped WHERE playlist_int_id IN (
 GROUP BY playlist_int_id HAVING COUNT(*) >= 2""")
 def train_playlists(spark, sf_dir):
     """L-01, P-11, A-10: the first 10,000 playlist ids (K11) with >= 2 tracks."""
-    mapped, _, _ = I.map_ids(T.interactions(spark, sf_dir))
+    mapped = C.mapped(spark, sf_dir)
     return S.train_playlists(mapped, 10000).select(
         F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
         F.col("n_tracks").cast("long").alias("n_tracks"))
@@ -460,9 +464,9 @@ WHERE r.rank <= {N_CANDIDATES} AND t.track_id IN (SELECT track_id FROM track_met
 def candidate_lookup(spark, sf_dir):
     """J-09, A-11, P-10 (K15): candidate int ids -> track ids through the
     catalog's id dimension; unmapped candidates drop out and positions close up."""
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     tmap = I.id_map(inter, "track_id", "track_int_id")
-    catalog_ids = tmap.join(T.track_metadata(spark, sf_dir).select("track_id"), "track_id", "left_semi")
+    catalog_ids = tmap.join(C.track_metadata(spark, sf_dir).select("track_id"), "track_id", "left_semi")
     cands = _emb_topn(spark, sf_dir, unseen=True)
     dim = catalog_ids.select(F.col("track_int_id").alias("item_id"), "track_id")
     out = RV.lookup_ids(cands, dim, key="user_id", int_col="item_id", out_id="track_id")
@@ -483,8 +487,7 @@ def trained_stage1(spark, sf_dir, fit_on: str = "all"):
     """Map ids, build confidence cells, fit ALS (K16: ``fit_on='all'`` as the
     reference; ``'seed_only'`` fits on the seed side of the eval split), save
     and reload the artifact.  Returns (model, mapped, cells)."""
-    inter = T.interactions(spark, sf_dir)
-    mapped, pmap, tmap = I.map_ids(inter)
+    mapped = C.mapped(spark, sf_dir)
     cells = I.confidence(mapped)
     fit_cells = cells
     if fit_on == "seed_only":
@@ -548,8 +551,9 @@ N_TRAIN, N_NEG = 10000, 50
 def training_split(spark, sf_dir):
     """Split of the first N_TRAIN playlists with >= 2 tracks (L-01, P-11),
     with int ids attached: [playlist_int_id, track_int_id, track_id, held]."""
-    inter = T.interactions(spark, sf_dir)
-    mapped, pmap, tmap = I.map_ids(inter)
+    mapped = C.mapped(spark, sf_dir)
+    pmap = mapped.select("playlist_id", "playlist_int_id").distinct()
+    tmap = mapped.select("track_id", "track_int_id").distinct()
     keep = S.train_playlists(mapped, N_TRAIN).select("playlist_int_id")
     rows = mapped.join(keep, "playlist_int_id", "left_semi").select("playlist_id", "track_id")
     sp = S.holdout_split(rows, HOLDOUT, SALT)
@@ -660,7 +664,7 @@ def hard_negatives(spark, sf_dir):
 
 def _train_frame(spark, sf_dir):
     seeds, tmap, _, sampled = _training_pipeline(spark, sf_dir)
-    return TR.training_frame(sampled.drop("als_rank"), tmap, T.track_metadata(spark, sf_dir),
+    return TR.training_frame(sampled.drop("als_rank"), tmap, C.track_metadata(spark, sf_dir),
                              seeds.select("playlist_int_id", "track_id"))
 
 
@@ -770,7 +774,7 @@ def recommend_batch(spark, sf_dir):
 def recommend_named(spark, sf_dir):
     """S-13, J-08, L-06: the engine's top-20 with artist and track names."""
     recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
-    return REC.present(recs.filter("arm = 'engine'"), T.track_metadata(spark, sf_dir))
+    return REC.present(recs.filter("arm = 'engine'"), C.track_metadata(spark, sf_dir))
 
 
 # --------------------------------------------------------------------------
@@ -799,7 +803,12 @@ def seed_popularity(inter, held, k):
 
 
 def two_arm_metrics(spark, sf_dir, longtail: bool = False):
-    inter = T.interactions(spark, sf_dir)
+    return C.shared_table(spark, ("two_arm_metrics", sf_dir, longtail),
+                          lambda: _two_arm_metrics(spark, sf_dir, longtail))
+
+
+def _two_arm_metrics(spark, sf_dir, longtail: bool = False):
+    inter = C.interactions(spark, sf_dir)
     held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
     tops = {ARM_B: P.popularity_topk(inter, K), ARM_A: seed_popularity(inter, held, K)}
     scored_held = M.longtail_heldout(held, P.popular_head(inter, N_POPULAR)) if longtail else held
@@ -870,7 +879,7 @@ SELECT CAST(SUM(p) AS BIGINT) AS n_popular_heldout, CAST(SUM(lt) AS BIGINT) AS n
 FROM pk""")
 def heldout_composition(spark, sf_dir):
     """A-16: popular vs long-tail held-out counts."""
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     held = eval_heldout(spark, sf_dir).filter("held = 1")
     out = M.heldout_composition(held, P.popular_head(inter, N_POPULAR))
     return out.withColumn("pct_longtail", r6(F.col("pct_longtail")))
@@ -922,7 +931,7 @@ _PSTATS = ["mean_recall", "std_recall", "mean_ndcg", "std_ndcg", "mean_hit", "st
 
 
 def pilot_metrics(spark, sf_dir):
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     pilot = S.sample_playlists(inter, PILOT_N, MIN_TRACKS, SALT).select("playlist_id")
     return two_arm_metrics(spark, sf_dir).join(pilot, "playlist_id", "left_semi")
 
@@ -936,7 +945,7 @@ def pilot_stats(spark, sf_dir):
 
 
 def _per_arm_n(spark, sf_dir):
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     return S.eligible_playlists(inter, MIN_TRACKS).count() // 2
 
 
@@ -997,12 +1006,12 @@ assign AS (
 def ab_assignment(spark, sf_dir):
     """W-06, E-20: every eligible playlist shuffled by md5(43:playlist) and
     assigned alternately -- one arm per playlist, exactly balanced."""
-    elig = S.eligible_playlists(T.interactions(spark, sf_dir), MIN_TRACKS)
+    elig = S.eligible_playlists(C.interactions(spark, sf_dir), MIN_TRACKS)
     return EX.assign_arms(elig, EXP_SALT, arms=(ARM_A, ARM_B))
 
 
 def assigned_metrics(spark, sf_dir):
-    elig = S.eligible_playlists(T.interactions(spark, sf_dir), MIN_TRACKS)
+    elig = S.eligible_playlists(C.interactions(spark, sf_dir), MIN_TRACKS)
     return EX.experiment_metrics(two_arm_metrics(spark, sf_dir), EX.assign_arms(elig, EXP_SALT, arms=(ARM_A, ARM_B)))
 
 
@@ -1095,7 +1104,7 @@ def engine_recs(spark, sf_dir):
 def engine_arm_metrics(spark, sf_dir, recs, longtail: bool = False):
     """E-04: per-playlist metrics of the three arms over the same splits,
     paired by playlist.  Stage 1 is trained on all interactions (K16)."""
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
     if longtail:
         held = M.longtail_heldout(held, P.popular_head(inter, N_POPULAR))
@@ -1145,7 +1154,7 @@ def ab_report(spark, sf_dir):
     Welch / z tests with p-values, bootstrap CIs, agreement and power flags."""
     per = engine_arm_metrics(spark, sf_dir, engine_recs(spark, sf_dir)).filter(F.col("arm").isin("engine", "als_only"))
     per = per.withColumn("arm", F.when(F.col("arm") == "engine", F.lit("treatment")).otherwise(F.lit("als")))
-    inter = T.interactions(spark, sf_dir)
+    inter = C.interactions(spark, sf_dir)
     pilot_ids = S.sample_playlists(inter, PILOT_N, MIN_TRACKS, SALT).select("playlist_id")
     pilot = EX.pilot_stats(per.join(pilot_ids, "playlist_id", "left_semi"))
     power = EX.power_table(pilot, _per_arm_n(spark, sf_dir))
