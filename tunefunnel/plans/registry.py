@@ -479,6 +479,7 @@ def candidate_lookup(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 from ..operators import als as AL  # noqa: E402
+from . import recommend as REC  # noqa: E402
 
 ALS_RANK, ALS_ITERS, ALS_REG = 50, 15, 0.01
 
@@ -486,15 +487,16 @@ ALS_RANK, ALS_ITERS, ALS_REG = 50, 15, 0.01
 def trained_stage1(spark, sf_dir, fit_on: str = "all"):
     """Map ids, build confidence cells, fit ALS (K16: ``fit_on='all'`` as the
     reference; ``'seed_only'`` fits on the seed side of the eval split), save
-    and reload the artifact.  Returns (model, mapped, cells)."""
+    and reload the artifact.  Returns (model, mapped, cells).  The 'all' fit
+    is shared with the two-stage plans (one fit per application)."""
     mapped = C.mapped(spark, sf_dir)
     cells = I.confidence(mapped)
-    fit_cells = cells
-    if fit_on == "seed_only":
-        held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
-        seed_rows = mapped.join(held, ["playlist_id", "track_id"], "left_anti")
-        fit_cells = I.confidence(seed_rows)
-    model = AL.fit_als(fit_cells, ALS_RANK, ALS_ITERS, ALS_REG)
+    if fit_on == "all":
+        s1 = REC.train_stage1(spark, sf_dir, REC.Params(rank=ALS_RANK, iters=ALS_ITERS, reg=ALS_REG))
+        return AL.load_model(s1.model_path), mapped, cells
+    held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
+    seed_rows = mapped.join(held, ["playlist_id", "track_id"], "left_anti")
+    model = AL.fit_als(I.confidence(seed_rows), ALS_RANK, ALS_ITERS, ALS_REG)
     path = AL.save_model(model, scratch_path(spark, "als-model"))
     return AL.load_model(path), mapped, cells
 
