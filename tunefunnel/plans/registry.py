@@ -1068,10 +1068,11 @@ N_BOOT = 5000
 idx AS (SELECT arm, ndcg AS v, ROW_NUMBER() OVER (PARTITION BY arm ORDER BY playlist_id) - 1 AS i FROM exp),
 sizes AS (SELECT arm, COUNT(*) AS n FROM idx GROUP BY arm),
 draws AS (
-  SELECT s.arm, r.id // s.n AS rep,
-         ('0x' || substr(md5('42:' || s.arm || ':' || CAST(r.id // s.n AS VARCHAR) || ':' || CAST(r.id % s.n AS VARCHAR)), 1, 8))::BIGINT % s.n AS i
-  FROM sizes s, range(0, {N_BOOT} * (SELECT MAX(n) FROM sizes)) r(id)
-  WHERE r.id < {N_BOOT} * s.n
+  SELECT s.arm, r.id // ((s.n + 3) // 4) AS rep,
+         ('0x' || substr(md5('42:' || s.arm || ':' || CAST(r.id // ((s.n + 3) // 4) AS VARCHAR) || ':'
+                             || CAST(r.id % ((s.n + 3) // 4) AS VARCHAR)), 8 * w.r + 1, 8))::BIGINT % s.n AS i
+  FROM sizes s, range(0, {N_BOOT} * (SELECT MAX((n + 3) // 4) FROM sizes)) r(id), (VALUES (0), (1), (2), (3)) w(r)
+  WHERE r.id < {N_BOOT} * ((s.n + 3) // 4) AND (r.id % ((s.n + 3) // 4)) * 4 + w.r < s.n
 ),
 reps AS (SELECT d.arm, d.rep, AVG(x.v) AS m FROM draws d JOIN idx x ON x.arm = d.arm AND x.i = d.i GROUP BY d.arm, d.rep),
 diffs AS (
@@ -1083,7 +1084,8 @@ SELECT 'ndcg' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, {N_BOOT} AS n_b
 FROM diffs""")
 def bootstrap_ci(spark, sf_dir):
     """E-11, A-18: 5000-replicate independent-groups bootstrap CI (95 %) of the
-    NDCG difference between the experiment arms (md5 draws, portable)."""
+    NDCG difference between the experiment arms (md5 draws, four per digest,
+    portable)."""
     out = ST.bootstrap_ci(assigned_metrics(spark, sf_dir), "ndcg", ARM_A, ARM_B, N_BOOT, 95.0, seed=42, draw="md5")
     return out.select("metric", "arm_a", "arm_b", "n_boot",
                       *[r6(F.col(c)).alias(c) for c in ("boot_mean_diff", "ci_low", "ci_high")])
