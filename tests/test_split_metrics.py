@@ -72,3 +72,10 @@ def test_split_partition_invariant(spark):
     b = S.holdout_split(inter).filter("held = 1").select("playlist_id", "track_id", "occ").collect()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert sorted(a) == sorted(b)
+
+
+def test_stable_seed_equals_zlib_crc32(spark):
+    import zlib
+    df = spark.createDataFrame([("17",), ("abc",), ("9999",)], ["playlist_id"])
+    got = {r.playlist_id: r.stable_seed for r in S.stable_seed(df, 42).collect()}
+    assert got == {p: zlib.crc32(f"42:{p}".encode()) for p in got}

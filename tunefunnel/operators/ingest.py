@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.columns import round_to
 from ..sources.schemas import FEATURES
 from ..sources.slices import URI_PREFIX
 from .ordering import global_row_number
@@ -27,12 +28,12 @@ def flatten_slices(slices: DataFrame, keep_uri: bool = False) -> DataFrame:
 
 
 def last_uri_segment(uri):
-    """P-02: ``uri.split(':')[-1]``."""
+    """P-02 / F-06: ``uri.split(':')[-1]``."""
     return F.element_at(F.split(uri, ":", -1), -1)
 
 
 def strip_uri_prefix(uri, prefix: str = URI_PREFIX):
-    """P-03: remove the first occurrence of ``prefix`` only (``regexp_replace``
+    """P-03 / F-06: remove the first occurrence of ``prefix`` only (``regexp_replace``
     would remove every occurrence)."""
     pos = F.instr(uri, prefix)
     return F.when(pos > 0, F.overlay(uri, F.lit(""), pos, F.lit(len(prefix)))).otherwise(uri)
@@ -87,7 +88,7 @@ def matrix_stats(mapped: DataFrame) -> DataFrame:
         F.sum("confidence").cast("long").alias("n_interactions"),
         F.count(F.lit(1)).cast("long").alias("n_nonzero"),
         F.count_if(F.col("confidence") > 1).cast("long").alias("n_duplicate_cells"),
-    ).withColumn("density", F.round(F.col("n_nonzero") / (F.col("n_playlists") * F.col("n_tracks")), 9))
+    ).withColumn("density", round_to(F.col("n_nonzero") / (F.col("n_playlists") * F.col("n_tracks")), 9))
 
 
 def fk_orphans(interactions: DataFrame, metadata: DataFrame, key: str = "track_id") -> DataFrame:

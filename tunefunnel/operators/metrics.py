@@ -43,7 +43,8 @@ def ideal_dcg(n_relevant: Column, k: int) -> Column:
 
 def metrics_at_k(held: DataFrame, recs: DataFrame, k: int = 20, key: str = KEY,
                  item: str = ITEM, shared: bool = False) -> DataFrame:
-    """Per-playlist ``[key, n_held, n_held_distinct, n_hits, recall, ndcg, hit]``.
+    """E-01 recall, E-02 NDCG and E-03 hit per playlist:
+    ``[key, n_held, n_held_distinct, n_hits, recall, ndcg, hit]``.
 
     ``held`` is the held-out bag ``[key, item]``; ``recs`` is ``[key, rank, item]``
     or, with ``shared=True``, one list ``[rank, item]`` for every playlist.

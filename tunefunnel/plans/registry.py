@@ -161,7 +161,7 @@ FROM uris"""
 
 @query("uri_clean", _URI_CLEAN_SQL)
 def uri_clean(spark, sf_dir):
-    """P-03 (first prefix only) next to P-02 (last segment)."""
+    """P-03 (first prefix only) next to P-02 (last segment); F-06."""
     u = SL.interaction_uris(spark, sf_dir)
     return u.select(F.col("pid").cast("string").alias("playlist_id"), "track_uri",
                     I.strip_uri_prefix(F.col("track_uri")).alias("track_id_clean"),
@@ -1166,3 +1166,11 @@ def ab_report(spark, sf_dir):
     elig = S.eligible_playlists(inter, MIN_TRACKS)
     assigned = EX.experiment_metrics(per, EX.assign_arms(elig, EXP_SALT))
     return EX.report(assigned, "treatment", "als", required_per_arm_n=int(required) if required else None)
+
+
+@query("stable_seed")
+def stable_seed(spark, sf_dir):
+    """F-01 (rows-only: DuckDB has no crc32): the per-playlist stable seed
+    ``crc32(f"{salt}:{playlist}")`` for every eligible playlist."""
+    elig = S.eligible_playlists(C.interactions(spark, sf_dir), MIN_TRACKS).select("playlist_id")
+    return S.stable_seed(elig, SALT)
