@@ -79,3 +79,25 @@ def test_stable_seed_equals_zlib_crc32(spark):
     df = spark.createDataFrame([("17",), ("abc",), ("9999",)], ["playlist_id"])
     got = {r.playlist_id: r.stable_seed for r in S.stable_seed(df, 42).collect()}
     assert got == {p: zlib.crc32(f"42:{p}".encode()) for p in got}
+
+
+def test_eval_metrics_partition_invariant(spark):
+    """Per-playlist metrics and profiles are identical with 1 and 16 shuffle
+    partitions (exact means, deterministic keys)."""
+    from tunefunnel.operators import popularity as P
+    from tunefunnel.operators import profiles as PR
+
+    def run():
+        inter = T.interactions(spark, SF001)
+        sp = S.holdout_split(inter)
+        per = M.metrics_at_k(sp.filter("held = 1"), P.popularity_topk(inter, 20), 20, shared=True)
+        prof = PR.profiles(sp.filter("held = 0").select(F.col("playlist_id").alias("request_id"), "track_id"),
+                           T.track_metadata(spark, SF001), mode="rows")
+        return sorted(per.collect()), sorted(prof.collect())
+
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    a = run()
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    b = run()
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == b
