@@ -81,11 +81,13 @@ def _bucket_depth(n_col: str, hot_rows: int):
 
 def rank_by_hash_key(df: DataFrame, group: list[str], key: str, sizes: DataFrame,
                      size_col: str = "n", out: str = "pos",
-                     hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
-    """1-based position of each row inside ``group`` ordered by hex ``key``.
+                     hot_rows: int = HOT_GROUP_ROWS, size_out: str | None = None) -> DataFrame:
+    """1-based position of each row inside ``group`` ordered by hex ``key``
+    (and, with ``size_out``, the group's row count).
 
-    ``sizes`` holds one row per group with its row count in ``size_col``.  Keys
-    must be unique inside a group and uniformly distributed (md5 hex).
+    ``sizes`` holds one row per group with its row count in ``size_col``; it
+    is only used to find hot groups.  Keys must be unique inside a group and
+    uniformly distributed (md5 hex).
     """
     hot = sizes.filter(F.col(size_col) > hot_rows).select(
         *group, _bucket_depth(size_col, hot_rows).alias("_depth"))
@@ -93,23 +95,26 @@ def rank_by_hash_key(df: DataFrame, group: list[str], key: str, sizes: DataFrame
     if n_hot > MAX_HOT_GROUPS:
         raise ValueError(f"{n_hot} hot groups exceed the broadcast bound {MAX_HOT_GROUPS}; "
                          "raise hot_rows")
-    if n_hot:
-        df = df.join(F.broadcast(hot), group, "left")
-        bucket = F.expr(f"substr({key}, 1, coalesce(_depth, 0))")
-    else:
-        df = df.withColumn("_depth", F.lit(0))
-        bucket = F.lit("")
-    df = df.withColumn("_bucket", bucket).drop("_depth")
+    if not n_hot:
+        # one exchange: both windows share the partitioning by group
+        w = Window.partitionBy(*group)
+        res = df.withColumn(out, F.row_number().over(w.orderBy(key)))
+        if size_out:
+            res = res.withColumn(size_out, F.count(F.lit(1)).over(w))
+        return res
+    df = df.join(F.broadcast(hot), group, "left")
+    df = df.withColumn("_bucket", F.expr(f"substr({key}, 1, coalesce(_depth, 0))")).drop("_depth")
     local = df.withColumn(
         "_local", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(key)))
-    if not n_hot:
-        return local.withColumnRenamed("_local", out).drop("_bucket")
     counts = local.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
+    wg = Window.partitionBy(*group)
     offsets = counts.select(
         *group, "_bucket",
-        F.coalesce(F.sum("_bn").over(Window.partitionBy(*group).orderBy("_bucket")
-                                     .rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"))
-    return (local.join(offsets, [*group, "_bucket"])
-                 .withColumn(out, F.col("_off") + F.col("_local"))
-                 .drop("_bucket", "_local", "_off"))
+        F.coalesce(F.sum("_bn").over(wg.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
+                   F.lit(0)).alias("_off"),
+        F.sum("_bn").over(wg).alias("_gn"))
+    res = (local.join(offsets, [*group, "_bucket"])
+                .withColumn(out, F.col("_off") + F.col("_local")))
+    if size_out:
+        res = res.withColumnRenamed("_gn", size_out)
+    return res.drop("_bucket", "_local", "_off", "_gn")
