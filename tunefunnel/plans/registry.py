@@ -1172,3 +1172,30 @@ def stable_seed(spark, sf_dir):
     ``crc32(f"{salt}:{playlist}")`` for every eligible playlist."""
     elig = S.eligible_playlists(C.interactions(spark, sf_dir), MIN_TRACKS).select("playlist_id")
     return S.stable_seed(elig, SALT)
+
+
+@query("stage1_leakage")
+def stage1_leakage(spark, sf_dir):
+    """K16: stage-1-only arm with ALS fitted on all interactions (as the
+    reference, held-out tracks leak into the item factors) versus fitted on
+    seed rows only; per-arm means and a paired t-test with p-value."""
+    held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
+    p = check_params()
+    s1 = REC.train_stage1(spark, sf_dir, p)
+    seeds = eval_seed_requests(spark, sf_dir).join(s1.tmap, "track_id").select(
+        "request_id", F.col("track_int_id").alias("item_id"))
+    per = []
+    for name, fit_on in (("als_all", "all"), ("als_seed_only", "seed_only")):
+        model, _, _ = trained_stage1(spark, sf_dir, fit_on)
+        _, items = AL.factors(model)
+        pool = REC.retrieve_for_seeds(s1, seeds, p, items=items).filter(F.col("als_rank") <= K)
+        recs = pool.join(s1.tmap, "track_int_id").select(
+            F.col("request_id").cast("string").alias("playlist_id"), F.col("als_rank").alias("rank"), "track_id")
+        per.append(M.metrics_at_k(held, recs, K).withColumn("arm", F.lit(name)))
+    both = per[0].unionByName(per[1]).persist()
+    both.count()
+    out = None
+    for metric in ("ndcg", "recall"):
+        t = ST.with_t_p(ST.paired_ttest(both, metric, "als_all", "als_seed_only"))
+        out = t if out is None else out.unionByName(t)
+    return out
