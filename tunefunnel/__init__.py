@@ -1,0 +1 @@
+"""tunefunnel: two-stage playlist recommendation as Spark jobs (see README)."""

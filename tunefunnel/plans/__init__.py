@@ -1,0 +1 @@
+"""Composed plans, shared written tables and the query registry."""

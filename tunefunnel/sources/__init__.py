@@ -1,0 +1 @@
+"""Schemas, table views, slice documents and sinks."""

@@ -16,7 +16,9 @@ from pyspark.sql import functions as F
 from .schemas import SLICE
 from .tables import table
 
+# --- fixed value: the track URI scheme of the playlist slice documents ------
 URI_PREFIX = "spotify:track:"
+# --- end fixed value ---------------------------------------------------------
 
 
 def track_uri_expr(partkey, linenumber):
