@@ -123,20 +123,18 @@ def recommend(spark, sf_dir, seed_requests: DataFrame, p: Params, with_engine: b
     s1 = train_stage1(spark, sf_dir, p)
     seeds = seed_requests.join(s1.tmap, "track_id").select("request_id", F.col("track_int_id").alias("item_id"))
     pool = retrieve_for_seeds(s1, seeds, p).persist(StorageLevel.MEMORY_AND_DISK)
-    als_only = RV.lookup_ids(pool.filter(F.col("als_rank") <= p.k)
-                                 .withColumnRenamed("als_rank", "rank")
-                                 .withColumnRenamed("track_int_id", "item_id")
-                                 .withColumnRenamed("request_id", "user_id"),
-                             s1.tmap.withColumnRenamed("track_int_id", "item_id"))
-    als_only = als_only.select(F.col("user_id").alias("request_id"), F.lit("als_only").alias("arm"),
-                               F.col("position").cast("int").alias("rank"), F.col("item_id").alias("track_int_id"),
-                               "track_id", F.lit(None).cast("double").alias("rank_score"), "als_score")
+    als_only = _als_only(pool, s1.tmap, p.k)
     if not with_engine:
         return als_only, pool
+    prof = PR.profiles(seed_requests, C.track_metadata(spark, sf_dir), mode="distinct", keep_empty=True)
+    return _rerank(spark, sf_dir, s1, p, pool, prof, keep_unprofiled=True, als_only=als_only)
+
+
+def _rerank(spark, sf_dir, s1: Stage1, p: Params, pool: DataFrame, prof: DataFrame,
+            keep_unprofiled: bool, als_only: DataFrame):
     ranker = train_stage2(spark, sf_dir, s1, p)
     meta = C.track_metadata(spark, sf_dir)
-    prof = PR.profiles(seed_requests, meta, mode="distinct", keep_empty=True)
-    feats = PR.candidate_features(pool.drop("als_rank"), s1.tmap, meta, prof, keep_unprofiled=True)
+    feats = PR.candidate_features(pool.drop("als_rank"), s1.tmap, meta, prof, keep_unprofiled=keep_unprofiled)
     scored = ranker.score(PR.assemble(feats))
     top = RK.rerank_topk(scored, p.k)
     engine = top.select("request_id", F.lit("engine").alias("arm"), F.col("rank").cast("int").alias("rank"),
@@ -144,6 +142,41 @@ def recommend(spark, sf_dir, seed_requests: DataFrame, p: Params, with_engine: b
     return engine.unionByName(als_only), scored
 
 
+def _als_only(pool: DataFrame, tmap: DataFrame, k: int) -> DataFrame:
+    """M-06 + J-09: the stage-1 top-k prefix of the pool, mapped to track ids."""
+    out = RV.lookup_ids(pool.filter(F.col("als_rank") <= k)
+                            .withColumnRenamed("als_rank", "rank")
+                            .withColumnRenamed("track_int_id", "item_id")
+                            .withColumnRenamed("request_id", "user_id"),
+                        tmap.withColumnRenamed("track_int_id", "item_id"))
+    return out.select(F.col("user_id").alias("request_id"), F.lit("als_only").alias("arm"),
+                      F.col("position").cast("int").alias("rank"), F.col("item_id").alias("track_int_id"),
+                      "track_id", F.lit(None).cast("double").alias("rank_score"), "als_score")
+
+
+def recommend_known(spark, sf_dir, playlists: DataFrame, p: Params):
+    """M-03 + M-07 + M-10 for known playlists ``[playlist_int_id]`` (the
+    reference's int target): the trained user factor, every track of the
+    playlist removed as seen, the row-mode playlist profile joined inner (a
+    playlist without catalog tracks gets no engine rows, K4)."""
+    PR.check_request_frame(playlists.withColumn("request_id", F.col("playlist_int_id")), "playlist")
+    s1 = train_stage1(spark, sf_dir, p)
+    users, items = AL.factors(AL.load_model(s1.model_path))
+    req = playlists.select(F.col("playlist_int_id").cast("long").alias("user_id")).distinct()
+    users = users.join(req, "user_id", "left_semi")
+    seen = s1.mapped.join(playlists.select("playlist_int_id"), "playlist_int_id", "left_semi").select(
+        F.col("playlist_int_id").cast("long").alias("user_id"), F.col("track_int_id").alias("item_id"))
+    cand = RV.top_n(users, items, p.n_candidates, seen=seen)
+    pool = cand.select(F.col("user_id").alias("request_id"), F.col("item_id").alias("track_int_id"),
+                       F.col("score").alias("als_score"), F.col("rank").alias("als_rank")).persist(
+                           StorageLevel.MEMORY_AND_DISK)
+    rows = s1.mapped.join(playlists.select("playlist_int_id"), "playlist_int_id", "left_semi").select(
+        F.col("playlist_int_id").cast("long").alias("request_id"), "track_id")
+    prof = PR.profiles(rows, C.track_metadata(spark, sf_dir), mode="rows")
+    return _rerank(spark, sf_dir, s1, p, pool, prof, keep_unprofiled=False,
+                   als_only=_als_only(pool, s1.tmap, p.k))
+
+
 def present(recs: DataFrame, metadata: DataFrame) -> DataFrame:
     """S-13 / J-08 / L-06: names attached (left join) and ordered by rank."""
     names = metadata.select("track_id", "artist_name", "track_name")

@@ -1199,3 +1199,13 @@ def stage1_leakage(spark, sf_dir):
         t = ST.with_t_p(ST.paired_ttest(both, metric, "als_all", "als_seed_only"))
         out = t if out is None else out.unionByName(t)
     return out
+
+
+@query("recommend_known")
+def recommend_known(spark, sf_dir):
+    """M-03, M-11, P-18 (int targets): the two-stage top-20 for every known
+    playlist from its trained factor, its own tracks filtered as seen and its
+    row-mode profile (A-03) -- both arms."""
+    playlists = C.mapped(spark, sf_dir).select("playlist_int_id").distinct()
+    recs, _ = REC.recommend_known(spark, sf_dir, playlists, check_params())
+    return recs
