@@ -22,8 +22,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .popularity import popular_head
-
 KEY = "playlist_id"
 ITEM = "track_id"
 
@@ -111,4 +109,4 @@ def summarize_arms(per_playlist: DataFrame, group_cols=("arm",)) -> DataFrame:
 
 
 __all__ = ["metrics_at_k", "longtail_heldout", "heldout_composition", "summarize_arms",
-           "discount", "ideal_dcg", "popular_head"]
+           "discount", "ideal_dcg"]
