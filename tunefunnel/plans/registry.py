@@ -577,10 +577,13 @@ def embedding_candidates(spark, sf_dir, seeds):
 
 
 def _training_pipeline(spark, sf_dir):
-    sp, tmap = training_split(spark, sf_dir)
-    seeds = sp.filter("held = 0")
-    targets = sp.filter("held = 1").select("playlist_int_id", "track_int_id")
-    cands = embedding_candidates(spark, sf_dir, seeds)
+    """Split and candidates are written once per application and shared by
+    the four training-set queries."""
+    split_tbl = C.shared_table(spark, ("train_split", sf_dir), lambda: training_split(spark, sf_dir)[0])
+    tmap = C.mapped(spark, sf_dir).select("track_id", "track_int_id").distinct()
+    seeds = split_tbl.filter("held = 0")
+    targets = split_tbl.filter("held = 1").select("playlist_int_id", "track_int_id")
+    cands = C.shared_table(spark, ("train_emb_cands", sf_dir), lambda: embedding_candidates(spark, sf_dir, seeds))
     labelled = TR.label_candidates(cands, targets)
     sampled = TR.hard_negatives(labelled, N_NEG)
     return seeds, tmap, labelled, sampled
