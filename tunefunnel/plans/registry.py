@@ -757,11 +757,26 @@ def eval_seed_requests(spark, sf_dir):
     return sp.filter("held = 0").select(F.col("playlist_id").cast("long").alias("request_id"), "track_id")
 
 
+_EVAL_RECS: dict = {}
+
+
+def eval_recommend(spark, sf_dir):
+    """Both arms' recommendations and the scored candidate pool for every
+    eligible playlist: computed once per application, written to the shared
+    checkpoint folder and reused by every report."""
+    from ..session import reliable_checkpoint
+    k = (spark.sparkContext.applicationId, sf_dir)
+    if k not in _EVAL_RECS:
+        recs, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+        _EVAL_RECS[k] = (reliable_checkpoint(recs), reliable_checkpoint(scored.drop("features")))
+    return _EVAL_RECS[k]
+
+
 @query("ranker_scores")
 def ranker_scores(spark, sf_dir):
     """M-08 -> M-09 -> M-10: train LambdaMART on stage-1 candidates of the
     training playlists and score every eligible playlist's candidate pool."""
-    recs, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    _, scored = eval_recommend(spark, sf_dir)
     return scored.select("request_id", "track_int_id", "track_id", "als_score", "rank_score")
 
 
@@ -769,14 +784,14 @@ def ranker_scores(spark, sf_dir):
 def recommend_batch(spark, sf_dir):
     """M-11, M-12: top-20 of the full engine and of stage 1 alone (same pool)
     for every eligible playlist's seed tracks."""
-    recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    recs, _ = eval_recommend(spark, sf_dir)
     return recs
 
 
 @query("recommend_named")
 def recommend_named(spark, sf_dir):
     """S-13, J-08, L-06: the engine's top-20 with artist and track names."""
-    recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    recs, _ = eval_recommend(spark, sf_dir)
     return REC.present(recs.filter("arm = 'engine'"), C.track_metadata(spark, sf_dir))
 
 
@@ -1099,11 +1114,8 @@ def bootstrap_ci(spark, sf_dir):
 def engine_recs(spark, sf_dir):
     """Both model arms' top-20 for every eligible playlist, computed once and
     persisted (the expensive part of every report)."""
-    recs, _ = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
-    recs = recs.select(F.col("request_id").cast("string").alias("playlist_id"), "arm", "rank", "track_id")
-    recs = recs.persist()
-    recs.count()
-    return recs
+    recs, _ = eval_recommend(spark, sf_dir)
+    return recs.select(F.col("request_id").cast("string").alias("playlist_id"), "arm", "rank", "track_id")
 
 
 def engine_arm_metrics(spark, sf_dir, recs, longtail: bool = False):
@@ -1146,7 +1158,7 @@ def eval_report(spark, sf_dir):
 def rerank_diagnostics(spark, sf_dir):
     """E-08, A-17, J-12: rank-score spread per playlist, degenerate flag, and
     how many stage-1 hits in the top 20 survive the rerank."""
-    _, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
+    _, scored = eval_recommend(spark, sf_dir)
     held = eval_heldout(spark, sf_dir).filter("held = 1").select(
         F.col("playlist_id").cast("long").alias("request_id"), "track_id")
     return EX.rerank_diagnostics(scored, held, K)
