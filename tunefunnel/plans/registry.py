@@ -68,11 +68,13 @@ def eval_heldout(spark: SparkSession, sf_dir: str, frac: float = HOLDOUT, salt:
 
 @query("popularity_topk", Q.with_(Q.INTERACTIONS, Q.popularity(K)) + "SELECT * FROM top")
 def popularity_topk(spark, sf_dir):
+    """L-03, A-06: the 20 most interacted tracks, ties by track id (K12)."""
     return P.popularity_topk(C.interactions(spark, sf_dir), K)
 
 
 @query("popular_head", Q.with_(Q.INTERACTIONS, Q.popularity(N_POPULAR)) + "SELECT * FROM top")
 def popular_head(spark, sf_dir):
+    """L-04: the popular head (top 50) used by the long-tail view."""
     return P.popularity_topk(C.interactions(spark, sf_dir), N_POPULAR)
 
 
@@ -80,6 +82,7 @@ def popular_head(spark, sf_dir):
        Q.with_(Q.INTERACTIONS, Q.split("interactions", HOLDOUT, SALT))
        + "SELECT *, CAST(CASE WHEN pos <= n_hold THEN 1 ELSE 0 END AS INTEGER) AS held FROM split")
 def holdout_split(spark, sf_dir):
+    """W-05, F-05: seed / held-out split of every playlist (frac 0.2, K8, K9)."""
     return S.holdout_split(C.interactions(spark, sf_dir), HOLDOUT, SALT)
 
 
