@@ -42,12 +42,16 @@ def main() -> None:
     spark = build_session(cpus, shuffle_partitions=int(os.environ.get("BENCH_PARTITIONS", "16")))
     times: dict[str, float] = {}
     rows: dict[str, int] = {}
+    errors: dict[str, str] = {}
     for name in names:
         t0 = time.perf_counter()
-        df = registry.QUERIES[name](spark, sf_dir)
-        # execute fully without collecting large results to the driver
-        rows[name] = df.count()
-        times[name] = round(time.perf_counter() - t0, 3)
+        try:
+            df = registry.QUERIES[name](spark, sf_dir)
+            # execute fully without collecting large results to the driver
+            rows[name] = df.count()
+            times[name] = round(time.perf_counter() - t0, 3)
+        except Exception as e:  # noqa: BLE001 - report and keep measuring the rest
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = sf_dir.rstrip("/").rsplit("sf", 1)[-1]
     print(json.dumps({
         "metric": "total_query_seconds",
@@ -55,6 +59,7 @@ def main() -> None:
         "unit": "sec",
         "queries": times,
         "rows": rows,
+        **({"errors": errors} if errors else {}),
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
     }))
     spark.stop()
