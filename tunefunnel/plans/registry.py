@@ -99,7 +99,8 @@ FROM per"""
 
 @query("eval_popularity", _EVAL_POP_SQL)
 def eval_popularity(spark, sf_dir):
-    """Phase-0 slice: how good is the popularity baseline at k = 20?"""
+    """Phase-0 slice (E-01..E-04, J-11, F-03, F-04): how good is the
+    popularity baseline at k = 20, over every eligible playlist?"""
     inter = C.interactions(spark, sf_dir)
     held = eval_heldout(spark, sf_dir).filter("held = 1")
     per = M.metrics_at_k(held, P.popularity_topk(inter, K), K, shared=True)
