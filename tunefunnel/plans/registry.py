@@ -1195,7 +1195,7 @@ def stable_seed(spark, sf_dir):
 
 @query("stage1_leakage")
 def stage1_leakage(spark, sf_dir):
-    """K16: stage-1-only arm with ALS fitted on all interactions (as the
+    """K16 (M-02, M-06, E-07): stage-1-only arm with ALS fitted on all interactions (as the
     reference, held-out tracks leak into the item factors) versus fitted on
     seed rows only; per-arm means and a paired t-test with p-value."""
     held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
