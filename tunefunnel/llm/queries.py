@@ -3,23 +3,50 @@ their DuckDB SQL where SQL can express them."""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import exact_dedup, url_rules, warc
+from . import exact_dedup, language_id, packing, sentence_pieces, token_counts, url_rules, warc
 from .common import table
 
+#: Tokenizer files of the queries.
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact duplicate groups of all documents."""
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from the rows that are not held out."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    return language_id.predict(
+        docs.select("doc_id", "text"), model).select(
+        "doc_id", language_id.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's URL by explicit and mined rules."""
     return url_rules.judge(table(spark, sf_dir, "pages", "page_id", "url"),
                            table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))
 
 
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with a merge-type vocabulary."""
+    out = sentence_pieces.encoded(table(spark, sf_dir, "documents", "doc_id", "text"), PIECES)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"), "checked")
+
+
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document."""
+    return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), WORDS)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through the index."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
@@ -27,7 +54,19 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
         "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
-QUERIES = {f.__name__: f for f in (op1_exact_dedup, op4_url_filter, op9_warc)}
+def packed_digest(pieces: DataFrame) -> DataFrame:
+    """Pieces with the checksum of their ids in place of the ids."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"),
+                         "doc_tokens", "sequence_id", "offset")
+
+
+def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens along the curve."""
+    return packed_digest(packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORDS))
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_exact_dedup, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts, op9_warc, op10_packing)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
