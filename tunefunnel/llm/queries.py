@@ -7,7 +7,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, language_id, packing, sentence_pieces, token_counts, url_rules, warc
+from . import (exact_dedup, language_id, packing, sentence_pieces, simhash, substring_dedup,
+               token_counts, url_rules, warc)
 from .common import table
 
 #: Tokenizer files of the queries.
@@ -47,6 +48,18 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(table(spark, sf_dir, "documents", "doc_id", "text"), WORDS)
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and near-duplicate component of every document."""
+    out = simhash.near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that repeated passages of 35 words cover."""
+    out = substring_dedup.cut(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return out.select("row.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page written to WARC archives and read back through the index."""
     pages = table(spark, sf_dir, "pages", "page_id", "url", "html")
@@ -66,7 +79,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts, op9_warc, op10_packing)}
+    op1_exact_dedup, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts, op7_simhash,
+    op8_substring_dedup, op9_warc, op10_packing)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
