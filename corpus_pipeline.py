@@ -1,14 +1,66 @@
-"""Corpus pipeline."""
+"""Corpus pipeline: documents through five stages to packed token sequences.
+
+Each stage takes (spark, docs, sf_dir) and returns a frame that the caller
+writes as Parquet and reads again as the next stage's ``docs``.  All stages but
+the last return the columns of ``documents``.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from tunefunnel.llm import exact_dedup, language_id, packing, simhash, substring_dedup
+from tunefunnel.llm.common import written
+from tunefunnel.llm.queries import packed_digest
+
+#: Tokenizer of the packed sequences.
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents of a known language: those without a letter, and those that no
+    language fits by half of the probability, go."""
+    model = language_id.train(docs.filter(~language_id.held_out()))
+    return language_id.identified(docs, model)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.survivors(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near fingerprints."""
+    return simhash.one_of_each(docs)
+
+
+def cut_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that repeat."""
+    return substring_dedup.deduplicated(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences."""
+    return packed_digest(packing.pack(docs, TOKENIZER))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("exact_dedup", drop_exact_copies),
+    ("simhash_near_dedup", drop_near_copies),
+    ("substring_dedup", cut_repeated_passages),
+    ("packing", pack_sequences),
+]
+
+#: No SQL: language identification, fingerprints and tokens have no SQL form.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    """Apply the stages to the documents."""
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages applied to ``documents``, each stage's result written before
+    the next one reads it."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
