@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, language_id, packing, sentence_pieces, simhash, substring_dedup,
+from . import (exact_dedup, language_id, nearest, packing, sentence_pieces, simhash, substring_dedup,
                token_counts, url_rules, warc)
 from .common import table
 
@@ -21,6 +21,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(table(spark, sf_dir, "documents", "doc_id", "text"))
 
 
+def op2_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest vectors of every twentieth vector."""
+    return nearest.nearest(table(spark, sf_dir, "embeddings", "vec_id", "embedding"), F.col("vec_id") % 20 == 0)
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the rows that are not held out."""
     docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
@@ -79,7 +84,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_dedup, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts, op7_simhash,
+    op1_exact_dedup, op2_nearest, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts, op7_simhash,
     op8_substring_dedup, op9_warc, op10_packing)}
 
 ORACLE = {
