@@ -61,19 +61,28 @@ def best_of(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, vectors
     The product matrix only selects, with a margin for its rounding; scores are
     then summed in one fixed order, so equal vectors have equal scores wherever
     they are compared."""
-    lengths = np.linalg.norm(vectors, axis=1).max() if len(vectors) else 0.0
+    if not len(vectors):
+        return
+    lengths = np.linalg.norm(vectors, axis=1).max()
+    # Rows that repeat an id must not take the places of others.
+    rows = k * int(np.unique(ids, return_counts=True)[1].max())
     step = max(1, BLOCK_CELLS // max(1, len(vectors)))
     for at in range(0, len(queries), step):
         some = queries[at:at + step]
         scores = some @ vectors.T
         margin = 1e-12 * lengths * np.linalg.norm(some, axis=1)
         scores[query_ids[at:at + step, None] == ids[None, :]] = -np.inf
-        if scores.shape[1] > k:
-            floor = -np.partition(-scores, k - 1, axis=1)[:, k - 1] - margin
+        if scores.shape[1] > rows:
+            floor = -np.partition(-scores, rows - 1, axis=1)[:, rows - 1] - margin
         else:
             floor = np.full(len(some), -np.inf)
         q, x = np.nonzero((scores >= floor[:, None]) & (scores > -np.inf))
         exact = (some[q] * vectors[x]).sum(axis=1)
+        if rows > k:
+            order = np.lexsort((-exact, ids[x], q))
+            q, x, exact = q[order], x[order], exact[order]
+            new = np.concatenate([[True], (np.diff(q) != 0) | (np.diff(ids[x]) != 0)])[:len(q)]
+            q, x, exact = q[new], x[new], exact[new]
         order = np.lexsort((ids[x], -exact, q))
         q, x, exact = q[order], x[order], exact[order]
         first = np.searchsorted(q, np.arange(len(some)))
