@@ -1,4 +1,4 @@
-"""Blocked top-N: both physical paths agree; seen filtering; ties; id lookup (K15)."""
+"""Blocked top-N: block sizes do not matter; seen filtering; ties; id lookup (K15)."""
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -11,18 +11,26 @@ def _rows(df):
     return sorted((r.user_id, r.item_id, r.rank) for r in df.collect())
 
 
-def test_block_pairs_equal_broadcast(spark):
+def test_block_sizes_do_not_change_the_result(spark):
     items, users = T.embedding_factors(spark, SF001)
     seen = T.table(spark, SF001, "embeddings").select(
         F.col("label").cast("long").alias("user_id"), F.col("vec_id").alias("item_id"))
-    a = RV.top_n(users, items, 25, seen=seen, force="broadcast")
-    b = RV.top_n(users, items, 25, seen=seen, force="blocks", item_block=64, user_block=3)
+    a = RV.top_n(users, items, 25, seen=seen)
+    b = RV.top_n(users, items, 25, seen=seen, item_block=64, user_block=3)
     assert _rows(a) == _rows(b)
-    c = RV.top_n(users, items, 25, force="broadcast")
-    d = RV.top_n(users, items, 25, force="blocks", item_block=50, user_block=4)
+    c = RV.top_n(users, items, 25)
+    d = RV.top_n(users, items, 25, item_block=50, user_block=4)
     assert _rows(c) == _rows(d)
 
 
+def test_more_seen_than_items_left(spark):
+    users = spark.createDataFrame([(1, [1.0]), (2, [-1.0])], "user_id long, features array<float>")
+    items = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "item_id long, features array<float>")
+    seen = spark.createDataFrame([(1, i) for i in range(5)] * 2 + [(2, 99), (7, 1)], "user_id long, item_id long")
+    got = RV.top_n(users, items, 3, seen=seen, item_block=2)
+    assert _rows(got) == [(1, 5, 1), (2, 0, 1), (2, 1, 2), (2, 2, 3)]
+
+
 def test_no_seen_item_returned(spark):
     items, users = T.embedding_factors(spark, SF001)
     seen = T.table(spark, SF001, "embeddings").select(

@@ -3,29 +3,19 @@
 
 Plan
 ----
-* Each user needs the scores of every item.  Rows are never paired: user
-  factors stay in their partitions and meet item factors as dense blocks
-  inside ``mapInPandas`` (NumPy GEMM + vectorised top-k), so only the top
-  rows leave the task.
-* Item factors reach the tasks in one of two ways:
-
-  - **broadcast** — when ``n_items * rank * 4`` bytes is below
-    ``broadcast_bytes`` (checked with a count before anything is shipped),
-    the item matrix is broadcast once per executor and every user partition
-    scores against all of it: exactly ``k`` rows per user, no shuffle of users.
-  - **block pairs** — above the bound, users are hashed into blocks of
-    ``user_block`` and items into blocks of ``item_block``; a
-    ``cogroup(...).applyInPandas`` keyed by (user block, item block) sees
-    each user once with each item block (row-level replication, each group
-    bounded by the block sizes), keeps a partial top-k per user, and a
-    per-user ``row_number() <= k`` (planned as a ``WindowGroupLimit``, which
-    also limits map side) merges the partials.
-
+* Each user needs the scores of every item.  Rows are never paired: users are
+  hashed into blocks of about ``user_block`` rows, items into blocks of about
+  ``item_block``, and a ``cogroup(...).applyInPandas`` keyed by (user block,
+  item block) scores a block of users against a block of items with NumPy, so
+  only the top rows leave the task.  Each user meets each item block once, and
+  both sides of a group are bounded by the block sizes.  Nothing is collected
+  or broadcast.
+* The top-k of the item blocks merge per user with ``row_number() <= k``
+  (planned as a ``WindowGroupLimit``, which also limits map side).
 * Ties are broken by item id ascending; the selection is exact even with ties
   at the cut-off (threshold mask + lexsort, no candidate cap).
-* Already-seen items (J-10) are removed exactly without collecting any user's
-  history: each user fetches ``k + n_seen`` rows, a left-anti join removes the
-  seen pairs, and ``row_number() <= k`` renumbers.
+* Already-seen items (J-10) go to their (user, item block) and are masked
+  there, so a user with a long history scores no more rows than any other.
 """
 
 from __future__ import annotations
@@ -40,7 +30,8 @@ from ..session import ship_package
 
 USER = "user_id"
 ITEM = "item_id"
-DEFAULT_BROADCAST_BYTES = 1024 * 1024 * 1024
+USER_BLOCK = 16384      # users of a block, about
+ITEM_BLOCK = 131072     # items of a block, about
 ITEM_CHUNK = 32768      # item columns scored at once inside a task
 USER_CHUNK = 256        # user rows scored at once inside a task
 
@@ -52,59 +43,55 @@ _OUT_SCHEMA = T.StructType([
 ])
 
 
-def _select_topk(rows, scores, ids, kvec):
-    """Exact per-row top-k by (score desc, id asc) from flat candidate arrays.
-
-    ``rows`` indexes users of the current batch; ``kvec[row]`` is that row's k.
-    Returns the kept (rows, scores, ids), sorted by row then rank.
-    """
+def _select_topk(rows, scores, ids, k):
+    """Exact per-row top-k by (score desc, id asc) from flat candidate arrays;
+    the kept (rows, scores, ids) come sorted by row, then rank."""
     order = np.lexsort((ids, -scores, rows))
     rows, scores, ids = rows[order], scores[order], ids[order]
-    starts = np.searchsorted(rows, rows, side="left")
-    pos = np.arange(len(rows)) - starts
-    keep = pos < kvec[rows]
+    keep = np.arange(len(rows)) - np.searchsorted(rows, rows, side="left") < k
     return rows[keep], scores[keep], ids[keep]
 
 
-def _score_block(U, user_k, item_mat, item_ids, state):
-    """Fold one item block into the running top-k ``state`` of a user batch."""
+def _score_block(U, k, item_mat, item_ids, seen, state):
+    """Fold one block of items into the running top-k ``state`` of a user batch.
+    ``seen`` holds (row, item) pairs to leave out; ``item_ids`` are sorted."""
     S = U @ item_mat.T                      # b x m, float64
+    rows, items = seen
+    at = np.minimum(np.searchsorted(item_ids, items), len(item_ids) - 1)
+    here = item_ids[at] == items
+    S[rows[here], at[here]] = -np.inf
     m = S.shape[1]
-    kmax = int(min(user_k.max(), m))
-    if kmax < m:
-        # every row keeps at least its kmax best (ties included); the exact
-        # per-row k is applied in _select_topk
-        thr = np.partition(S, m - kmax, axis=1)[:, m - kmax]
-        r, c = np.nonzero(S >= thr[:, None])
-    else:
-        r, c = np.nonzero(np.ones(S.shape, dtype=bool))
+    open_ = S > -np.inf
+    if k < m:
+        # every row keeps at least its k best, ties included
+        open_ &= S >= np.partition(S, m - k, axis=1)[:, m - k][:, None]
+    r, c = np.nonzero(open_)
     cand = (r, S[r, c], item_ids[c])
     if state is not None:
         cand = tuple(np.concatenate([a, b_]) for a, b_ in zip(state, cand))
-    return _select_topk(*cand, user_k)
+    return _select_topk(*cand, k)
 
 
-def _score_users(part: pd.DataFrame, ids: np.ndarray, mat: np.ndarray, k: int, seen_col):
-    """Top-k rows for a pandas frame of users against one item matrix."""
-    out = []
+def _score_users(part: pd.DataFrame, ids: np.ndarray, mat: np.ndarray, k: int):
+    """Top-k rows for a pandas frame of users against one block of items."""
+    out = [_empty_out()]
+    order = np.argsort(ids)
+    ids, mat = ids[order], mat[order]
     for start in range(0, len(part), USER_CHUNK):
         sub = part.iloc[start:start + USER_CHUNK]
         U = np.stack(sub["features"].to_numpy()).astype(np.float64)
-        user_k = np.full(len(sub), k, dtype=np.int64)
-        if seen_col and seen_col in sub:
-            user_k = user_k + sub[seen_col].fillna(0).to_numpy(dtype=np.int64)
+        lists = [np.asarray(x if x is not None else (), dtype=np.int64) for x in sub["_seen"]]
+        seen = (np.repeat(np.arange(len(sub)), [len(x) for x in lists]), np.concatenate(lists))
         state = None
         for j in range(0, len(ids), ITEM_CHUNK):
-            block = mat[j:j + ITEM_CHUNK].astype(np.float64)
-            state = _score_block(U, user_k, block, ids[j:j + ITEM_CHUNK], state)
-        if state is None:
-            continue
+            state = _score_block(U, k, mat[j:j + ITEM_CHUNK].astype(np.float64), ids[j:j + ITEM_CHUNK],
+                                 seen, state)
         r, sc, it = state
         rank = np.arange(len(r)) - np.searchsorted(r, r, side="left") + 1
         out.append(pd.DataFrame({USER: sub[USER].to_numpy(dtype=np.int64)[r],
                                  ITEM: it.astype(np.int64), "score": sc.astype(np.float64),
                                  "rank": rank.astype(np.int32)}))
-    return out
+    return pd.concat(out, ignore_index=True)
 
 
 def _empty_out():
@@ -112,13 +99,8 @@ def _empty_out():
                          "score": pd.Series([], dtype="float64"), "rank": pd.Series([], dtype="int32")})
 
 
-def _factor_bytes(n_items: int, rank: int) -> int:
-    return int(n_items) * int(rank) * 4
-
-
 def top_n(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFrame | None = None,
-          broadcast_bytes: int = DEFAULT_BROADCAST_BYTES, item_block: int = 262144,
-          user_block: int = 4096, force: str | None = None) -> DataFrame:
+          item_block: int = ITEM_BLOCK, user_block: int = USER_BLOCK) -> DataFrame:
     """M-05: top ``k`` items per user by dot product, seen items removed.
 
     ``users[user_id, features array<float>]``, ``items[item_id, features]``,
@@ -129,64 +111,38 @@ def top_n(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFrame | No
     ship_package(spark)
     users = users.select(F.col(USER).cast("long").alias(USER), "features")
     items = items.select(F.col(ITEM).cast("long").alias(ITEM), "features")
-    seen_col = None
-    if seen is not None:
-        seen = seen.select(F.col(USER).cast("long").alias(USER),
-                           F.col(ITEM).cast("long").alias(ITEM)).distinct()
-        n_seen = seen.groupBy(USER).agg(F.count(F.lit(1)).alias("_n_seen"))
-        users = users.join(n_seen, USER, "left")
-        seen_col = "_n_seen"
-
-    n_items = items.count()
-    first = items.select(F.size("features").alias("d")).first()
-    rank = int(first["d"]) if first else 0
-    mode = force or ("broadcast" if _factor_bytes(n_items, rank) <= broadcast_bytes else "blocks")
-
-    if mode == "broadcast":
-        pdf = items.toPandas()   # size checked above: n_items * rank * 4 <= broadcast_bytes
-        ids = pdf[ITEM].to_numpy(dtype=np.int64)
-        mat = (np.stack(pdf["features"].to_numpy()).astype(np.float32) if len(pdf)
-               else np.zeros((0, rank), dtype=np.float32))
-        bc = spark.sparkContext.broadcast((ids, mat))
-
-        def run(batches):
-            ids_, mat_ = bc.value
-            for pdf_ in batches:
-                if not pdf_.empty:
-                    yield from _score_users(pdf_, ids_, mat_, k, seen_col)
-
-        scored = users.mapInPandas(run, _OUT_SCHEMA)
-        exact_per_user = True
+    n_users, n_items = users.count(), items.count()
+    # as many user blocks as the session runs tasks at once, more if they would be too large
+    slots = min(spark.sparkContext.defaultParallelism, n_users)
+    n_ub, n_ib = max(1, slots, -(-n_users // user_block)), max(1, -(-n_items // item_block))
+
+    def item_part(c):
+        return F.pmod(F.xxhash64(c), F.lit(n_ib)).cast("int")
+
+    def blocks(n):
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    u = (users.withColumn("_ub", F.pmod(F.xxhash64(USER), F.lit(n_ub)).cast("int"))
+              .withColumn("_ib", blocks(n_ib)))
+    if seen is None:
+        u = u.withColumn("_seen", F.lit(None).cast("array<bigint>"))
     else:
-        n_ib = max(1, -(-n_items // item_block))
-        n_users = users.count()
-        n_ub = max(1, -(-n_users // user_block))
-        ucols = [USER, "features"] + ([seen_col] if seen_col else [])
-        u = (users.withColumn("_ub", F.pmod(F.xxhash64(USER), F.lit(n_ub)))
-                  .withColumn("_ib", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ib - 1).cast("long")))))
-        it = (items.withColumn("_ib", F.pmod(F.xxhash64(ITEM), F.lit(n_ib)))
-                   .withColumn("_ub", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_ub - 1).cast("long")))))
-
-        def run_pair(updf, ipdf):
-            if updf.empty or ipdf.empty:
-                return _empty_out()
-            ids_ = ipdf[ITEM].to_numpy(dtype=np.int64)
-            mat_ = np.stack(ipdf["features"].to_numpy()).astype(np.float32)
-            parts = _score_users(updf, ids_, mat_, k, seen_col)
-            return pd.concat(parts, ignore_index=True) if parts else _empty_out()
-
-        # one group per (user block, item block): both sides are bounded by
-        # their block size, and each user meets each item exactly once
-        scored = (u.select("_ub", "_ib", *ucols).groupBy("_ub", "_ib")
-                   .cogroup(it.select("_ub", "_ib", ITEM, "features").groupBy("_ub", "_ib"))
-                   .applyInPandas(run_pair, _OUT_SCHEMA))
-        exact_per_user = False
-
-    if seen is None and exact_per_user:
-        # exactly k rows per user, ranked inside the task: no shuffle at all
-        return scored
-    if seen is not None:
-        scored = scored.join(seen, [USER, ITEM], "left_anti")
+        # at most one item block's ids for each (user, item block)
+        lists = (seen.select(F.col(USER).cast("long").alias(USER), F.col(ITEM).cast("long").alias(ITEM))
+                 .groupBy(USER, item_part(F.col(ITEM)).alias("_ib"))
+                 .agg(F.collect_set(ITEM).alias("_seen")))
+        u = u.join(lists, [USER, "_ib"], "left")
+    it = items.withColumn("_ib", item_part(F.col(ITEM))).withColumn("_ub", blocks(n_ub))
+
+    def run_pair(updf, ipdf):
+        if updf.empty or ipdf.empty:
+            return _empty_out()
+        return _score_users(updf, ipdf[ITEM].to_numpy(dtype=np.int64),
+                            np.stack(ipdf["features"].to_numpy()).astype(np.float32), k)
+
+    scored = (u.select("_ub", "_ib", USER, "features", "_seen").groupBy("_ub", "_ib")
+               .cogroup(it.select("_ub", "_ib", ITEM, "features").groupBy("_ub", "_ib"))
+               .applyInPandas(run_pair, _OUT_SCHEMA))
     w = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))
     return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
