@@ -1,5 +1,5 @@
-"""Property tests against brute force: metric definitions on
-random playlists, contiguous bijective ids."""
+"""Property tests: metrics on worked cases and their bounds,
+contiguous bijective ids."""
 import math
 import random
 
@@ -11,36 +11,39 @@ from tunefunnel.sources import tables as T
 from conftest import SF001
 
 
-def _recall(rec, held, k):
-    return len(set(rec[:k]) & set(held)) / len(held) if held else 0.0
-
-
-def _ndcg(rec, held, k):
-    hs = set(held)
-    dcg = sum(1.0 / math.log2(i + 2) for i, t in enumerate(rec[:k]) if t in hs)
-    idcg = sum(1.0 / math.log2(i + 2) for i in range(min(len(hs), k)))
-    return dcg / idcg if idcg > 0 else 0.0
-
-
-def test_metrics_match_brute_force(spark):
+def test_metrics_on_cases_worked_by_hand(spark):
+    """k = 3.  Held-out rows count duplicates for recall, not for NDCG."""
+    log3 = math.log2(3)
+    cases = {  # playlist: (held, recommended, recall, ndcg, hit)
+        "one of two, second place": (["a", "b"], ["x", "a", "y"], 1 / 2, (1 / log3) / (1 + 1 / log3), 1),
+        "all, in order": (["a", "b", "c"], ["a", "b", "c"], 1.0, 1.0, 1),
+        "none": (["a"], ["x", "y", "z"], 0.0, 0.0, 0),
+        "beyond k": (["a"], ["x", "y", "z", "a"], 0.0, 0.0, 0),
+        "third place": (["a"], ["x", "y", "a"], 1.0, 1 / 2, 1),
+        "repeated held-out row": (["a", "a"], ["a"], 1 / 2, 1.0, 1),
+        "more held out than k": (["a", "b", "c", "d"], ["d"], 1 / 4, 1 / (1 + 1 / log3 + 1 / 2), 1),
+        "nothing recommended": (["a"], [], 0.0, 0.0, 0),
+    }
+    held = [(p, t) for p, c in cases.items() for t in c[0]]
+    recs = [(p, r, t) for p, c in cases.items() for r, t in enumerate(c[1], 1)]
+    got = {r.playlist_id: r for r in M.metrics_at_k(
+        spark.createDataFrame(held, "playlist_id string, track_id string"),
+        spark.createDataFrame(recs, "playlist_id string, rank int, track_id string"), 3).collect()}
+    assert set(got) == set(cases)
+    for p, (_, _, recall, ndcg, hit) in cases.items():
+        assert abs(got[p].recall - recall) < 1e-12 and abs(got[p].ndcg - ndcg) < 1e-12 and got[p].hit == hit, p
+
+
+def test_metrics_stay_in_bounds_and_grow_with_k(spark):
     rng = random.Random(7)
-    k = 5
-    held_rows, rec_rows, expect = [], [], {}
-    for p in range(300):
-        pool = [f"t{i}" for i in range(rng.randint(3, 25))]
-        held = [rng.choice(pool) for _ in range(rng.randint(1, 8))]          # duplicates allowed
-        rec = rng.sample(pool, rng.randint(0, min(len(pool), 9)))
-        held_rows += [(f"p{p}", t) for t in held]
-        rec_rows += [(f"p{p}", r + 1, t) for r, t in enumerate(rec)]
-        expect[f"p{p}"] = (_recall(rec, held, k), _ndcg(rec, held, k), int(bool(set(rec[:k]) & set(held))))
-    held_df = spark.createDataFrame(held_rows, "playlist_id string, track_id string")
-    rec_df = spark.createDataFrame(rec_rows, "playlist_id string, rank int, track_id string")
-    got = {r.playlist_id: (r.recall, r.ndcg, r.hit) for r in M.metrics_at_k(held_df, rec_df, k).collect()}
-    assert set(got) == set(expect)
-    for p, (r, n, h) in expect.items():
-        gr, gn, gh = got[p]
-        assert abs(gr - r) < 1e-12 and abs(gn - n) < 1e-12 and gh == h
-        assert 0.0 <= gr <= 1.0 and 0.0 <= gn <= 1.0 + 1e-12
+    held = [(f"p{p}", f"t{rng.randint(0, 20)}") for p in range(100) for _ in range(rng.randint(1, 8))]
+    recs = [(f"p{p}", r + 1, f"t{t}") for p in range(100) for r, t in enumerate(rng.sample(range(21), 9))]
+    h = spark.createDataFrame(held, "playlist_id string, track_id string")
+    r = spark.createDataFrame(recs, "playlist_id string, rank int, track_id string")
+    small, large = ({x.playlist_id: x for x in M.metrics_at_k(h, r, k).collect()} for k in (2, 9))
+    for p, x in small.items():
+        assert 0 <= x.recall <= large[p].recall <= 1 and 0 <= x.ndcg <= 1 and 0 <= large[p].ndcg <= 1
+        assert x.hit == (x.recall > 0) and x.hit <= large[p].hit
 
 
 def test_ids_contiguous_and_bijective(spark):

@@ -1,4 +1,5 @@
 """Edge fixtures for split and metrics (K7, K8, K9) and partition invariance."""
+import pytest
 from pyspark.sql import functions as F
 
 from tunefunnel.operators import metrics as M
@@ -52,10 +53,10 @@ def test_expand_occurrences_hot_pair(spark):
 
 def test_rank_by_hash_key_splits_hot_group(spark):
     df = spark.range(0, 500).select(F.lit("g").alias("g"), F.md5(F.col("id").cast("string")).alias("k"))
-    sizes = spark.createDataFrame([("g", 500)], ["g", "n"])
-    got = rank_by_hash_key(df, ["g"], "k", sizes, "n", "pos", hot_rows=20)
-    pdf = got.toPandas().sort_values("k")
-    assert list(pdf["pos"]) == list(range(1, 501))
+    df = df.unionByName(spark.range(5).select(F.lit("h"), F.md5(F.col("id").cast("string"))).toDF("g", "k"))
+    got = rank_by_hash_key(df, ["g"], "k", "pos", size_out="n")
+    pdf = got.toPandas().sort_values(["g", "k"])
+    assert list(pdf["pos"]) == [*range(1, 501), *range(1, 6)] and list(pdf["n"]) == [500] * 500 + [5] * 5
 
 
 def test_global_row_number_matches_sort(spark):
@@ -83,7 +84,7 @@ def test_stable_seed_equals_zlib_crc32(spark):
 
 def test_eval_metrics_partition_invariant(spark):
     """Per-playlist metrics and profiles are identical with 1 and 16 shuffle
-    partitions (exact means, deterministic keys)."""
+    partitions (deterministic keys)."""
     from tunefunnel.operators import popularity as P
     from tunefunnel.operators import profiles as PR
 
@@ -100,13 +101,8 @@ def test_eval_metrics_partition_invariant(spark):
     spark.conf.set("spark.sql.shuffle.partitions", "16")
     b = run()
     spark.conf.set("spark.sql.shuffle.partitions", "8")
-    assert a == b
-
-
-def test_split_hot_playlists_same_result(spark):
-    """Playlists above the hot threshold go through md5-prefix buckets and
-    still get exactly the plain split."""
-    inter = T.interactions(spark, SF001)
-    a = S.holdout_split(inter).collect()
-    b = S.holdout_split(inter, hot_rows=20).collect()
-    assert sorted(a) == sorted(b)
+    # means are sums of doubles: equal up to the order of addition
+    for x, y in zip(a, b):
+        assert len(x) == len(y)
+        for p, q in zip(x, y):
+            assert p[0] == q[0] and list(p[1:]) == pytest.approx(list(q[1:]), rel=1e-9, nan_ok=True)

@@ -27,19 +27,15 @@ def md5_int(*parts) -> Column:
     return F.conv(F.substring(md5_key(*parts), 1, 8), 16, 10).cast("long")
 
 
-def exact_mean(c: Column, digits: int = 6) -> Column:
-    """Mean on a fixed-point grid: values are rounded to ``digits`` decimals and
-    summed as exact decimals, so the result is bit-identical whatever the
-    partitioning or summation order (a plain double ``avg`` is not).  NULLs are
-    skipped like ``AVG``; an all-NULL group gives NULL."""
+def stable_round(c: Column, digits: int = 6) -> Column:
+    """Round half up with ties a ten-thousandth of a unit lower, for values
+    that engines sum in different orders: a mean that falls on a tie up to its
+    last bit then rounds alike in all of them."""
     scale = float(10 ** digits)
-    total = F.sum(F.round(c * F.lit(scale)).cast("decimal(38,0)")).cast("double")
-    n = F.count(c)
-    return F.when(n > 0, total / n.cast("double") / F.lit(scale))
+    return F.floor(c * F.lit(scale) + F.lit(0.5001)).cast("double") / F.lit(scale)
 
 
-def exact_mean_sql(expr: str, digits: int = 6) -> str:
-    """The same mean in SQL (DuckDB dialect), for oracle queries."""
-    scale = f"{float(10 ** digits)!r}"
-    return (f"CASE WHEN COUNT({expr}) > 0 THEN CAST(SUM(CAST(ROUND({expr} * {scale}) AS HUGEINT)) AS DOUBLE)"
-            f" / CAST(COUNT({expr}) AS DOUBLE) / {scale} END")
+def stable_round_sql(expr: str, digits: int = 6) -> str:
+    """The same rounding in SQL, for oracle queries."""
+    scale = repr(float(10 ** digits))
+    return f"(FLOOR(({expr}) * {scale} + 0.5001::DOUBLE) / {scale})"

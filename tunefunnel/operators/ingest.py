@@ -65,18 +65,22 @@ def map_ids(interactions: DataFrame, playlist: str = "playlist_id", track: str =
     """
     pmap = id_map(interactions, playlist, "playlist_int_id")
     tmap = id_map(interactions, track, "track_int_id")
-    mapped = (interactions.join(pmap, playlist).join(tmap, track)
-              .select(playlist, "playlist_int_id", track, "track_int_id"))
-    return mapped, pmap, tmap
+    return with_ids(interactions, pmap, tmap, playlist, track), pmap, tmap
+
+
+def with_ids(interactions: DataFrame, pmap: DataFrame, tmap: DataFrame, playlist: str = "playlist_id",
+             track: str = "track_id") -> DataFrame:
+    """Interactions with both int ids from their two dimensions."""
+    return (interactions.join(pmap, playlist).join(tmap, track)
+            .select(playlist, "playlist_int_id", track, "track_int_id"))
 
 
 def confidence(mapped: DataFrame) -> DataFrame:
     """M-01 / A-13 / P-07 / P-09: one cell per (playlist, track) whose
     confidence is the number of duplicate rows (a CSR sums duplicates, K2)."""
-    return (mapped.select(F.col("playlist_int_id").cast("int").alias("playlist_int_id"),
-                          F.col("track_int_id").cast("int").alias("track_int_id"))
-                  .groupBy("playlist_int_id", "track_int_id")
-                  .agg(F.count(F.lit(1)).cast("float").alias("confidence")))
+    return (mapped.groupBy(F.col("playlist_int_id").cast("long").alias("playlist_int_id"),
+                           F.col("track_int_id").cast("long").alias("track_int_id"))
+                  .agg(F.count(F.lit(1)).alias("confidence")))
 
 
 def matrix_stats(mapped: DataFrame) -> DataFrame:
@@ -93,8 +97,8 @@ def matrix_stats(mapped: DataFrame) -> DataFrame:
 
 def fk_orphans(interactions: DataFrame, metadata: DataFrame, key: str = "track_id") -> DataFrame:
     """Q-01: interaction tracks missing from the catalog, with their row counts."""
-    return (interactions.join(metadata.select(key), key, "left_anti")
-                        .groupBy(key).agg(F.count(F.lit(1)).cast("long").alias("n_interactions")))
+    counts = interactions.groupBy(key).agg(F.count(F.lit(1)).cast("long").alias("n_interactions"))
+    return counts.join(metadata.select(key), key, "left_anti")
 
 
 def pk_duplicates(metadata: DataFrame, key: str = "track_id") -> DataFrame:

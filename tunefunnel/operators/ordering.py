@@ -4,16 +4,15 @@
   every row to one task (the plain ``row_number().over(Window.orderBy(x))``
   does exactly that).  Range-partition, sort within partitions, tag rows with
   ``monotonically_increasing_id`` (partition index in the high bits, position
-  in the low bits), pin the layout with a reliable checkpoint, then add the
+  in the low bits), pin the layout by writing the table, then add the
   running total of the per-partition counts (a table with one row per
   partition, so its size is bounded by the partition count).
 * ``expand_occurrences`` — turn (key, count) back into ``count`` rows with an
   occurrence number 1..count; copies of one hot pair are generated in chunks
   spread over many tasks instead of in the task that holds the pair.
 * ``rank_by_hash_key`` — position of each row within its group in the order
-  of a uniformly distributed hex key (an md5).  Because the key is uniform, a
-  prefix of it splits a hot group into ordered buckets; the window runs per
-  (group, bucket) and a small per-bucket count table supplies the offsets.
+  of a key: one global order by (group, key), so a hot group spreads over many
+  partitions, minus the group's first number.
 """
 
 from __future__ import annotations
@@ -21,15 +20,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import reliable_checkpoint
+from ..session import shared_copy
 
 _LOW_BITS = (1 << 33) - 1
-# Groups larger than this are split into md5-prefix buckets before the window.
-HOT_GROUP_ROWS = 2_000_000
 # Copies of one pair generated by a single task when expanding counts.
 EXPAND_CHUNK = 100_000
-# The hot-group list is broadcast only below this many entries.
-MAX_HOT_GROUPS = 100_000
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_number",
@@ -40,7 +35,7 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_numb
     tagged = (df.repartitionByRange(n, *order_cols)
                 .sortWithinPartitions(*order_cols)
                 .withColumn("_mid", F.monotonically_increasing_id()))
-    tagged = reliable_checkpoint(tagged)
+    tagged = shared_copy(tagged, "numbered")
     tagged = tagged.withColumn("_part", F.shiftright("_mid", 33)) \
                    .withColumn("_pos", F.col("_mid").bitwiseAND(F.lit(_LOW_BITS)))
     counts = tagged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -72,47 +67,18 @@ def expand_occurrences(pairs: DataFrame, count_col: str, occ_col: str = "occ",
     return cold.unionByName(hot)
 
 
-def _bucket_depth(n_col: str, hot_rows: int):
-    # hex digits of prefix so that each bucket holds about hot_rows rows
-    return F.greatest(F.lit(1), F.ceil(F.log(16.0, F.col(n_col) / F.lit(hot_rows)))).cast("int")
-
-
-def rank_by_hash_key(df: DataFrame, group: list[str], key: str, sizes: DataFrame,
-                     size_col: str = "n", out: str = "pos",
-                     hot_rows: int = HOT_GROUP_ROWS, size_out: str | None = None) -> DataFrame:
-    """1-based position of each row inside ``group`` ordered by hex ``key``
+def rank_by_hash_key(df: DataFrame, group: list[str], key: str, out: str = "pos",
+                     size_out: str | None = None) -> DataFrame:
+    """1-based position of each row inside ``group`` in the order of ``key``
     (and, with ``size_out``, the group's row count).
 
-    ``sizes`` holds one row per group with its row count in ``size_col``; it
-    is only used to find hot groups.  Keys must be unique inside a group and
-    uniformly distributed (md5 hex).
+    The rows are range-sorted by (group, key) and numbered; the numbers' least
+    value and count per group come from a partial aggregate and are joined
+    back, a join that Spark splits where a group is hot.
     """
-    hot = sizes.filter(F.col(size_col) > hot_rows).select(
-        *group, _bucket_depth(size_col, hot_rows).alias("_depth"))
-    n_hot = hot.count()
-    if n_hot > MAX_HOT_GROUPS:
-        raise ValueError(f"{n_hot} hot groups exceed the broadcast bound {MAX_HOT_GROUPS}; "
-                         "raise hot_rows")
-    if not n_hot:
-        # one exchange: both windows share the partitioning by group
-        w = Window.partitionBy(*group)
-        res = df.withColumn(out, F.row_number().over(w.orderBy(key)))
-        if size_out:
-            res = res.withColumn(size_out, F.count(F.lit(1)).over(w))
-        return res
-    df = df.join(F.broadcast(hot), group, "left")
-    df = df.withColumn("_bucket", F.expr(f"substr({key}, 1, coalesce(_depth, 0))")).drop("_depth")
-    local = df.withColumn(
-        "_local", F.row_number().over(Window.partitionBy(*group, "_bucket").orderBy(key)))
-    counts = local.groupBy(*group, "_bucket").agg(F.count(F.lit(1)).alias("_bn"))
-    wg = Window.partitionBy(*group)
-    offsets = counts.select(
-        *group, "_bucket",
-        F.coalesce(F.sum("_bn").over(wg.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
-                   F.lit(0)).alias("_off"),
-        F.sum("_bn").over(wg).alias("_gn"))
-    res = (local.join(offsets, [*group, "_bucket"])
-                .withColumn(out, F.col("_off") + F.col("_local")))
+    numbered = global_row_number(df, [*group, key], "_rn")
+    groups = numbered.groupBy(*group).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    res = numbered.join(groups, group).withColumn(out, F.col("_rn") - F.col("_first") + 1)
     if size_out:
-        res = res.withColumnRenamed("_gn", size_out)
-    return res.drop("_bucket", "_local", "_off", "_gn")
+        res = res.withColumn(size_out, F.col("_rows"))
+    return res.drop("_rn", "_first", "_rows")

@@ -8,9 +8,6 @@ definitions (K3).  One operator covers them, batch over all requests:
 * ``mode="distinct"`` — average over the distinct matched catalog rows
                         (seed-track list: ``track_id = ANY(list)``).
 
-Means are exact fixed-point means (``functions.columns.exact_mean``) so a
-profile is bit-identical under any partitioning.
-
 Empty profiles (K4): a known-playlist request whose tracks have no metadata
 gets no profile row (its candidates disappear in the inner join); a seed
 request always gets one row, NULL averages and length 0, and its candidates
@@ -24,7 +21,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.columns import exact_mean
 from ..sources.schemas import AVG_FEATURES, DIFF_FEATURES, FEATURES, MODEL_INPUTS, TRACK_FEATURES
 
 REQUEST = "request_id"
@@ -47,7 +43,7 @@ def profiles(requests: DataFrame, metadata: DataFrame, key: str = REQUEST,
         rows = rows.distinct()
     meta = metadata.select(item, *FEATURES)
     joined = rows.join(meta, item)  # J-03 / J-07: inner, orphans drop out (K6)
-    aggs = [exact_mean(F.col(f)).alias(a) for f, a in zip(FEATURES, AVG_FEATURES)]
+    aggs = [F.avg(f).alias(a) for f, a in zip(FEATURES, AVG_FEATURES)]
     if with_length:
         aggs.append(F.count(item).cast("long").alias("playlist_length"))
     prof = joined.groupBy(key).agg(*aggs)
@@ -59,11 +55,6 @@ def profiles(requests: DataFrame, metadata: DataFrame, key: str = REQUEST,
     return prof
 
 
-def distinct_id_map(mapped: DataFrame) -> DataFrame:
-    """A-02: distinct (track_int_id, track_id) pairs — a dimension table."""
-    return mapped.select("track_int_id", "track_id").distinct()
-
-
 def track_features(metadata: DataFrame) -> DataFrame:
     """S-04 / P-04: catalog with ``track_`` aliases."""
     return metadata.select("track_id", *[F.col(f).alias(t) for f, t in zip(FEATURES, TRACK_FEATURES)])

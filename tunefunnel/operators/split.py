@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .ordering import HOT_GROUP_ROWS, expand_occurrences, rank_by_hash_key
+from .ordering import expand_occurrences, rank_by_hash_key
 
 PLAYLIST = "playlist_id"
 TRACK = "track_id"
@@ -30,7 +30,7 @@ def stable_seed(df: DataFrame, salt, col: str = PLAYLIST, out: str = "stable_see
 
 
 def holdout_split(inter: DataFrame, frac: float = 0.2, salt="42",
-                  group: str = PLAYLIST, item: str = TRACK, hot_rows: int = HOT_GROUP_ROWS) -> DataFrame:
+                  group: str = PLAYLIST, item: str = TRACK) -> DataFrame:
     """W-05 over all playlists at once.
 
     Returns one row per interaction occurrence:
@@ -38,14 +38,11 @@ def holdout_split(inter: DataFrame, frac: float = 0.2, salt="42",
     Duplicate occurrences are split independently (K8).
     """
     pairs = inter.groupBy(group, item).agg(F.count(F.lit(1)).alias("_c"))
-    # playlist sizes only to find hot playlists: a partial aggregate over the
-    # scan (tiny shuffle), kept for the main job
-    sizes = inter.groupBy(group).agg(F.count(F.lit(1)).alias("n")).persist()
     rows = expand_occurrences(pairs, "_c", "occ")
     rows = rows.withColumn(
         "_key", F.md5(F.concat_ws(":", F.lit(str(salt)), F.col(group), F.col(item),
                                   F.col("occ").cast("string"))))
-    ranked = rank_by_hash_key(rows, [group], "_key", sizes, "n", "pos", hot_rows=hot_rows, size_out="n")
+    ranked = rank_by_hash_key(rows, [group], "_key", "pos", size_out="n")
     return ranked.select(
         group, item, F.col("occ").cast("long").alias("occ"), F.col("n").cast("long").alias("n"),
         n_hold_expr(F.col("n"), frac).cast("long").alias("n_hold"),

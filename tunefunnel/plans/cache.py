@@ -15,16 +15,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import reliable_checkpoint
+from ..session import shared_copy  # noqa: F401 - also for the plans
 
 _TABLES: dict = {}
 
 
 def shared_table(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]) -> DataFrame:
-    """Build, write (reliable checkpoint) and memoise a table for this application."""
+    """Build, write (Parquet in the shared folder) and memoise a table for this
+    application.  A table that is rewritten under the same path in one
+    application is not noticed."""
     k = (spark.sparkContext.applicationId, *key)
     if k not in _TABLES:
-        _TABLES[k] = reliable_checkpoint(build())
+        _TABLES[k] = shared_copy(build(), str(key[0]))
     return _TABLES[k]
 
 
@@ -41,4 +43,19 @@ def track_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """interaction_matrix_mapped (written once)."""
     from ..operators import ingest as I
-    return shared_table(spark, ("mapped", sf_dir), lambda: I.map_ids(interactions(spark, sf_dir))[0])
+    return shared_table(spark, ("mapped", sf_dir), lambda: I.with_ids(
+        interactions(spark, sf_dir), playlist_map(spark, sf_dir), track_map(spark, sf_dir)))
+
+
+def playlist_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The playlist id dimension (written once)."""
+    from ..operators import ingest as I
+    return shared_table(spark, ("playlist_map", sf_dir),
+                        lambda: I.id_map(interactions(spark, sf_dir), "playlist_id", "playlist_int_id"))
+
+
+def track_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The track id dimension (written once)."""
+    from ..operators import ingest as I
+    return shared_table(spark, ("track_map", sf_dir),
+                        lambda: I.id_map(interactions(spark, sf_dir), "track_id", "track_int_id"))

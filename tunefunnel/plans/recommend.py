@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,7 +61,7 @@ def train_stage1(spark, sf_dir, p: Params) -> Stage1:
     if key not in _MEMO:
         model = AL.fit_als(I.confidence(mapped), p.rank, p.iters, p.reg)
         _MEMO[key] = AL.save_model(model, scratch_path(spark, "als-model"))
-    return Stage1(_MEMO[key], mapped, mapped.select("track_int_id", "track_id").distinct())
+    return Stage1(_MEMO[key], mapped, C.track_map(spark, sf_dir))
 
 
 def retrieve_for_seeds(s1: Stage1, seeds: DataFrame, p: Params, items=None) -> DataFrame:
@@ -93,8 +92,7 @@ def train_stage2(spark, sf_dir, s1: Stage1, p: Params):
     keep = S.train_playlists(mapped, p.n_train).select("playlist_int_id")
     rows = mapped.join(keep, "playlist_int_id", "left_semi").select("playlist_id", "track_id")
     sp = S.holdout_split(rows, p.holdout, p.salt)
-    ids = mapped.select("playlist_id", "playlist_int_id", "track_id", "track_int_id").distinct()
-    sp = sp.join(ids, ["playlist_id", "track_id"]).persist(StorageLevel.MEMORY_AND_DISK)
+    sp = C.shared_copy(sp.join(C.playlist_map(spark, sf_dir), "playlist_id").join(s1.tmap, "track_id"), "train-split")
     seeds = sp.filter("held = 0")
     targets = sp.filter("held = 1").select("playlist_int_id", "track_int_id")
     cands = retrieve_for_seeds(
@@ -109,7 +107,6 @@ def train_stage2(spark, sf_dir, s1: Stage1, p: Params):
     frame = TR.both_label_groups(frame)
     model = RK.fit_lambdamart(frame, p.n_trees, p.learning_rate, p.depth)
     _MEMO[key] = model.save(scratch_path(spark, "ranker"))
-    sp.unpersist()
     return model
 
 
@@ -122,7 +119,7 @@ def recommend(spark, sf_dir, seed_requests: DataFrame, p: Params, with_engine: b
     """
     s1 = train_stage1(spark, sf_dir, p)
     seeds = seed_requests.join(s1.tmap, "track_id").select("request_id", F.col("track_int_id").alias("item_id"))
-    pool = retrieve_for_seeds(s1, seeds, p).persist(StorageLevel.MEMORY_AND_DISK)
+    pool = C.shared_copy(retrieve_for_seeds(s1, seeds, p), "pool")
     als_only = _als_only(pool, s1.tmap, p.k)
     if not with_engine:
         return als_only, pool
@@ -167,9 +164,8 @@ def recommend_known(spark, sf_dir, playlists: DataFrame, p: Params):
     seen = s1.mapped.join(playlists.select("playlist_int_id"), "playlist_int_id", "left_semi").select(
         F.col("playlist_int_id").cast("long").alias("user_id"), F.col("track_int_id").alias("item_id"))
     cand = RV.top_n(users, items, p.n_candidates, seen=seen)
-    pool = cand.select(F.col("user_id").alias("request_id"), F.col("item_id").alias("track_int_id"),
-                       F.col("score").alias("als_score"), F.col("rank").alias("als_rank")).persist(
-                           StorageLevel.MEMORY_AND_DISK)
+    pool = C.shared_copy(cand.select(F.col("user_id").alias("request_id"), F.col("item_id").alias("track_int_id"),
+                                     F.col("score").alias("als_score"), F.col("rank").alias("als_rank")), "pool")
     rows = s1.mapped.join(playlists.select("playlist_int_id"), "playlist_int_id", "left_semi").select(
         F.col("playlist_int_id").cast("long").alias("request_id"), "track_id")
     prof = PR.profiles(rows, C.track_metadata(spark, sf_dir), mode="rows")

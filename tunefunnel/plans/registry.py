@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import exact_mean_sql, round_to
+from ..functions.columns import round_to, stable_round, stable_round_sql
 from ..operators import metrics as M
 from ..session import ship_package
 from ..operators import popularity as P
@@ -53,13 +53,15 @@ def r6(c):
 
 def eval_heldout(spark: SparkSession, sf_dir: str, frac: float = HOLDOUT, salt: str = SALT,
                  min_tracks: int = MIN_TRACKS) -> DataFrame:
-    """The split of every eligible playlist (>= min_tracks rows), all of them,
-    written once per application and shared by every evaluation query."""
-    def build():
-        inter = C.interactions(spark, sf_dir)
-        elig = S.eligible_playlists(inter, min_tracks).select("playlist_id")
-        return S.holdout_split(inter.join(elig, "playlist_id", "left_semi"), frac, salt)
-    return C.shared_table(spark, ("eval_split", sf_dir, frac, str(salt), min_tracks), build)
+    """The split of every eligible playlist (>= min_tracks rows), all of them."""
+    return whole_split(spark, sf_dir, frac, salt).filter(F.col("n") >= min_tracks)
+
+
+def whole_split(spark: SparkSession, sf_dir: str, frac: float = HOLDOUT, salt: str = SALT) -> DataFrame:
+    """The split of every playlist, written once per application and shared by
+    every evaluation query; it carries each playlist's row count ``n``."""
+    return C.shared_table(spark, ("split", sf_dir, frac, str(salt)),
+                          lambda: S.holdout_split(C.interactions(spark, sf_dir), frac, salt))
 
 
 # --------------------------------------------------------------------------
@@ -203,8 +205,7 @@ FROM interactions"""
 @query("id_mapping", _IDMAP_SQL)
 def id_mapping(spark, sf_dir):
     """S-08, W-01: interaction_matrix_mapped with contiguous 0-based ids."""
-    mapped, _, _ = I.map_ids(C.interactions(spark, sf_dir))
-    return mapped
+    return C.mapped(spark, sf_dir)
 
 
 @query("fk_orphans", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA) + """
@@ -233,8 +234,8 @@ mapped AS (
 
 
 @query("interaction_confidence", Q.with_(Q.INTERACTIONS, _MAPPED_CTE) + """
-SELECT CAST(playlist_int_id AS INTEGER) AS playlist_int_id, CAST(track_int_id AS INTEGER) AS track_int_id,
-       CAST(COUNT(*) AS FLOAT) AS confidence
+SELECT CAST(playlist_int_id AS BIGINT) AS playlist_int_id, CAST(track_int_id AS BIGINT) AS track_int_id,
+       CAST(COUNT(*) AS BIGINT) AS confidence
 FROM mapped GROUP BY 1, 2""")
 def interaction_confidence(spark, sf_dir):
     """S-03, M-01, A-13, P-07, P-09: long-form sparse matrix, duplicates summed."""
@@ -262,7 +263,7 @@ def matrix_stats(spark, sf_dir):
 from ..operators import profiles as PR  # noqa: E402
 from ..sources.schemas import AVG_FEATURES, DIFF_FEATURES, FEATURES, TRACK_FEATURES  # noqa: E402
 
-_AVG_SQL = ", ".join(f"ROUND({exact_mean_sql('m.' + f)}, 6) AS avg_{f}" for f in FEATURES)
+_AVG_SQL = ", ".join(f"{stable_round_sql(f'AVG(m.{f})')} AS avg_{f}" for f in FEATURES)
 _PMAP_CTE = """
 pmap AS (
   SELECT playlist_id, DENSE_RANK() OVER (ORDER BY playlist_id) - 1 AS playlist_int_id
@@ -279,6 +280,11 @@ def _round_cols(df, cols):
     return df.withColumns({c: r6(F.col(c)) for c in cols})
 
 
+def _mean_cols(df, cols):
+    """Means, and what is computed from them, rounded alike in both engines."""
+    return df.withColumns({c: stable_round(F.col(c)) for c in cols})
+
+
 @query("profile_playlist", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA, _PMAP_CTE) + f"""
 SELECT CAST(p.playlist_int_id AS BIGINT) AS request_id, {_AVG_SQL},
        CAST(COUNT(i.track_id) AS BIGINT) AS playlist_length
@@ -288,10 +294,9 @@ def profile_playlist(spark, sf_dir):
     """A-03, J-03, P-06: known-playlist profile for every playlist int id
     (int id -> text id through the id map, then rows ⋈ catalog, GROUP BY)."""
     inter = C.interactions(spark, sf_dir)
-    pmap = I.id_map(inter, "playlist_id", "playlist_int_id")
-    reqs = inter.join(pmap, "playlist_id").select(F.col("playlist_int_id").alias("request_id"), "track_id")
+    reqs = inter.join(C.playlist_map(spark, sf_dir), "playlist_id").select(F.col("playlist_int_id").alias("request_id"), "track_id")
     prof = PR.profiles(reqs, C.track_metadata(spark, sf_dir), mode="rows")
-    return _round_cols(prof, AVG_FEATURES)
+    return _mean_cols(prof, AVG_FEATURES)
 
 
 def seed_requests(spark, sf_dir):
@@ -315,7 +320,7 @@ def profile_seeds(spark, sf_dir):
     requests with no match keep a row of NULLs and length 0 (K4)."""
     reqs = seed_requests(spark, sf_dir)
     prof = PR.profiles(reqs, C.track_metadata(spark, sf_dir), mode="distinct", keep_empty=True)
-    return _round_cols(prof, AVG_FEATURES)
+    return _mean_cols(prof, AVG_FEATURES)
 
 
 @query("profile_train", Q.with_(*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _SEEDS_CTE) + f"""
@@ -325,12 +330,12 @@ def profile_train(spark, sf_dir):
     """A-05, J-07, S-04: training seed profile, mean over seed occurrences."""
     prof = PR.profiles(seed_requests(spark, sf_dir), C.track_metadata(spark, sf_dir),
                        mode="rows", with_length=False)
-    return _round_cols(prof, AVG_FEATURES)
+    return _mean_cols(prof, AVG_FEATURES)
 
 
 _TRACK_SQL = ", ".join(f"ROUND(m.{f}, 6) AS track_{f}" for f in FEATURES)
-_PROF_SQL = ", ".join(f"ROUND(x.avg_{f}, 6) AS avg_{f}" for f in FEATURES)
-_DIFF_SQL = ", ".join(f"ROUND(ABS(x.avg_{f} - m.{f}), 6) AS {f}_diff" for f in FEATURES)
+_PROF_SQL = ", ".join(f"{stable_round_sql(f'x.avg_{f}')} AS avg_{f}" for f in FEATURES)
+_DIFF_SQL = ", ".join(f"{stable_round_sql(f'ABS(x.avg_{f} - m.{f})')} AS {f}_diff" for f in FEATURES)
 
 
 @query("cross_features", Q.with_(*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _PMAP_CTE, _SEEDS_CTE, f"""
@@ -343,7 +348,7 @@ prof AS (
   SELECT r.request_id, {", ".join(f"x.avg_{f}" for f in FEATURES)},
          COALESCE(x.playlist_length, 0) AS playlist_length
   FROM (SELECT DISTINCT request_id FROM seeds) r LEFT JOIN (
-    SELECT s.request_id, {", ".join(f"{exact_mean_sql('m.' + f)} AS avg_{f}" for f in FEATURES)},
+    SELECT s.request_id, {", ".join(f"AVG(m.{f}) AS avg_{f}" for f in FEATURES)},
            COUNT(*) AS playlist_length
     FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id)
     GROUP BY s.request_id) x USING (request_id)
@@ -361,7 +366,7 @@ def cross_features(spark, sf_dir):
     playlist's seed-list profile (seed requests keep candidates, K4)."""
     inter = C.interactions(spark, sf_dir)
     split = eval_heldout(spark, sf_dir)
-    tmap = I.id_map(inter, "track_id", "track_int_id")
+    tmap = C.track_map(spark, sf_dir)
     counts = P.track_counts(inter)
     cands = (split.filter("held = 1").select(F.col("playlist_id").alias("request_id"), "track_id")
              .distinct().join(tmap, "track_id").join(counts, "track_id")
@@ -369,7 +374,7 @@ def cross_features(spark, sf_dir):
     meta = C.track_metadata(spark, sf_dir)
     prof = PR.profiles(seed_requests(spark, sf_dir), meta, mode="distinct", keep_empty=True)
     out = PR.candidate_features(cands, tmap, meta, prof, keep_unprofiled=True)
-    return _round_cols(out, TRACK_FEATURES + AVG_FEATURES + DIFF_FEATURES)
+    return _mean_cols(_round_cols(out, TRACK_FEATURES), AVG_FEATURES + DIFF_FEATURES)
 
 
 @query("sample_playlists", Q.with_(Q.INTERACTIONS) + f"""
@@ -454,7 +459,7 @@ SELECT user_id, item_id, ROUND(score, 6) AS score, CAST(rank AS BIGINT) AS rank
 WHERE rank <= {N_CANDIDATES}""")
 def topn_unseen(spark, sf_dir):
     """M-03, J-10: top-200 with each user's own items (its label's vectors)
-    removed exactly (fetch k + n_seen, anti join, renumber)."""
+    left out."""
     out = _emb_topn(spark, sf_dir, unseen=True)
     return out.select("user_id", "item_id", r6(F.col("score")).alias("score"),
                       F.col("rank").cast("long").alias("rank"))
@@ -468,9 +473,7 @@ WHERE r.rank <= {N_CANDIDATES} AND t.track_id IN (SELECT track_id FROM track_met
 def candidate_lookup(spark, sf_dir):
     """J-09, A-11, P-10 (K15): candidate int ids -> track ids through the
     catalog's id dimension; unmapped candidates drop out and positions close up."""
-    inter = C.interactions(spark, sf_dir)
-    tmap = I.id_map(inter, "track_id", "track_int_id")
-    catalog_ids = tmap.join(C.track_metadata(spark, sf_dir).select("track_id"), "track_id", "left_semi")
+    catalog_ids = C.track_map(spark, sf_dir).join(C.track_metadata(spark, sf_dir).select("track_id"), "track_id", "left_semi")
     cands = _emb_topn(spark, sf_dir, unseen=True)
     dim = catalog_ids.select(F.col("track_int_id").alias("item_id"), "track_id")
     out = RV.lookup_ids(cands, dim, key="user_id", int_col="item_id", out_id="track_id")
@@ -498,13 +501,28 @@ def trained_stage1(spark, sf_dir, fit_on: str = "all"):
     if fit_on == "all":
         s1 = REC.train_stage1(spark, sf_dir, REC.Params(rank=ALS_RANK, iters=ALS_ITERS, reg=ALS_REG))
         return AL.load_model(s1.model_path), mapped, cells
-    held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
-    seed_rows = mapped.join(held, ["playlist_id", "track_id"], "left_anti")
-    model = AL.fit_als(I.confidence(seed_rows), ALS_RANK, ALS_ITERS, ALS_REG)
+    model = AL.fit_als(I.confidence(seed_side(spark, sf_dir)), ALS_RANK, ALS_ITERS, ALS_REG)
     path = AL.save_model(model, scratch_path(spark, "als-model"))
     return AL.load_model(path), mapped, cells
 
 
+def seed_side(spark, sf_dir):
+    """The mapped rows that are not held out: the seed occurrences of eligible
+    playlists, and every row of the others.  A pair with copies on both sides
+    keeps its seed copies (K8)."""
+    rows = whole_split(spark, sf_dir).filter((F.col("held") == 0) | (F.col("n") < MIN_TRACKS))
+    return I.with_ids(rows.select("playlist_id", "track_id"), C.playlist_map(spark, sf_dir),
+                      C.track_map(spark, sf_dir))
+
+
+@query("seed_side", Q.with_(Q.INTERACTIONS, Q.split("interactions", HOLDOUT, SALT)) + f"""
+SELECT playlist_id, track_id, CAST(COUNT(*) AS BIGINT) AS n_rows FROM split
+WHERE pos > n_hold OR n < {MIN_TRACKS} GROUP BY 1, 2""")
+def seed_side_rows(spark, sf_dir):
+    """K16: the rows that the leakage-free fit reads, with their copies."""
+    return seed_side(spark, sf_dir).groupBy("playlist_id", "track_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 @query("als_candidates")
 def als_candidates(spark, sf_dir):
     """M-02, M-03, M-05, M-06, L-07, S-10, S-11: fit ALS (50 factors, 15
@@ -521,9 +539,7 @@ def als_candidates(spark, sf_dir):
 def foldin_requests(spark, sf_dir, mapped):
     """Seed requests keyed by playlist int id, seeds as track int ids."""
     seeds = eval_heldout(spark, sf_dir).filter("held = 0").select("playlist_id", "track_id")
-    pm = mapped.select("playlist_id", "playlist_int_id").distinct()
-    tm = mapped.select("track_id", "track_int_id").distinct()
-    return (seeds.join(pm, "playlist_id").join(tm, "track_id")
+    return (seeds.join(C.playlist_map(spark, sf_dir), "playlist_id").join(C.track_map(spark, sf_dir), "track_id")
                  .select(F.col("playlist_int_id").alias("request_id"), F.col("track_int_id").alias("item_id")))
 
 
@@ -558,8 +574,7 @@ def training_split(spark, sf_dir):
     """Split of the first N_TRAIN playlists with >= 2 tracks (L-01, P-11),
     with int ids attached: [playlist_int_id, track_int_id, track_id, held]."""
     mapped = C.mapped(spark, sf_dir)
-    pmap = mapped.select("playlist_id", "playlist_int_id").distinct()
-    tmap = mapped.select("track_id", "track_int_id").distinct()
+    pmap, tmap = C.playlist_map(spark, sf_dir), C.track_map(spark, sf_dir)
     keep = S.train_playlists(mapped, N_TRAIN).select("playlist_int_id")
     rows = mapped.join(keep, "playlist_int_id", "left_semi").select("playlist_id", "track_id")
     sp = S.holdout_split(rows, HOLDOUT, SALT)
@@ -584,7 +599,7 @@ def _training_pipeline(spark, sf_dir):
     """Split and candidates are written once per application and shared by
     the four training-set queries."""
     split_tbl = C.shared_table(spark, ("train_split", sf_dir), lambda: training_split(spark, sf_dir)[0])
-    tmap = C.mapped(spark, sf_dir).select("track_id", "track_int_id").distinct()
+    tmap = C.track_map(spark, sf_dir)
     seeds = split_tbl.filter("held = 0")
     targets = split_tbl.filter("held = 1").select("playlist_int_id", "track_int_id")
     cands = C.shared_table(spark, ("train_emb_cands", sf_dir), lambda: embedding_candidates(spark, sf_dir, seeds))
@@ -633,7 +648,7 @@ sampled AS (
     FROM labelled) WHERE label = 1 OR r <= {N_NEG}
 ),
 prof AS (
-  SELECT s.playlist_int_id, {", ".join(f"{exact_mean_sql('m.' + f)} AS avg_{f}" for f in FEATURES)}
+  SELECT s.playlist_int_id, {", ".join(f"AVG(m.{f}) AS avg_{f}" for f in FEATURES)}
   FROM seeds s JOIN track_metadata m USING (track_id) GROUP BY s.playlist_int_id
 ),
 frame AS (
@@ -677,19 +692,18 @@ def _train_frame(spark, sf_dir):
                              seeds.select("playlist_int_id", "track_id"))
 
 
-_FRAME_COLS = TRACK_FEATURES + AVG_FEATURES + DIFF_FEATURES
-
-
 @query("training_frame", _TRAIN_SQL + f"""
 SELECT CAST(playlist_int_id AS BIGINT) AS playlist_int_id, track_id, label, ROUND(als_score, 6) AS als_score,
-       {", ".join(f"ROUND({c}, 6) AS {c}" for c in _FRAME_COLS)}
+       {", ".join(f"ROUND({c}, 6) AS {c}" for c in TRACK_FEATURES)},
+       {", ".join(f"{stable_round_sql(c)} AS {c}" for c in AVG_FEATURES + DIFF_FEATURES)}
 FROM frame""")
 def training_frame(spark, sf_dir):
     """M-08, J-06, P-17 inputs: labelled rows with track, profile and
     difference features."""
     f = _train_frame(spark, sf_dir)
     return f.select(F.col("playlist_int_id").cast("long").alias("playlist_int_id"), "track_id", "label",
-                    r6(F.col("als_score")).alias("als_score"), *[r6(F.col(c)).alias(c) for c in _FRAME_COLS])
+                    r6(F.col("als_score")).alias("als_score"), *[r6(F.col(c)).alias(c) for c in TRACK_FEATURES],
+                    *[stable_round(F.col(c)).alias(c) for c in AVG_FEATURES + DIFF_FEATURES])
 
 
 @query("both_label_groups", _TRAIN_SQL + """
@@ -728,13 +742,13 @@ cands AS (
 prof AS (
   SELECT r.request_id, x.avg_acousticness
   FROM (SELECT DISTINCT request_id FROM seeds) r LEFT JOIN (
-    SELECT s.request_id, {exact_mean_sql('m.acousticness')} AS avg_acousticness
+    SELECT s.request_id, AVG(m.acousticness) AS avg_acousticness
     FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id)
     GROUP BY s.request_id) x USING (request_id)
 ),
 scored AS (
   SELECT c.request_id, c.track_int_id, CAST(n.c AS DOUBLE) AS als_score,
-         0.0 - ROUND(COALESCE(ABS(x.avg_acousticness - m.acousticness), 1000.0)) AS rank_score
+         0.0 - ROUND(COALESCE({stable_round_sql('ABS(x.avg_acousticness - m.acousticness)')}, 1000.0)) AS rank_score
   FROM cands c JOIN tmap t USING (track_int_id) JOIN counts n USING (track_id)
   JOIN track_metadata m USING (track_id) LEFT JOIN prof x USING (request_id)
 )""") + f"""
@@ -756,9 +770,15 @@ def rerank_topk(spark, sf_dir):
 
 
 def eval_seed_requests(spark, sf_dir):
-    """Seed requests of every eligible playlist, keyed by a long request id."""
-    sp = eval_heldout(spark, sf_dir)
-    return sp.filter("held = 0").select(F.col("playlist_id").cast("long").alias("request_id"), "track_id")
+    """Seed requests of every eligible playlist, keyed by its int id."""
+    sp = eval_heldout(spark, sf_dir).filter("held = 0").join(C.playlist_map(spark, sf_dir), "playlist_id")
+    return sp.select(F.col("playlist_int_id").alias("request_id"), "track_id")
+
+
+def by_playlist(spark, sf_dir, requests):
+    """Rows of int request ids with their text playlist ids."""
+    ids = C.playlist_map(spark, sf_dir).select(F.col("playlist_int_id").alias("request_id"), "playlist_id")
+    return requests.join(ids, "request_id")
 
 
 _EVAL_RECS: dict = {}
@@ -768,11 +788,11 @@ def eval_recommend(spark, sf_dir):
     """Both arms' recommendations and the scored candidate pool for every
     eligible playlist: computed once per application, written to the shared
     checkpoint folder and reused by every report."""
-    from ..session import reliable_checkpoint
+    from ..session import shared_copy
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _EVAL_RECS:
         recs, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
-        _EVAL_RECS[k] = (reliable_checkpoint(recs), reliable_checkpoint(scored.drop("features")))
+        _EVAL_RECS[k] = (shared_copy(recs, "recommendations"), shared_copy(scored.drop("features"), "scored"))
     return _EVAL_RECS[k]
 
 
@@ -971,8 +991,9 @@ def _per_arm_n(spark, sf_dir):
     return S.eligible_playlists(inter, MIN_TRACKS).count() // 2
 
 
-def _power_sql():
-    za, zb = ST.Z_ALPHA, ST.Z_BETA
+def _power_ctes():
+    # standard normal quantiles at 0.975 and 0.8, from tables
+    za, zb = 1.959963984540054, 0.8416212335729143
     zz = (za + zb) ** 2
     return Q.with_(*_PILOT_CTES, f"""
 pw AS (
@@ -997,13 +1018,13 @@ tbl AS (
 full_tbl AS (
   SELECT * FROM tbl UNION ALL
   SELECT 'overall', NULL, NULL, MAX(required_n), MAX(per_arm_n) FROM tbl
-)""") + """
-SELECT metric, CAST(target_mde AS DOUBLE) AS target_mde, ROUND(mde_at_n, 6) AS mde_at_n, required_n,
-       CAST(per_arm_n AS BIGINT) AS per_arm_n, CAST(CASE WHEN per_arm_n >= required_n THEN 1 ELSE 0 END AS INTEGER) AS ok
-FROM full_tbl"""
+)""")
 
 
-@query("power_table", _power_sql())
+@query("power_table", _power_ctes() + """
+SELECT metric, CAST(target_mde AS DOUBLE) AS target_mde, ROUND(mde_at_n, 6) AS mde_at_n, required_n,
+       CAST(per_arm_n AS BIGINT) AS per_arm_n, CAST(CASE WHEN per_arm_n >= required_n THEN 1 ELSE 0 END AS INTEGER) AS ok
+FROM full_tbl""")
 def power_table(spark, sf_dir):
     """E-13..E-16, E-18, E-19, F-07, F-08: MDE at the planned per-arm n (half
     of the eligible playlists), required per-arm n per metric (target 0.03,
@@ -1085,16 +1106,13 @@ N_BOOT = 5000
 
 
 @query("bootstrap_ci", Q.with_(*_EXP_CTES, f"""
-idx AS (SELECT arm, ndcg AS v, ROW_NUMBER() OVER (PARTITION BY arm ORDER BY playlist_id) - 1 AS i FROM exp),
-sizes AS (SELECT arm, COUNT(*) AS n FROM idx GROUP BY arm),
 draws AS (
-  SELECT s.arm, r.id // ((s.n + 3) // 4) AS rep,
-         ('0x' || substr(md5('42:' || s.arm || ':' || CAST(r.id // ((s.n + 3) // 4) AS VARCHAR) || ':'
-                             || CAST(r.id % ((s.n + 3) // 4) AS VARCHAR)), 8 * w.r + 1, 8))::BIGINT % s.n AS i
-  FROM sizes s, range(0, {N_BOOT} * (SELECT MAX((n + 3) // 4) FROM sizes)) r(id), (VALUES (0), (1), (2), (3)) w(r)
-  WHERE r.id < {N_BOOT} * ((s.n + 3) // 4) AND (r.id % ((s.n + 3) // 4)) * 4 + w.r < s.n
+  SELECT e.arm, e.ndcg AS v, q.id * {ST.WORDS} + w.r AS rep,
+         ('0x' || substr(md5('42:' || e.arm || ':' || e.playlist_id || ':' || CAST(q.id AS VARCHAR)), 4 * w.r + 1, 4))::BIGINT AS u
+  FROM exp e, range(0, {-(-N_BOOT // ST.WORDS)}) q(id), range(0, {ST.WORDS}) w(r)
 ),
-reps AS (SELECT d.arm, d.rep, AVG(x.v) AS m FROM draws d JOIN idx x ON x.arm = d.arm AND x.i = d.i GROUP BY d.arm, d.rep),
+weighted AS (SELECT arm, rep, v, {" + ".join(f"CAST(u >= {c} AS INTEGER)" for c in ST.poisson_cuts())} AS w FROM draws WHERE rep < {N_BOOT}),
+reps AS (SELECT arm, rep, SUM(w * v) / SUM(w) AS m FROM weighted GROUP BY arm, rep),
 diffs AS (
   SELECT a.m - b.m AS d FROM reps a JOIN reps b ON a.rep = b.rep AND a.arm = '{ARM_A}' AND b.arm = '{ARM_B}'
 )""") + f"""
@@ -1104,9 +1122,9 @@ SELECT 'ndcg' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, {N_BOOT} AS n_b
 FROM diffs""")
 def bootstrap_ci(spark, sf_dir):
     """E-11, A-18: 5000-replicate independent-groups bootstrap CI (95 %) of the
-    NDCG difference between the experiment arms (md5 draws, four per digest,
-    portable)."""
-    out = ST.bootstrap_ci(assigned_metrics(spark, sf_dir), "ndcg", ARM_A, ARM_B, N_BOOT, 95.0, seed=42, draw="md5")
+    NDCG difference between the experiment arms (Poisson weights from md5,
+    eight to a digest, portable)."""
+    out = ST.bootstrap_ci(assigned_metrics(spark, sf_dir), "ndcg", ARM_A, ARM_B, N_BOOT, 95.0, seed=42)
     return out.select("metric", "arm_a", "arm_b", "n_boot",
                       *[r6(F.col(c)).alias(c) for c in ("boot_mean_diff", "ci_low", "ci_high")])
 
@@ -1119,7 +1137,7 @@ def engine_recs(spark, sf_dir):
     """Both model arms' top-20 for every eligible playlist, computed once and
     persisted (the expensive part of every report)."""
     recs, _ = eval_recommend(spark, sf_dir)
-    return recs.select(F.col("request_id").cast("string").alias("playlist_id"), "arm", "rank", "track_id")
+    return by_playlist(spark, sf_dir, recs).select("playlist_id", "arm", "rank", "track_id")
 
 
 def engine_arm_metrics(spark, sf_dir, recs, longtail: bool = False):
@@ -1133,9 +1151,7 @@ def engine_arm_metrics(spark, sf_dir, recs, longtail: bool = False):
     for arm in ("engine", "als_only"):
         per.append(M.metrics_at_k(held, recs.filter(F.col("arm") == arm), K).withColumn("arm", F.lit(arm)))
     per.append(M.metrics_at_k(held, P.popularity_topk(inter, K), K, shared=True).withColumn("arm", F.lit("popularity")))
-    out = per[0].unionByName(per[1]).unionByName(per[2]).persist()
-    out.count()
-    return out
+    return C.shared_copy(per[0].unionByName(per[1]).unionByName(per[2]), "arm-metrics")
 
 
 @query("eval_report")
@@ -1163,9 +1179,13 @@ def rerank_diagnostics(spark, sf_dir):
     """E-08, A-17, J-12: rank-score spread per playlist, degenerate flag, and
     how many stage-1 hits in the top 20 survive the rerank."""
     _, scored = eval_recommend(spark, sf_dir)
-    held = eval_heldout(spark, sf_dir).filter("held = 1").select(
-        F.col("playlist_id").cast("long").alias("request_id"), "track_id")
-    return EX.rerank_diagnostics(scored, held, K)
+    s1 = REC.train_stage1(spark, sf_dir, check_params())
+    seeds = eval_seed_requests(spark, sf_dir).join(s1.tmap, "track_id").select(
+        "request_id", F.col("track_int_id").alias("item_id"))
+    pool = REC.retrieve_for_seeds(s1, seeds, check_params()).join(s1.tmap, "track_int_id")
+    held = eval_heldout(spark, sf_dir).filter("held = 1").join(C.playlist_map(spark, sf_dir), "playlist_id").select(
+        F.col("playlist_int_id").alias("request_id"), "track_id")
+    return EX.rerank_diagnostics(pool, scored, held, K)
 
 
 @query("ab_report")
@@ -1173,16 +1193,38 @@ def ab_report(spark, sf_dir):
     """E-12, E-17..E-21: pilot (200 playlists, both arms) -> power analysis ->
     one arm per eligible playlist (engine 'treatment' vs stage-1 'als') ->
     Welch / z tests with p-values, bootstrap CIs, agreement and power flags."""
-    per = engine_arm_metrics(spark, sf_dir, engine_recs(spark, sf_dir)).filter(F.col("arm").isin("engine", "als_only"))
-    per = per.withColumn("arm", F.when(F.col("arm") == "engine", F.lit("treatment")).otherwise(F.lit("als")))
     inter = C.interactions(spark, sf_dir)
+    elig = S.eligible_playlists(inter, MIN_TRACKS).select("playlist_id")
     pilot_ids = S.sample_playlists(inter, PILOT_N, MIN_TRACKS, SALT).select("playlist_id")
+    recs = engine_recs(spark, sf_dir)
+    held = eval_heldout(spark, sf_dir).filter("held = 1").select("playlist_id", "track_id")
+    per = None
+    for arm, name in (("engine", "treatment"), ("als_only", "als")):
+        one = M.metrics_at_k(held, recs.filter(F.col("arm") == arm), K).withColumn("arm", F.lit(name))
+        per = one if per is None else per.unionByName(one)
+    per = C.shared_copy(per, "experiment-metrics")
     pilot = EX.pilot_stats(per.join(pilot_ids, "playlist_id", "left_semi"))
-    power = EX.power_table(pilot, _per_arm_n(spark, sf_dir))
-    required = power.filter("metric = 'overall'").first()["required_n"]   # one row
-    elig = S.eligible_playlists(inter, MIN_TRACKS)
-    assigned = EX.experiment_metrics(per, EX.assign_arms(elig, EXP_SALT))
-    return EX.report(assigned, "treatment", "als", required_per_arm_n=int(required) if required else None)
+    power = EX.power_table(pilot, _per_arm_n(spark, sf_dir), arm_a="treatment", arm_b="als")
+    plan = EX.sizing(power, elig.count()).first()   # one row
+    assigned = EX.assign_arms(elig, EXP_SALT, ("treatment", "als")).filter(
+        F.col("position") <= 2 * (plan["per_arm_n"] or 0))
+    return EX.report(EX.experiment_metrics(per, assigned), "treatment", "als",
+                     required_per_arm_n=plan["required_n"])
+
+
+@query("experiment_sizing", _power_ctes() + """,
+need AS (SELECT MAX(required_n) AS r, MAX(per_arm_n) AS half, (SELECT COUNT(*) FROM eligible) AS n FROM full_tbl),
+plans AS (SELECT *, r AS wanted, 'auto' AS planned FROM need UNION ALL SELECT *, 100, 'override' FROM need)
+SELECT CAST(n AS BIGINT) AS n_eligible, CAST(r AS BIGINT) AS required_n, CAST(LEAST(wanted, half) AS BIGINT) AS per_arm_n,
+       CAST(2 * LEAST(wanted, half) AS BIGINT) AS total_n, planned,
+       CAST(CASE WHEN LEAST(wanted, half) < r THEN 1 ELSE 0 END AS INTEGER) AS underpowered
+FROM plans""")
+def experiment_sizing(spark, sf_dir):
+    """E-17..E-19: planned size of the experiment, from the pilot's power
+    analysis (auto) and with an override of 100 playlists per arm."""
+    elig = S.eligible_playlists(C.interactions(spark, sf_dir), MIN_TRACKS).count()
+    power = EX.power_table(EX.pilot_stats(pilot_metrics(spark, sf_dir)), _per_arm_n(spark, sf_dir), arm_a=ARM_A, arm_b=ARM_B)
+    return EX.sizing(power, elig).unionByName(EX.sizing(power, elig, 100))
 
 
 @query("stable_seed")
@@ -1208,11 +1250,10 @@ def stage1_leakage(spark, sf_dir):
         model, _, _ = trained_stage1(spark, sf_dir, fit_on)
         _, items = AL.factors(model)
         pool = REC.retrieve_for_seeds(s1, seeds, p, items=items).filter(F.col("als_rank") <= K)
-        recs = pool.join(s1.tmap, "track_int_id").select(
-            F.col("request_id").cast("string").alias("playlist_id"), F.col("als_rank").alias("rank"), "track_id")
+        recs = by_playlist(spark, sf_dir, pool.join(s1.tmap, "track_int_id")).select(
+            "playlist_id", F.col("als_rank").alias("rank"), "track_id")
         per.append(M.metrics_at_k(held, recs, K).withColumn("arm", F.lit(name)))
-    both = per[0].unionByName(per[1]).persist()
-    both.count()
+    both = C.shared_copy(per[0].unionByName(per[1]), "leakage-metrics")
     out = None
     for metric in ("ndcg", "recall"):
         t = ST.with_t_p(ST.paired_ttest(both, metric, "als_all", "als_seed_only"))
@@ -1225,6 +1266,6 @@ def recommend_known(spark, sf_dir):
     """M-03, M-11, P-18 (int targets): the two-stage top-20 for every known
     playlist from its trained factor, its own tracks filtered as seen and its
     row-mode profile (A-03) -- both arms."""
-    playlists = C.mapped(spark, sf_dir).select("playlist_int_id").distinct()
+    playlists = C.playlist_map(spark, sf_dir).select("playlist_int_id")
     recs, _ = REC.recommend_known(spark, sf_dir, playlists, check_params())
     return recs
