@@ -173,6 +173,31 @@ def recommend_known(spark, sf_dir, playlists: DataFrame, p: Params):
                    als_only=_als_only(pool, s1.tmap, p.k))
 
 
+def serve(spark, sf_dir, requests, kind: str, p: Params):
+    """S-12, P-18, K23: recommendations for request rows of either kind, given
+    as a frame or as in-memory rows.
+
+    ``kind`` is ``playlist`` (request_id, playlist_int_id) or ``seeds``
+    (request_id, track_id); other kinds and types raise ``TypeError``.
+    Returns (recs, unserved): the rows of both arms and the request ids that
+    nothing is known about.
+    """
+    if not isinstance(requests, DataFrame):
+        item = {"playlist": "playlist_int_id long", "seeds": "track_id string"}.get(kind, "")
+        if not item:
+            raise TypeError(f"request kind must be 'playlist' or 'seeds', got {kind!r}")
+        requests = spark.createDataFrame(list(requests), f"request_id long, {item}")
+    PR.check_request_frame(requests, kind)
+    if kind == "seeds":
+        recs, _ = recommend(spark, sf_dir, requests.select("request_id", "track_id"), p)
+    else:
+        recs, _ = recommend_known(spark, sf_dir, requests.select("playlist_int_id").distinct(), p)
+        asked = requests.select(F.col("request_id").alias("_asked"), F.col("playlist_int_id").alias("request_id"))
+        recs = recs.join(asked, "request_id").withColumn("request_id", F.col("_asked")).drop("_asked")
+    recs = C.shared_copy(recs, "served")
+    return recs, AL.unserved(requests, recs.select("request_id").distinct())
+
+
 def present(recs: DataFrame, metadata: DataFrame) -> DataFrame:
     """S-13 / J-08 / L-06: names attached (left join) and ordered by rank."""
     names = metadata.select("track_id", "artist_name", "track_name")

@@ -559,6 +559,61 @@ def foldin_candidates(spark, sf_dir):
                        F.col("score").alias("als_score"), F.col("rank").cast("int").alias("als_rank"))
 
 
+def given_requests(spark, sf_dir):
+    """Seed rows on given factors: every third vector of a label, every sixth
+    one twice."""
+    emb = T.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("request_id"),
+                                                      F.col("vec_id").alias("item_id"))
+    return emb.filter("item_id % 3 = 0").unionByName(emb.filter("item_id % 6 = 0"))
+
+
+def normal_residual(conf, items, vectors, reg):
+    """Per request: its seeds and the greatest absolute entry of A·x − b of the
+    fold-in equations, computed from the vectors by joins on the dimension."""
+    spark = conf.sparkSession
+    G = AL.gram(items)
+    gram = spark.createDataFrame([(i, j, float(G[i, j])) for i in range(len(G)) for j in range(len(G))],
+                                 "i int, j int, g double")
+    ydim = items.select("item_id", F.posexplode("features").alias("i", "y"))
+    xdim = vectors.select("request_id", F.posexplode("features").alias("j", "x"))
+    n = conf.groupBy("request_id").agg(F.count(F.lit(1)).alias("n_seeds"))
+    c1 = F.col("c") - 1.0 + AL.EPS
+    seen = conf.join(ydim, "item_id")
+    dots = (seen.join(xdim.withColumnRenamed("j", "i"), ["request_id", "i"])
+            .groupBy("request_id", "item_id").agg(F.sum(F.col("y").cast("double") * F.col("x")).alias("dot")))
+    seeds = (seen.join(dots, ["request_id", "item_id"]).groupBy("request_id", "i")
+             .agg(F.sum((c1 * F.col("dot") - 1.0 - c1) * F.col("y")).alias("part")))
+    rest = xdim.join(gram, "j").groupBy("request_id", "i").agg(F.sum(F.col("g") * F.col("x")).alias("gx"))
+    ridge = xdim.join(n, "request_id").select("request_id", F.col("j").alias("i"), "n_seeds",
+                                              (F.lit(reg) * F.col("n_seeds") * F.col("x")).alias("lx"))
+    return (rest.join(seeds, ["request_id", "i"]).join(ridge, ["request_id", "i"]).groupBy("request_id")
+            .agg(F.max("n_seeds").alias("n_seeds"),
+                 F.max(F.abs(F.col("gx") + F.col("part") + F.col("lx"))).alias("residual")))
+
+
+@query("foldin_vectors", """
+SELECT m.confidence, CAST(e.label AS BIGINT) AS request_id, CAST(COUNT(*) AS BIGINT) AS n_seeds, 0.0::DOUBLE AS residual
+FROM embeddings e, (VALUES ('occurrence'), ('popularity')) m(confidence) WHERE e.vec_id % 3 = 0
+GROUP BY m.confidence, e.label""")
+def foldin_vectors(spark, sf_dir):
+    """M-04, K1 on given factors: one vector per request, for both confidence
+    rules, with the residual of its normal equations, relative to the greatest
+    entry of the Gram matrix, rounded to 4 digits."""
+    items, _ = T.embedding_factors(spark, sf_dir)
+    seeds = given_requests(spark, sf_dir)
+    popularity = seeds.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_interactions"))
+    scale = float(abs(AL.gram(items)).max())
+    out = None
+    for mode in ("occurrence", "popularity"):
+        conf = C.shared_copy(AL.seed_confidence(seeds, mode, popularity), "confidence")
+        vectors = C.shared_copy(AL.fold_in(conf, items, ALS_REG), "vectors")
+        one = normal_residual(conf, items, vectors, ALS_REG).select(
+            F.lit(mode).alias("confidence"), "request_id", "n_seeds",
+            F.abs(F.round(F.col("residual") / F.lit(scale), 4)).alias("residual"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 # --------------------------------------------------------------------------
 # Phase 5: training set.  SQL-checked with a deterministic candidate source:
 # given-factor retrieval (F2) where a playlist's vector is the mean of its
@@ -722,8 +777,8 @@ def both_label_groups(spark, sf_dir):
 # Phase 6: ranker, rerank, batch recommendation
 # --------------------------------------------------------------------------
 
+from ..operators import experiment as EX  # noqa: E402
 from ..operators import ranker as RK  # noqa: E402
-from . import recommend as REC  # noqa: E402
 
 def check_params() -> REC.Params:
     """The reference's settings: 50 factors, 15 iterations, λ 0.01, 200
@@ -769,6 +824,59 @@ def rerank_topk(spark, sf_dir):
                       "als_score", "rank_score", F.col("rank").cast("long").alias("rank"))
 
 
+_SCORED_CTES = (*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _PMAP_CTE, _SEEDS_CTE, f"""
+counts AS (SELECT track_id, COUNT(*) AS c FROM interactions GROUP BY track_id),
+pool AS (
+  SELECT DISTINCT s.playlist_id AS request_id, t.track_int_id, t.track_id, CAST(n.c AS DOUBLE) AS als_score
+  FROM split s JOIN tmap t USING (track_id) JOIN counts n USING (track_id) WHERE s.pos <= s.n_hold
+),
+prof AS (
+  SELECT s.request_id, AVG(m.acousticness) AS a
+  FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id) GROUP BY s.request_id
+),
+scored AS (
+  SELECT p.*, 0.0 - ROUND(COALESCE({stable_round_sql('ABS(x.a - m.acousticness)')}, 1000.0)) AS rank_score
+  FROM pool p JOIN track_metadata m USING (track_id) LEFT JOIN prof x USING (request_id)
+)""")
+
+
+@query("diagnostics_given", Q.with_(*_SCORED_CTES, """
+hd AS (SELECT DISTINCT playlist_id AS request_id, track_id FROM split WHERE pos <= n_hold AND pos % 2 = 1),
+als AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY als_score DESC, track_int_id) AS ar FROM pool),
+eng AS (SELECT request_id, track_int_id, rank_score,
+               ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY rank_score DESC, als_score DESC, track_int_id) AS er FROM scored),
+both_arms AS (
+  SELECT a.*, e.rank_score, e.er, h.track_id IS NOT NULL AS hit
+  FROM als a LEFT JOIN eng e USING (request_id, track_int_id) LEFT JOIN hd h USING (request_id, track_id)
+)""") + """
+SELECT b.request_id, CAST(COUNT(*) AS BIGINT) AS n_retrieved, CAST(COUNT(rank_score) AS BIGINT) AS n_scored,
+       MIN(als_score) AS als_min, MAX(als_score) AS als_max, ROUND(STDDEV_POP(als_score), 6) AS als_std,
+       MIN(rank_score) AS score_min, MAX(rank_score) AS score_max, ROUND(STDDEV_POP(rank_score), 6) AS score_std,
+       CAST(COUNT(DISTINCT rank_score) AS BIGINT) AS n_distinct_scores,
+       CAST(COUNT(*) FILTER (WHERE ar <= 5 AND hit) AS BIGINT) AS als_hits,
+       CAST(COUNT(*) FILTER (WHERE er <= 5 AND hit) AS BIGINT) AS engine_hits,
+       CAST(COUNT(*) FILTER (WHERE ar <= 5 AND er <= 5 AND hit) AS BIGINT) AS als_hits_kept,
+       COALESCE(STRING_AGG(track_id, ',' ORDER BY ar) FILTER (WHERE ar <= 5), '') AS als_top5,
+       COALESCE(STRING_AGG(track_id, ',' ORDER BY er) FILTER (WHERE er <= 5), '') AS engine_top5,
+       CAST(CASE WHEN COUNT(DISTINCT rank_score) = 1 THEN 1 ELSE 0 END AS INTEGER) AS degenerate,
+       CAST((SELECT COUNT(*) FROM hd WHERE hd.request_id = b.request_id) AS BIGINT) AS n_held
+FROM both_arms b GROUP BY b.request_id""")
+def diagnostics_given(spark, sf_dir):
+    """E-08, A-17, J-12 on given scores: stage-1 ranks over the whole pool
+    (tracks without metadata included), rerank by the coarse score of
+    ``rerank_topk``, k = 5, every other held-out track counted as held."""
+    feats = cross_features.__wrapped__(spark, sf_dir)
+    scored = feats.withColumn(
+        "rank_score", F.lit(0.0) - F.round(F.coalesce(F.col("acousticness_diff"), F.lit(1000.0))))
+    held = eval_heldout(spark, sf_dir).filter("held = 1")
+    pool = (held.select(F.col("playlist_id").alias("request_id"), "track_id").distinct()
+            .join(C.track_map(spark, sf_dir), "track_id").join(P.track_counts(C.interactions(spark, sf_dir)), "track_id")
+            .select("request_id", "track_int_id", "track_id", F.col("n_interactions").cast("double").alias("als_score")))
+    out = EX.rerank_diagnostics(pool, scored, held.filter("pos % 2 = 1").select(
+        F.col("playlist_id").alias("request_id"), "track_id"), 5)
+    return _round_cols(out, ["als_std", "score_std"])
+
+
 def eval_seed_requests(spark, sf_dir):
     """Seed requests of every eligible playlist, keyed by its int id."""
     sp = eval_heldout(spark, sf_dir).filter("held = 0").join(C.playlist_map(spark, sf_dir), "playlist_id")
@@ -962,6 +1070,22 @@ def paired_ttest(spark, sf_dir):
                                                     for c in _TTEST_COLS])
 
 
+@query("eval_lift", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql(), "tt AS (" + _paired_sql("ndcg") + " UNION ALL "
+                            + _paired_sql("recall") + ")") + """
+SELECT metric, arm_a, arm_b, mean_a, mean_b, lift, lift_pct, t_stat,
+       CASE WHEN t_stat IS NULL THEN 'no variance' WHEN ABS(t_stat) >= 1.9616 THEN 'significant at 0.05'
+            ELSE 'not significant at 0.05' END AS note
+FROM tt""")
+def eval_lift(spark, sf_dir):
+    """E-06: means of both arms with the lift and its significance note.  (The
+    SQL takes the critical value of about 1,500 pairs in place of the p-value.)"""
+    per = two_arm_metrics(spark, sf_dir)
+    out = ST.paired_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.paired_ttest(per, "recall", ARM_A, ARM_B))
+    out = ST.with_t_p(out).withColumn("note", ST.significance_note(F.col("p_value")))
+    return out.select("metric", "arm_a", "arm_b", *[r6(F.col(c)).alias(c) for c in
+                                                    ("mean_a", "mean_b", "lift", "lift_pct", "t_stat")], "note")
+
+
 _PILOT_CTES = (*_TWO_ARM_CTES, *_two_arm_sql(), f"""
 pilot AS (SELECT playlist_id FROM eligible ORDER BY md5('{SALT}:' || playlist_id), playlist_id LIMIT {PILOT_N}),
 pstats AS (
@@ -1227,9 +1351,18 @@ def experiment_sizing(spark, sf_dir):
     return EX.sizing(power, elig).unionByName(EX.sizing(power, elig, 100))
 
 
-@query("stable_seed")
+# CRC-32 byte by byte: eight shifts of the reflected polynomial each.
+_CRC32_SQL = """xor(list_reduce(
+    list_concat([4294967295::BIGINT], list_transform(range(1, length(s) + 1), lambda i: ord(substr(s, i, 1))::BIGINT)),
+    lambda acc, b: list_reduce(list_concat([xor(acc, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                               lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"""
+
+
+@query("stable_seed", Q.with_(Q.INTERACTIONS, Q.eligible(MIN_TRACKS)) + f"""
+SELECT playlist_id, CAST({_CRC32_SQL} AS BIGINT) AS stable_seed
+FROM (SELECT playlist_id, '{SALT}:' || playlist_id AS s FROM eligible)""")
 def stable_seed(spark, sf_dir):
-    """F-01 (rows-only: DuckDB has no crc32): the per-playlist stable seed
+    """F-01: the per-playlist stable seed
     ``crc32(f"{salt}:{playlist}")`` for every eligible playlist."""
     elig = S.eligible_playlists(C.interactions(spark, sf_dir), MIN_TRACKS).select("playlist_id")
     return S.stable_seed(elig, SALT)
