@@ -98,4 +98,36 @@ ORACLE = {
                doc_id = first_value(doc_id) OVER g AS kept, sha AS text_sha256
         FROM t WINDOW g AS (PARTITION BY sha ORDER BY n DESC, doc_id)
     """,
+    "op8_substring_dedup": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r,
+                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w
+            FROM documents),
+        windows AS (
+            SELECT r, s, array_to_string(w[s:s + 34], ' ') AS k
+            FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+        repeated AS (SELECT k FROM windows GROUP BY k HAVING count(*) > 1),
+        covered AS (
+            SELECT DISTINCT r, unnest(range(s, s + 35)) AS p FROM windows WHERE k IN (SELECT k FROM repeated)),
+        words AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS p FROM d),
+        kept AS (
+            SELECT r, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS t
+            FROM words ANTI JOIN covered USING (r, p) GROUP BY r)
+        SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+               sha256(coalesce(t, '')) AS kept_sha256
+        FROM d LEFT JOIN kept USING (r)
+    """,
+    "op9_warc": r"""
+        WITH p AS (
+            SELECT page_id, coalesce(html, '') AS t, octet_length(encode(coalesce(html, ''))) AS n,
+                   sha1(coalesce(html, '')) AS h
+            FROM pages),
+        best AS (SELECT t, max(page_id) AS id FROM p GROUP BY t)
+        SELECT page_id, CAST(n AS BIGINT) AS payload_bytes,
+               array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                   1 + CAST((('0x' || substr(h, 5 * (i // 4) + 1, 5))::INTEGER >> (15 - 5 * (i % 4))) & 31 AS INTEGER), 1)), '') AS payload_digest,
+               CASE WHEN page_id = id THEN 'response' ELSE 'revisit' END AS record_type,
+               CASE WHEN page_id <> id THEN id END AS refers_to
+        FROM p JOIN best USING (t)
+    """,
 }
