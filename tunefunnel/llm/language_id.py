@@ -8,8 +8,7 @@ of buckets is halved until it fits.  Scoring looks up only the buckets that a
 text holds and adds their rows with numpy; whole texts are scored.
 
 The model is fitted on a bounded sample: about ``TRAIN_ROWS`` labelled rows,
-chosen by a hash of the text, and of each the first ``TRAIN_CHARS`` characters.
-Predictions read the text only.
+chosen by a hash of the text and read whole.  Predictions read the text only.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is every text when nothing was learned; ties go to the language that sorts
@@ -33,8 +32,6 @@ from .common import python_ready
 
 #: Labelled rows that are learned from, about (a documented sample).
 TRAIN_ROWS = 20_000
-#: Characters of a labelled text that are learned from.
-TRAIN_CHARS = 4_000
 #: Hash buckets, n-gram lengths and additive smoothing.
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
@@ -113,7 +110,6 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     if n > train_rows:
         share = int(2**32 * (train_rows / n))
         rows = rows.filter(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(2**32)) < share)
-    rows = rows.withColumn("text", F.substring("text", 1, TRAIN_CHARS))
     sizes = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
     languages = [lang for lang, _ in sizes]
     bits = int(math.log2(BUCKETS))
