@@ -15,6 +15,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.schemas import INTERACTIONS, INTERACTIONS_MAPPED, TRACK_METADATA, conform
 from ..session import shared_copy  # noqa: F401 - also for the plans
 
 _TABLES: dict = {}
@@ -32,19 +33,19 @@ def shared_table(spark: SparkSession, key: tuple, build: Callable[[], DataFrame]
 
 def interactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import tables as T
-    return shared_table(spark, ("interactions", sf_dir), lambda: T.interactions(spark, sf_dir))
+    return shared_table(spark, ("interactions", sf_dir), lambda: conform(T.interactions(spark, sf_dir), INTERACTIONS))
 
 
 def track_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..sources import tables as T
-    return shared_table(spark, ("track_metadata", sf_dir), lambda: T.track_metadata(spark, sf_dir))
+    return shared_table(spark, ("track_metadata", sf_dir), lambda: conform(T.track_metadata(spark, sf_dir), TRACK_METADATA))
 
 
 def mapped(spark: SparkSession, sf_dir: str) -> DataFrame:
     """interaction_matrix_mapped (written once)."""
     from ..operators import ingest as I
-    return shared_table(spark, ("mapped", sf_dir), lambda: I.with_ids(
-        interactions(spark, sf_dir), playlist_map(spark, sf_dir), track_map(spark, sf_dir)))
+    return shared_table(spark, ("mapped", sf_dir), lambda: conform(I.with_ids(
+        interactions(spark, sf_dir), playlist_map(spark, sf_dir), track_map(spark, sf_dir)), INTERACTIONS_MAPPED))
 
 
 def playlist_map(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -139,12 +139,12 @@ def slice_flatten(spark, sf_dir):
 
 @query("slice_ingest_stream", _INTERACTIONS_SQL)
 def slice_ingest_stream(spark, sf_dir):
-    """S-06/S-07/U-01: the same slices through the streaming file source, one
-    file per micro-batch, appended to a parquet sink with a checkpoint."""
+    """S-06/S-07/U-01: the same slices through the streaming file source,
+    micro-batches bounded by bytes, appended to a parquet sink with a
+    checkpoint."""
     src = written_slices(spark, sf_dir)
     sink = scratch_path(spark, "interactions-sink")
-    ingest_slices_stream(spark, src, sink, scratch_path(spark, "ingest-ckpt"),
-                         files_per_trigger=4)
+    ingest_slices_stream(spark, src, sink, scratch_path(spark, "ingest-ckpt"))
     return spark.read.parquet(sink).select("playlist_id", "track_id")
 
 
@@ -188,8 +188,9 @@ LEFT JOIN (SELECT replace(track_uri, 'spotify:track:', '') AS track_id, * EXCLUD
 def catalog_left_join(spark, sf_dir):
     """S-02, A-01, J-01, S-05, S-09: catalog of interaction tracks LEFT JOIN the
     feature archive, written (overwrite) and read back with the fixed schema."""
-    from ..sources.schemas import FEATURES, TRACK_METADATA
-    cat = I.catalog(C.interactions(spark, sf_dir), T.feature_archive(spark, sf_dir))
+    from ..sources.schemas import FEATURE_ARCHIVE, FEATURES, TRACK_METADATA, conform
+    archive = conform(T.feature_archive(spark, sf_dir), FEATURE_ARCHIVE)
+    cat = I.catalog(C.interactions(spark, sf_dir), archive)
     path = SL.write_table(cat.select(*[f.name for f in TRACK_METADATA.fields]),
                           scratch_path(spark, "track_metadata"))
     back = spark.read.schema(TRACK_METADATA).parquet(path)

@@ -6,6 +6,8 @@ names for frames to line up with what users of the original pipeline expect.
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # --- fixed values: audio feature names, in data-model order ---------------
@@ -18,6 +20,14 @@ DIFF_FEATURES = [f"{f}_diff" for f in FEATURES]
 # 13 ranker inputs: track features, |profile - track| differences, retrieval score (K5)
 MODEL_INPUTS = TRACK_FEATURES + DIFF_FEATURES + ["als_score"]
 
+
+def conform(df: DataFrame, schema: T.StructType) -> DataFrame:
+    """S-09: the schema's columns in its order and types; a missing column
+    raises.  Features are kept as doubles, of which the stored REAL values are a
+    part."""
+    return df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
 TRACK_METADATA = T.StructType(
     [T.StructField("track_id", T.StringType(), False),
      T.StructField("artist_name", T.StringType(), True),

@@ -1,8 +1,8 @@
 """S-07: incremental slice ingestion with Structured Streaming.
 
 The reference appends one slice file at a time to bound memory.  Here the
-file source picks up new slice documents (``maxFilesPerTrigger`` per
-micro-batch), flattens them with the same operator as the batch path and
+file source picks up new slice documents (about ``bytes_per_trigger`` of them
+per micro-batch, or ``files_per_trigger`` files where that is given), flattens them with the same operator as the batch path and
 appends to a parquet sink; the checkpoint makes the job restartable and
 exactly-once per file.  ``trigger(availableNow=True)`` drains what is there
 and stops, so the same code serves backfills and scheduled runs.
@@ -17,16 +17,19 @@ from ..sources.schemas import SLICE
 
 
 def ingest_slices_stream(spark: SparkSession, source_dir_glob: str, sink_dir: str,
-                         checkpoint_dir: str, files_per_trigger: int = 1,
+                         checkpoint_dir: str, files_per_trigger: int | None = None,
+                         bytes_per_trigger: int = 1 << 30,
                          available_now: bool = True, timeout_s: float | None = None):
     """Start (and, with ``available_now``, finish) the streaming ingestion.
 
     Returns the finished ``StreamingQuery``; the sink holds
     ``[playlist_id, track_id]`` rows.
     """
+    limit = (("maxBytesPerTrigger", bytes_per_trigger) if files_per_trigger is None
+             else ("maxFilesPerTrigger", files_per_trigger))
     stream = (spark.readStream.schema(SLICE)
               .option("multiLine", True)
-              .option("maxFilesPerTrigger", files_per_trigger)
+              .option(*limit)
               .json(source_dir_glob))
     writer = (flatten_slices(stream).writeStream
               .format("parquet")
