@@ -40,7 +40,7 @@ from .common import python_ready, written
 #: Neighbours of a query.
 NEAREST = 20
 #: Orderings, projected dimensions and grid bits of each.
-ORDERINGS, DIMS, BITS = 8, 4, 10
+ORDERINGS, DIMS, BITS = 16, 4, 10
 #: Vectors of a block.
 BLOCK_ROWS = 2048
 #: Queries whose true neighbours fit the window, and the share it must hold.
