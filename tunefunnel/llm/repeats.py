@@ -20,6 +20,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 #: Filter bits for each row; with two hashes about 0.4 % of unique rows are
 #: taken for repeated ones.
 BITS_PER_ROW = 32
@@ -27,6 +29,9 @@ BITS_PER_ROW = 32
 N_HASHES = 2
 #: Upper bound of the broadcast filter, in bits (2^30 bits are 128 MiB).
 MAX_FILTER_BITS = 1 << 30
+#: A group is hot beyond this part of all rows, and this many rows; its rows
+#: are then dealt over so many tasks.
+HOT_SHARE, HOT_ROWS, SALTS = 1000, 1000, 64
 #: Bits of one bitmap row: Spark's bitmaps hold 4,096 bytes.
 BUCKET_BITS = 8 * 4096
 
@@ -80,37 +85,53 @@ def tested(rows: DataFrame, key: str, filter_rows: DataFrame, n_bits: int, flag:
                          F.expr(f"{at} div {BUCKET_BITS}") == side[f"{_BUCKET}{i}"], "left")
         byte = F.conv(F.hex(F.expr(f"substring({bits}, int({at} % {BUCKET_BITS} div 8) + 1, 1)")), 16, 10)
         hit.append(F.coalesce(F.getbit(byte.cast("long"), (F.col(at) % 8).cast("int")) == 1, F.lit(False)))
-    return rows.select(*names, reduce(lambda a, b: a & b, hit).alias(flag))
+    return rows.select(*(F.col(f"`{c}`") for c in names), reduce(lambda a, b: a & b, hit).alias(flag))
 
 
-def split_repeated(rows: DataFrame, key: str, best: Column,
+def split_repeated(rows: DataFrame, key: str, own: str, narrow: DataFrame | None = None,
                    max_bits: int = MAX_FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """Split ``rows`` into those whose ``key`` is certainly unique and those
-    that may be repeated, both with ``BEST`` (the least ``best`` of all rows of
-    the key) and ``SIZE`` (their number).
-
-    The first frame never shuffles.  The second is an equi join with its own
-    partially aggregated groups, which Spark splits where a key is hot.
-    ``key`` must not be null.
+    that may be repeated, both with ``BEST`` (the least ``own`` of all rows of
+    the key) and ``SIZE`` (their number).  ``key`` must not be null.
+
+    ``narrow``, if given, holds the columns ``key`` and ``own`` of the same rows
+    where they are cheaper to read.  The first frame never shuffles.  The second
+    is an equi join with the partially aggregated groups of the rows that may be
+    repeated; there a group of more than ``HOT_SHARE`` of the rows is dealt over
+    ``SALTS`` tasks.
     """
-    n_bits = filter_bits(rows.count(), max_bits=max_bits)
+    narrow = rows.select(key, own) if narrow is None else narrow.select(key, own)
+    n = narrow.count()
+    n_bits = filter_bits(n, max_bits=max_bits)
     keep = rows.columns
-    flagged = tested(rows, key, repeated_filter(rows, key, n_bits), n_bits, "__rp_maybe")
+    bits = repeated_filter(narrow, key, n_bits)
+    flagged = tested(rows, key, bits, n_bits, "__rp_maybe")
     unique = flagged.filter(~F.col("__rp_maybe")).select(
-        *keep, best.alias(BEST), F.lit(1).cast("long").alias(SIZE))
-    maybe = flagged.filter("__rp_maybe").select(*keep)
-    groups = maybe.groupBy(key).agg(F.min(best).alias(BEST), F.count(F.lit(1)).alias(SIZE))
-    return unique, maybe.join(groups, key).select(*keep, BEST, SIZE)
+        *(F.col(f"`{c}`") for c in keep), F.col(own).alias(BEST), F.lit(1).cast("long").alias(SIZE))
+    maybe = flagged.filter("__rp_maybe")
+    groups = written(tested(narrow, key, bits, n_bits, "__rp_maybe").filter("__rp_maybe")
+                     .groupBy(F.col(key).alias("__rp_key")).agg(F.min(own).alias(BEST), F.count(F.lit(1)).alias(SIZE))
+                     .withColumn("__rp_hot", F.col(SIZE) > max(HOT_ROWS, n // HOT_SHARE)), "groups")
+    # No more than HOT_SHARE groups can be hot.
+    hot = groups.filter("__rp_hot").select(F.col("__rp_key").alias("__rp_hot_key"))
+    salted = maybe.join(F.broadcast(hot), maybe[key] == hot["__rp_hot_key"], "left").withColumn(
+        "__rp_salt", F.when(F.col("__rp_hot_key").isNull(), F.lit(0))
+        .otherwise(F.pmod(F.xxhash64(own), F.lit(SALTS)).cast("int")))
+    dealt = groups.withColumn("__rp_group_salt", F.explode(
+        F.sequence(F.lit(0), F.when(F.col("__rp_hot"), SALTS - 1).otherwise(0))))
+    joined = salted.join(dealt, (F.col(key) == F.col("__rp_key")) & (F.col("__rp_salt") == F.col("__rp_group_salt")))
+    return unique, joined.select(*(F.col(f"`{c}`") for c in keep), BEST, SIZE)
 
 
 def without(rows: DataFrame, key: str, gone: DataFrame) -> DataFrame:
     """``rows`` whose ``key`` is not among the distinct keys of ``gone`` (a frame
     of one column).  A Bloom filter of ``gone`` lets the other rows pass in
     place; only its hits shuffle for the exact anti join.  Null keys stay."""
-    name = gone.columns[0]
-    gone = gone.select(F.col(name).alias("__rp_gone"))
+    gone = gone.select(F.col(gone.columns[0]).alias("__rp_gone"))
     n_bits = filter_bits(gone.count())
-    flagged = tested(rows, key, member_filter(gone, "__rp_gone", n_bits), n_bits, "__rp_maybe")
-    maybe = flagged.filter("__rp_maybe")
-    kept = maybe.join(gone, maybe[key] == gone["__rp_gone"], "left_anti")
-    return flagged.filter(~F.col("__rp_maybe")).unionByName(kept).select(*rows.columns)
+    packed = rows.select(F.struct(*(rows[f"`{c}`"] for c in rows.columns)).alias("__rp_row"),
+                         rows[f"`{key}`"].alias("__rp_key"))
+    flagged = tested(packed, "__rp_key", member_filter(gone, "__rp_gone", n_bits), n_bits, "__rp_maybe")
+    kept = flagged.filter("__rp_maybe").join(gone, F.col("__rp_key") == F.col("__rp_gone"), "left_anti")
+    both = flagged.filter(~F.col("__rp_maybe")).unionByName(kept)
+    return both.select(*(F.col(f"__rp_row.`{c}`") for c in rows.columns))

@@ -117,10 +117,10 @@ def _typed(pages: DataFrame, id_col: str, url_col: str, html_col: str, min_bytes
     rows = pages.select(
         F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"),
         F.coalesce(F.col(html_col), F.lit("")).alias("html")).withColumn(
-        _PAYLOAD, F.concat(F.unhex(F.sha1("html")), F.unhex(F.hex(F.octet_length("html").cast("long")))))
-    unique, grouped = repeats.split_repeated(
-        rows, _PAYLOAD, F.struct(F.col("page_id").isNull().alias("no"),
+        _PAYLOAD, F.concat(F.unhex(F.sha1("html")), F.encode(F.octet_length("html").cast("string"), "utf-8"))
+    ).withColumn("own", F.struct(F.col("page_id").isNull().alias("no"),
                                  (-F.col("page_id")).alias("neg"), F.col("page_id").alias("id")))
+    unique, grouped = repeats.split_repeated(rows, _PAYLOAD, "own")
     stays = F.col("page_id").eqNullSafe(F.col(f"{repeats.BEST}.id"))
     revisit = ~stays & (F.octet_length("html") >= min_bytes)
     parts = [x.select("page_id", "url", "html", revisit.alias("revisit"),
