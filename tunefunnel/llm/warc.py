@@ -52,6 +52,8 @@ MAX_BLOCKS = 100_000
 KEY_CHARS = 256
 #: A task starts a new archive file beyond this many bytes.
 FILE_BYTES = 64 << 20
+#: Archive bytes that a task reads back, about.
+READ_BYTES = 4 << 20
 #: Date of the records: the tables carry none.
 WARC_DATE = "2020-01-01T00:00:00Z"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -186,14 +188,15 @@ class Index:
 
 def _packer(entries: int):
     schema = pa.schema([("first_key", pa.string()), ("first_id", pa.int64()),
-                        ("n", pa.int64()), ("block", pa.binary())])
+                        ("n", pa.int64()), ("bytes", pa.int64()), ("block", pa.binary())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list] = []
 
         def block(rows):
             data = zlib.compress("\n".join(json.dumps(x) for x in rows).encode(), 6)
-            return pa.record_batch([[rows[0][0]], [rows[0][1]], [len(rows)], [data]], schema=schema)
+            return pa.record_batch([[rows[0][0]], [rows[0][1]], [len(rows)], [sum(r[5] for r in rows)], [data]],
+                                   schema=schema)
 
         for batch in batches:
             held += map(list, zip(*(c.to_pylist() for c in batch.columns)))
@@ -222,7 +225,7 @@ def build_index(captures: DataFrame, block_entries: int = BLOCK_ENTRIES,
         "urlkey", F.coalesce("page_id", F.lit(_NO_ID)).alias("sort_id"), "page_id", "file",
         "offset", "length", "digest", "record_type", "refers_to")
     blocks = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                     .mapInArrow(_packer(entries), "first_key string, first_id long, n long, block binary"),
+                     .mapInArrow(_packer(entries), "first_key string, first_id long, n long, bytes long, block binary"),
                      "capture-blocks")
     directory = sorted((r.first_key, r.first_id) for r in blocks.select("first_key", "first_id").collect())
     return Index(blocks, directory)
@@ -295,7 +298,9 @@ def read_captures(index: Index, folder: str, requests: DataFrame) -> DataFrame:
     keys = ["first_key", "first_id"]
     places = (found.groupBy(*keys).cogroup(index.blocks.groupBy(*keys))
               .applyInPandas(_from_blocks, "file string, offset long, length long"))
-    placed = (places.repartition("file", F.expr(f"offset div {8 << 20}"))
+    # Reads are dealt by bytes: about READ_BYTES of archive a task.
+    total = index.blocks.agg(F.sum("bytes")).first()[0] or 0
+    placed = (places.repartition(max(1, -(-total // READ_BYTES)), "file", F.expr(f"offset div {READ_BYTES // 4}"))
               .sortWithinPartitions("file", "offset"))
     return placed.mapInArrow(
         _reader(folder), "page_id long, payload_bytes long, payload_digest string, record_type string, "
