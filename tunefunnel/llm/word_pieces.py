@@ -1,17 +1,16 @@
-"""Encoding of whole texts with a ``tokenizers`` file, one distinct chunk at a
+"""Encoding of whole texts with a ``tokenizers`` file, one distinct part at a
 time.
 
 A boundary is safe when the ids of a text are those of its two sides put
 together.  Where the tokenizer drops white space, as word-end BPE does, every
 run of ASCII white space is a safe boundary; this is probed when the file is
-opened, and a tokenizer that keeps white space gets no boundaries at all.  Texts
-are cut there, and each distinct chunk is encoded once by the library, in
-batches of about ``BATCH_BYTES``.
-
-Most chunks are words of plain Latin letters and punctuation.  For those the
-normaliser only lower-cases, and the chunk falls into the pre-tokenizer's pieces,
-so it is enough to give each distinct piece to the library's model.  Everything
-else (special strings, other scripts, combining marks) goes through the
+opened, and a tokenizer that keeps white space gets no boundaries at all.
+
+Most texts hold only ASCII and plain Latin letters.  For those the normaliser
+only lower-cases, and the pre-tokenizer's pieces, between which boundaries are
+safe too, can be found by its pattern; each distinct piece is given once to the
+library's model.  All other texts (special strings, other scripts, combining
+marks) are cut at white space, and each distinct chunk goes once through the
 library's whole pipeline.
 """
 
@@ -19,9 +18,9 @@ from __future__ import annotations
 
 import json
 import os
+import re
 
 import numpy as np
-import regex
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -29,11 +28,14 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 BATCH_BYTES = 1 << 16
 #: Entries of a cache generation; two generations are held.
 CACHE_ENTRIES = 200_000
-#: Pieces of a chunk once it is lower case: the pre-tokenizer's pattern.
+#: The pre-tokenizer's pattern that the fast way stands for.
 WORD_END_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Chunks of these characters need no normalisation but lower-casing.
-LATIN = regex.compile(r"[\x21-\x7E\u00C0-\u024F]+")
-PLAIN = regex.compile(r"[\n\x21-\x7E\u00C0-\u024F]+")
+#: Texts of these characters need no normalisation but lower-casing, which
+#: stays among them (but for a dot above that it may add).
+PLAIN = re.compile("[\t-\r\x20-\x7E\u00C0-\u017F]*")
+_LETTERS = "a-z\u00DF-\u00F6\u00F8-\u017F"
+#: The same pattern on such a text in lower case.
+PIECE = re.compile(rf"[{_LETTERS}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\s{_LETTERS}0-9]+")
 
 
 class Cache:
@@ -62,7 +64,7 @@ class WordPieces:
         from tokenizers import Tokenizer
         self.full = Tokenizer.from_file(path)
         spec = json.loads(self.full.to_str())
-        self.special = [t["content"].encode("utf-8") for t in spec["added_tokens"]]
+        self.special = [t["content"] for t in spec["added_tokens"]]
         suffix = spec["model"].get("end_of_word_suffix") or ""
         split = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
         self.cuts = self._drops_white_space()
@@ -79,7 +81,6 @@ class WordPieces:
             self.ends = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
             for token, i in vocabulary.items():
                 self.ends[i] = token.endswith(suffix)
-            self.pattern = regex.compile(WORD_END_PATTERN)
 
     def _drops_white_space(self) -> bool:
         ids = lambda t: self.full.encode(t, add_special_tokens=False).ids
@@ -93,16 +94,7 @@ class WordPieces:
     def _add_pieces(self, pieces: list[str]) -> None:
         """Encode distinct pieces with the library's model, many in one string;
         the ids that end a word show where each piece ends."""
-        batches, size = [[]], 0
-        for p in pieces:
-            if size > BATCH_BYTES:
-                batches.append([])
-                size = 0
-            batches[-1].append(p)
-            size += len(p) + 1
-        for batch in batches:
-            if not batch:
-                continue
+        for batch in batched(pieces):
             ids = np.array(self.model.encode_batch_fast([" ".join(batch)], add_special_tokens=False)[0].ids,
                            dtype="<u4")
             ends = np.flatnonzero(self.ends[ids]) + 1
@@ -113,62 +105,50 @@ class WordPieces:
                 self.pieces.new[p] = data[at:end]
                 at = end
 
-    def _add(self, chunks: list[bytes]) -> None:
-        """Encode distinct chunks and hold them in the cache."""
-        plain, other = chunks, []
-        if not self.by_piece:
-            plain, other = [], chunks
-        elif not PLAIN.fullmatch(b"\n".join(chunks).decode("utf-8")) or any(
-                s in b"\n".join(chunks) for s in self.special):
-            plain = []
-            for c in chunks:
-                fits = LATIN.fullmatch(c.decode("utf-8")) and not any(s in c for s in self.special)
-                (plain if fits else other).append(c)
-        held = self.chunks.new
-        if plain:
-            lower = b"\n".join(plain).decode("utf-8").lower().split("\n")
-            words, parts = {}, {}
-            for c, s in zip(plain, lower):
-                if s.isalpha():
-                    words[c] = s
-                else:
-                    parts[c] = self.pattern.findall(s)
-            self.pieces.turn()
-            self._add_pieces(self.pieces.missing(set(words.values()).union(*parts.values())))
-            get = self.pieces.new.__getitem__
-            held.update(zip(words, map(get, words.values())))
-            for c, ps in parts.items():
-                held[c] = b"".join(map(get, ps))
-        at = 0
-        while at < len(other):
-            end, size = at, 0
-            while end < len(other) and size <= BATCH_BYTES:
-                size += len(other[end])
-                end += 1
-            held.update(zip(other[at:end], self._library(other[at:end])))
-            at = end
+    def _is_plain(self, text: str) -> bool:
+        return self.by_piece and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
+    def _parts(self, texts: list[str]) -> list[list[bytes]]:
+        """The ids of each text in parts, to be put together."""
         if not self.cuts:
-            return self._library([t.encode("utf-8") for t in texts])
-        split = [t.encode("utf-8").split() for t in texts]
-        self._know(split)
+            return [[x] for x in self._library([t.encode("utf-8") for t in texts])]
+        out: list = [None] * len(texts)
+        plain = [i for i, t in enumerate(texts) if self._is_plain(t)]
+        found = [PIECE.findall(texts[i].lower()) for i in plain]
+        self.pieces.turn()
+        self._add_pieces(self.pieces.missing(set().union(*found)))
+        get = self.pieces.new.__getitem__
+        for i, pieces in zip(plain, found):
+            out[i] = list(map(get, pieces))
+        other = [i for i, x in enumerate(out) if x is None]
+        split = [texts[i].encode("utf-8").split() for i in other]
+        self.chunks.turn()
+        for batch in batched(self.chunks.missing(set().union(*split))):
+            self.chunks.new.update(zip(batch, self._library(batch)))
         get = self.chunks.new.__getitem__
-        return [b"".join(map(get, s)) for s in split]
+        for i, chunks in zip(other, split):
+            out[i] = list(map(get, chunks))
+        return out
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        return list(map(b"".join, self._parts(texts)))
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        if not self.cuts:
-            return [len(x) // 4 for x in self._library([t.encode("utf-8") for t in texts])]
-        split = [t.encode("utf-8").split() for t in texts]
-        self._know(split)
-        get = self.chunks.new.__getitem__
-        return [sum(map(len, map(get, s))) // 4 for s in split]
-
-    def _know(self, split: list[list[bytes]]) -> None:
-        self.chunks.turn()
-        self._add(self.chunks.missing(set().union(*split)))
+        return [sum(map(len, parts)) // 4 for parts in self._parts(texts)]
+
+
+def batched(items: list) -> list[list]:
+    """The items in lists of about ``BATCH_BYTES``."""
+    out, size = [], BATCH_BYTES
+    for x in items:
+        if size >= BATCH_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(x)
+        size += len(x) + 1
+    return out
 
 
 _OPEN: dict[str, WordPieces] = {}
