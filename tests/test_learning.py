@@ -69,3 +69,22 @@ def test_ranker_learns_noisy_label_feature(spark, planted):
     top = RK.rerank_topk(scored, K).select(F.col("request_id").alias("user_id"), "rank",
                                            F.col("track_int_id").alias("item_id"))
     assert _recall(held, top) > 0.8
+
+
+def test_ranker_scores_do_not_depend_on_the_layout(spark):
+    """The same rows in three layouts give the same trees and scores."""
+    rows = [(p, int(F_hash(p, i) % 4 == 0), f"t{i}", float(F_hash(i, p) % 50), float(F_hash(p, i + 99) % 7))
+            for p in range(40) for i in range(12)]
+    frame = spark.createDataFrame(
+        rows, "playlist_int_id long, label int, track_id string, als_score double, noise double")
+    got = []
+    for parts in (1, 5, 16):
+        model = RK.fit_lambdamart(frame.repartition(parts), n_trees=3, max_depth=3, inputs=["als_score", "noise"])
+        got.append({(r.playlist_int_id, r.track_id): r.rank_score for r in model.score_raw(frame).collect()})
+    for other in got[1:]:
+        assert max(abs(other[k] - got[0][k]) for k in got[0]) < 1e-9
+    assert max(got[0].values()) > min(got[0].values())
+
+
+def F_hash(a, b):
+    return (a * 2654435761 + b * 40503 + a * b * 97) >> 3

@@ -781,6 +781,37 @@ def both_label_groups(spark, sf_dir):
 from ..operators import experiment as EX  # noqa: E402
 from ..operators import ranker as RK  # noqa: E402
 
+@query("lambda_first_round", _TRAIN_SQL + """,
+ordered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY playlist_int_id ORDER BY als_score DESC, track_id) AS r,
+         SUM(label) OVER (PARTITION BY playlist_int_id) AS np, COUNT(*) OVER (PARTITION BY playlist_int_id) AS n
+  FROM frame
+),
+fr AS (SELECT *, list_sum(list_transform(range(1, np::BIGINT + 1), lambda i: 1.0 / LOG2(1.0 + i))) AS idcg
+       FROM ordered WHERE np > 0 AND np < n),
+pairs AS (
+  SELECT p.playlist_int_id, p.r AS pr, q.r AS nr, ABS(1.0 / LOG2(1.0 + p.r) - 1.0 / LOG2(1.0 + q.r)) / p.idcg AS d
+  FROM fr p JOIN fr q ON p.playlist_int_id = q.playlist_int_id AND p.label = 1 AND q.label = 0
+),
+sums AS (
+  SELECT playlist_int_id, pr AS r, SUM(d) AS d FROM pairs GROUP BY 1, 2
+  UNION ALL SELECT playlist_int_id, nr AS r, -SUM(d) AS d FROM pairs GROUP BY 1, 2
+)
+SELECT CAST(f.playlist_int_id AS BIGINT) AS playlist_int_id, f.track_id, f.label,
+       ROUND(0.5 * s.d, 6) AS lam, ROUND(0.25 * ABS(s.d), 6) AS w
+FROM fr f JOIN sums s USING (playlist_int_id, r)""")
+def lambda_first_round(spark, sf_dir):
+    """M-09: gradients and weights of the first boosting round, where all scores
+    are zero and the ranking is the tie order."""
+    rows = RK.ordered_rows(TR.both_label_groups(_train_frame(spark, sf_dir)), "playlist_int_id",
+                           ["track_id", "als_score"])
+    data = (rows.withColumn("score", F.lit(0.0)).repartition("playlist_int_id")
+            .sortWithinPartitions("playlist_int_id", "row_id"))
+    return RK.lambda_rows(data, "playlist_int_id").select(
+        F.col("playlist_int_id").cast("long").alias("playlist_int_id"), "track_id", "label",
+        r6(F.col("lam")).alias("lam"), r6(F.col("w")).alias("w"))
+
+
 def check_params() -> REC.Params:
     """The reference's settings: 50 factors, 15 iterations, λ 0.01, 200
     candidates, 10,000 training playlists, 50 negatives, 100 trees, lr 0.1,
