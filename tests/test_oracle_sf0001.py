@@ -5,8 +5,7 @@ import pytest
 
 import __spark_entry__ as E
 from conftest import SF001
-
-ORACLE = E.oracle_sql()
+from tunefunnel.plans.registry import ORACLE
 
 
 def _norm(v):
