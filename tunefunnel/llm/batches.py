@@ -4,29 +4,41 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Text bytes handled at once in a Python worker.
-RUN_BYTES = 4 << 20
+RUN_BYTES = 1 << 20
+
+
+def cuts(sizes: np.ndarray, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of rows that hold about ``run_bytes``, or one row."""
+    ends = np.cumsum(sizes)
+    start = 0
+    while start < len(sizes):
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + run_bytes, side="right")))
+        yield start, end
+        start = end
 
 
 def by_bytes(texts: list[str], run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int]]:
-    """(start, end) of runs of texts that hold at most ``run_bytes`` characters,
-    or one longer text."""
-    start, size = 0, 0
-    for i, t in enumerate(texts):
-        if i > start and size + len(t) > run_bytes:
-            yield start, i
-            start, size = i, 0
-        size += len(t)
-    if texts:
-        yield start, len(texts)
+    """``cuts`` of a list of texts, by their characters."""
+    return cuts(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), run_bytes)
+
+
+def text_runs(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, texts) of runs of a text column (null as empty).  Only one
+    run at a time becomes Python strings, and memory that Arrow no longer needs
+    goes back before the next batch."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    for start, end in cuts(sizes):
+        yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
+    pa.default_memory_pool().release_unused()
 
 
 def runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of a batch balanced by the bytes of a text column, with its texts
-    (null as empty)."""
-    sizes = batch.column(column)
-    texts = [t or "" for t in sizes.to_pylist()]
-    for start, end in by_bytes(texts):
-        yield batch.slice(start, end - start), texts[start:end]
+    """Slices of a batch balanced by the bytes of a text column, with its texts."""
+    for start, end, texts in text_runs(batch.column(column)):
+        yield batch.slice(start, end - start), texts

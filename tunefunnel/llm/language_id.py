@@ -121,13 +121,11 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for part in parts:
-            langs = part.column("lang").to_pylist()
-            texts = part.column("text").to_pylist()
-            for lang in set(langs):
-                own = [t for t, x in zip(texts, langs) if x == lang]
-                held = sums.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
-                for start, end in batches.by_bytes(own):
-                    for buckets, _ in _grams(own[start:end], bits):
+            for run, texts in batches.runs(part, "text"):
+                langs = run.column("lang").to_pylist()
+                for lang in set(langs):
+                    held = sums.setdefault(lang, np.zeros(1 << bits, dtype=np.int64))
+                    for buckets, _ in _grams([t for t, x in zip(texts, langs) if x == lang], bits):
                         held += np.bincount(buckets, minlength=1 << bits)
         for lang, held in sums.items():
             at = np.flatnonzero(held)
@@ -161,9 +159,8 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text", lang_out: str
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            texts = part.column("row").field(at).to_pylist()
-            for start, end in batches.by_bytes([t or "" for t in texts]):
-                lang, score = shared.value.predict([t or "" for t in texts[start:end]])
+            for start, end, texts in batches.text_runs(part.column("row").field(at)):
+                lang, score = shared.value.predict(texts)
                 yield pa.RecordBatch.from_arrays(
                     [part.column("row").slice(start, end - start), pa.array(lang, pa.string()),
                      pa.array(score, pa.float64())], names=["row", "lang", "score"])

@@ -318,12 +318,10 @@ def _cut(window: int, text_at: int):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             rows = part.column("row")
-            texts = rows.field(text_at).to_pylist()
-            spans = part.column("spans").to_pylist()
-            for start, end in batches.by_bytes([t or "" for t in texts]):
+            for start, end, texts in batches.text_runs(rows.field(text_at)):
                 kept, n_words, n_removed = [], [], []
-                for t, s in zip(texts[start:end], spans[start:end]):
-                    words = (t or "").encode("utf-8").split()
+                for t, s in zip(texts, part.column("spans").slice(start, end - start).to_pylist()):
+                    words = t.encode("utf-8").split()
                     n_words.append(len(words))
                     if s:
                         # Spans may overlap or touch; each covers its windows whole.

@@ -142,7 +142,7 @@ def _writer(folder: str, file_bytes: int):
         system, root = opened(folder)
         name, out, at = "", None, 0
         try:
-            for batch in batches:
+            for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
                 rows = []
                 for r in batch.to_pylist():
                     if out is None or at >= file_bytes:
