@@ -22,9 +22,19 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of an Arrow batch between Spark and the Python workers.  Texts are long:
+#: at Spark's default of 64 MiB the buffers of both sides take hundreds of MB for
+#: each task.
+ARROW_BYTES = 4 << 20
+_ARROW, _ARROW_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
+
+
 def python_ready(spark: SparkSession) -> None:
-    """Make this package importable in the Python workers."""
+    """Make this package importable in the Python workers, and bound the Arrow
+    batches of the session at ``ARROW_BYTES`` unless they were set."""
     ship_package(spark)
+    if spark.conf.get(_ARROW, _ARROW_DEFAULT) == _ARROW_DEFAULT:
+        spark.conf.set(_ARROW, str(ARROW_BYTES))
 
 
 def text_or_empty(column: str = "text"):
