@@ -1,4 +1,4 @@
-"""Substring deduplication by relative parsing against indexed reference blocks.
+"""Substring deduplication by minimiser filtering and window-hash counts.
 
 Words are the runs between ASCII white space, unchanged.  A window is ``WINDOW``
 consecutive words of one document, and every word covered by a window whose word
@@ -10,15 +10,15 @@ window's block, so equal windows have equal blocks, wherever they stand.  All
 blocks of all documents are counted; those that occur more than once form the
 index, a Bloom filter of at most ``repeats.MAX_FILTER_BITS``.
 
-Parse: each document is factored greedily from the left.  Where a window's block
-is not in the index the window cannot repeat and is literal; windows with
-indexed blocks in a row join into the longest factor, of ``WINDOW`` words at
-least.  Factors are then checked to their boundaries: the hash of each of their
-windows must occur twice.  A task first adds up its own windows and hands on one
-place for each distinct one, so a passage that a third of all documents share
-leaves each task as a few rows; these are sorted by hash and neighbours compared
-in a stream.  The window hash has 64 bits; among ``n`` candidate windows an
-unrepeated one is taken for a repeat with a chance of about ``n / 2**64``.
+Filter and count: no relative parse is done, no match is extended and no
+reference position is held.  A window whose block is not in the index cannot
+repeat and is dropped; every other window is a candidate, and counts as repeated
+when its hash occurs twice among all candidates.  A task first adds up its own
+windows and hands on one place for each distinct one, so a passage that a third
+of all documents share leaves each task as a few rows; these are sorted by hash
+and neighbours compared in a stream.  The window hash has 64 bits; among ``n``
+candidate windows an unrepeated one is taken for a repeat with a chance of about
+``n / 2**64``.
 
 Places are 64-bit numbers (document segment, word in the segment), so the two
 shuffles move 16 bytes a window, and texts shuffle only where words go.
@@ -169,10 +169,10 @@ def block_index(texts: DataFrame, window: int = WINDOW, gram: int = GRAM) -> tup
 
 
 def _parse(index, n_bits: int, window: int, gram: int, combine_rows: int):
-    """Factor the documents.  Rows of three kinds: ``hash`` and ``place`` of one
+    """The candidate windows of the documents.  Rows of three kinds: ``hash`` and ``place`` of one
     window of each distinct hash of the task, ``known`` where the task itself
     has seen it twice; ``place`` alone of the windows known to repeat; and the
-    (segment, id, tag, base) of the documents that have factors."""
+    (segment, id, tag, base) of the documents that have candidates."""
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.frombuffer(index.value, dtype=np.uint8)
         segment = TaskContext.get().partitionId() << SEGMENT_BITS
