@@ -59,6 +59,15 @@ def test_recall_with_many_blocks(spark):
     assert len(got) == len(want) and len(want & got) >= 0.9 * len(want)
 
 
+def test_copies_wider_than_the_window_go_to_the_smallest_ids(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.standard_normal(8).tolist()) for i in range(4000)]
+    copy = [0.0, *(3.0 * np.array(rows[2000][1]))[1:].tolist()]
+    rows += [(i, copy if i % 2 else [-0.0, *copy[1:]]) for i in range(4001, 5501)]
+    got = {(q, r, i) for q, r, i, _ in found(spark, rows, block_rows=32, target=0.3) if q in (5000, 5500)}
+    assert got == {(q, r, 4000 + r) for q in (5000, 5500) for r in range(1, 21)}
+
+
 def test_registered_query_recall(spark):
     from tunefunnel.llm import queries
     sf = "/root/testdata/sf0.01"

@@ -13,7 +13,14 @@ The window is fitted, not set: for ``SAMPLE`` queries the true neighbours are
 found by a scan, and the least half-width that holds ``TARGET`` of them in one
 ordering or another is taken for all queries.  Vectors without structure, as
 those of the test tables, need windows of several hundredths of the table;
-clustered ones far smaller windows.  Every row is indexed.
+clustered ones far smaller windows.  The window holds a share of all pairs, so
+single queries can lose more than others.
+
+Every distinct vector is indexed and searched once, numbered in the order of the
+smallest id that holds it.  Each hit then stands for the ``k + 1`` smallest ids
+of its vector, and each list for all ids that ask with its vector, so copies take
+no places in the windows and their ties are exact.  A query's own copies are
+added without a search.
 
 Defined cases: vectors that are null, empty or zero or hold null or non-finite
 components take no part, nor do those of another length than most vectors have
@@ -47,6 +54,8 @@ BLOCK_ROWS = 2048
 SAMPLE, TARGET = 64, 0.95
 #: Scores held in memory at once.
 BLOCK_CELLS = 1 << 20
+#: Parts into which the joins with the ids of one vector are dealt.
+SALTS = 16
 
 
 def matrix(column: pa.Array, dim: int) -> np.ndarray:
@@ -99,16 +108,73 @@ def _scored(query: np.ndarray, found: np.ndarray, score: np.ndarray) -> pa.Recor
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, is_query: Column) -> DataFrame:
-    """The written rows (id, vec, is_query) of vectors that take part."""
+    """The written rows (id, vec, is_query, h1, h2) of vectors that take part; equal
+    vectors, and no others, have equal pairs of hashes."""
     vec = F.col("vec")
     finite = F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     return written(
         vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vec_col).alias("vec"),
                        F.coalesce(is_query, F.lit(False)).alias("is_query"))
-        .filter(F.col("id").isNotNull() & vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0)),
+        .filter(F.col("id").isNotNull() & vec.isNotNull() & finite & F.exists(vec, lambda x: x != 0))
+        .withColumn("h1", F.xxhash64("vec")).withColumn("h2", F.xxhash64(F.lit(1), "vec")),
         "vectors")
 
 
+def distinct_vectors(rows: DataFrame) -> DataFrame:
+    """The written distinct vectors (id, vec, is_query, h1, h2): ``id`` numbers
+    them in the order of their smallest ids, ``is_query`` is whether any row asks."""
+    groups = rows.groupBy("vec", "h1", "h2").agg(F.min("id").alias("least"), F.max("is_query").alias("is_query"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = ["least", "h1", "h2"]
+    return written(groups.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(
+        F.monotonically_increasing_id().alias("id"), "vec", "is_query", "h1", "h2"), "distinct-vectors")
+
+
+def smallest_ids(members: DataFrame, keep: int) -> DataFrame:
+    """(h1, h2, ids): the ``keep`` smallest ids of each vector.  A first round by
+    salt leaves few rows of a vector that many ids share."""
+    salted = members.select("h1", "h2", "id", F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    for key in (["h1", "h2", "salt"], ["h1", "h2"]):
+        w = Window.partitionBy(*key).orderBy("id")
+        salted = salted.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= keep)
+    return salted.groupBy("h1", "h2").agg(F.collect_list("id").alias("ids"))
+
+
+def by_id(hits: DataFrame, rows: DataFrame, groups: DataFrame, members: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best ids of each asking id, from hits between distinct vectors.
+
+    One hit can stand in the lists of most queries, and one vector can be asked
+    by many ids, so both joins are dealt by salt too."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+
+    def salt(column: str) -> Column:
+        return F.pmod(F.xxhash64(column), F.lit(SALTS)).cast("int").alias("salt")
+
+    ids = (smallest_ids(members, k + 1).join(groups.select(F.col("id").alias("vec_id"), "h1", "h2"), ["h1", "h2"])
+           .select("vec_id", "ids", salts))
+    named = (hits.select("query_id", "vec_id", "score", salt("query_id")).join(ids, ["vec_id", "salt"])
+             .select("query_id", F.explode("ids").alias("vec_id"), "score"))
+    lists = (merged(named, k + 1).groupBy("query_id").agg(F.collect_list(F.struct("vec_id", "score")).alias("list"))
+             .join(groups.select(F.col("id").alias("query_id"), "h1", "h2"), "query_id")
+             .select("h1", "h2", "list", salts))
+    asking = rows.filter("is_query").select("id", "h1", "h2").distinct().select("*", salt("id"))
+    return merged(asking.join(lists, ["h1", "h2", "salt"])
+                  .select(F.col("id").alias("query_id"), F.explode("list").alias("hit"))
+                  .select("query_id", "hit.vec_id", "hit.score").filter("query_id <> vec_id"), k)
+
+
+def own_scores(groups: DataFrame, dim: int) -> DataFrame:
+    """Each asking vector as a hit of itself, for its copies."""
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            if part.num_rows:
+                x = matrix(part.column("vec"), dim)
+                own = part.column("id").to_numpy()
+                yield _scored(own, own, (x * x).sum(axis=1))
+
+    return groups.filter("is_query").select("id", "vec").mapInArrow(run, _SCORED)
+
+
 def curve_rows(vectors: DataFrame, dim: int, longest: float) -> DataFrame:
     """(ordering, key, id, role): each vector's key in each ordering, as a
     candidate (role 0) and, if it is one, as a query (role 1)."""
@@ -260,9 +326,15 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str
     if common is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     rows = rows.filter(F.size("vec") == common.dim)
-    placed = written(positions(curve_rows(rows, common.dim, common.longest), common.n), "curve-positions")
-    half = half_window(rows, placed, k, target=target)
-    blocks = -(-common.n // block_rows)
+    groups = distinct_vectors(rows)
+    members = written(rows.select("id", "h1", "h2").distinct(), "vector-ids")
+    n = groups.count()
+    # An id on several vectors must not take the places of others.
+    most = members.groupBy("id").count().agg(F.max("count")).first()[0]
+    wanted = k * most + most - 1
+    placed = written(positions(curve_rows(groups, common.dim, common.longest), n), "curve-positions")
+    half = half_window(groups, placed, wanted, target=target)
+    blocks = -(-n // block_rows)
     reach = -(-half // block_rows)
     own = F.expr(f"pos div {block_rows}").cast("int")
     held = placed.filter("role = 0").select("ordering", own.alias("block"), "role", "id")
@@ -270,7 +342,8 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = NEAREST, id_col: str
     visits = placed.filter("role = 1").select(
         "ordering", F.explode(F.sequence(first, F.least(F.lit(blocks - 1), first + 2 * reach))).alias("block"),
         "role", "id")
-    tiles = (held.unionByName(visits).join(rows.select("id", "vec"), "id")
+    tiles = (held.unionByName(visits).join(groups.select("id", "vec"), "id")
              .repartition("ordering", "block").sortWithinPartitions("ordering", "block", "role")
              .select("ordering", "block", "role", "id", "vec"))
-    return merged(tiles.mapInArrow(_compare(common.dim, k), _SCORED), k)
+    hits = merged(tiles.mapInArrow(_compare(common.dim, wanted), _SCORED), wanted).select("query_id", "vec_id", "score")
+    return by_id(hits.unionByName(own_scores(groups, common.dim)), rows, groups, members, k)
