@@ -70,3 +70,20 @@ def test_the_sample_is_bounded(spark):
     model = language_id.train(rows, train_rows=100)
     assert model.languages == ["en"]
     assert 0 < model.log_p.size == 1 << model.bits
+
+
+def test_rare_languages_are_learned_from_large_tables(spark):
+    rows = [(i, f"text number {i}", "en") for i in range(3000)] + [(3000 + i, f"żółć gęślą {i}", "pl") for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), train_rows=30)
+    assert model.languages == ["en", "pl"]
+    assert np.exp(model.prior) == pytest.approx([3000 / 3003, 3 / 3003])
+    assert model.predict(["żółć gęślą jaźń"])[0] == ["pl"]
+
+
+def test_copies_are_drawn_one_by_one(spark):
+    rows = spark.range(4000).selectExpr("id", "if(id < 3000, 'a copy', concat('text ', id)) as text", "'en' as lang")
+    drawn = language_id.sample(rows, [("en", 4000)], 400)
+    copies = drawn.filter("text = 'a copy'").count()
+    assert 200 <= copies <= 400 and 50 <= drawn.count() - copies <= 150
+    same = rows.withColumn("id", rows.id * 0)
+    assert language_id.sample(same, [("en", 4000)], 400).count() <= 200

@@ -7,8 +7,9 @@ Its size is bounded by ``MAX_MODEL_BYTES``: with very many languages the number
 of buckets is halved until it fits.  Scoring looks up only the buckets that a
 text holds and adds their rows with numpy; whole texts are scored.
 
-The model is fitted on a bounded sample: about ``TRAIN_ROWS`` labelled rows,
-chosen by a hash of the text and read whole.  Predictions read the text only.
+The model is fitted on a bounded sample: all labelled rows of each language, or
+about ``TRAIN_ROWS`` of one that has more, chosen by a hash of id and text and
+read whole.  Priors count all labelled rows.  Predictions read the text only.
 
 Defined cases: a null text or one without a letter is ``und`` with score 0, and
 so is every text when nothing was learned; ties go to the language that sorts
@@ -30,7 +31,7 @@ from pyspark.sql import types as T
 from . import batches
 from .common import python_ready
 
-#: Labelled rows that are learned from, about (a documented sample).
+#: Labelled rows of a language that are learned from, about (a documented sample).
 TRAIN_ROWS = 20_000
 #: Hash buckets, n-gram lengths and additive smoothing.
 BUCKETS = 1 << 16
@@ -95,9 +96,25 @@ class Model:
                 [s if x else 0.0 for s, x in zip(score.tolist(), letters)])
 
 
+def sample(rows: DataFrame, sizes: list[tuple[str, int]], train_rows: int) -> DataFrame:
+    """(text, lang) to learn from of (id, text, lang) rows: every language of at
+    most ``train_rows`` rows whole, of the others about ``train_rows`` by a hash of
+    id and text.  Rows of a drawn language that repeat both count once, as they
+    would all be drawn together."""
+    shares = [(lang, int(2**32 * (train_rows / n))) for lang, n in sizes if n > train_rows]
+    if not shares:
+        return rows.select("text", "lang")
+    share = F.broadcast(rows.sparkSession.createDataFrame(shares, "lang string, share long"))
+    rows = rows.join(share, "lang", "left")
+    drawn = rows.filter(F.pmod(F.xxhash64("id", "text", F.lit("train")), F.lit(2**32)) < F.col("share"))
+    return rows.filter("share IS NULL").select("text", "lang").unionByName(
+        drawn.select("id", "text", "lang").distinct().select("text", "lang"))
+
+
 def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
-          train_rows: int = TRAIN_ROWS) -> Model:
-    """Fit on a sample of the rows whose text and language are not null.
+          train_rows: int = TRAIN_ROWS, id_col: str = "doc_id") -> Model:
+    """Fit on a sample of the rows whose text and language are not null; without
+    an id column rows are told apart by their texts.
 
     Each task adds up its own n-grams and gives at most one row per language
     and bucket, so a language that most rows share needs no shuffle of its rows.
@@ -105,12 +122,10 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang",
     spark = labelled.sparkSession
     python_ready(spark)
     rows = labelled.filter(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(
+        (F.col(id_col) if id_col in labelled.columns else F.lit(None).cast("long")).alias("id"),
         F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    n = rows.count()
-    if n > train_rows:
-        share = int(2**32 * (train_rows / n))
-        rows = rows.filter(F.pmod(F.xxhash64("text", F.lit("train")), F.lit(2**32)) < share)
     sizes = sorted((r.lang, r["count"]) for r in rows.groupBy("lang").count().collect())
+    rows = sample(rows, sizes, train_rows)
     languages = [lang for lang, _ in sizes]
     bits = int(math.log2(BUCKETS))
     while bits > 8 and len(languages) * 8 << bits > MAX_MODEL_BYTES:
