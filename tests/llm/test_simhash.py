@@ -102,3 +102,11 @@ def test_one_of_each(clashing, edge_rows):
     want = brute_components([r[0] for r in edge_rows], [brute_fingerprint(r[1]) for r in edge_rows], 2)
     gone = {r[0] for r, c in zip(edge_rows, want) if r[0] is not None and c is not None and r[0] != c}
     assert Counter(r.doc_id for r in out.collect()) == Counter(r[0] for r in edge_rows if r[0] not in gone)
+
+
+def test_an_id_on_several_texts_leaves_each_component_a_document(spark):
+    rng = np.random.default_rng(9)
+    a, b, c = (" ".join(f"w{x}" for x in rng.integers(0, 10_000, 60)) for _ in range(3))
+    rows = [(5, a), (7, a), (5, b), (3, b), (9, c), (9, c.upper()), (11, c)]
+    out = simhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert Counter((r.doc_id, r.text.lower()) for r in out) == Counter([(5, a), (3, b), (9, c)])

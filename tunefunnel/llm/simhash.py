@@ -29,7 +29,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import batches, repeats
@@ -68,19 +68,23 @@ def fingerprint(text: str, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, id_col: str = "doc_id",
-                 text_col: str = "text") -> DataFrame:
-    """(id, fp) of every row, fp as a signed 64-bit number; a written table."""
+                 text_col: str = "text", tagged: bool = False) -> DataFrame:
+    """(id, fp) of every row, fp as a signed 64-bit number; a written table.  With
+    ``tagged`` it has a hash of the text (tag) too."""
     python_ready(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
+    tag = [F.xxhash64(text_or_empty(text_col)).alias("tag")] if tagged else []
+    rows = docs.select(F.col(id_col).alias("id"), *tag, text_or_empty(text_col).alias("text"))
     id_type = rows.schema["id"].dataType.simpleString()
+    carried = ["id", "tag"] if tagged else ["id"]
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             for rows, texts in batches.runs(part, "text"):
                 values = np.array([fingerprint(t, shingle) for t in texts], dtype=np.uint64).view(np.int64)
-                yield pa.record_batch([rows.column("id"), pa.array(values)], names=["id", "fp"])
+                yield pa.record_batch([*(rows.column(c) for c in carried), pa.array(values)],
+                                      names=[*carried, "fp"])
 
-    return written(rows.mapInArrow(run, f"id {id_type}, fp long"), "fingerprints")
+    return written(rows.mapInArrow(run, f"id {id_type}, {'tag long, ' if tagged else ''}fp long"), "fingerprints")
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,8 +203,26 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIU
 def one_of_each(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS,
                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without the near-duplicates: of each component the
-    row of the smallest id stays.  Rows of other components never shuffle."""
-    groups = near_duplicates(docs, shingle, radius, id_col, text_col)
-    gone = written(groups.filter(F.col(id_col) != F.col("component_id")).select(id_col).distinct(),
-                   "near-duplicates")
-    return repeats.without(docs, id_col, gone)
+    row of the smallest id stays, by the smaller text hash where that id has
+    several texts there.  Rows are told apart by id and text: those that repeat
+    both stay or go together, and those of null ids stay.  Rows of other
+    components never shuffle."""
+    fps = fingerprints(docs, shingle, id_col, text_col, tagged=True)
+    groups = fps.join(classes(fps, radius), "fp").select("id", "tag", "component_id")
+    gone = groups.filter("id <> component_id").select("id", "tag")
+    # Few: the ids that stand on more than one text.
+    several = written(fps.filter("id IS NOT NULL").groupBy("id").agg(
+        F.min("tag").alias("low"), F.max("tag").alias("high")).filter("low <> high").select("id"), "ids-of-texts")
+    if not several.isEmpty():
+        own = written(groups.filter("id = component_id").join(several, "id", "left_semi").select("id", "tag"),
+                      "texts-of-ids")
+        first = own.groupBy("id").agg(F.min("tag").alias("first"))
+        gone = gone.unionByName(own.join(first, "id").filter("tag <> first").select("id", "tag"))
+
+    def key(id: Column, tag: Column) -> Column:
+        return F.when(id.isNotNull(), F.struct(id.alias("id"), tag.alias("tag")))
+
+    gone = written(gone.distinct().select(key(F.col("id"), F.col("tag")).alias("key")), "near-duplicates")
+    name = "__sh_key"
+    keyed = docs.withColumn(name, key(F.col(f"`{id_col}`"), F.xxhash64(text_or_empty(text_col))))
+    return repeats.without(keyed, name, gone).drop(name)
