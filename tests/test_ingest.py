@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tunefunnel.operators import ingest as I
 from tunefunnel.sources import slices as SL
 from tunefunnel.streaming.slices import ingest_slices_stream
-from conftest import SF001
+from data_dirs import SF001
 
 
 def test_stream_one_batch_per_file_equals_batch(spark):

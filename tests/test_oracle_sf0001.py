@@ -4,7 +4,7 @@ import math
 import pytest
 
 import __spark_entry__ as E
-from conftest import SF001
+from data_dirs import SF001
 from tunefunnel.plans.registry import ORACLE
 
 

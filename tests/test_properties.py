@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tunefunnel.operators import ingest as I
 from tunefunnel.operators import metrics as M
 from tunefunnel.sources import tables as T
-from conftest import SF001
+from data_dirs import SF001
 
 
 def test_metrics_on_cases_worked_by_hand(spark):

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tunefunnel.operators import retrieval as RV
 from tunefunnel.sources import tables as T
-from conftest import SF001
+from data_dirs import SF001
 
 
 def _rows(df):

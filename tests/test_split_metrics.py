@@ -6,7 +6,7 @@ from tunefunnel.operators import metrics as M
 from tunefunnel.operators import split as S
 from tunefunnel.operators.ordering import expand_occurrences, global_row_number, rank_by_hash_key
 from tunefunnel.sources import tables as T
-from conftest import SF001
+from data_dirs import SF001
 
 
 def test_split_seed_plus_held_is_playlist(spark):
