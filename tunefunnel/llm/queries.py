@@ -7,13 +7,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (exact_dedup, language_id, nearest, packing, sentence_pieces, simhash, substring_dedup,
-               token_counts, url_rules, warc)
+from . import (alignment, byte_pairs, exact_dedup, language_id, lexical_search, nearest, packing, sentence_pieces,
+               simhash, substring_dedup, token_counts, url_rules, warc)
 from .common import table
 
 #: Tokenizer files of the queries.
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
+BYTES = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -83,9 +84,29 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_digest(packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), WORDS))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best documents of every benchmark item."""
+    return lexical_search.ranked(table(spark, sf_dir, "documents", "doc_id", "text"),
+                                 table(spark, sf_dir, "benchmark", "item_id", "text"))
+
+
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document encoded and decoded with a byte-level vocabulary."""
+    out = byte_pairs.encoded(table(spark, sf_dir, "documents", "doc_id", "text"), BYTES)
+    return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"),
+                      F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens of two vocabularies in groups, with the corpus
+    counts of the id pairs that they link."""
+    out = alignment.Alignment(table(spark, sf_dir, "documents", "doc_id", "text"), BYTES, PIECES).scored()
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_dedup, op2_nearest, op3_language_id, op4_url_filter, op5_sentencepiece, op6_token_counts, op7_simhash,
-    op8_substring_dedup, op9_warc, op10_packing)}
+    op8_substring_dedup, op9_warc, op10_packing, op11_lexical_search, op12_byte_bpe, op13_token_alignment)}
 
 ORACLE = {
     "op1_exact_dedup": r"""
@@ -130,4 +151,33 @@ ORACLE = {
                CASE WHEN page_id <> id THEN id END AS refers_to
         FROM p JOIN best USING (t)
     """,
+    "op11_lexical_search": r"""
+        WITH d AS (
+            SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+            FROM documents),
+        i AS (
+            SELECT item_id, row_number() OVER () AS q, list_distinct(regexp_extract_all(
+                translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t
+            FROM benchmark),
+        asked AS (SELECT q, item_id, unnest(t) AS term FROM i),
+        total AS (SELECT count(*) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM d WHERE len(t) > 0),
+        tf AS (
+            SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(t) AS term FROM d)
+            WHERE term IN (SELECT term FROM asked) GROUP BY r, term),
+        weights AS (
+            SELECT term, CAST(floor(1000 * ln((2 * n + 2) / (2 * df + 1))) AS BIGINT) AS w
+            FROM (SELECT term, count(*) AS df FROM tf GROUP BY term), total),
+        lengths AS (
+            SELECT r, doc_id, 100 - 90 + ((90 * CAST(len(t) AS BIGINT) * n) // l) AS m FROM d, total WHERE len(t) > 0),
+        scores AS (
+            SELECT q, item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+            FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN lengths USING (r)
+            GROUP BY q, item_id, r, doc_id),
+        places AS (
+            SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id) AS rank FROM scores WHERE score > 0)
+        SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM places WHERE rank <= 10
+    """,
 }
