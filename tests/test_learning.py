@@ -64,7 +64,7 @@ def test_ranker_learns_noisy_label_feature(spark, planted):
     frame = lab.withColumn("noisy", noisy).withColumnRenamed("user_id", "playlist_int_id") \
                .withColumnRenamed("score", "als_score")
     model = RK.fit_lambdamart(frame, n_trees=3, max_depth=3, inputs=["noisy", "als_score"])
-    scored = model.score_raw(frame).withColumnRenamed("playlist_int_id", "request_id") \
+    scored = model.score(frame).withColumnRenamed("playlist_int_id", "request_id") \
                   .withColumnRenamed("item_id", "track_int_id")
     top = RK.rerank_topk(scored, K).select(F.col("request_id").alias("user_id"), "rank",
                                            F.col("track_int_id").alias("item_id"))
@@ -80,7 +80,7 @@ def test_ranker_scores_do_not_depend_on_the_layout(spark):
     got = []
     for parts in (1, 5, 16):
         model = RK.fit_lambdamart(frame.repartition(parts), n_trees=3, max_depth=3, inputs=["als_score", "noise"])
-        got.append({(r.playlist_int_id, r.track_id): r.rank_score for r in model.score_raw(frame).collect()})
+        got.append({(r.playlist_int_id, r.track_id): r.rank_score for r in model.score(frame).collect()})
     for other in got[1:]:
         assert max(abs(other[k] - got[0][k]) for k in got[0]) < 1e-9
     assert max(got[0].values()) > min(got[0].values())

@@ -50,6 +50,23 @@ def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_numb
                   .drop("_mid", "_part", "_pos", "_off"))
 
 
+def running_total(df: DataFrame, order_cols: list[str], weight: str, out: str) -> DataFrame:
+    """The sum of ``weight`` over all rows up to each row, in the global order of
+    ``order_cols`` (distinct).  Rows are range-sorted and written; each task's
+    total is added to the ones after it, and a window runs within each task's rows."""
+    tagged = (df.repartitionByRange(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *order_cols)
+              .sortWithinPartitions(*order_cols).withColumn("_part", F.spark_partition_id()))
+    tagged = shared_copy(tagged, "running")
+    sums = tagged.groupBy("_part").agg(F.sum(weight).alias("_sum"))
+    # one row per partition
+    before = sums.select("_part", F.coalesce(F.sum("_sum").over(
+        Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    within = F.sum(weight).over(Window.partitionBy("_part").orderBy(*order_cols)
+                                .rowsBetween(Window.unboundedPreceding, 0))
+    return (tagged.withColumn(out, within).join(F.broadcast(before), "_part")
+            .withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before"))
+
+
 def expand_occurrences(pairs: DataFrame, count_col: str, occ_col: str = "occ",
                        chunk: int = EXPAND_CHUNK) -> DataFrame:
     """(keys..., count) -> one row per copy with ``occ`` in 1..count."""

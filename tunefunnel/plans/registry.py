@@ -812,6 +812,132 @@ def lambda_first_round(spark, sf_dir):
         r6(F.col("lam")).alias("lam"), r6(F.col("w")).alias("w"))
 
 
+def _first_tree_sql() -> str:
+    """Two levels of the first tree over the rounded training frame: quantile
+    cuts, sums per node, input and cut, and the best split of each node."""
+    from ..sources.schemas import MODEL_INPUTS
+    bins, reg, least = 128, 1.0, 1.0
+    inputs = ", ".join(f"{{'f': {i}, 'v': CAST({c} AS DOUBLE)}}" for i, c in enumerate(MODEL_INPUTS))
+    rounded = ", ".join([f"ROUND({c}, 6) AS {c}" for c in ["als_score", *TRACK_FEATURES]]
+                        + [f"{stable_round_sql(c)} AS {c}" for c in AVG_FEATURES + DIFF_FEATURES])
+
+    def level(n: int) -> str:
+        return f"""
+tot{n} AS (SELECT node, SUM(lam) AS g, SUM(w) AS h FROM rows{n} GROUP BY node),
+val{n} AS (SELECT r.node, b.f, b.v, b.b, r.lam, r.w FROM rows{n} r JOIN binned b USING (playlist_int_id, r)),
+mis{n} AS (SELECT node, f, SUM(lam) AS g, SUM(w) AS h FROM val{n} WHERE v IS NULL GROUP BY 1, 2),
+cell{n} AS (SELECT node, f, b AS cut, SUM(lam) AS g, SUM(w) AS h FROM val{n} WHERE b IS NOT NULL GROUP BY 1, 2, 3),
+at{n} AS (
+  SELECT t.node, c.f, c.cut, SUM(COALESCE(x.g, 0)) OVER p AS g, SUM(COALESCE(x.h, 0)) OVER p AS h
+  FROM tot{n} t CROSS JOIN cuts c LEFT JOIN cell{n} x ON x.node = t.node AND x.f = c.f AND x.cut = c.cut
+  WINDOW p AS (PARTITION BY t.node, c.f ORDER BY c.cut)),
+side{n} AS (
+  SELECT a.node, a.f, a.cut, s.side, a.g + s.side * COALESCE(m.g, 0) AS gl, a.h + s.side * COALESCE(m.h, 0) AS hl,
+         t.g, t.h
+  FROM at{n} a JOIN tot{n} t USING (node) LEFT JOIN mis{n} m USING (node, f), (VALUES (0), (1)) s(side)),
+gain{n} AS (
+  SELECT *, gl * gl / (hl + {reg}) + (g - gl) * (g - gl) / (h - hl + {reg}) - g * g / (h + {reg}) AS gain
+  FROM side{n} WHERE hl >= {least} AND h - hl >= {least}),
+split{n} AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY node ORDER BY gain DESC, f, cut, side) AS k FROM gain{n})
+  WHERE k = 1 AND gain > 1e-10)"""
+
+    return _TRAIN_SQL + f""",
+rf AS (SELECT playlist_int_id, track_id, label, {rounded} FROM frame),
+ordered AS (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY playlist_int_id ORDER BY als_score DESC, track_id) AS r,
+         SUM(label) OVER (PARTITION BY playlist_int_id) AS np, COUNT(*) OVER (PARTITION BY playlist_int_id) AS n
+  FROM rf
+),
+fr AS MATERIALIZED (
+  SELECT *, list_sum(list_transform(range(1, np::BIGINT + 1), lambda i: 1.0 / LOG2(1.0 + i))) AS idcg
+  FROM ordered WHERE np > 0 AND np < n),
+pairs AS (
+  SELECT p.playlist_int_id, p.r AS pr, q.r AS nr, ABS(1.0 / LOG2(1.0 + p.r) - 1.0 / LOG2(1.0 + q.r)) / p.idcg AS d
+  FROM fr p JOIN fr q ON p.playlist_int_id = q.playlist_int_id AND p.label = 1 AND q.label = 0
+),
+sums AS (
+  SELECT playlist_int_id, pr AS r, SUM(d) AS d FROM pairs GROUP BY 1, 2
+  UNION ALL SELECT playlist_int_id, nr AS r, -SUM(d) AS d FROM pairs GROUP BY 1, 2
+),
+grads AS MATERIALIZED (
+  SELECT f.*, ROUND(0.5 * s.d * 16777216) / 16777216 AS lam, ROUND(0.25 * ABS(s.d) * 16777216) / 16777216 AS w
+  FROM fr f JOIN sums s USING (playlist_int_id, r)),
+long AS MATERIALIZED (
+  SELECT playlist_int_id, r, u.f AS f, u.v AS v FROM (SELECT playlist_int_id, r, unnest([{inputs}]) AS u FROM grads)),
+vals AS (SELECT f, v, COUNT(*) AS n FROM long WHERE v IS NOT NULL GROUP BY 1, 2),
+run AS (SELECT f, v, n, SUM(n) OVER (PARTITION BY f ORDER BY v) AS upto, SUM(n) OVER (PARTITION BY f) AS total FROM vals),
+cuts AS MATERIALIZED (
+  SELECT f, v AS cut FROM run WHERE LEAST((upto * {bins}) // total, {bins - 1}) > ((upto - n) * {bins}) // total),
+binned AS MATERIALIZED (
+  SELECT l.*, c.cut AS b FROM long l ASOF LEFT JOIN cuts c ON l.f = c.f AND l.v <= c.cut),
+rows0 AS (SELECT playlist_int_id, r, lam, w, 0 AS node FROM grads),{level(0)},
+rows1 AS (
+  SELECT g.playlist_int_id, g.r, g.lam, g.w,
+         CASE WHEN (b.v IS NULL AND s.side = 1) OR b.v <= s.cut THEN 1 ELSE 2 END AS node
+  FROM rows0 g CROSS JOIN split0 s JOIN binned b ON b.playlist_int_id = g.playlist_int_id AND b.r = g.r AND b.f = s.f),{level(1)},
+kids AS (SELECT *, 1 + 2 * ROW_NUMBER() OVER (ORDER BY node) AS l FROM split1),
+nodes AS (
+  SELECT t.node, s.f, s.cut, s.side, CASE WHEN s.f IS NULL THEN 0 ELSE 1 END AS l, t.g, t.h FROM tot0 t LEFT JOIN split0 s USING (node)
+  UNION ALL SELECT t.node, s.f, s.cut, s.side, s.l, t.g, t.h FROM tot1 t LEFT JOIN kids s USING (node)
+  UNION ALL SELECT l, NULL, NULL, NULL, NULL, gl, hl FROM kids
+  UNION ALL SELECT l + 1, NULL, NULL, NULL, NULL, g - gl, h - hl FROM kids)
+SELECT CAST(node AS INTEGER) AS node, CAST(COALESCE(f, -1) AS INTEGER) AS feature, ROUND(COALESCE(cut, 0), 6) AS cut,
+       COALESCE(side, 0) = 1 AS missing_left, CAST(COALESCE(l, 0) AS INTEGER) AS left_node,
+       CAST(CASE WHEN COALESCE(l, 0) = 0 THEN 0 ELSE l + 1 END AS INTEGER) AS right_node, ROUND(g / (h + {reg}), 6) AS value
+FROM nodes"""
+
+
+@query("ranker_first_tree", _first_tree_sql())
+def ranker_first_tree(spark, sf_dir):
+    """M-09: the node table of a ranker of one tree with two levels, learned from
+    the whole training frame (its columns rounded alike in both engines)."""
+    model = RK.fit_lambdamart(TR.both_label_groups(training_frame.__wrapped__(spark, sf_dir)), n_trees=1, max_depth=2)
+    return model.table(spark).select("node", "feature", r6(F.col("cut")).alias("cut"), "missing_left",
+                                     F.col("left").alias("left_node"), F.col("right").alias("right_node"),
+                                     r6(F.col("value")).alias("value"))
+
+
+#: A given ranker of two trees over five inputs: (tree, node, feature, cut,
+#: missing_left, left, right, value).
+GIVEN_INPUTS = ["als_score", "track_tempo", "acousticness_diff", "valence_diff", "track_danceability"]
+GIVEN_NODES = [
+    (0, 0, 2, 9.5, True, 1, 2, 0.0), (0, 1, 0, 29.5, False, 3, 4, 0.0), (0, 2, 1, 1400.0, False, 5, 6, 0.0),
+    (0, 3, -1, 0.0, False, 0, 0, 0.5), (0, 4, -1, 0.0, False, 0, 0, 1.25), (0, 5, -1, 0.0, False, 0, 0, -0.75),
+    (0, 6, 3, 2500.0, True, 7, 8, 0.0), (0, 7, -1, 0.0, False, 0, 0, 0.0625), (0, 8, -1, 0.0, False, 0, 0, -2.0),
+    (1, 0, 4, 0.05, False, 1, 2, 0.0), (1, 1, -1, 0.0, False, 0, 0, 3.0), (1, 2, 0, 31.0, False, 3, 4, 0.0),
+    (1, 3, -1, 0.0, False, 0, 0, -1.5), (1, 4, -1, 0.0, False, 0, 0, 0.25)]
+_GIVEN_INPUTS_SQL = ", ".join(f"{{'feature': {i}, 'v': CAST({c} AS DOUBLE)}}" for i, c in enumerate(GIVEN_INPUTS))
+_GIVEN_SQL = f"""
+WITH RECURSIVE frame AS MATERIALIZED ({ORACLE["cross_features"]}),
+nodes(tree, node, feature, cut, missing_left, l, r, value) AS (VALUES {", ".join(map(str, GIVEN_NODES))}),
+x AS MATERIALIZED (
+  SELECT request_id, track_int_id, u.feature AS feature, u.v AS v
+  FROM (SELECT request_id, track_int_id, unnest([{_GIVEN_INPUTS_SQL}]) AS u FROM frame)),
+walk AS (
+  SELECT f.request_id, f.track_int_id, n.* FROM frame f, nodes n WHERE n.node = 0
+  UNION ALL
+  SELECT w.request_id, w.track_int_id, n.*
+  FROM walk w JOIN x USING (request_id, track_int_id, feature)
+  JOIN nodes n ON n.tree = w.tree
+   AND n.node = CASE WHEN (x.v IS NULL AND w.missing_left) OR x.v <= w.cut THEN w.l ELSE w.r END
+  WHERE w.feature >= 0
+)
+SELECT request_id, track_int_id, ROUND(0.5 + 0.1::DOUBLE * SUM(value::DOUBLE), 6) AS rank_score
+FROM walk WHERE feature < 0 GROUP BY request_id, track_int_id"""
+
+
+@query("ranker_table_scores", _GIVEN_SQL)
+def ranker_table_scores(spark, sf_dir):
+    """M-10, S-10, S-11: a given node table saved, loaded and walked for every
+    candidate of ``cross_features``; missing inputs take the node's side."""
+    given = RK.LambdaMARTModel(GIVEN_NODES, 0.1, 0.5, GIVEN_INPUTS)
+    model = RK.LambdaMARTModel.load(given.save(scratch_path(spark, "given-ranker")))
+    scored = model.score(cross_features.__wrapped__(spark, sf_dir))
+    return scored.select("request_id", F.col("track_int_id").cast("long").alias("track_int_id"),
+                         r6(F.col("rank_score")).alias("rank_score"))
+
+
 def check_params() -> REC.Params:
     """The reference's settings: 50 factors, 15 iterations, λ 0.01, 200
     candidates, 10,000 training playlists, 50 negatives, 100 trees, lr 0.1,
@@ -932,7 +1058,7 @@ def eval_recommend(spark, sf_dir):
     k = (spark.sparkContext.applicationId, sf_dir)
     if k not in _EVAL_RECS:
         recs, scored = REC.recommend(spark, sf_dir, eval_seed_requests(spark, sf_dir), check_params())
-        _EVAL_RECS[k] = (shared_copy(recs, "recommendations"), shared_copy(scored.drop("features"), "scored"))
+        _EVAL_RECS[k] = (shared_copy(recs, "recommendations"), shared_copy(scored, "scored"))
     return _EVAL_RECS[k]
 
 
