@@ -487,6 +487,7 @@ def candidate_lookup(spark, sf_dir):
 # --------------------------------------------------------------------------
 
 from ..operators import als as AL  # noqa: E402
+from ..operators.ordering import global_row_number  # noqa: E402
 from . import recommend as REC  # noqa: E402
 
 ALS_RANK, ALS_ITERS, ALS_REG = 50, 15, 0.01
@@ -560,12 +561,50 @@ def foldin_candidates(spark, sf_dir):
                        F.col("score").alias("als_score"), F.col("rank").cast("int").alias("als_rank"))
 
 
-def given_requests(spark, sf_dir):
-    """Seed rows on given factors: every third vector of a label, every sixth
-    one twice."""
-    emb = T.table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("request_id"),
-                                                      F.col("vec_id").alias("item_id"))
-    return emb.filter("item_id % 3 = 0").unionByName(emb.filter("item_id % 6 = 0"))
+def track_vectors(spark, sf_dir):
+    """A given factor for every track: the embedding whose place (by vec_id) is
+    the track's number modulo theirs, stretched by a 1024th for each time the
+    embeddings were used up, so that no two tracks have equal factors."""
+    def build():
+        emb = global_row_number(T.table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), ["vec_id"], "place")
+        n = emb.count()
+        tracks = C.track_map(spark, sf_dir).select(F.col("track_int_id").cast("long").alias("item_id"))
+        rows = tracks.join(emb.select((F.col("place") - 1).alias("place"), "embedding"), F.col("item_id") % n == F.col("place"))
+        stretch = F.lit(1.0) + F.expr(f"item_id div {n}") / F.lit(1024.0)
+        return rows.select("item_id", F.transform("embedding", lambda x: (x.cast("double") * stretch).cast("float"))
+                           .alias("features"))
+    return C.shared_table(spark, ("track_vectors", sf_dir), build)
+
+
+def _track_vectors_sql() -> str:
+    return """
+evec AS (SELECT embedding, ROW_NUMBER() OVER (ORDER BY vec_id) - 1 AS place, COUNT(*) OVER () AS nv FROM embeddings),
+tvec AS MATERIALIZED (
+  SELECT t.track_int_id, list_transform(e.embedding, lambda x: CAST(CAST(x AS DOUBLE)
+           * (1.0::DOUBLE + (t.track_int_id // e.nv) / 1024.0::DOUBLE) AS FLOAT)) AS fv
+  FROM tmap t JOIN evec e ON t.track_int_id % e.nv = e.place
+),
+dvec AS MATERIALIZED (SELECT track_int_id, list_transform(fv, lambda x: CAST(x AS DOUBLE)) AS dv FROM tvec)"""
+
+
+def _candidates_sql() -> str:
+    """``cands``: the top unseen tracks by the mean factor of ``seeds``."""
+    return f"""
+sdims AS (
+  SELECT s.playlist_int_id, generate_subscripts(e.fv, 1) AS d, unnest(e.fv) AS v
+  FROM seeds s JOIN tvec e USING (track_int_id)
+),
+smean AS (SELECT playlist_int_id, d, CAST(AVG(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM sdims GROUP BY 1, 2),
+svec AS MATERIALIZED (SELECT playlist_int_id, list(CAST(m AS DOUBLE) ORDER BY d) AS uv FROM smean GROUP BY 1),
+sc AS (
+  SELECT u.playlist_int_id, e.track_int_id, list_dot_product(u.uv, e.dv) AS als_score
+  FROM svec u CROSS JOIN dvec e
+  WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.playlist_int_id = u.playlist_int_id AND x.track_int_id = e.track_int_id)
+),
+cands AS (
+  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY playlist_int_id ORDER BY als_score DESC, track_int_id)
+                 AS als_rank FROM sc) WHERE als_rank <= {N_CANDIDATES}
+)"""
 
 
 def normal_residual(conf, items, vectors, reg):
@@ -592,16 +631,16 @@ def normal_residual(conf, items, vectors, reg):
                  F.max(F.abs(F.col("gx") + F.col("part") + F.col("lx"))).alias("residual")))
 
 
-@query("foldin_vectors", """
-SELECT m.confidence, CAST(e.label AS BIGINT) AS request_id, CAST(COUNT(*) AS BIGINT) AS n_seeds, 0.0::DOUBLE AS residual
-FROM embeddings e, (VALUES ('occurrence'), ('popularity')) m(confidence) WHERE e.vec_id % 3 = 0
-GROUP BY m.confidence, e.label""")
+@query("foldin_vectors", Q.with_(Q.INTERACTIONS, _MAPPED_CTE) + """
+SELECT m.confidence, CAST(playlist_int_id AS BIGINT) AS request_id, CAST(COUNT(DISTINCT track_int_id) AS BIGINT) AS n_seeds,
+       0.0::DOUBLE AS residual
+FROM mapped, (VALUES ('occurrence'), ('popularity')) m(confidence) GROUP BY m.confidence, playlist_int_id""")
 def foldin_vectors(spark, sf_dir):
-    """M-04, K1 on given factors: one vector per request, for both confidence
-    rules, with the residual of its normal equations, relative to the greatest
-    entry of the Gram matrix, rounded to 4 digits."""
-    items, _ = T.embedding_factors(spark, sf_dir)
-    seeds = given_requests(spark, sf_dir)
+    """M-04, K1 on given factors: one vector per playlist from all its
+    interactions, for both confidence rules, with the residual of its normal
+    equations, relative to the greatest entry of the Gram matrix, to 4 digits."""
+    items = track_vectors(spark, sf_dir)
+    seeds = C.mapped(spark, sf_dir).select(F.col("playlist_int_id").alias("request_id"), F.col("track_int_id").alias("item_id"))
     popularity = seeds.groupBy("item_id").agg(F.count(F.lit(1)).alias("n_interactions"))
     scale = float(abs(AL.gram(items)).max())
     out = None
@@ -617,8 +656,8 @@ def foldin_vectors(spark, sf_dir):
 
 # --------------------------------------------------------------------------
 # Phase 5: training set.  SQL-checked with a deterministic candidate source:
-# given-factor retrieval (F2) where a playlist's vector is the mean of its
-# seed tracks' embedding vectors (track_int_id = vec_id).
+# given-factor retrieval (F2) where every track has a given factor and a
+# playlist's factor is the mean of its seed tracks'.
 # --------------------------------------------------------------------------
 
 from ..operators import training as TR  # noqa: E402
@@ -639,14 +678,11 @@ def training_split(spark, sf_dir):
 
 
 def embedding_candidates(spark, sf_dir, seeds):
-    """Top-200 unseen items for each playlist's mean seed vector."""
-    emb = T.table(spark, sf_dir, "embeddings")
-    rows = seeds.join(emb.select(F.col("vec_id").alias("track_int_id"), "embedding"), "track_int_id")
-    users = T.element_mean(rows.select(F.col("playlist_int_id").alias("user_id"), F.col("embedding").alias("features")),
-                           "user_id", "features")
-    items = emb.select(F.col("vec_id").alias("item_id"), F.col("embedding").alias("features"))
-    seen = seeds.select(F.col("playlist_int_id").alias("user_id"), F.col("track_int_id").alias("item_id"))
-    c = RV.top_n(users, items, N_CANDIDATES, seen=seen)
+    """Top-200 unseen tracks for each playlist's mean seed factor."""
+    items = track_vectors(spark, sf_dir)
+    rows = seeds.select(F.col("playlist_int_id").alias("user_id"), F.col("track_int_id").cast("long").alias("item_id"))
+    users = T.element_mean(rows.join(items, "item_id").select("user_id", "features"), "user_id", "features")
+    c = RV.top_n(users, items, N_CANDIDATES, seen=rows)
     return c.select(F.col("user_id").alias("playlist_int_id"), F.col("item_id").alias("track_int_id"),
                     F.col("score").alias("als_score"), F.col("rank").cast("long").alias("als_rank"))
 
@@ -675,24 +711,7 @@ ts AS (
   FROM tsplit s JOIN pmap p USING (playlist_id) JOIN tmap t USING (track_id)
 ),
 seeds AS (SELECT playlist_int_id, track_int_id, track_id FROM ts WHERE held = 0),
-targets AS (SELECT DISTINCT playlist_int_id, track_int_id FROM ts WHERE held = 1),
-sdims AS (
-  SELECT s.playlist_int_id, generate_subscripts(e.embedding, 1) AS d, unnest(e.embedding) AS v
-  FROM seeds s JOIN embeddings e ON e.vec_id = s.track_int_id
-),
-smean AS (SELECT playlist_int_id, d, CAST(AVG(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM sdims GROUP BY 1, 2),
-svec AS (SELECT playlist_int_id, list(m ORDER BY d) AS uv FROM smean GROUP BY 1),
-sc AS (
-  SELECT u.playlist_int_id, e.vec_id AS track_int_id,
-         list_dot_product(list_transform(u.uv, lambda x: CAST(x AS DOUBLE)),
-                          list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))) AS als_score
-  FROM svec u CROSS JOIN embeddings e
-  WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.playlist_int_id = u.playlist_int_id AND x.track_int_id = e.vec_id)
-),
-cands AS (
-  SELECT * FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY playlist_int_id ORDER BY als_score DESC, track_int_id)
-                 AS als_rank FROM sc) WHERE als_rank <= {N_CANDIDATES}
-),
+targets AS (SELECT DISTINCT playlist_int_id, track_int_id FROM ts WHERE held = 1)""", _track_vectors_sql(), _candidates_sql(), f"""
 lab AS (
   SELECT c.*, CAST(CASE WHEN t.track_int_id IS NULL THEN 0 ELSE 1 END AS INTEGER) AS label
   FROM cands c LEFT JOIN targets t USING (playlist_int_id, track_int_id)
@@ -982,57 +1001,65 @@ def rerank_topk(spark, sf_dir):
                       "als_score", "rank_score", F.col("rank").cast("long").alias("rank"))
 
 
-_SCORED_CTES = (*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _PMAP_CTE, _SEEDS_CTE, f"""
-counts AS (SELECT track_id, COUNT(*) AS c FROM interactions GROUP BY track_id),
-pool AS (
-  SELECT DISTINCT s.playlist_id AS request_id, t.track_int_id, t.track_id, CAST(n.c AS DOUBLE) AS als_score
-  FROM split s JOIN tmap t USING (track_id) JOIN counts n USING (track_id) WHERE s.pos <= s.n_hold
-),
+_DIAGNOSTIC_CTES = (*_SPLIT_ELIGIBLE, Q.TRACK_METADATA, _PMAP_CTE, f"""
+seeds AS (
+  SELECT p.playlist_int_id, t.track_int_id, s.track_id
+  FROM split s JOIN pmap p USING (playlist_id) JOIN tmap t USING (track_id) WHERE s.pos > s.n_hold)""",
+    _track_vectors_sql(), _candidates_sql(), f"""
+pool AS (SELECT c.playlist_int_id AS request_id, c.track_int_id, t.track_id, ROUND(c.als_score, 6) AS als_score
+         FROM cands c JOIN tmap t USING (track_int_id)),
 prof AS (
   SELECT s.request_id, AVG(m.acousticness) AS a
-  FROM (SELECT DISTINCT request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id) GROUP BY s.request_id
+  FROM (SELECT DISTINCT playlist_int_id AS request_id, track_id FROM seeds) s JOIN track_metadata m USING (track_id)
+  GROUP BY s.request_id
 ),
 scored AS (
   SELECT p.*, 0.0 - ROUND(COALESCE({stable_round_sql('ABS(x.a - m.acousticness)')}, 1000.0)) AS rank_score
   FROM pool p JOIN track_metadata m USING (track_id) LEFT JOIN prof x USING (request_id)
-)""")
-
-
-@query("diagnostics_given", Q.with_(*_SCORED_CTES, """
-hd AS (SELECT DISTINCT playlist_id AS request_id, track_id FROM split WHERE pos <= n_hold AND pos % 2 = 1),
+),
+held AS (SELECT p.playlist_int_id AS request_id, s.track_id FROM split s JOIN pmap p USING (playlist_id) WHERE s.pos <= s.n_hold),
+hd AS (SELECT DISTINCT * FROM held),
 als AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY als_score DESC, track_int_id) AS ar FROM pool),
 eng AS (SELECT request_id, track_int_id, rank_score,
                ROW_NUMBER() OVER (PARTITION BY request_id ORDER BY rank_score DESC, als_score DESC, track_int_id) AS er FROM scored),
 both_arms AS (
   SELECT a.*, e.rank_score, e.er, h.track_id IS NOT NULL AS hit
   FROM als a LEFT JOIN eng e USING (request_id, track_int_id) LEFT JOIN hd h USING (request_id, track_id)
-)""") + """
-SELECT b.request_id, CAST(COUNT(*) AS BIGINT) AS n_retrieved, CAST(COUNT(rank_score) AS BIGINT) AS n_scored,
-       MIN(als_score) AS als_min, MAX(als_score) AS als_max, ROUND(STDDEV_POP(als_score), 6) AS als_std,
+)""")
+
+
+@query("diagnostics_given", Q.with_(*_DIAGNOSTIC_CTES) + f"""
+SELECT CAST(b.request_id AS BIGINT) AS request_id, CAST(COUNT(*) AS BIGINT) AS n_retrieved, CAST(COUNT(rank_score) AS BIGINT) AS n_scored,
+       MIN(als_score) FILTER (WHERE er IS NOT NULL) AS als_min, MAX(als_score) FILTER (WHERE er IS NOT NULL) AS als_max,
+       ROUND(STDDEV_POP(als_score) FILTER (WHERE er IS NOT NULL), 6) AS als_std,
        MIN(rank_score) AS score_min, MAX(rank_score) AS score_max, ROUND(STDDEV_POP(rank_score), 6) AS score_std,
        CAST(COUNT(DISTINCT rank_score) AS BIGINT) AS n_distinct_scores,
-       CAST(COUNT(*) FILTER (WHERE ar <= 5 AND hit) AS BIGINT) AS als_hits,
-       CAST(COUNT(*) FILTER (WHERE er <= 5 AND hit) AS BIGINT) AS engine_hits,
-       CAST(COUNT(*) FILTER (WHERE ar <= 5 AND er <= 5 AND hit) AS BIGINT) AS als_hits_kept,
+       CAST(COUNT(*) FILTER (WHERE ar <= {K} AND hit) AS BIGINT) AS als_hits,
+       CAST(COUNT(*) FILTER (WHERE er <= {K} AND hit) AS BIGINT) AS engine_hits,
+       CAST(COUNT(*) FILTER (WHERE ar <= {K} AND er <= {K} AND hit) AS BIGINT) AS als_hits_kept,
        COALESCE(STRING_AGG(track_id, ',' ORDER BY ar) FILTER (WHERE ar <= 5), '') AS als_top5,
        COALESCE(STRING_AGG(track_id, ',' ORDER BY er) FILTER (WHERE er <= 5), '') AS engine_top5,
        CAST(CASE WHEN COUNT(DISTINCT rank_score) = 1 THEN 1 ELSE 0 END AS INTEGER) AS degenerate,
-       CAST((SELECT COUNT(*) FROM hd WHERE hd.request_id = b.request_id) AS BIGINT) AS n_held
+       CAST((SELECT COUNT(*) FROM held WHERE held.request_id = b.request_id) AS BIGINT) AS n_held
 FROM both_arms b GROUP BY b.request_id""")
 def diagnostics_given(spark, sf_dir):
-    """E-08, A-17, J-12 on given scores: stage-1 ranks over the whole pool
-    (tracks without metadata included), rerank by the coarse score of
-    ``rerank_topk``, k = 5, every other held-out track counted as held."""
-    feats = cross_features.__wrapped__(spark, sf_dir)
+    """E-08, A-17, J-12 on given factors and scores: the top-200 unseen tracks
+    of every eligible playlist's mean seed factor (tracks without metadata
+    included), reranked by the coarse score of ``rerank_topk``, against all
+    held-out rows, k = 20."""
+    split = eval_heldout(spark, sf_dir).join(C.playlist_map(spark, sf_dir), "playlist_id")
+    tmap, meta = C.track_map(spark, sf_dir), C.track_metadata(spark, sf_dir)
+    seeds = split.filter("held = 0").select("playlist_int_id", "track_id")
+    cands = C.shared_table(spark, ("eval_emb_cands", sf_dir),
+                           lambda: embedding_candidates(spark, sf_dir, seeds.join(tmap, "track_id")))
+    pool = cands.join(tmap, "track_int_id").select(
+        F.col("playlist_int_id").alias("request_id"), "track_int_id", "track_id", r6(F.col("als_score")).alias("als_score"))
+    prof = PR.profiles(seeds.withColumnRenamed("playlist_int_id", "request_id"), meta, mode="distinct", keep_empty=True)
+    feats = _mean_cols(PR.candidate_features(pool, tmap, meta, prof, keep_unprofiled=True), DIFF_FEATURES)
     scored = feats.withColumn(
         "rank_score", F.lit(0.0) - F.round(F.coalesce(F.col("acousticness_diff"), F.lit(1000.0))))
-    held = eval_heldout(spark, sf_dir).filter("held = 1")
-    pool = (held.select(F.col("playlist_id").alias("request_id"), "track_id").distinct()
-            .join(C.track_map(spark, sf_dir), "track_id").join(P.track_counts(C.interactions(spark, sf_dir)), "track_id")
-            .select("request_id", "track_int_id", "track_id", F.col("n_interactions").cast("double").alias("als_score")))
-    out = EX.rerank_diagnostics(pool, scored, held.filter("pos % 2 = 1").select(
-        F.col("playlist_id").alias("request_id"), "track_id"), 5)
-    return _round_cols(out, ["als_std", "score_std"])
+    held = split.filter("held = 1").select(F.col("playlist_int_id").alias("request_id"), "track_id")
+    return _round_cols(EX.rerank_diagnostics(pool, scored, held, K), ["als_std", "score_std"])
 
 
 def eval_seed_requests(spark, sf_dir):
