@@ -39,6 +39,7 @@ from . import batches, byte_pairs, sentence_pieces
 from .caches import ByteCache
 from .common import python_ready, text_or_empty, written
 from .files import opened as opened_files
+from .word_pieces import batched
 from ..session import scratch_path
 
 #: Links of groups that are expanded at once.
@@ -47,7 +48,8 @@ LINKS_AT_ONCE = 2_000_000
 LARGE_GROUP = 4096
 #: Distinct pairs that a task gathers before it adds them up, and that a row holds.
 GATHERED, PAIRS_A_ROW = 2_000_000, 50_000
-_CACHE = 24 << 20
+#: Bytes of a generation of each side's cache.
+_CACHE = 48 << 20
 
 
 class Tokens:
@@ -67,6 +69,39 @@ class Tokens:
         self.n_b = len(pieces)
         self.words, self.chunks = ByteCache(_CACHE), ByteCache(_CACHE)
 
+    def _know_words(self, new: list[str]) -> None:
+        """Words of a blank and letters are words again when put together, so many
+        go through the library at once; the others are encoded on their trie."""
+        plain = [w for w in new if w[0] == " " and w[1:].isalpha() and byte_pairs.PLAIN.fullmatch(w)]
+        for part in batched(plain):
+            ids = np.array(self.a.library.encode_batch_fast(["".join(part)], add_special_tokens=False)[0].ids, dtype="<u4")
+            held = _portions(ids, self.a_size, [len(w.encode("utf-8")) for w in part])
+            if held is None:
+                raise ValueError("the ids do not end where the words end")
+            self.words.new.update(zip(part, held))
+        for word, ids in self.a.encode_words(w.encode("utf-8") for w in set(new).difference(plain)):
+            self.words.new[word.decode("utf-8")] = np.array(ids, dtype="<u4").tobytes()
+
+    def _know_chunks(self, new: list[str]) -> None:
+        """Chunks are chunks again when put together with blanks; those that hold
+        blanks are asked alone.  None where the bytes differ."""
+        blank, library = sentence_pieces.BLANK, self.b.library
+        plain = [c for c in new if c and blank not in c]
+        alone = list(set(new).difference(plain))
+        for part in batched(plain):
+            text = " ".join(part)
+            ids = np.array(library.encode(text), dtype="<u4")
+            held = _portions(ids, self.b_size, [1 + len(c.encode("utf-8")) for c in part])
+            if held is None or b"".join([self.b_bytes[i] for i in ids.tolist()]) != (" " + text).encode("utf-8"):
+                alone += part
+            else:
+                self.chunks.new.update(zip(part, held))
+        # The library gives a chunk its first blank; a lone blank is not asked.
+        for c, ids in zip(alone, library.encode([c.replace(blank, " ") for c in alone], num_threads=1)):
+            ids = ids if c else [self.blank_id]
+            same = b"".join([self.b_bytes[i] for i in ids]) == (" " + c.replace(blank, " ")).encode("utf-8")
+            self.chunks.new[c] = np.array(ids, dtype="<u4").tobytes() if same else None
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text the ids of both sides, as little-endian 32-bit bytes;
         both empty where the bytes differ."""
@@ -75,16 +110,9 @@ class Tokens:
         words = [self.a.text_words(" " + t, special=False) if t else [] for t in given]
         chunks = [self.b.text_chunks(t) for t in given]
         self.words.turn()
-        new = self.words.missing(set().union(*words))
-        for word, ids in self.a.encode_words(w.encode("utf-8") for w in new):
-            self.words.new[word.decode("utf-8")] = np.array(ids, dtype="<u4").tobytes()
+        self._know_words(self.words.missing(set().union(*words)))
         self.chunks.turn()
-        new = self.chunks.missing(set().union(*chunks))
-        # The library gives a chunk its first blank; a lone blank is not asked.
-        for c, ids in zip(new, self.b.library.encode([c.replace(blank, " ") for c in new], num_threads=1)):
-            ids = ids if c else [self.blank_id]
-            same = b"".join([self.b_bytes[i] for i in ids]) == (" " + c.replace(blank, " ")).encode("utf-8")
-            self.chunks.new[c] = np.array(ids, dtype="<u4").tobytes() if same else None
+        self._know_chunks(self.chunks.missing(set().union(*chunks)))
         a_of, b_of = self.words.new.__getitem__, self.chunks.new.__getitem__
         out = []
         for w, c in zip(words, chunks):
@@ -93,6 +121,17 @@ class Tokens:
         return out
 
 
+def _portions(ids: np.ndarray, sizes: np.ndarray, lengths: list[int]) -> list[bytes] | None:
+    """The ids of strings put together, cut where the strings end by their bytes;
+    None if an id stands across such an end."""
+    ends, wanted = np.cumsum(sizes[ids]), np.cumsum(lengths)
+    at = np.searchsorted(ends, wanted)
+    if not len(ids) or at[-1] != len(ids) - 1 or not np.array_equal(ends[at], wanted):
+        return None
+    data, cuts = ids.tobytes(), (4 * (at + 1)).tolist()
+    return [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts)]
+
+
 _OPEN: dict[tuple[str, str], Tokens] = {}
 
 
