@@ -903,7 +903,7 @@ nodes AS (
   UNION ALL SELECT l + 1, NULL, NULL, NULL, NULL, g - gl, h - hl FROM kids)
 SELECT CAST(node AS INTEGER) AS node, CAST(COALESCE(f, -1) AS INTEGER) AS feature, ROUND(COALESCE(cut, 0), 6) AS cut,
        COALESCE(side, 0) = 1 AS missing_left, CAST(COALESCE(l, 0) AS INTEGER) AS left_node,
-       CAST(CASE WHEN COALESCE(l, 0) = 0 THEN 0 ELSE l + 1 END AS INTEGER) AS right_node, ROUND(g / (h + {reg}), 6) AS value
+       CAST(CASE WHEN COALESCE(l, 0) = 0 THEN 0 ELSE l + 1 END AS INTEGER) AS right_node, ROUND(g / (h + {reg}), 6) + 0.0::DOUBLE AS value
 FROM nodes"""
 
 
@@ -914,7 +914,7 @@ def ranker_first_tree(spark, sf_dir):
     model = RK.fit_lambdamart(TR.both_label_groups(training_frame.__wrapped__(spark, sf_dir)), n_trees=1, max_depth=2)
     return model.table(spark).select("node", "feature", r6(F.col("cut")).alias("cut"), "missing_left",
                                      F.col("left").alias("left_node"), F.col("right").alias("right_node"),
-                                     r6(F.col("value")).alias("value"))
+                                     (r6(F.col("value")) + F.lit(0.0)).alias("value"))   # no negative zero
 
 
 #: A given ranker of two trees over five inputs: (tree, node, feature, cut,
