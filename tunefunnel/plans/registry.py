@@ -654,6 +654,33 @@ def foldin_vectors(spark, sf_dir):
     return out
 
 
+@query("als_loss_given", Q.with_(Q.INTERACTIONS, _PMAP_CTE, _MAPPED_CTE, _track_vectors_sql()) + f""",
+cells AS (SELECT playlist_int_id, track_int_id, COUNT(*) AS c FROM mapped GROUP BY 1, 2),
+udims AS (SELECT m.playlist_int_id, generate_subscripts(e.fv, 1) AS d, unnest(e.fv) AS v FROM mapped m JOIN tvec e USING (track_int_id)),
+umean AS (SELECT playlist_int_id, d, CAST(AVG(CAST(v AS DOUBLE)) AS FLOAT) AS m FROM udims GROUP BY 1, 2),
+uvec AS MATERIALIZED (SELECT playlist_int_id, list(CAST(m AS DOUBLE) ORDER BY d) AS uv FROM umean GROUP BY 1),
+pairs AS (
+  SELECT COALESCE(c.c, 0) AS c, list_dot_product(u.uv, e.dv) AS p,
+         list_dot_product(u.uv, u.uv) AS uu, list_dot_product(e.dv, e.dv) AS ee
+  FROM uvec u CROSS JOIN dvec e LEFT JOIN cells c USING (playlist_int_id, track_int_id)),
+total AS (
+  SELECT CAST(COUNT(*) FILTER (WHERE c > 0) AS BIGINT) AS n_cells, SUM(p * p) AS squares,
+         SUM(CASE WHEN c > 0 THEN c * (1 - p) * (1 - p) - p * p ELSE 0 END) AS observed,
+         {ALS_REG}::DOUBLE * SUM(CASE WHEN c > 0 THEN uu + ee ELSE 0 END) AS penalty,
+         SUM(CASE WHEN c > 0 THEN c * (1 - p) * (1 - p) ELSE p * p END) AS fit
+  FROM pairs)
+SELECT n_cells, ROUND(squares, 3) AS squares, ROUND(observed, 3) AS observed, ROUND(penalty, 3) AS penalty,
+       ROUND(fit + penalty, 3) AS loss FROM total""")
+def als_loss_given(spark, sf_dir):
+    """M-02: the implicit objective over all playlist-track cells on given
+    factors (the SQL forms every pair, the operator none)."""
+    items, mapped = track_vectors(spark, sf_dir), C.mapped(spark, sf_dir)
+    rows = mapped.select(F.col("playlist_int_id").alias("user_id"), F.col("track_int_id").cast("long").alias("item_id"))
+    users = T.element_mean(rows.join(items, "item_id").select("user_id", "features"), "user_id", "features")
+    out = AL.implicit_loss(C.shared_copy(users, "mean-factors"), items, I.confidence(mapped), ALS_REG)
+    return out.select("n_cells", *[round_to(F.col(c), 3).alias(c) for c in ("squares", "observed", "penalty", "loss")])
+
+
 # --------------------------------------------------------------------------
 # Phase 5: training set.  SQL-checked with a deterministic candidate source:
 # given-factor retrieval (F2) where every track has a given factor and a
