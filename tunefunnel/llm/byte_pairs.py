@@ -43,7 +43,7 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
 _LETTER = "A-Za-zªµºÀ-ÖØ-öø-ɏ"
 _NUMBER = "0-9²³¹¼-¾"
-_SPACE = "\t-\r \u0085 "
+_SPACE = "\t-\r \u0085\u00A0"
 #: Texts of these characters are cut by the pattern below.
 PLAIN = re.compile("[\x00-ɏ‐-‧‰-⁞€]*")
 #: The byte-level pre-tokenizer's pattern for such texts.
