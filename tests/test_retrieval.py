@@ -56,6 +56,32 @@ def test_pool_prefix_equals_direct_topk(spark):
     assert _rows(big) == _rows(small)
 
 
+def test_blocks_out_of_reach_are_skipped(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.normal(size=(400, 8)) * np.exp(-np.arange(400) / 40)[:, None]
+    items = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "item_id long, features array<float>")
+    users = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.normal(size=(30, 8)))]
+                                  + [(99, [0.0] * 8)], "user_id long, features array<float>")
+    seen = spark.createDataFrame([(3, i) for i in range(60)], "user_id long, item_id long")
+    got, report = RV.top_n_blocks(users, items, 10, seen=seen, item_block=40, user_block=7)
+    assert _rows(got) == _rows(RV.top_n(users, items, 10, seen=seen))
+    rows = report.orderBy("block").collect()
+    assert [r.n_items for r in rows] == [40] * 10
+    lengths = np.sort(np.linalg.norm(vectors, axis=1))[::-1]
+    assert np.allclose([r.max_length for r in rows], lengths[::40], rtol=1e-6)
+    # a zero vector ties everywhere, so it reaches every block
+    assert rows[0].n_scored == 31 and rows[-1].n_scored == 1
+
+
+def test_no_users_or_items(spark):
+    none = spark.createDataFrame([], "user_id long, features array<float>")
+    items = spark.createDataFrame([(i, [float(i)]) for i in range(6)], "item_id long, features array<float>")
+    assert RV.top_n(none, items, 3).count() == 0
+    assert RV.top_n(none, items, 3, item_block=2).count() == 0
+    one = spark.createDataFrame([(1, [1.0])], "user_id long, features array<float>")
+    assert RV.top_n(one, items.limit(0), 3).count() == 0
+
+
 def test_lookup_closes_positions(spark):
     cands = spark.createDataFrame([(1, 101, 1), (1, 205, 2), (1, 310, 3)], "user_id long, item_id long, rank int")
     dim = spark.createDataFrame([(101, "a"), (310, "c")], "item_id long, track_id string")

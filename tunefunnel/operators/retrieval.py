@@ -3,17 +3,24 @@
 
 Plan
 ----
-* Each user needs the scores of every item.  Rows are never paired: users are
-  hashed into blocks of about ``user_block`` rows, items into blocks of about
-  ``item_block``, and a ``cogroup(...).applyInPandas`` keyed by (user block,
-  item block) scores a block of users against a block of items with NumPy, so
-  only the top rows leave the task.  Each user meets each item block once, and
-  both sides of a group are bounded by the block sizes.  Nothing is collected
-  or broadcast.
+* Items are ordered by the length of their vectors, longest first, and cut into
+  blocks of about ``item_block``.  No score of a user in a block exceeds the
+  user's length times the block's greatest length, so a user whose k-th score so
+  far is above that bound needs neither this block nor any later one.
+* Blocks are scored in waves of 1, 1, 2, 4, ... blocks.  Before each wave every
+  user's k-th score decides which of its blocks the user still reaches; a wave
+  that nobody reaches ends the search.  There are about log2(blocks) waves, and
+  each one's best rows are written, so lost executors repeat one wave at most.
+* Rows are never paired: the users that reach a block are hashed into groups of
+  about ``user_block`` rows, and a ``cogroup(...).applyInPandas`` keyed by (item
+  block, user group) scores one group against the block with NumPy, so only the
+  top rows leave the task.  A block is copied once per group of its own reaching
+  users, not to all users.  What the driver sees is one row per item block.
 * The top-k of the item blocks merge per user with ``row_number() <= k``
   (planned as a ``WindowGroupLimit``, which also limits map side).
 * Ties are broken by item id ascending; the selection is exact even with ties
-  at the cut-off (threshold mask + lexsort, no candidate cap).
+  at the cut-off (threshold mask + lexsort, no candidate cap), and a bound equal
+  to the k-th score still counts as reached.
 * Already-seen items (J-10) go to their (user, item block) and are masked
   there, so a user with a long history scores no more rows than any other.
 """
@@ -26,7 +33,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import ship_package
+from ..session import shared_copy, ship_package
+from .ordering import global_row_number
 
 USER = "user_id"
 ITEM = "item_id"
@@ -34,6 +42,7 @@ USER_BLOCK = 16384      # users of a block, about
 ITEM_BLOCK = 131072     # items of a block, about
 ITEM_CHUNK = 32768      # item columns scored at once inside a task
 USER_CHUNK = 256        # user rows scored at once inside a task
+BOUND_SLACK = 1 + 1e-9  # for the rounding of lengths and scores
 
 _OUT_SCHEMA = T.StructType([
     T.StructField(USER, T.LongType(), False),
@@ -99,52 +108,113 @@ def _empty_out():
                          "score": pd.Series([], dtype="float64"), "rank": pd.Series([], dtype="int32")})
 
 
-def top_n(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFrame | None = None,
-          item_block: int = ITEM_BLOCK, user_block: int = USER_BLOCK) -> DataFrame:
-    """M-05: top ``k`` items per user by dot product, seen items removed.
+def _length(features):
+    return F.sqrt(F.aggregate(features, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
+
+
+def _waves(n_blocks: int):
+    """Block ranges [lo, hi): one block, then as many as all before."""
+    lo, size = 0, 1
+    while lo < n_blocks:
+        yield lo, min(n_blocks, lo + size)
+        lo += size
+        size = lo
+
+
+def _score_wave(reached, items, n_groups: dict, k: int):
+    """Top-k rows of each (user, item block) of ``reached[user_id, features, _seen,
+    _ib]``; block ``b`` meets its users in ``n_groups[b]`` groups."""
+    lo, hi = min(n_groups), max(n_groups)
+    per_block = F.lit([n_groups.get(b, 0) for b in range(lo, hi + 1)])[F.col("_ib") - lo]
+    u = reached.withColumn("_ub", F.pmod(F.xxhash64(USER), per_block.cast("long")).cast("int"))
+    it = (items.filter(F.col("_ib").isin(list(n_groups)))
+          .withColumn("_ub", F.explode(F.sequence(F.lit(0), per_block - 1))))
+
+    def run_pair(updf, ipdf):
+        if updf.empty or ipdf.empty:
+            return _empty_out()
+        return _score_users(updf, ipdf[ITEM].to_numpy(dtype=np.int64),
+                            np.stack(ipdf["features"].to_numpy()).astype(np.float32), k)
+
+    return (u.select("_ub", "_ib", USER, "features", "_seen").groupBy("_ub", "_ib")
+            .cogroup(it.select("_ub", "_ib", ITEM, "features").groupBy("_ub", "_ib"))
+            .applyInPandas(run_pair, _OUT_SCHEMA))
+
+
+def top_n_blocks(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFrame | None = None,
+                 item_block: int = ITEM_BLOCK, user_block: int = USER_BLOCK) -> tuple[DataFrame, DataFrame]:
+    """M-05: top ``k`` items per user by dot product, seen items removed, and what
+    each item block cost.
 
     ``users[user_id, features array<float>]``, ``items[item_id, features]``,
     ``seen[user_id, item_id]`` (optional, duplicates allowed).
-    Returns ``[user_id, item_id, score double, rank int]`` with rank 1..k.
+    Returns ``[user_id, item_id, score double, rank int]`` with rank 1..k, and
+    ``[block, n_items, max_length, n_users, n_scored]``: of all users, those that
+    were scored against the block.
     """
     spark = users.sparkSession
     ship_package(spark)
     users = users.select(F.col(USER).cast("long").alias(USER), "features")
     items = items.select(F.col(ITEM).cast("long").alias(ITEM), "features")
     n_users, n_items = users.count(), items.count()
-    # as many user blocks as the session runs tasks at once, more if they would be too large
-    slots = min(spark.sparkContext.defaultParallelism, n_users)
-    n_ub, n_ib = max(1, slots, -(-n_users // user_block)), max(1, -(-n_items // item_block))
-
-    def item_part(c):
-        return F.pmod(F.xxhash64(c), F.lit(n_ib)).cast("int")
-
-    def blocks(n):
-        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-
-    u = (users.withColumn("_ub", F.pmod(F.xxhash64(USER), F.lit(n_ub)).cast("int"))
-              .withColumn("_ib", blocks(n_ib)))
-    if seen is None:
-        u = u.withColumn("_seen", F.lit(None).cast("array<bigint>"))
+    n_blocks = max(1, -(-n_items // item_block))
+    if n_blocks > 1:
+        # the order by length and the users are read once a wave
+        ordered = global_row_number(items.withColumn("_shorter", -_length(F.col("features"))), ["_shorter", ITEM], "_rn")
+        items = shared_copy(ordered.select(
+            ITEM, "features", F.floor((F.col("_rn") - 1) / item_block).cast("int").alias("_ib"),
+            (-F.col("_shorter")).alias("_length")), "items_by_length")
+        users = shared_copy(users.withColumn("_length", _length(F.col("features"))), "users_by_length")
+        stats = [tuple(r) for r in items.groupBy("_ib").agg(F.count(F.lit(1)), F.max("_length")).orderBy("_ib").collect()]
+        if seen is not None:
+            seen = seen.select(F.col(USER).cast("long").alias(USER), F.col(ITEM).cast("long").alias(ITEM))
+            seen = shared_copy(seen.join(items.select(ITEM, "_ib"), ITEM), "seen_by_block")
     else:
-        # at most one item block's ids for each (user, item block)
-        lists = (seen.select(F.col(USER).cast("long").alias(USER), F.col(ITEM).cast("long").alias(ITEM))
-                 .groupBy(USER, item_part(F.col(ITEM)).alias("_ib"))
-                 .agg(F.collect_set(ITEM).alias("_seen")))
-        u = u.join(lists, [USER, "_ib"], "left")
-    it = items.withColumn("_ib", item_part(F.col(ITEM))).withColumn("_ub", blocks(n_ub))
+        items, stats = items.withColumn("_ib", F.lit(0)), [(0, n_items, None)]
+        if seen is not None:
+            seen = seen.select(F.col(USER).cast("long").alias(USER), F.col(ITEM).cast("long").alias(ITEM),
+                               F.lit(0).alias("_ib"))
+    slots = spark.sparkContext.defaultParallelism
+    best, scored = None, dict.fromkeys(range(n_blocks), 0)
+    for lo, hi in _waves(n_blocks):
+        if best is None:
+            reached, counts = users.withColumn("_ib", F.lit(0)), {0: n_users}
+        else:
+            kth = best.filter(F.col("rank") == k).select(USER, F.col("score").alias("_kth"))
+            bounds = F.lit([stats[b][2] for b in range(lo, hi)])
+            in_reach = F.filter(F.sequence(F.lit(lo), F.lit(hi - 1)), lambda b: F.col("_kth").isNull() | (
+                F.col("_length") * bounds[b - lo] * BOUND_SLACK >= F.col("_kth")))
+            reached = shared_copy(users.join(kth, USER, "left").select(
+                USER, "features", F.explode(in_reach).alias("_ib")), "reached")
+            counts = {r["_ib"]: r["count"] for r in reached.groupBy("_ib").count().collect()}
+            if not counts:
+                break
+        scored.update(counts)
+        if seen is None:
+            reached = reached.withColumn("_seen", F.lit(None).cast("array<bigint>"))
+        else:
+            # at most one item block's ids for each (user, item block)
+            lists = seen.filter(F.col("_ib").isin(list(counts))).groupBy(USER, "_ib").agg(F.collect_set(ITEM).alias("_seen"))
+            reached = reached.join(lists, [USER, "_ib"], "left")
+        # at least as many groups in all as the session runs tasks at once
+        spread = -(-slots // len(counts))
+        n_groups = {b: max(1, min(spread, c), -(-c // user_block)) for b, c in counts.items()}
+        found = _score_wave(reached, items, n_groups, k)
+        if best is not None:
+            found = found.unionByName(best)
+        w = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))
+        best = found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+        if n_blocks > 1:
+            best = shared_copy(best, "best")
+    report = spark.createDataFrame([(b, int(n), length, n_users, scored[b]) for b, n, length in stats],
+                                   "block int, n_items long, max_length double, n_users long, n_scored long")
+    return best, report
 
-    def run_pair(updf, ipdf):
-        if updf.empty or ipdf.empty:
-            return _empty_out()
-        return _score_users(updf, ipdf[ITEM].to_numpy(dtype=np.int64),
-                            np.stack(ipdf["features"].to_numpy()).astype(np.float32), k)
 
-    scored = (u.select("_ub", "_ib", USER, "features", "_seen").groupBy("_ub", "_ib")
-               .cogroup(it.select("_ub", "_ib", ITEM, "features").groupBy("_ub", "_ib"))
-               .applyInPandas(run_pair, _OUT_SCHEMA))
-    w = Window.partitionBy(USER).orderBy(F.desc("score"), F.asc(ITEM))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def top_n(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFrame | None = None,
+          item_block: int = ITEM_BLOCK, user_block: int = USER_BLOCK) -> DataFrame:
+    """M-05: the top ``k`` rows of ``top_n_blocks``."""
+    return top_n_blocks(users, items, k, seen, item_block, user_block)[0]
 
 
 def top_k_prefix(candidates: DataFrame, k: int) -> DataFrame:

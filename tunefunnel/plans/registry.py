@@ -587,6 +587,81 @@ tvec AS MATERIALIZED (
 dvec AS MATERIALIZED (SELECT track_int_id, list_transform(fv, lambda x: CAST(x AS DOUBLE)) AS dv FROM tvec)"""
 
 
+BLOCKS_K, BLOCKS_SIZE = 20, 256
+
+
+def sized_factors(spark, sf_dir):
+    """Given factors of differing lengths: every track's vector times its part's
+    size, and as users the embeddings themselves."""
+    sizes = (T.table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("track_id"), "p_size")
+             .join(C.track_map(spark, sf_dir), "track_id"))
+    sizes = sizes.select(F.col("track_int_id").cast("long").alias("item_id"), F.col("p_size").cast("double").alias("_s"))
+    items = track_vectors(spark, sf_dir).join(sizes, "item_id").select(
+        "item_id", F.transform("features", lambda x: (x.cast("double") * F.col("_s")).cast("float")).alias("features"))
+    users = T.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("user_id"), F.col("embedding").alias("features"))
+    return users, items
+
+
+def sized_top(spark, sf_dir):
+    """Top rows and block report over ``sized_factors``, both written once."""
+    both = []
+
+    def build(part):
+        if not both:
+            both.extend(RV.top_n_blocks(*sized_factors(spark, sf_dir), BLOCKS_K, item_block=BLOCKS_SIZE))
+        return both[part]
+    return tuple(C.shared_table(spark, (f"sized_top_{part}", sf_dir), lambda part=part: build(part)) for part in (0, 1))
+
+
+def _sized_sql() -> tuple:
+    return (Q.INTERACTIONS, _PMAP_CTE, _track_vectors_sql(), """
+sized AS MATERIALIZED (
+  SELECT t.track_int_id AS item_id, list_transform(t.fv, lambda x: CAST(CAST(CAST(x AS DOUBLE) * p.p_size AS FLOAT) AS DOUBLE)) AS dv
+  FROM tvec t JOIN tmap m USING (track_int_id) JOIN part p ON CAST(p.p_partkey AS VARCHAR) = m.track_id
+),
+lens AS (SELECT *, SQRT(list_dot_product(dv, dv)) AS len FROM sized),
+ordered AS MATERIALIZED (SELECT *, (ROW_NUMBER() OVER (ORDER BY len DESC, item_id) - 1) // %d AS block FROM lens),
+sdot AS MATERIALIZED (
+  SELECT e.vec_id AS user_id, o.item_id, o.block, list_dot_product(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), o.dv) AS score
+  FROM embeddings e CROSS JOIN ordered o
+)""" % BLOCKS_SIZE)
+
+
+@query("topn_sized", Q.with_(*_sized_sql()) + f"""
+SELECT user_id, item_id, ROUND(score, 6) AS score, CAST(rank AS BIGINT) AS rank FROM (
+  SELECT *, ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY score DESC, item_id) AS rank FROM sdot)
+WHERE rank <= {BLOCKS_K}""")
+def topn_sized(spark, sf_dir):
+    """M-05: exact top-20 tracks of each embedding where lengths differ, found block by
+    block of falling length, with the blocks out of a user's reach left out."""
+    out = sized_top(spark, sf_dir)[0]
+    return out.select("user_id", "item_id", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
+@query("topn_blocks", Q.with_(*_sized_sql(), f"""
+ulen AS (SELECT vec_id AS user_id, SQRT(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE) * CAST(x AS DOUBLE)))) AS ulen
+         FROM embeddings),
+blocks AS (SELECT block, COUNT(*) AS n_items, MAX(len) AS max_length,
+                  CASE WHEN block = 0 THEN 0 ELSE CAST(2 ** FLOOR(LOG2(block)) AS BIGINT) END AS wave
+           FROM ordered GROUP BY block),
+waves AS (SELECT DISTINCT wave FROM blocks WHERE wave > 0),
+kth AS (
+  SELECT wave, user_id, score AS kth FROM (
+    SELECT w.wave, s.user_id, s.score,
+           ROW_NUMBER() OVER (PARTITION BY w.wave, s.user_id ORDER BY s.score DESC, s.item_id) AS rank
+    FROM sdot s JOIN waves w ON s.block < w.wave) WHERE rank = {BLOCKS_K}
+)""") + f"""
+SELECT CAST(b.block AS INTEGER) AS block, CAST(ANY_VALUE(b.n_items) AS BIGINT) AS n_items,
+       ROUND(ANY_VALUE(b.max_length), 6) AS max_length, CAST(COUNT(*) AS BIGINT) AS n_users,
+       CAST(COUNT(*) FILTER (WHERE k.kth IS NULL OR u.ulen * b.max_length * {RV.BOUND_SLACK!r}::DOUBLE >= k.kth) AS BIGINT) AS n_scored
+FROM blocks b CROSS JOIN ulen u LEFT JOIN kth k ON k.wave = b.wave AND k.user_id = u.user_id
+GROUP BY b.block""")
+def topn_blocks(spark, sf_dir):
+    """M-05: for each item block of ``topn_sized``, the users scored against it; all
+    others had their top 20 above the block's bound."""
+    return sized_top(spark, sf_dir)[1].withColumn("max_length", r6(F.col("max_length")))
+
+
 def _candidates_sql() -> str:
     """``cands``: the top unseen tracks by the mean factor of ``seeds``."""
     return f"""
