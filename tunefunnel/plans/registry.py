@@ -1340,35 +1340,40 @@ def _paired_sql(metric):
 SELECT '{metric}' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, CAST(COUNT(*) AS BIGINT) AS n,
        ROUND(AVG(a), 6) AS mean_a, ROUND(AVG(b), 6) AS mean_b, ROUND(AVG(a) - AVG(b), 6) AS lift,
        ROUND(100.0 * (AVG(a) - AVG(b)) / AVG(b), 6) AS lift_pct,
-       ROUND(AVG(a - b) / (STDDEV_SAMP(a - b) / SQRT(COUNT(*))), 6) AS t_stat,
+       AVG(a - b) / (STDDEV_SAMP(a - b) / SQRT(COUNT(*))) AS t,
        CAST(COUNT(*) - 1 AS DOUBLE) AS df
 FROM (SELECT playlist_id, MAX(CASE WHEN arm = '{ARM_A}' THEN {metric} END) AS a,
              MAX(CASE WHEN arm = '{ARM_B}' THEN {metric} END) AS b
       FROM per_all GROUP BY playlist_id) WHERE a IS NOT NULL AND b IS NOT NULL"""
 
 
-@query("paired_ttest", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql()) + _paired_sql("ndcg") + " UNION ALL " + _paired_sql("recall"))
+_PAIRED_SQL = f"""
+SELECT * EXCLUDE (t), ROUND(t, 6) AS t_stat, ROUND({Q.t_p("t", "df")}, 6) AS p_value
+FROM ({_paired_sql("ndcg")} UNION ALL {_paired_sql("recall")})"""
+
+
+def paired_tests(per):
+    """The paired tests of both metrics with their p-values."""
+    return ST.with_t_p(ST.paired_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.paired_ttest(per, "recall", ARM_A, ARM_B)))
+
+
+@query("paired_ttest", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql()) + _PAIRED_SQL)
 def paired_ttest(spark, sf_dir):
-    """E-07: paired t statistics (pairs by playlist) for NDCG and recall; the
-    p-value (F-09) is added by ``stats.with_t_p`` in the reports."""
-    per = two_arm_metrics(spark, sf_dir)
-    out = ST.paired_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.paired_ttest(per, "recall", ARM_A, ARM_B))
+    """E-07, F-09: paired t-tests (pairs by playlist) for NDCG and recall.  (The SQL
+    integrates the t density by Simpson's rule.)"""
+    out = paired_tests(two_arm_metrics(spark, sf_dir))
     return out.select("metric", "arm_a", "arm_b", *[r6(F.col(c)).alias(c) if c not in ("n", "df") else c
-                                                    for c in _TTEST_COLS])
+                                                    for c in (*_TTEST_COLS, "p_value")])
 
 
-@query("eval_lift", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql(), "tt AS (" + _paired_sql("ndcg") + " UNION ALL "
-                            + _paired_sql("recall") + ")") + """
+@query("eval_lift", Q.with_(*_TWO_ARM_CTES, *_two_arm_sql(), f"tt AS ({_PAIRED_SQL})") + """
 SELECT metric, arm_a, arm_b, mean_a, mean_b, lift, lift_pct, t_stat,
-       CASE WHEN t_stat IS NULL THEN 'no variance' WHEN ABS(t_stat) >= 1.9616 THEN 'significant at 0.05'
+       CASE WHEN p_value IS NULL THEN 'no variance' WHEN p_value < 0.05 THEN 'significant at 0.05'
             ELSE 'not significant at 0.05' END AS note
 FROM tt""")
 def eval_lift(spark, sf_dir):
-    """E-06: means of both arms with the lift and its significance note.  (The
-    SQL takes the critical value of about 1,500 pairs in place of the p-value.)"""
-    per = two_arm_metrics(spark, sf_dir)
-    out = ST.paired_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.paired_ttest(per, "recall", ARM_A, ARM_B))
-    out = ST.with_t_p(out).withColumn("note", ST.significance_note(F.col("p_value")))
+    """E-06: means of both arms with the lift and its significance note."""
+    out = paired_tests(two_arm_metrics(spark, sf_dir)).withColumn("note", ST.significance_note(F.col("p_value")))
     return out.select("metric", "arm_a", "arm_b", *[r6(F.col(c)).alias(c) for c in
                                                     ("mean_a", "mean_b", "lift", "lift_pct", "t_stat")], "note")
 
@@ -1477,9 +1482,9 @@ def _welch_sql(metric):
     return f"""
 SELECT '{metric}' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, n_a, n_b, ROUND(ma, 6) AS mean_a,
        ROUND(mb, 6) AS mean_b, ROUND(ma - mb, 6) AS lift,
-       ROUND((ma - mb) / SQRT(va / n_a + vb / n_b), 6) AS t_stat,
-       ROUND((va / n_a + vb / n_b) * (va / n_a + vb / n_b)
-             / ((va / n_a) * (va / n_a) / (n_a - 1) + (vb / n_b) * (vb / n_b) / (n_b - 1)), 6) AS df
+       (ma - mb) / SQRT(va / n_a + vb / n_b) AS t,
+       (va / n_a + vb / n_b) * (va / n_a + vb / n_b)
+             / ((va / n_a) * (va / n_a) / (n_a - 1) + (vb / n_b) * (vb / n_b) / (n_b - 1)) AS d
 FROM (SELECT CAST(COUNT(*) FILTER (WHERE arm = '{ARM_A}') AS BIGINT) AS n_a,
              CAST(COUNT(*) FILTER (WHERE arm = '{ARM_B}') AS BIGINT) AS n_b,
              AVG(CASE WHEN arm = '{ARM_A}' THEN {metric} END) AS ma, AVG(CASE WHEN arm = '{ARM_B}' THEN {metric} END) AS mb,
@@ -1487,30 +1492,31 @@ FROM (SELECT CAST(COUNT(*) FILTER (WHERE arm = '{ARM_A}') AS BIGINT) AS n_a,
              VAR_SAMP(CASE WHEN arm = '{ARM_B}' THEN {metric} END) AS vb FROM exp)"""
 
 
-@query("welch_ttest", Q.with_(*_EXP_CTES) + _welch_sql("ndcg") + " UNION ALL " + _welch_sql("recall"))
+@query("welch_ttest", Q.with_(*_EXP_CTES) + f"""
+SELECT * EXCLUDE (t, d), ROUND(t, 6) AS t_stat, ROUND(d, 6) AS df, ROUND({Q.t_p("t", "d")}, 6) AS p_value
+FROM ({_welch_sql("ndcg")} UNION ALL {_welch_sql("recall")})""")
 def welch_ttest(spark, sf_dir):
-    """E-10: Welch statistics between the disjoint arms of the experiment."""
+    """E-10, F-09: Welch tests between the disjoint arms of the experiment."""
     per = assigned_metrics(spark, sf_dir)
-    out = ST.welch_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.welch_ttest(per, "recall", ARM_A, ARM_B))
+    out = ST.with_t_p(ST.welch_ttest(per, "ndcg", ARM_A, ARM_B).unionByName(ST.welch_ttest(per, "recall", ARM_A, ARM_B)))
     return out.select("metric", "arm_a", "arm_b", "n_a", "n_b",
-                      *[r6(F.col(c)).alias(c) for c in ("mean_a", "mean_b", "lift", "t_stat", "df")])
+                      *[r6(F.col(c)).alias(c) for c in ("mean_a", "mean_b", "lift", "t_stat", "df", "p_value")])
 
 
 @query("two_prop_ztest", Q.with_(*_EXP_CTES) + f"""
 SELECT 'hit' AS metric, '{ARM_A}' AS arm_a, '{ARM_B}' AS arm_b, n_a, n_b, ROUND(pa, 6) AS p_a, ROUND(pb, 6) AS p_b,
-       ROUND(pa - pb, 6) AS lift,
-       ROUND(CASE WHEN se = 0 THEN 0.0 ELSE (pa - pb) / se END, 6) AS z_stat
-FROM (SELECT *, SQRT(pool * (1.0 - pool) * (1.0 / n_a + 1.0 / n_b)) AS se FROM (
+       ROUND(pa - pb, 6) AS lift, ROUND(z, 6) AS z_stat, ROUND({Q.z_p("z")}, 6) AS p_value
+FROM (SELECT *, CASE WHEN se = 0 THEN 0.0::DOUBLE ELSE (pa - pb) / se END AS z FROM (SELECT *, SQRT(pool * (1.0 - pool) * (1.0 / n_a + 1.0 / n_b)) AS se FROM (
   SELECT n_a, n_b, sa / n_a AS pa, sb / n_b AS pb, (sa + sb) / (n_a + n_b) AS pool FROM (
     SELECT CAST(COUNT(*) FILTER (WHERE arm = '{ARM_A}') AS BIGINT) AS n_a,
            CAST(COUNT(*) FILTER (WHERE arm = '{ARM_B}') AS BIGINT) AS n_b,
            CAST(SUM(CASE WHEN arm = '{ARM_A}' THEN hit END) AS DOUBLE) AS sa,
-           CAST(SUM(CASE WHEN arm = '{ARM_B}' THEN hit END) AS DOUBLE) AS sb FROM exp)))""")
+           CAST(SUM(CASE WHEN arm = '{ARM_B}' THEN hit END) AS DOUBLE) AS sb FROM exp))))""")
 def two_prop_ztest(spark, sf_dir):
-    """E-09: pooled two-proportion z statistic for the hit rate."""
-    out = ST.two_prop_ztest(assigned_metrics(spark, sf_dir), "hit", ARM_A, ARM_B)
+    """E-09, F-08: pooled two-proportion z-test for the hit rate."""
+    out = ST.with_z_p(ST.two_prop_ztest(assigned_metrics(spark, sf_dir), "hit", ARM_A, ARM_B))
     return out.select("metric", "arm_a", "arm_b", "n_a", "n_b",
-                      *[r6(F.col(c)).alias(c) for c in ("p_a", "p_b", "lift", "z_stat")])
+                      *[r6(F.col(c)).alias(c) for c in ("p_a", "p_b", "lift", "z_stat", "p_value")])
 
 
 N_BOOT = 5000

@@ -120,5 +120,24 @@ def metrics(held: str, recs: str, k: int, shared: bool, name: str = "per") -> st
 )"""
 
 
+def _simpson(end: str, density: str, steps: int = 4000) -> str:
+    """1 - 2 * the integral of ``density`` (of ``x``) from 0 to ``end``."""
+    x = f"(i * ({end}) / {steps}.0::DOUBLE)"
+    return f"""GREATEST(0.0::DOUBLE, 1.0::DOUBLE - 2.0::DOUBLE * ({end}) / {3 * steps}.0::DOUBLE * list_sum(list_transform(range(0, {steps + 1}),
+      lambda i: (CASE WHEN i = 0 OR i = {steps} THEN 1.0::DOUBLE WHEN i % 2 = 1 THEN 4.0::DOUBLE ELSE 2.0::DOUBLE END)
+                * ({density.replace("{x}", x)}))))"""
+
+
+def t_p(t: str, df: str) -> str:
+    """F-09 in SQL: the two-sided Student-t p-value by Simpson's rule over its density."""
+    scale = f"EXP(LGAMMA((({df}) + 1) / 2.0) - LGAMMA(({df}) / 2.0)) / SQRT(({df}) * PI())"
+    return _simpson(f"ABS({t})", f"{scale} * POW(1.0::DOUBLE + {{x}} * {{x}} / ({df}), -(({df}) + 1) / 2.0)")
+
+
+def z_p(z: str) -> str:
+    """F-08 in SQL: the two-sided normal p-value, likewise."""
+    return _simpson(f"ABS({z})", "EXP(-{x} * {x} / 2.0) / SQRT(2.0 * PI())")
+
+
 def with_(*ctes: str) -> str:
     return "WITH " + ",".join(c.strip("\n") for c in ctes) + "\n"
