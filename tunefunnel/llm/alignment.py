@@ -27,6 +27,7 @@ A text is aligned as a whole, so a task's memory grows with its longest text.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -43,13 +44,15 @@ from .word_pieces import batched
 from ..session import scratch_path
 
 #: Links of groups that are expanded at once.
-LINKS_AT_ONCE = 2_000_000
+LINKS_AT_ONCE = 500_000
+#: Text bytes that are encoded and aligned at once.
+RUN_BYTES = 384 << 10
 #: Groups of more links are first reduced to distinct ids.
 LARGE_GROUP = 4096
 #: Distinct pairs that a task gathers before it adds them up, and that a row holds.
-GATHERED, PAIRS_A_ROW = 2_000_000, 50_000
+GATHERED, PAIRS_A_ROW = 500_000, 50_000
 #: Bytes of a generation of each side's cache.
-_CACHE = 48 << 20
+_CACHE = 40 << 20
 
 
 class Tokens:
@@ -195,6 +198,10 @@ class Aligned:
         codes = code.tolist()
         return ["".join([parts[c] for c in codes[s:e]])[:-1] for s, e in zip([0, *ends[:-1]], ends)]
 
+    def digests(self) -> list[str]:
+        """The SHA-256 of each document's groups; without tokens the empty text."""
+        return [sha256(t.encode("ascii")).hexdigest() if t else "" for t in self.texts()]
+
     def links(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(document, pair code, times) of all links, in portions.  A pair's code
         is a * n_b + b; a portion may hold a pair of a document again."""
@@ -269,9 +276,8 @@ class Alignment:
         rows = docs.select(F.col(id_col).alias("id"), text_or_empty(text_col).alias("text"))
         self.id_type = rows.schema["id"].dataType.simpleString()
         aligned = rows.mapInArrow(self._encode(), f"id {self.id_type}, a_ids binary, b_ids binary, n_a long, n_b long, "
-                                  "n_groups long, n_links long, groups string, part long, pairs array<long>, docs array<long>")
-        mark = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise(F.lit(""))
-        self.written = written(aligned.withColumn("groups_sha256", mark).drop("groups"), "aligned")
+                                  "n_groups long, n_links long, groups_sha256 string, part long, pairs array<long>, docs array<long>")
+        self.written = written(aligned, "aligned")
         self.documents = self.written.filter("pairs is null").drop("pairs", "docs")
         asked = self.written.filter("pairs is not null").select(
             "part", F.explode(F.arrays_zip("pairs", "docs")).alias("p")).select("part", "p.pairs", "p.docs")
@@ -288,7 +294,7 @@ class Alignment:
 
     def _encode(self):
         first, second = self.first, self.second
-        names = ["id", "a_ids", "b_ids", "n_a", "n_b", "n_groups", "n_links", "groups", "part", "pairs", "docs"]
+        names = ["id", "a_ids", "b_ids", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "part", "pairs", "docs"]
 
         def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tokens = opened(first, second)
@@ -297,7 +303,7 @@ class Alignment:
             id_type = None
             for batch in parts:
                 id_type = batch.schema.field("id").type
-                for run, texts in batches.runs(batch, "text"):
+                for run, texts in batches.runs(batch, "text", RUN_BYTES):
                     ids = tokens.encode(texts)
                     found = Aligned(tokens, ids)
                     for pairs in found.distinct():
@@ -308,7 +314,7 @@ class Alignment:
                     yield pa.record_batch(
                         [run.column("id"), pa.array([x for x, _ in ids], pa.binary()),
                          pa.array([y for _, y in ids], pa.binary()), pa.array(found.n_a), pa.array(found.n_b),
-                         pa.array(found.n_groups), pa.array(found.n_links), pa.array(found.texts(), pa.string()),
+                         pa.array(found.n_groups), pa.array(found.n_links), pa.array(found.digests(), pa.string()),
                          pa.array([part] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
                          pa.nulls(n, pa.list_(pa.int64()))], names=names)
             keys, n = _added(gathered) if gathered else (np.zeros(0, dtype=np.int64),) * 2

@@ -28,17 +28,17 @@ def by_bytes(texts: list[str], run_bytes: int = RUN_BYTES) -> Iterator[tuple[int
     return cuts(np.fromiter(map(len, texts), dtype=np.int64, count=len(texts)), run_bytes)
 
 
-def text_runs(column: pa.Array) -> Iterator[tuple[int, int, list[str]]]:
+def text_runs(column: pa.Array, run_bytes: int = RUN_BYTES) -> Iterator[tuple[int, int, list[str]]]:
     """(start, end, texts) of runs of a text column (null as empty).  Only one
     run at a time becomes Python strings, and memory that Arrow no longer needs
     goes back before the next batch."""
     sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    for start, end in cuts(sizes):
+    for start, end in cuts(sizes, run_bytes):
         yield start, end, [t or "" for t in column.slice(start, end - start).to_pylist()]
     pa.default_memory_pool().release_unused()
 
 
-def runs(batch: pa.RecordBatch, column: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+def runs(batch: pa.RecordBatch, column: str, run_bytes: int = RUN_BYTES) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of a batch balanced by the bytes of a text column, with its texts."""
-    for start, end, texts in text_runs(batch.column(column)):
+    for start, end, texts in text_runs(batch.column(column), run_bytes):
         yield batch.slice(start, end - start), texts
