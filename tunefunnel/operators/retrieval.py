@@ -156,7 +156,8 @@ def top_n_blocks(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFra
     ship_package(spark)
     users = users.select(F.col(USER).cast("long").alias(USER), "features")
     items = items.select(F.col(ITEM).cast("long").alias(ITEM), "features")
-    n_users, n_items = users.count(), items.count()
+    n_users = users.count()
+    n_items, longest = items.agg(F.count(F.lit(1)), F.max(_length(F.col("features")))).first()
     n_blocks = max(1, -(-n_items // item_block))
     if n_blocks > 1:
         # the order by length and the users are read once a wave
@@ -170,7 +171,7 @@ def top_n_blocks(users: DataFrame, items: DataFrame, k: int = 200, seen: DataFra
             seen = seen.select(F.col(USER).cast("long").alias(USER), F.col(ITEM).cast("long").alias(ITEM))
             seen = shared_copy(seen.join(items.select(ITEM, "_ib"), ITEM), "seen_by_block")
     else:
-        items, stats = items.withColumn("_ib", F.lit(0)), [(0, n_items, None)]
+        items, stats = items.withColumn("_ib", F.lit(0)), [(0, n_items, longest)]
         if seen is not None:
             seen = seen.select(F.col(USER).cast("long").alias(USER), F.col(ITEM).cast("long").alias(ITEM),
                                F.lit(0).alias("_ib"))
