@@ -114,6 +114,37 @@ def eval_popularity(spark, sf_dir):
     ).select(F.lit("popularity").alias("arm"), F.lit(K).alias("k"), "*")
 
 
+_UNSEEN_POP_SQL = Q.with_(
+    Q.INTERACTIONS, Q.eligible(MIN_TRACKS), Q.split("eligible_interactions", HOLDOUT, SALT),
+    "held AS (SELECT playlist_id, track_id FROM split WHERE pos <= n_hold)",
+    "seen AS (SELECT DISTINCT playlist_id, track_id FROM split WHERE pos > n_hold)",
+    """ranked AS (
+  SELECT track_id, ROW_NUMBER() OVER (ORDER BY COUNT(*) DESC, track_id ASC) AS place FROM interactions GROUP BY track_id
+),
+lists AS (
+  SELECT e.playlist_id, r.track_id, ROW_NUMBER() OVER (PARTITION BY e.playlist_id ORDER BY r.place) AS rank
+  FROM eligible e CROSS JOIN ranked r ANTI JOIN seen s ON s.playlist_id = e.playlist_id AND s.track_id = r.track_id
+)""", Q.metrics("held", "lists", K, shared=False)) + """
+SELECT playlist_id, 'popularity_unseen' AS arm, n_held, n_held_distinct, n_hits, ROUND(recall, 6) AS recall,
+       ROUND(ndcg, 6) AS ndcg, hit
+FROM per"""
+
+
+def unseen_popularity_metrics(spark, sf_dir):
+    """Metrics of the popularity list without each playlist's own seeds (K13)."""
+    split = eval_heldout(spark, sf_dir)
+    held = split.filter("held = 1").select("playlist_id", "track_id")
+    places = P.unseen_popularity(C.interactions(spark, sf_dir), split.filter("held = 0"), held, K)
+    return M.metrics_at_k(held, places, K).withColumn("arm", F.lit("popularity_unseen"))
+
+
+@query("popularity_unseen", _UNSEEN_POP_SQL)
+def popularity_unseen(spark, sf_dir):
+    """L-03, E-04 (K13): the popularity arm whose lists leave out a playlist's own
+    seeds, for every eligible playlist."""
+    return _metric_cols(unseen_popularity_metrics(spark, sf_dir))
+
+
 # --------------------------------------------------------------------------
 # Phase 1: ingestion
 # --------------------------------------------------------------------------
@@ -1223,6 +1254,7 @@ def recommend_named(spark, sf_dir):
 
 from ..operators import experiment as EX  # noqa: E402
 from ..operators import stats as ST  # noqa: E402
+from ..operators import resampling as RS  # noqa: E402
 
 ARM_A, ARM_B = "popularity_seed", "popularity"
 PILOT_N = 200
@@ -1546,6 +1578,27 @@ def bootstrap_ci(spark, sf_dir):
                       *[r6(F.col(c)).alias(c) for c in ("boot_mean_diff", "ci_low", "ci_high")])
 
 
+@query("bootstrap_sizes", Q.with_(*_EXP_CTES) + " UNION ALL ".join(f"""
+SELECT '{m}' AS metric, arm, COUNT(*) AS n_values, {N_BOOT} AS n_boot, COUNT(*) AS least_draws, COUNT(*) AS most_draws,
+       CAST(COUNT(*) * {N_BOOT} AS BIGINT) AS all_draws, MIN({m}) = MAX({m}) AS one_value FROM exp GROUP BY arm"""
+    for m in ("ndcg", "recall", "hit")))
+def bootstrap_sizes(spark, sf_dir):
+    """E-11: the sizes of the 5000 exact replicates of each metric and arm (all draws
+    are the arm's values), and whether their means never differ, as they do only for
+    one value."""
+    per = assigned_metrics(spark, sf_dir)
+    long = per.select("arm", F.explode(F.array(*(
+        F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value"))
+        for m in ("ndcg", "recall", "hit")))).alias("x")).select("x.metric", "arm", "x.value")
+    drawn = RS.replicate_sums(long, N_BOOT, 42).groupBy("metric", "arm").agg(
+        F.count(F.lit(1)).cast("int").alias("n_boot"), F.min("draws").alias("least_draws"),
+        F.max("draws").alias("most_draws"), F.sum("draws").alias("all_draws"),
+        (F.min("total") == F.max("total")).alias("one_value"))
+    sizes = long.groupBy("metric", "arm").agg(F.count("value").alias("n_values"))
+    return sizes.join(drawn, ["metric", "arm"]).select(
+        "metric", "arm", "n_values", "n_boot", "least_draws", "most_draws", "all_draws", "one_value")
+
+
 # --------------------------------------------------------------------------
 # Reports over the real arms (engine, stage-1 only, popularity): rows-only.
 # --------------------------------------------------------------------------
