@@ -1,13 +1,18 @@
 """URL filter: explicit host and path rules first, then association rules that
 FP-growth mines from labelled URLs.
 
-A URL becomes a set of tokens (host labels, path parts, query names).  FP-growth
-over the labelled URLs, with the label as one more item, gives the frequent
-token combinations; rules ``tokens -> bad`` are pruned by confidence and
-support, and a rule goes when a part of its tokens is already a rule.  Rules
-are matched through an inverted index on each rule's rarest token: a page meets
-only the rules whose rarest token it holds, and the other tokens are then
-checked in place, so tokens that nearly all pages share are never joined on.
+A URL becomes a set of tokens (host labels, path parts, query names).  Tokens
+that stand on exactly the same labelled URLs form one class and one item, so the
+parts of one long URL that repeats are a single item.  FP-growth over the
+labelled URLs, with the label as one more item, gives the frequent combinations;
+rules ``tokens -> bad`` are pruned by confidence and support, and a rule goes
+when a part of its tokens is already a rule.  Rules are matched through an
+inverted index on each rule's rarest class: a page meets only the rules of which
+it holds a rarest token, and the other classes are then checked in place, so
+tokens that nearly all pages share are never joined on.
+
+Frequent tokens of one URL that stand on slightly differing sets of URLs remain
+items of their own; FP-growth's work doubles with each one that is not a rule.
 
 Defined cases: a null URL or one without ``://`` has empty host and path and no
 tokens, hence no rule and verdict ``allow``; labels that are null are not
@@ -17,6 +22,8 @@ an empty table gives an empty result.  DataFrame functions and ``pyspark.ml``.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -79,49 +86,100 @@ def explicit_rule(host: Column, path: Column) -> Column:
     return out
 
 
+def token_classes(rows: DataFrame, min_count: int) -> DataFrame:
+    """Classes (rep, members, n, n_bad) of the tokens that stand on at least
+    ``min_count`` bad rows: tokens on exactly the same rows form one class, told
+    by count and 128 bits of their rows' hashes; ``rep`` is its smallest token.
+    All members of a class stand on one URL, so a class is no longer than that."""
+    tokens = (rows.select("row", "bad", F.explode("tokens").alias("token")).groupBy("token")
+              .agg(F.count(F.lit(1)).alias("n"), F.count_if("bad").alias("n_bad"),
+                   F.bit_xor(F.xxhash64("row")).alias("x"), F.bit_xor(F.xxhash64(F.lit("y"), "row")).alias("y"))
+              .filter(F.col("n_bad") >= min_count))
+    return (tokens.groupBy("n", "n_bad", "x", "y").agg(F.sort_array(F.collect_list("token")).alias("members"))
+            .select(F.col("members")[0].alias("rep"), "members", "n", "n_bad"))
+
+
+def _minimal(sets: DataFrame, min_confidence: float) -> DataFrame:
+    """The rules among the frequent ``sets`` (reps, key, n, n_bad) of which no
+    proper part is a rule.  By size: a set lies over a rule if one of its parts
+    that lack one token is a rule or lies over one itself."""
+    sets = written(sets.withColumn("confidence", F.col("n_bad") / F.col("n")), "url-sets")
+    is_rule = F.col("confidence") >= min_confidence
+    kept, closed = None, None
+    for size in range(1, (sets.agg(F.max(F.size("reps"))).first()[0] or 0) + 1):
+        level = sets.filter(F.size("reps") == size)
+        if closed is None:
+            kept, closed = level.filter(is_rule), level.filter(is_rule).select("key")
+            continue
+        parts = level.select("key", F.explode("reps").alias("out"), "reps").select(
+            "key", F.array_join(F.array_remove("reps", F.col("out")), "\x00").alias("part"))
+        over = written(parts.join(closed.withColumnRenamed("key", "part"), "part").select("key").distinct(), "url-over")
+        found = level.filter(is_rule).join(over, "key", "left_anti")
+        kept, closed = kept.unionByName(found), over.unionByName(found.select("key"))
+    return sets.limit(0) if kept is None else kept
+
+
+def mine_class_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
+                     min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
+    """Minimal rules (rule_id, classes, confidence, support, rarest) from rows of
+    ``tokens`` and boolean ``bad``.  A URL fits a rule if it holds a token of each
+    of its ``classes``; ``rarest`` is the class on the least labelled URLs, ties
+    to the smaller first token.
+
+    FP-growth sees one item for each class, and none for a class that is a rule
+    by itself, since no longer set with it can be minimal.
+    """
+    rows = written(labelled.filter(F.size("tokens") > 0).select(
+        F.monotonically_increasing_id().alias("row"), F.array_distinct("tokens").alias("tokens"),
+        F.coalesce("bad", F.lit(False)).alias("bad")), "url-rows")
+    n_rows = rows.count()
+    min_count = max(1, math.ceil(min_support * n_rows))
+    classes = written(token_classes(rows, min_count), "url-classes")
+    alone = F.col("n_bad") / F.col("n") >= min_confidence
+    single = classes.filter(alone).select(F.array("rep").alias("reps"), F.col("rep").alias("key"), "n", "n_bad",
+                                          (F.col("n_bad") / F.col("n")).alias("confidence"))
+    items = written(rows.select("row", "bad", F.explode("tokens").alias("rep"))
+                    .join(classes.filter(~alone).select("rep"), "rep")
+                    .groupBy("row", "bad").agg(F.collect_list("rep").alias("reps"))
+                    .select(F.when(F.col("bad"), F.concat("reps", F.array(F.lit(BAD)))).otherwise(F.col("reps")).alias("items")),
+                    "url-transactions")
+    # rows without an item are no transactions: the share is that of the least count
+    support = min(1.0, (min_count - 0.5) / max(1, items.count()))
+    frequent = FPGrowth(itemsCol="items", minSupport=support).fit(items).freqItemsets
+    frequent = frequent.select(F.sort_array(F.array_remove("items", BAD)).alias("reps"), "freq",
+                               F.array_contains("items", BAD).alias("bad")).filter(F.size("reps") > 0)
+    sets = (frequent.groupBy(F.array_join("reps", "\x00").alias("key"))
+            .agg(F.first("reps").alias("reps"), F.max(F.when(~F.col("bad"), F.col("freq"))).alias("n"),
+                 F.max(F.when(F.col("bad"), F.col("freq"))).alias("n_bad")).filter("n_bad IS NOT NULL"))
+    rules = _minimal(sets, min_confidence).unionByName(single)
+    return (rules.withColumn("rule_id", F.xxhash64("key")).withColumn("rep", F.explode("reps"))
+            .join(classes.select("rep", "members", F.col("n").alias("rows")), "rep")
+            .groupBy("rule_id").agg(
+                F.sort_array(F.collect_list("members")).alias("classes"), F.first("confidence").alias("confidence"),
+                (F.first("n_bad") / F.lit(float(max(1, n_rows)))).alias("support"),
+                F.min(F.struct("rows", "members"))["members"].alias("rarest")))
+
+
 def mine_rules(labelled: DataFrame, min_support: float = MIN_SUPPORT,
                min_confidence: float = MIN_CONFIDENCE) -> DataFrame:
-    """Rules (rule_id, tokens, confidence, support, rarest) from rows of
-    ``tokens`` and boolean ``bad``; the rarest token of a rule is the one of the
-    least labelled URLs, ties to the smaller token."""
-    items = written(labelled.filter(F.size("tokens") > 0).select(
-        F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD))))
-        .otherwise(F.col("tokens")).alias("items")), "url-transactions")
-    model = FPGrowth(itemsCol="items", minSupport=min_support,
-                     minConfidence=min_confidence).fit(items)
-    rules = (model.associationRules.filter(F.col("consequent") == F.array(F.lit(BAD)))
-             .select(F.sort_array("antecedent").alias("tokens"), "confidence", "support"))
-    # A rule is redundant when a part of its tokens is a rule too: the part
-    # already blocks every page that the longer one would.
-    rules = written(rules.withColumn("rule_id", F.xxhash64(F.array_join("tokens", "\x00"))),
-                    "url-rules")
-    counts = (items.select(F.explode("items").alias("token"))
-              .join(rules.select(F.explode("tokens").alias("token")).distinct(), "token")
-              .groupBy("token").count())
-    rarest = (rules.select("rule_id", F.explode("tokens").alias("token"))
-              .join(counts, "token").groupBy("rule_id")
-              .agg(F.min(F.struct("count", "token"))["token"].alias("rarest")))
-    indexed = rules.join(rarest, "rule_id")
-    parts = indexed.select(F.col("tokens").alias("part"), F.col("rarest").alias("token"))
-    longer = (indexed.select("rule_id", F.col("tokens").alias("whole"),
-                             F.explode("tokens").alias("token"))
-              .join(parts, "token")
-              .filter((F.size("part") < F.size("whole"))
-                      & (F.size(F.array_except("part", "whole")) == 0))
-              .select("rule_id").distinct())
-    return indexed.join(longer, "rule_id", "left_anti")
+    """``mine_class_rules`` spelt out: one row (rule_id, tokens, confidence,
+    support) for each choice of a token of every class."""
+    rules = mine_class_rules(labelled, min_support, min_confidence)
+    chosen = F.aggregate("classes", F.array(F.array().cast("array<string>")), lambda done, members: F.flatten(
+        F.transform(done, lambda d: F.transform(members, lambda m: F.concat(d, F.array(m))))))
+    return rules.select("rule_id", F.explode(chosen).alias("tokens"), "confidence", "support").withColumn(
+        "tokens", F.sort_array("tokens"))
 
 
 def blocked_ids(pages: DataFrame, rules: DataFrame, id_col: str) -> DataFrame:
     """Per page that some rule matches: its id, the confidence of the best rule
-    and the number of rules, through the inverted index on rarest tokens."""
-    postings = rules.select(F.col("rarest").alias("token"), F.col("tokens").alias("rule_tokens"),
-                            "confidence")
+    and the number of rules, through the inverted index on rarest classes."""
+    postings = rules.select(F.explode("rarest").alias("token"), "rule_id", "classes", "confidence")
     return (pages.select(id_col, "tokens", F.explode("tokens").alias("token"))
             .join(postings, "token")
-            .filter(F.size(F.array_except("rule_tokens", "tokens")) == 0)
+            .filter(F.forall("classes", lambda members: F.arrays_overlap(members, F.col("tokens"))))
             .groupBy(id_col).agg(F.max("confidence").alias("confidence"),
-                                 F.count(F.lit(1)).alias("n_rules")))
+                                 F.count_distinct("rule_id").alias("n_rules")))
 
 
 def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col: str = "url",
@@ -139,7 +197,7 @@ def judge(pages: DataFrame, labels: DataFrame, id_col: str = "page_id", url_col:
     labelled = (pages.select(F.col(id_col).alias("__ur_id"), url.alias("__ur_url"))
                 .join(known, "__ur_id")
                 .select(tokens_of(F.col("__ur_url")).alias("tokens"), "bad"))
-    rules = written(mine_rules(labelled, min_support, min_confidence), "url-index")
+    rules = written(mine_class_rules(labelled, min_support, min_confidence), "url-index")
     distinct = pages.select(url.alias("__ur_url")).distinct()
     hits = blocked_ids(distinct.select("__ur_url", tokens_of(F.col("__ur_url")).alias("tokens")),
                        rules, "__ur_url").select("__ur_url", "confidence")
