@@ -84,3 +84,16 @@ def test_minimum_size_and_keys(spark, pages, rows):
 
 def test_empty(spark):
     assert warc.round_trip(spark, spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def test_rows_that_repeat_one_key_fill_blocks_of_their_own(spark):
+    """Equal URL and page_id, or null page_ids of one URL, over many blocks: each
+    block has its own number, and every record is read once."""
+    rows = [(7, "http://hot/", f"body {i % 5}") for i in range(60)] + [(None, "http://hot/", "x")] * 30 + [(8, "http://hot/z", "y")]
+    pages = spark.createDataFrame([(*r, "a", "b") for r in rows], SCHEMA).repartition(4)
+    folder = scratch_path(spark, "warc-test")
+    index = warc.build_index(warc.write_archives(pages, folder), block_entries=4)
+    firsts, numbers = [d[:2] for d in index.directory], [d[2] for d in index.directory]
+    assert len(set(firsts)) < len(firsts) == len(set(numbers)) and len(firsts) >= 20
+    keys = pages.select(warc.url_key(F.col("url")).alias("urlkey"), "page_id")
+    assert Counter(map(tuple, warc.read_captures(index, folder, keys).select(*COLUMNS).collect())) == brute(rows)

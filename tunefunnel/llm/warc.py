@@ -180,9 +180,10 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
 
 class Index:
     """A built capture index: the block table and the sparse directory, whose
-    entries are the first (urlkey, page_id) of each block in key order."""
+    entries are the first (urlkey, page_id) of each block and its number, in key
+    order.  Blocks may share a first key; their numbers differ."""
 
-    def __init__(self, blocks: DataFrame, directory: list[tuple[str, int]]):
+    def __init__(self, blocks: DataFrame, directory: list[tuple[str, int, int]]):
         self.blocks, self.directory = blocks, directory
 
 
@@ -225,27 +226,29 @@ def build_index(captures: DataFrame, block_entries: int = BLOCK_ENTRIES,
         "urlkey", F.coalesce("page_id", F.lit(_NO_ID)).alias("sort_id"), "page_id", "file",
         "offset", "length", "digest", "record_type", "refers_to")
     blocks = written(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
-                     .mapInArrow(_packer(entries), "first_key string, first_id long, n long, bytes long, block binary"),
-                     "capture-blocks")
-    directory = sorted((r.first_key, r.first_id) for r in blocks.select("first_key", "first_id").collect())
+                     .mapInArrow(_packer(entries), "first_key string, first_id long, n long, bytes long, block binary")
+                     .withColumn("number", F.monotonically_increasing_id()), "capture-blocks")
+    directory = sorted((r.first_key, r.first_id, r.number)
+                       for r in blocks.select("first_key", "first_id", "number").collect())
     return Index(blocks, directory)
 
 
 def _search(directory):
-    """Requests (urlkey, sort_id) with the first keys of the blocks that can hold them."""
+    """Requests (urlkey, sort_id) with the numbers of the blocks that can hold them."""
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys = directory.value
+        keys = [entry[:2] for entry in directory.value]
+        numbers = [entry[2] for entry in directory.value]
         for batch in batches:
             out = []
             for want in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 # Equal keys may reach over several blocks: all of them, and
                 # the block before the first of them, which may end in the key.
                 first, last = bisect.bisect_left(keys, want), bisect.bisect_right(keys, want)
-                out += [(*want, *key) for key in sorted(set(keys[max(0, first - 1):last]))]
-            columns = list(zip(*out)) or [[], [], [], []]
+                out += [(*want, number) for number in numbers[max(0, first - 1):last]]
+            columns = list(zip(*out)) or [[], [], []]
             yield pa.record_batch(
-                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64()) * 2)],
-                names=["urlkey", "sort_id", "first_key", "first_id"])
+                [pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64()))],
+                names=["urlkey", "sort_id", "number"])
 
     return search
 
@@ -294,9 +297,8 @@ def read_captures(index: Index, folder: str, requests: DataFrame) -> DataFrame:
     python_ready(spark)
     directory = spark.sparkContext.broadcast(index.directory)
     wanted = requests.select("urlkey", F.coalesce("page_id", F.lit(_NO_ID)).alias("sort_id")).distinct()
-    found = wanted.mapInArrow(_search(directory), "urlkey string, sort_id long, first_key string, first_id long")
-    keys = ["first_key", "first_id"]
-    places = (found.groupBy(*keys).cogroup(index.blocks.groupBy(*keys))
+    found = wanted.mapInArrow(_search(directory), "urlkey string, sort_id long, number long")
+    places = (found.groupBy("number").cogroup(index.blocks.groupBy("number"))
               .applyInPandas(_from_blocks, "file string, offset long, length long"))
     # Reads are dealt by bytes: about READ_BYTES of archive a task.
     total = index.blocks.agg(F.sum("bytes")).first()[0] or 0
