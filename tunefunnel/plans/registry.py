@@ -151,7 +151,9 @@ def popularity_unseen(spark, sf_dir):
 
 from ..operators import ingest as I  # noqa: E402
 from ..session import scratch_path  # noqa: E402
+from ..sources import constrained as CN  # noqa: E402
 from ..sources import slices as SL  # noqa: E402
+from ..streaming import growing_ids as G  # noqa: E402
 from ..streaming.slices import ingest_slices_stream  # noqa: E402
 
 _INTERACTIONS_SQL = Q.with_(Q.INTERACTIONS) + "SELECT playlist_id, track_id FROM interactions"
@@ -257,6 +259,95 @@ def pk_duplicates(spark, sf_dir):
     return I.pk_duplicates(C.track_metadata(spark, sf_dir))
 
 
+_OFFERS_SQL = """
+offers AS (
+  SELECT CASE WHEN l_linenumber = 7 THEN NULL ELSE CAST(l_partkey AS VARCHAR) END AS track_id,
+         CAST(l_suppkey AS VARCHAR) AS artist_name, CAST(l_linenumber AS VARCHAR) AS track_name
+  FROM lineitem
+),
+first AS (SELECT * FROM offers WHERE artist_name < '5'),
+second AS (SELECT * FROM offers WHERE NOT artist_name < '5')"""
+
+
+def _checked_sql(offers: str, out: str, present: str | None) -> str:
+    there = f"track_id IN (SELECT track_id FROM {present})" if present else "FALSE"
+    return f"""
+{out} AS (
+  SELECT track_id, artist_name, track_name,
+         CASE WHEN track_id IS NULL THEN 'null key' WHEN {there} THEN 'key exists'
+              WHEN place > 1 THEN 'repeated key' END AS reason
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY track_id ORDER BY artist_name, track_name) AS place FROM {offers})
+),
+{out}_kept AS (SELECT track_id FROM {out} WHERE reason IS NULL)"""
+
+
+@query("constrained_catalog", Q.with_(_OFFERS_SQL, _checked_sql("first", "a", None), _checked_sql("second", "b", "a_kept")) + """
+SELECT track_id, artist_name, track_name, reason, CAST(COUNT(*) AS BIGINT) AS copies
+FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY ALL""")
+def constrained_catalog(spark, sf_dir):
+    """Q-02, S-05: track rows offered by every line item, in two batches, appended
+    under the primary key; the first batch is offered again, which changes nothing.
+    All accepted rows (no reason) and rejected ones with their copies."""
+    li = T.table(spark, sf_dir, "lineitem")
+    offers = li.select(F.when(F.col("l_linenumber") != 7, F.col("l_partkey").cast("string")).alias("track_id"),
+                       F.col("l_suppkey").cast("string").alias("artist_name"),
+                       F.col("l_linenumber").cast("string").alias("track_name"))
+    path, early = scratch_path(spark, "constrained-catalog"), F.col("artist_name") < "5"
+    for rows, batch in ((offers.filter(early), "1"), (offers.filter(~early), "2"), (offers.filter(early), "1")):
+        CN.append_catalog(rows, path, batch)
+    kept = CN.read_table(spark, path, offers.schema).select(
+        "*", F.lit(None).cast("string").alias("reason"), F.lit(1).cast("long").alias("copies"))
+    return kept.unionByName(CN.read_rejected(spark, path, offers.schema))
+
+
+@query("constrained_interactions", Q.with_(Q.INTERACTIONS, Q.TRACK_METADATA) + """
+SELECT playlist_id, track_id,
+       CASE WHEN track_id NOT IN (SELECT track_id FROM track_metadata) THEN 'unknown key' END AS reason,
+       CAST(COUNT(*) AS BIGINT) AS copies
+FROM interactions GROUP BY ALL""")
+def constrained_interactions(spark, sf_dir):
+    """Q-01: all interactions appended under the foreign key to the catalog; accepted
+    rows (no reason) and rejected ones with their copies."""
+    inter, path = C.interactions(spark, sf_dir), scratch_path(spark, "constrained-interactions")
+    CN.append_interactions(inter, path, "1", C.track_metadata(spark, sf_dir))
+    kept = CN.read_table(spark, path, inter.schema).groupBy(*inter.columns).agg(F.count(F.lit(1)).alias("copies"))
+    return kept.select(*inter.columns, F.lit(None).cast("string").alias("reason"), "copies").unionByName(
+        CN.read_rejected(spark, path, inter.schema))
+
+
+_ID_COLUMNS = ("n_keys", "least_id", "greatest_id", "n_ids", "n_rows", "early_ids")
+
+
+@query("growing_ids", Q.with_(Q.INTERACTIONS) + """
+SELECT kind, COUNT(DISTINCT k) AS n_keys, 0 AS least_id, COUNT(DISTINCT k) - 1 AS greatest_id,
+       COUNT(DISTINCT k) AS n_ids, COUNT(*) AS n_rows, COUNT(DISTINCT CASE WHEN early THEN k END) AS early_ids
+FROM (SELECT 'playlist' AS kind, playlist_id AS k, playlist_id < '5' AS early FROM interactions
+      UNION ALL SELECT 'track', track_id, playlist_id < '5' FROM interactions) GROUP BY kind""")
+def growing_ids(spark, sf_dir):
+    """W-01, S-06: all interactions in two batches of playlists, the first replayed, as
+    in ``foreachBatch``: ids stay contiguous, the first batch's keys have the lowest
+    ones, and every row maps back to its own keys."""
+    inter, folder = C.interactions(spark, sf_dir), scratch_path(spark, "growing-ids")
+    early, write = F.col("playlist_id") < "5", G.batch_writer(folder, "slices")
+    write(inter.filter(early), 0)
+    write(inter.filter(~early), 1)
+    write(inter.filter(early), 0)
+    mapped, playlists, tracks = G.read_mapped(spark, folder)
+    rows = None
+    for kind, dim in (("playlist", playlists), ("track", tracks)):
+        key, out = f"{kind}_id", f"{kind}_int_id"
+        first = mapped.filter(early).select(key).distinct()
+        ids = dim.agg(F.count_distinct(key).alias("n_keys"), F.min(out).alias("least_id"), F.max(out).alias("greatest_id"),
+                      F.count_distinct(out).alias("n_ids"))
+        back = mapped.join(dim.select(F.col(key).alias("k"), out), out).agg(F.count_if(F.col("k") == F.col(key)).alias("n_rows"))
+        lowest = dim.join(first, key, "left_semi").agg(F.count_if(F.col(out) < F.lit(first.count())).alias("early_ids"))
+        for part in (ids, back, lowest):   # one row each
+            one = part.select(F.lit(kind).alias("kind"), *(
+                (F.col(c) if c in part.columns else F.lit(None).cast("long")).alias(c) for c in _ID_COLUMNS))
+            rows = one if rows is None else rows.unionByName(one)
+    return rows.groupBy("kind").agg(*(F.max(c).alias(c) for c in _ID_COLUMNS))
+
+
 _MAPPED_CTE = """
 mapped AS (
   SELECT playlist_id, DENSE_RANK() OVER (ORDER BY playlist_id) - 1 AS playlist_int_id,
