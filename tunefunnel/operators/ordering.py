@@ -11,8 +11,8 @@
   occurrence number 1..count; copies of one hot pair are generated in chunks
   spread over many tasks instead of in the task that holds the pair.
 * ``rank_by_hash_key`` — position of each row within its group in the order
-  of a key: one global order by (group, key), so a hot group spreads over many
-  partitions, minus the group's first number.
+  of a digest: windows over ranges of the digest, more of them the larger the
+  group, plus the histogram's rows before the range.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from ..session import shared_copy
 _LOW_BITS = (1 << 33) - 1
 # Copies of one pair generated by a single task when expanding counts.
 EXPAND_CHUNK = 100_000
+# Rows that one window ranks, on average, in a group that is larger.
+BUCKET_ROWS = 1 << 18
+# Large groups up to which their table is broadcast.
+BROADCAST_GROUPS = 100_000
 
 
 def global_row_number(df: DataFrame, order_cols: list[str], out: str = "row_number",
@@ -85,17 +89,50 @@ def expand_occurrences(pairs: DataFrame, count_col: str, occ_col: str = "occ",
 
 
 def rank_by_hash_key(df: DataFrame, group: list[str], key: str, out: str = "pos",
-                     size_out: str | None = None) -> DataFrame:
+                     size_out: str | None = None, bucket_rows: int = BUCKET_ROWS,
+                     sizes: DataFrame | None = None) -> DataFrame:
     """1-based position of each row inside ``group`` in the order of ``key``
-    (and, with ``size_out``, the group's row count).
+    (and, with ``size_out``, the group's row count).  ``key`` is a hex digest of at
+    least eight digits, distinct within its group.  ``sizes`` (group, ``_rows``) are the
+    groups' row counts where the caller has them for less.  Rows of a null group are left out.
 
-    The rows are range-sorted by (group, key) and numbered; the numbers' least
-    value and count per group come from a partial aggregate and are joined
-    back, a join that Spark splits where a group is hot.
+    Digests are spread evenly, so a group of more than ``bucket_rows`` rows is cut
+    into that many even ranges of the digests' first 32 bits, each about
+    ``bucket_rows`` rows, and a window ranks each range; a histogram of the ranges
+    gives the rows before it.  All other groups are one range.  Rows move once, by
+    (group, range); only the histograms of the large groups are joined.
     """
-    numbered = global_row_number(df, [*group, key], "_rn")
-    groups = numbered.groupBy(*group).agg(F.min("_rn").alias("_first"), F.count(F.lit(1)).alias("_rows"))
-    res = numbered.join(groups, group).withColumn(out, F.col("_rn") - F.col("_first") + 1)
+    df = df.dropna(subset=group)
+    counted = df.groupBy(*group).agg(F.count(F.lit(1)).alias("_rows")) if sizes is None else sizes
+    large = counted.filter(F.col("_rows") > bucket_rows).select(
+        *group, "_rows", F.ceil(F.col("_rows") / F.lit(bucket_rows)).cast("long").alias("_ranges"))
+    n_large = large.count()
+    if n_large:
+        large = shared_copy(large, "large-groups")
+    if n_large == 0:
+        ranged = df.withColumn("_range", F.lit(0).cast("long"))
+        keys = group
+    else:
+        # at most one row for each ``bucket_rows`` rows; beyond the bound a plain join
+        side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+        first = F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
+        ranged = df.join(side, group, "left").withColumn(
+            "_range", F.coalesce(F.shiftright(first * F.col("_ranges"), 32), F.lit(0).cast("long"))).drop("_rows", "_ranges")
+        keys = [*group, "_range"]
+    within = Window.partitionBy(*keys)
+    ranked = ranged.withColumn(out, F.row_number().over(within.orderBy(key)).cast("long"))
     if size_out:
-        res = res.withColumn(size_out, F.col("_rows"))
-    return res.drop("_rn", "_first", "_rows")
+        ranked = ranked.withColumn(size_out, F.count(F.lit(1)).over(within))
+    if n_large == 0:
+        return ranked.drop("_range")
+    side = F.broadcast(large) if n_large <= BROADCAST_GROUPS else large
+    counts = ranged.join(side.select(*group, "_rows"), group).groupBy(*group, "_rows", "_range").agg(
+        F.count(F.lit(1)).alias("_n"))
+    # one row per range of a large group
+    before = counts.select(*group, "_range", "_rows", F.coalesce(F.sum("_n").over(
+        Window.partitionBy(*group).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    res = ranked.join(shared_copy(before, "ranges"), [*group, "_range"], "left").withColumn(
+        out, F.col(out) + F.coalesce("_before", F.lit(0)))
+    if size_out:
+        res = res.withColumn(size_out, F.coalesce("_rows", size_out))
+    return res.drop("_range", "_rows", "_before")

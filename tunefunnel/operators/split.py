@@ -42,7 +42,8 @@ def holdout_split(inter: DataFrame, frac: float = 0.2, salt="42",
     rows = rows.withColumn(
         "_key", F.md5(F.concat_ws(":", F.lit(str(salt)), F.col(group), F.col(item),
                                   F.col("occ").cast("string"))))
-    ranked = rank_by_hash_key(rows, [group], "_key", "pos", size_out="n")
+    sizes = inter.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
+    ranked = rank_by_hash_key(rows, [group], "_key", "pos", size_out="n", sizes=sizes)
     return ranked.select(
         group, item, F.col("occ").cast("long").alias("occ"), F.col("n").cast("long").alias("n"),
         n_hold_expr(F.col("n"), frac).cast("long").alias("n_hold"),
