@@ -319,7 +319,7 @@ _ID_COLUMNS = ("n_keys", "least_id", "greatest_id", "n_ids", "n_rows", "early_id
 
 
 @query("growing_ids", Q.with_(Q.INTERACTIONS) + """
-SELECT kind, COUNT(DISTINCT k) AS n_keys, 0 AS least_id, COUNT(DISTINCT k) - 1 AS greatest_id,
+SELECT kind, COUNT(DISTINCT k) AS n_keys, CAST(0 AS BIGINT) AS least_id, COUNT(DISTINCT k) - 1 AS greatest_id,
        COUNT(DISTINCT k) AS n_ids, COUNT(*) AS n_rows, COUNT(DISTINCT CASE WHEN early THEN k END) AS early_ids
 FROM (SELECT 'playlist' AS kind, playlist_id AS k, playlist_id < '5' AS early FROM interactions
       UNION ALL SELECT 'track', track_id, playlist_id < '5' FROM interactions) GROUP BY kind""")
