@@ -49,17 +49,15 @@ def metrics_at_k(held: DataFrame, recs: DataFrame, k: int = 20, key: str = KEY,
     """
     # one aggregation of the held-out bag: copies per distinct pair
     pairs = held.select(key, item).groupBy(key, item).agg(F.count(F.lit(1)).alias("_c"))
-    per_key = pairs.groupBy(key).agg(F.sum("_c").alias("n_held"),
-                                     F.count(F.lit(1)).alias("n_held_distinct"))
-    distinct_held = pairs.select(key, item)
     top = recs.filter(F.col("rank") <= k)
-    if shared:
-        hits = distinct_held.join(F.broadcast(top.select("rank", item)), item)
-    else:
-        hits = distinct_held.join(top.select(key, "rank", item), [key, item])
-    hit_agg = hits.groupBy(key).agg(F.count(F.lit(1)).alias("n_hits"),
-                                    F.sum(discount(F.col("rank"))).alias("_dcg"))
-    out = per_key.join(hit_agg, key, "left")
+    on = [item] if shared else [key, item]
+    listed = top.groupBy(*on).agg(F.count(F.lit(1)).alias("_h"), F.sum(discount(F.col("rank"))).alias("_d"))
+    marked = pairs.join(F.broadcast(listed) if shared else listed, on, "left")
+    # one pass by playlist; rows of no playlist hit nothing
+    known = F.col(key).isNotNull()
+    out = marked.groupBy(key).agg(
+        F.sum("_c").alias("n_held"), F.count(F.lit(1)).alias("n_held_distinct"),
+        F.sum(F.when(known, F.col("_h"))).alias("n_hits"), F.sum(F.when(known, F.col("_d"))).alias("_dcg"))
     n_hits = F.coalesce(F.col("n_hits"), F.lit(0)).cast("long")
     idcg = ideal_dcg(F.col("n_held_distinct"), k)
     return out.select(

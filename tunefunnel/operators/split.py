@@ -10,10 +10,10 @@ partitioning, and is expressible in any SQL engine (the oracle).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .ordering import expand_occurrences, rank_by_hash_key
+from .ordering import BUCKET_ROWS, expand_occurrences, rank_by_hash_key
 
 PLAYLIST = "playlist_id"
 TRACK = "track_id"
@@ -37,13 +37,20 @@ def holdout_split(inter: DataFrame, frac: float = 0.2, salt="42",
     ``[group, item, occ, n, n_hold, pos, held]`` with ``held`` 1 for held-out.
     Duplicate occurrences are split independently (K8).
     """
-    pairs = inter.groupBy(group, item).agg(F.count(F.lit(1)).alias("_c"))
-    rows = expand_occurrences(pairs, "_c", "occ")
-    rows = rows.withColumn(
-        "_key", F.md5(F.concat_ws(":", F.lit(str(salt)), F.col(group), F.col(item),
-                                  F.col("occ").cast("string"))))
     sizes = inter.groupBy(group).agg(F.count(F.lit(1)).alias("_rows"))
-    ranked = rank_by_hash_key(rows, [group], "_key", "pos", size_out="n", sizes=sizes)
+    key = F.md5(F.concat_ws(":", F.lit(str(salt)), F.col(group), F.col(item), F.col("occ").cast("string")))
+    if sizes.filter(F.col("_rows") > BUCKET_ROWS).isEmpty():
+        # no large group: its rows move once, and are counted, keyed and ranked in place
+        pairs = inter.repartition(group).groupBy(group, item).agg(F.count(F.lit(1)).alias("_c"))
+        rows = pairs.select(group, item, F.explode(F.sequence(F.lit(1), F.col("_c"))).alias("occ"))
+        within = Window.partitionBy(group)
+        ranked = (rows.dropna(subset=[group]).withColumn("_key", key)
+                  .withColumn("pos", F.row_number().over(within.orderBy("_key")))
+                  .withColumn("n", F.count(F.lit(1)).over(within)))
+    else:
+        pairs = inter.groupBy(group, item).agg(F.count(F.lit(1)).alias("_c"))
+        rows = expand_occurrences(pairs, "_c", "occ").withColumn("_key", key)
+        ranked = rank_by_hash_key(rows, [group], "_key", "pos", size_out="n", sizes=sizes)
     return ranked.select(
         group, item, F.col("occ").cast("long").alias("occ"), F.col("n").cast("long").alias("n"),
         n_hold_expr(F.col("n"), frac).cast("long").alias("n_hold"),
