@@ -120,3 +120,44 @@ def test_sha_of_the_registered_query(spark):
         ids = library.encode(texts[r.doc_id])
         assert r.ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r.decoded_sha256 == hashlib.sha256(library.decode(ids).encode()).hexdigest()
+
+
+def test_new_chunks_are_checked_and_decoded_many_in_a_call():
+    pieces, asked, undone = sentence_pieces.Pieces(PIECES), [], []
+    library = pieces.library
+
+    class Counted:
+        def encode(self, text, **more):
+            asked.append(text)
+            return library.encode(text, **more)
+
+        def decode(self, ids, **more):
+            undone.append(ids)
+            return library.decode(ids, **more)
+
+    pieces.library = Counted()
+    texts = [" ".join(f"{w}{i}" for i in range(500)) for w in ("haus", "日本", "w😀")] + ["x" * 300 + ", b"]
+    ids, decoded, checked = pieces.encode(texts)
+    assert [list(map(int, i.split(","))) for i in ids] == library.encode(texts)
+    assert decoded == texts and all(checked)
+    assert len(asked) == len(undone) == 1 and isinstance(asked[0], str)
+
+
+def test_chunks_on_which_the_library_differs_are_marked():
+    pieces = sentence_pieces.Pieces(PIECES)
+    library = pieces.library
+
+    class Other:
+        def encode(self, text, **more):
+            swap = lambda t: library.encode("other" if t == "odd" else t)
+            return swap(text) if isinstance(text, str) else list(map(swap, text))
+
+        def decode(self, ids, **more):
+            return library.decode(ids, **more)
+
+    pieces.library = Other()
+    # Put together, "odd" is not seen; alone it is.
+    pieces.know({"odd"})
+    ids, decoded, checked = pieces.encode(["an odd text", "another"])
+    assert checked == [False, True] and decoded == ["an other text", "another"]
+    assert ids[1] == ",".join(map(str, library.encode("another")))

@@ -6,13 +6,13 @@ enters the pairs that the new symbol forms, until none is left.  Characters
 without a piece fall back to byte pieces.
 
 A place between two characters that no piece holds side by side can never be
-merged over, so a text is cut there into atoms, and each distinct atom is merged
-once.  Short atoms are merged together in numpy rounds: a round takes the best
+merged over, so each distinct chunk (a word with its blanks) is cut there into
+atoms.  Short atoms are merged together in numpy rounds: a round takes the best
 pair of every atom.  Long ones use a heap.
 
-Every distinct chunk (a word with its blanks) is checked against the
-``sentencepiece`` library, many in one call for each run of an Arrow batch.  If
-the library ever differs, its ids are taken and the row says so in ``checked``.
+Every distinct chunk is checked against the ``sentencepiece`` library and decoded
+by it, many in one call.  If the library ever differs, its ids are taken and the
+row says so in ``checked``.
 
 Defined cases: null counts as empty; the empty text has no ids and decodes to
 itself; null ids and repeated rows are encoded row by row; other columns are
@@ -27,19 +27,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import batches
+from .caches import ByteCache
 from .common import python_ready, text_or_empty
-from .word_pieces import Cache
+from .word_pieces import batched
 
 #: SentencePiece writes blanks as this character.
 BLANK = "▁"
 #: Atoms of more characters are merged with a heap, the rest in numpy rounds.
 LONG_ATOM = 64
-#: Characters of texts whose chunks are looked up at once.
+#: Bytes of a generation of the cache of chunks.
+CHUNK_BYTES = 96 << 20
+#: The rank of a pair that forms no piece.
 _NONE = np.int64(2**62)
 
 
@@ -77,14 +81,16 @@ class Pieces:
                 left, right = self.ids.get(piece[:cut]), self.ids.get(piece[cut:])
                 if left is not None and right is not None:
                     pairs[left * n + right] = (rank[-spec.pieces[i].score], i)
-        self.side_by_side = side_by_side
+        self.side_by_side = np.array(sorted((ord(a) << 21) | ord(b) for a, b in side_by_side), dtype=np.int64)
+        self.byte_ids = np.array([self.bytes[f"<0x{b:02X}>"] for b in range(256)], dtype=np.int64)
+        self.decimal = pa.array(list(map(str, range(n))), pa.large_string())
         self.pairs = pairs
         keys = sorted(pairs)
         self.pair_keys = np.array(keys, dtype=np.int64)
         self.pair_rank = np.array([pairs[k][0] for k in keys], dtype=np.int64)
         self.pair_piece = np.array([pairs[k][1] for k in keys], dtype=np.int64)
         self.blank_starts = all(BLANK not in p.lstrip(BLANK) for p in self.ids)
-        self.atoms, self.chunks = Cache(), Cache()
+        self.chunks = ByteCache(CHUNK_BYTES)
 
     # -- the agenda -------------------------------------------------------
 
@@ -99,8 +105,14 @@ class Pieces:
     def merge_all(self, atoms: list[str]) -> list[list[int]]:
         """The symbols left of each atom, merged in rounds over all atoms."""
         lengths = np.fromiter(map(len, atoms), dtype=np.int64, count=len(atoms))
-        symbols = self.symbol[np.frombuffer("".join(atoms).encode("utf-32-le"), dtype="<u4")]
-        owner = np.repeat(np.arange(len(atoms)), lengths)
+        symbols = self.symbol[_code_points(atoms)]
+        symbols, left = self._merge_rounds(symbols, np.repeat(np.arange(len(atoms)), lengths))
+        cuts = np.cumsum(np.bincount(left, minlength=len(atoms))).tolist()
+        flat = symbols.tolist()
+        return [flat[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
+
+    def _merge_rounds(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols left and their owners, from symbols put together by owner."""
         ranks = np.full(len(symbols), _NONE)
         merged = np.zeros(len(symbols), dtype=np.int64)
 
@@ -108,7 +120,7 @@ class Pieces:
             ranks[at], merged[at] = self._looked_up(symbols[at], symbols[at + 1])
 
         look(np.flatnonzero(owner[:-1] == owner[1:]))
-        done_owner, done_symbols = [], []
+        done_owner, done_symbols = [owner[:0]], [symbols[:0]]
         while len(symbols):
             starts = np.concatenate([[0], np.flatnonzero(owner[:-1] != owner[1:]) + 1])
             sizes = np.diff(np.append(starts, len(symbols)))
@@ -136,9 +148,7 @@ class Pieces:
             look(np.concatenate([left, right]))
         owner, symbols = np.concatenate(done_owner), np.concatenate(done_symbols)
         order = np.argsort(owner, kind="stable")
-        cuts = np.cumsum(np.bincount(owner, minlength=len(atoms)))
-        flat = symbols[order].tolist()
-        return [flat[a:b] for a, b in zip([0, *cuts[:-1].tolist()], cuts.tolist())]
+        return symbols[order], owner[order]
 
     def merge_one(self, atom: str) -> list[int]:
         """The symbols left of one atom, with a heap and a linked list."""
@@ -170,37 +180,45 @@ class Pieces:
             enter(i)
         return [s for s in symbols if s >= 0]
 
-    def _ids(self, symbols: list[int]) -> list[int]:
-        """Piece ids, characters without a piece as byte pieces."""
-        out = []
-        for s in symbols:
-            if s < self.n:
-                out.append(s)
-            else:
-                out += [self.bytes[f"<0x{b:02X}>"] for b in chr(s - self.n).encode("utf-8")]
-        return out
-
-    def merge(self, atoms: list[str]) -> list[list[int]]:
-        """ids of each atom."""
-        short = [a for a in atoms if len(a) <= LONG_ATOM]
-        found = dict(zip(short, self.merge_all(short))) if short else {}
-        return [self._ids(found[a] if a in found else self.merge_one(a)) for a in atoms]
+    def _ids(self, symbols: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Piece ids and their owners, characters without a piece as byte pieces."""
+        other = symbols >= self.n
+        if not other.any():
+            return symbols, owner
+        written = [chr(c).encode("utf-8") for c in (symbols[other] - self.n).tolist()]
+        sizes = np.ones(len(symbols), dtype=np.int64)
+        sizes[other] = list(map(len, written))
+        ids = np.repeat(symbols, sizes)
+        ids[np.repeat(other, sizes)] = self.byte_ids[np.frombuffer(b"".join(written), dtype=np.uint8)]
+        return ids, np.repeat(owner, sizes)
 
     # -- chunks -----------------------------------------------------------
 
-    def split_chunk(self, chunk: str) -> list[str]:
-        """The atoms of a chunk: cut wherever no piece holds both neighbours."""
-        if chunk[1:].isalpha():
-            # Letters that all pairs know are the common case.
-            if all(map(self.side_by_side.__contains__, zip(chunk, chunk[1:]))):
-                return [chunk]
-        out, start = [], 0
-        for i, pair in enumerate(zip(chunk, chunk[1:]), 1):
-            if pair not in self.side_by_side:
-                out.append(chunk[start:i])
-                start = i
-        out.append(chunk[start:])
-        return out
+    def merge(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all chunks after each other, and where each chunk's ids
+        end.  Chunks are cut into atoms wherever no piece holds both neighbours."""
+        lengths = np.fromiter(map(len, chunks), dtype=np.int64, count=len(chunks))
+        points = _code_points(chunks)
+        chunk = np.repeat(np.arange(len(chunks)), lengths)
+        pair = (points[:-1] << 21) | points[1:]
+        at = np.searchsorted(self.side_by_side, pair)
+        at[at == len(self.side_by_side)] = 0
+        begins = np.concatenate([[True], (self.side_by_side[at] != pair) | (chunk[1:] != chunk[:-1])])
+        starts = np.flatnonzero(begins)
+        sizes = np.diff(np.append(starts, len(points)))
+        atom = np.cumsum(begins) - 1
+        long = np.flatnonzero(sizes > LONG_ATOM)
+        short = np.repeat(sizes <= LONG_ATOM, sizes)
+        symbols, owner = self._merge_rounds(self.symbol[points[short]], atom[short])
+        if len(long):
+            text = "".join(chunks)
+            heaped = [self.merge_one(text[starts[i]:starts[i] + sizes[i]]) for i in long.tolist()]
+            owner = np.concatenate([owner, np.repeat(long, list(map(len, heaped)))])
+            symbols = np.concatenate([symbols, *(np.array(h, dtype=np.int64) for h in heaped)])
+            order = np.argsort(owner, kind="stable")
+            symbols, owner = symbols[order], owner[order]
+        ids, owner = self._ids(symbols, owner)
+        return ids, np.cumsum(np.bincount(chunk[starts][owner], minlength=len(chunks)))
 
     def text_chunks(self, text: str) -> list[str]:
         """A text's chunks, each without its first blank, which all have: the
@@ -212,19 +230,29 @@ class Pieces:
         return [c[1:] for c in regex.findall(f"{BLANK}+[^{BLANK}]*", (" " + text).replace(" ", BLANK))]
 
     def know(self, chunks: set[str]) -> None:
-        """Encode the chunks that are not held yet and check them against the
-        library: decimal ids joined by commas, decoded text with its first
-        blank, and whether the library agrees."""
+        """Encode the chunks that are not held yet, and check them against the
+        library: decimal ids joined by commas; where the decoded text is not the
+        chunk after a blank, or the library disagrees, also the decoded text with
+        its first blank, and whether it agrees.  Chunks without blanks are chunks
+        again when put together, so many are checked and decoded in one call."""
         self.chunks.turn()
         new = self.chunks.missing(chunks)
-        if not new:
-            return
-        split = [self.split_chunk(BLANK + c) for c in new]
-        self.atoms.turn()
-        missing = self.atoms.missing(set().union(*split))
-        self.atoms.new.update(zip(missing, self.merge(missing)))
-        held = self.atoms.new
-        ids = [held[s[0]] if len(s) == 1 else [i for a in s for i in held[a]] for s in split]
+        plain = [c for c in new if c and BLANK not in c]
+        for part in batched(plain):
+            ids, ends = self.merge([BLANK + c for c in part])
+            text, flat = " ".join(part), ids.tolist()
+            if self.library.encode(text) == flat and self.library.decode(flat) == text:
+                self.chunks.new.update(zip(part, self._decimals(ids, ends)))
+            else:
+                self._know_alone(part)
+        if len(plain) < len(new):
+            self._know_alone([c for c in new if not c or BLANK in c])
+
+    def _know_alone(self, new: list[str]) -> None:
+        """``know`` with each chunk checked and decoded alone."""
+        merged, ends = self.merge([BLANK + c for c in new])
+        flat, ends = merged.tolist(), ends.tolist()
+        ids = [flat[a:b] for a, b in zip([0, *ends[:-1]], ends)]
         # The library gives its own dummy prefix, the chunk's first blank; it
         # gives none to the empty text, so a lone blank is not asked.
         asked = [c.replace(BLANK, " ") for c in new]
@@ -236,6 +264,12 @@ class Pieces:
                 mine, back = their, self.library.decode(their)
             self.chunks.new[c] = (",".join(map(str, mine)), " " + back if text else " ", agrees)
 
+    def _decimals(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """The ids up to each end as decimals joined by commas."""
+        cuts = pa.array(np.concatenate([[0], ends]), pa.int32())
+        lists = pa.ListArray.from_arrays(cuts, self.decimal.take(pa.array(ids)))
+        return pc.binary_join(lists, pa.scalar(",", pa.large_string())).to_numpy(zero_copy_only=False).tolist()
+
     def encode(self, texts: list[str]) -> tuple[list[str], list[str], list[bool]]:
         """Of each text: ids as decimals joined by commas, the text decoded from
         them, and whether the library agreed on all its chunks."""
@@ -245,12 +279,23 @@ class Pieces:
         ids, decoded, checked = [], [], []
         for s in split:
             parts = list(map(get, s))
-            ids.append(",".join([p[0] for p in parts]))
-            decoded.append("".join([p[1] for p in parts])[1:])
-            checked.append(all([p[2] for p in parts]))
+            try:
+                ids.append(",".join(parts))
+                decoded.append(" ".join(s))
+                checked.append(True)
+            except TypeError:        # some chunk has more than its ids
+                parts = [(p, " " + c, True) if isinstance(p, str) else p for c, p in zip(s, parts)]
+                ids.append(",".join([p[0] for p in parts]))
+                decoded.append("".join([p[1] for p in parts])[1:])
+                checked.append(all([p[2] for p in parts]))
         return ids, decoded, checked
 
 
+def _code_points(texts: list[str]) -> np.ndarray:
+    """The code points of texts put together."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), dtype="<u4").astype(np.int64)
+
+
 _OPEN: dict[str, Pieces] = {}
 
 
