@@ -161,3 +161,17 @@ def test_chunks_on_which_the_library_differs_are_marked():
     ids, decoded, checked = pieces.encode(["an odd text", "another"])
     assert checked == [False, True] and decoded == ["an other text", "another"]
     assert ids[1] == ",".join(map(str, library.encode("another")))
+
+
+def test_a_run_cuts_each_distinct_chunk_once(monkeypatch, library):
+    cut = []
+
+    class Counted:
+        findall = staticmethod(lambda t, whole=word_pieces.PIECE: cut.append(t) or whole.findall(t))
+
+    monkeypatch.setattr(word_pieces, "PIECE", Counted)
+    texts = ["It's 3.5, Straße! (İ) " * 50, "it's\t3.5,\n\nabc", "", " \n", "foo' 'foo d'l "]
+    encoder = word_pieces.WordPieces(WORDS)
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text)
+    assert len(cut) == len(set(cut)) and max(map(len, cut)) < 10

@@ -42,3 +42,22 @@ def runs(batch: pa.RecordBatch, column: str, run_bytes: int = RUN_BYTES) -> Iter
     """Slices of a batch balanced by the bytes of a text column, with its texts."""
     for start, end, texts in text_runs(batch.column(column), run_bytes):
         yield batch.slice(start, end - start), texts
+
+
+def distinct(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The distinct strings of a list column, the place of each string among
+    them, and where each row's strings end."""
+    coded = lists.flatten().dictionary_encode()
+    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices), np.asarray(lists.value_lengths()).cumsum()
+
+
+def put_together(parts: list[bytes], places: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """Of each row the parts (32-bit numbers) at its places after each other."""
+    numbers = np.frombuffer(b"".join(parts), dtype="<u4")
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
+    starts = np.cumsum(sizes) - sizes
+    times = sizes[places]
+    after = np.cumsum(times)
+    data = numbers[np.repeat(starts[places] - (after - times), times) + np.arange(times.sum())].tobytes()
+    cuts = (4 * np.concatenate([[0], after])[ends]).tolist()
+    return [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts)]

@@ -8,8 +8,9 @@ opened, and a tokenizer that keeps white space gets no boundaries at all.
 
 Most texts hold only ASCII and plain Latin letters.  For those the normaliser
 only lower-cases, and the pre-tokenizer's pieces, between which boundaries are
-safe too, can be found by its pattern; each distinct piece is given once to the
-library's model.  All other texts (special strings, other scripts, combining
+safe too, can be found by its pattern; of a run of texts each distinct chunk
+between white space is cut into pieces once, and each distinct piece is given
+once to the library's model.  All other texts (special strings, other scripts, combining
 marks) are cut at white space, and each distinct chunk goes once through the
 library's whole pipeline.
 """
@@ -21,6 +22,10 @@ import os
 import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from . import batches
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -105,38 +110,44 @@ class WordPieces:
                 self.pieces.new[p] = data[at:end]
                 at = end
 
+    def _plain_ids(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct lower-case chunks of plain texts.  Letters alone
+        are one piece, letters and a mark are two; the others are cut into pieces."""
+        cut = {c: (c[:-1], c[-1]) if c[:-1].isalpha() and not c[-1].isalnum() else PIECE.findall(c)
+               for c in chunks if not c.isalpha()}
+        self.pieces.turn()
+        pieces = set(chunks).difference(cut).union(*cut.values())
+        self._add_pieces(self.pieces.missing(pieces))
+        held = self.pieces.new
+        return [b"".join([held[p] for p in cut[c]]) if c in cut else held[c] for c in chunks]
+
     def _is_plain(self, text: str) -> bool:
         return self.by_piece and PLAIN.fullmatch(text) is not None and not any(s in text for s in self.special)
 
-    def _parts(self, texts: list[str]) -> list[list[bytes]]:
-        """The ids of each text in parts, to be put together."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         if not self.cuts:
-            return [[x] for x in self._library([t.encode("utf-8") for t in texts])]
-        out: list = [None] * len(texts)
+            return self._library([t.encode("utf-8") for t in texts])
+        out = [b""] * len(texts)
         plain = [i for i, t in enumerate(texts) if self._is_plain(t)]
-        found = [PIECE.findall(texts[i].lower()) for i in plain]
-        self.pieces.turn()
-        self._add_pieces(self.pieces.missing(set().union(*found)))
-        get = self.pieces.new.__getitem__
-        for i, pieces in zip(plain, found):
-            out[i] = list(map(get, pieces))
-        other = [i for i, x in enumerate(out) if x is None]
+        # Plain texts have no white space but ASCII's.
+        lower = pa.array([texts[i].lower() for i in plain], pa.large_string())
+        chunks, places, ends = batches.distinct(pc.ascii_split_whitespace(lower))
+        for i, ids in zip(plain, batches.put_together(self._plain_ids(chunks), places, ends)):
+            out[i] = ids
+        other = sorted(set(range(len(texts))).difference(plain))
         split = [texts[i].encode("utf-8").split() for i in other]
         self.chunks.turn()
         for batch in batched(self.chunks.missing(set().union(*split))):
             self.chunks.new.update(zip(batch, self._library(batch)))
         get = self.chunks.new.__getitem__
-        for i, chunks in zip(other, split):
-            out[i] = list(map(get, chunks))
+        for i, parts in zip(other, split):
+            out[i] = b"".join(map(get, parts))
         return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text."""
-        return list(map(b"".join, self._parts(texts)))
-
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        return [sum(map(len, parts)) // 4 for parts in self._parts(texts)]
+        return [len(ids) // 4 for ids in self.encode(texts)]
 
 
 def batched(items: list) -> list[list]:
