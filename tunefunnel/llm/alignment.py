@@ -26,11 +26,13 @@ A text is aligned as a whole, so a task's memory grows with its longest text.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.parquet as pq
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -45,12 +47,14 @@ from ..session import scratch_path
 
 #: Links of groups that are expanded at once.
 LINKS_AT_ONCE = 500_000
-#: Text bytes that are encoded and aligned at once.
+#: Characters of texts that are aligned at once.
 RUN_BYTES = 384 << 10
 #: Groups of more links are first reduced to distinct ids.
 LARGE_GROUP = 4096
 #: Distinct pairs that a task gathers before it adds them up, and that a row holds.
 GATHERED, PAIRS_A_ROW = 500_000, 50_000
+#: A blank between white space: words may reach over it.
+_WIDE = re.compile(r"\s \s|  ")
 #: Bytes of a generation of each side's cache.
 _CACHE = 40 << 20
 
@@ -105,22 +109,49 @@ class Tokens:
             same = b"".join([self.b_bytes[i] for i in ids]) == (" " + c.replace(blank, " ")).encode("utf-8")
             self.chunks.new[c] = np.array(ids, dtype="<u4").tobytes() if same else None
 
+    def _words(self, chunk: str) -> tuple[str, ...] | list[str]:
+        """The first side's words of a chunk and the blank before it."""
+        if chunk.isascii():
+            # Letters, and letters before a mark, are the common cases.
+            if chunk.isalpha():
+                return (" " + chunk,)
+            if chunk[:-1].isalpha() and not chunk[-1].isalnum() and not chunk[-1].isspace():
+                return " " + chunk[:-1], chunk[-1]
+        return self.a.text_words(" " + chunk, special=False)
+
     def encode(self, texts: list[str]) -> list[tuple[bytes, bytes]]:
         """Of each text the ids of both sides, as little-endian 32-bit bytes;
-        both empty where the bytes differ."""
+        both empty where the bytes differ.  A single blank between two strings
+        that are not both white space there ends a word and a chunk, so such
+        texts are cut at their blanks, and each distinct chunk of a run is cut
+        into words once."""
+        out = [(b"", b"")] * len(texts)
         blank = sentence_pieces.BLANK
-        given = [t if t and blank not in t else "" for t in texts]
-        words = [self.a.text_words(" " + t, special=False) if t else [] for t in given]
-        chunks = [self.b.text_chunks(t) for t in given]
+        given = [i for i, t in enumerate(texts) if t and blank not in t]
+        single = [i for i in given if texts[i][0] != " " and texts[i][-1] != " " and not _WIDE.search(texts[i])]
+        other = sorted(set(given).difference(single))
+        chunks, places, ends = batches.distinct(pc.split_pattern(
+            pa.array([texts[i] for i in single], pa.large_string()), " "))
+        words = list(map(self._words, chunks))
+        other_words = [self.a.text_words(" " + texts[i], special=False) for i in other]
+        other_chunks = [self.b.text_chunks(texts[i]) for i in other]
         self.words.turn()
-        self._know_words(self.words.missing(set().union(*words)))
+        self._know_words(self.words.missing(set().union(*words, *other_words)))
         self.chunks.turn()
-        self._know_chunks(self.chunks.missing(set().union(*chunks)))
+        self._know_chunks(self.chunks.missing(set(chunks).union(*other_chunks)))
         a_of, b_of = self.words.new.__getitem__, self.chunks.new.__getitem__
-        out = []
-        for w, c in zip(words, chunks):
+        firsts = [a_of(w[0]) if len(w) == 1 else b"".join(map(a_of, w)) for w in words]
+        seconds = list(map(b_of, chunks))
+        differ = np.array([x is None for x in seconds], dtype=np.int64)
+        differs = np.diff(np.concatenate([[0], np.cumsum(differ[places])])[np.concatenate([[0], ends])]).tolist()
+        for i, no, x, y in zip(single, differs, batches.put_together(firsts, places, ends),
+                               batches.put_together([x or b"" for x in seconds], places, ends)):
+            if not no:
+                out[i] = x, y
+        for i, w, c in zip(other, other_words, other_chunks):
             parts = list(map(b_of, c))
-            out.append((b"", b"") if None in parts else (b"".join(map(a_of, w)), b"".join(parts)))
+            if None not in parts:
+                out[i] = b"".join(map(a_of, w)), b"".join(parts)
         return out
 
 
@@ -195,8 +226,8 @@ class Aligned:
         code[at_b[np.cumsum(self.in_b) - 1]] += 2
         parts = _decimals(max(len(self.tokens.a_size), self.tokens.n_b))
         ends = np.cumsum(self.n_a + self.n_b).tolist()
-        codes = code.tolist()
-        return ["".join([parts[c] for c in codes[s:e]])[:-1] for s, e in zip([0, *ends[:-1]], ends)]
+        lists = pa.ListArray.from_arrays(pa.array([0, *ends], pa.int32()), parts.take(pa.array(code)))
+        return [t[:-1] for t in pc.binary_join(lists, pa.scalar("", pa.large_string())).to_pylist()]
 
     def digests(self) -> list[str]:
         """The SHA-256 of each document's groups; without tokens the empty text."""
@@ -253,13 +284,13 @@ def _added(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys[first], np.add.reduceat(n, first) if len(keys) else n
 
 
-_DECIMALS: dict[int, list[str]] = {}
+_DECIMALS: dict[int, pa.Array] = {}
 
 
-def _decimals(n: int) -> list[str]:
+def _decimals(n: int) -> pa.Array:
     """Each id with each of the three marks after it."""
     if n not in _DECIMALS:
-        _DECIMALS[n] = [f"{i}{mark}" for i in range(n) for mark in ",|;"]
+        _DECIMALS[n] = pa.array([f"{i}{mark}" for i in range(n) for mark in ",|;"], pa.large_string())
     return _DECIMALS[n]
 
 
@@ -303,20 +334,21 @@ class Alignment:
             id_type = None
             for batch in parts:
                 id_type = batch.schema.field("id").type
-                for run, texts in batches.runs(batch, "text", RUN_BYTES):
-                    ids = tokens.encode(texts)
-                    found = Aligned(tokens, ids)
-                    for pairs in found.distinct():
-                        gathered.append(_added([(pairs, np.ones(len(pairs), dtype=np.int64))]))
-                    if sum(len(g[0]) for g in gathered) > GATHERED:
-                        gathered = [_added(gathered)]
-                    n = len(texts)
-                    yield pa.record_batch(
-                        [run.column("id"), pa.array([x for x, _ in ids], pa.binary()),
-                         pa.array([y for _, y in ids], pa.binary()), pa.array(found.n_a), pa.array(found.n_b),
-                         pa.array(found.n_groups), pa.array(found.n_links), pa.array(found.digests(), pa.string()),
-                         pa.array([part] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
-                         pa.nulls(n, pa.list_(pa.int64()))], names=names)
+                for run, texts in batches.runs(batch, "text"):
+                    encoded = tokens.encode(texts)
+                    for s, e in batches.by_bytes(texts, RUN_BYTES):
+                        n, ids = e - s, encoded[s:e]
+                        found = Aligned(tokens, ids)
+                        for pairs in found.distinct():
+                            gathered.append(_added([(pairs, np.ones(len(pairs), dtype=np.int64))]))
+                        if sum(len(g[0]) for g in gathered) > GATHERED:
+                            gathered = [_added(gathered)]
+                        yield pa.record_batch(
+                            [run.column("id").slice(s, n), pa.array([x for x, _ in ids], pa.binary()),
+                             pa.array([y for _, y in ids], pa.binary()), pa.array(found.n_a), pa.array(found.n_b),
+                             pa.array(found.n_groups), pa.array(found.n_links), pa.array(found.digests(), pa.string()),
+                             pa.array([part] * n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())),
+                             pa.nulls(n, pa.list_(pa.int64()))], names=names)
             keys, n = _added(gathered) if gathered else (np.zeros(0, dtype=np.int64),) * 2
             for s in range(0, len(keys), PAIRS_A_ROW):
                 k, d = keys[s:s + PAIRS_A_ROW], n[s:s + PAIRS_A_ROW]
