@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -175,3 +176,42 @@ def test_a_run_cuts_each_distinct_chunk_once(monkeypatch, library):
     for text, ids in zip(texts, encoder.encode(texts)):
         assert np.frombuffer(ids, "<u4").tolist() == library(text)
     assert len(cut) == len(set(cut)) and max(map(len, cut)) < 10
+
+
+def test_chunks_are_cut_as_by_the_pattern(monkeypatch):
+    chunks = ["abc", "abc.)", "ü,", "", "it's", "'s", "a.'s", "x'", "--", "3", "a3,", "(i̇)", "i̇.", "×a", "ß÷", "a\x01", "ŉſ!", "\"abc\""]
+    want = {c: word_pieces.PIECE.findall(c) for c in chunks}
+    alone = []
+
+    class Counted:
+        findall = staticmethod(lambda t, whole=word_pieces.PIECE: alone.append(t) or whole.findall(t))
+
+    monkeypatch.setattr(word_pieces, "PIECE", Counted)
+    pieces, order, sizes = word_pieces.cut(pa.array(chunks, pa.large_string()))
+    left = iter(pieces.to_pylist())
+    assert {chunks[i]: [next(left) for _ in range(n)] for i, n in zip(order, sizes)} == want
+    assert next(left, None) is None and sorted(order) == list(range(len(chunks)))
+    # Letters, with marks after them or not, are cut many in a call.
+    assert not {"abc", "abc.)", "ü,", "x'", "ŉſ!"}.intersection(alone)
+
+
+def test_pieces_go_once_through_the_library_while_they_are_held(monkeypatch, library):
+    encoder, asked = word_pieces.WordPieces(WORDS), []
+    ids_of = encoder._model_ids
+    monkeypatch.setattr(encoder, "_model_ids", lambda pieces: asked.extend(pieces) or ids_of(pieces))
+    texts = ["Alpha beta, beta (gamma)... alpha's", "gamma! Alpha 33", "", "delta alpha\nBETA;"]
+    for _ in range(2):
+        for run in (texts, texts[::-1]):
+            for text, ids in zip(run, encoder.encode(run)):
+                assert np.frombuffer(ids, "<u4").tolist() == library(text)
+    assert len(asked) == len(set(asked)) == len(encoder.pieces.keys)
+    # When full, what was found again stays, but for long pieces.
+    encoder.encode(["x" * 100 + " omega"])
+    encoder.pieces.used[:] = False
+    encoder.encode(["x" * 100 + " gamma, alpha"])
+    encoder.pieces.entries = 3
+    encoder.pieces.turn()
+    assert sorted(encoder.pieces.keys.to_pylist()) == [",", "alpha", "gamma"]
+    for text, ids in zip(texts, encoder.encode(texts)):
+        assert np.frombuffer(ids, "<u4").tolist() == library(text)
+    assert asked.count("alpha") == 1 and asked.count("beta") == 2

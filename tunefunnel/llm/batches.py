@@ -44,20 +44,36 @@ def runs(batch: pa.RecordBatch, column: str, run_bytes: int = RUN_BYTES) -> Iter
         yield batch.slice(start, end - start), texts
 
 
+def coded(lists: pa.ListArray) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The distinct strings of a list column as an array, the place of each
+    string among them, and where each row's strings end."""
+    codes = lists.flatten().dictionary_encode()
+    return codes.dictionary, np.asarray(codes.indices), np.asarray(lists.value_lengths()).cumsum()
+
+
 def distinct(lists: pa.ListArray) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """The distinct strings of a list column, the place of each string among
-    them, and where each row's strings end."""
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary.to_numpy(zero_copy_only=False).tolist(), np.asarray(coded.indices), np.asarray(lists.value_lengths()).cumsum()
+    """``coded`` with the distinct strings as a list."""
+    strings, places, ends = coded(lists)
+    return strings.to_numpy(zero_copy_only=False).tolist(), places, ends
+
+
+def gathered(numbers: np.ndarray, starts: np.ndarray, sizes: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of the parts at the places after each other, and where each
+    part ends (0 first).  A part is ``sizes`` numbers from ``starts`` on."""
+    times = sizes[places]
+    after = np.zeros(len(times) + 1, dtype=np.int64)
+    np.cumsum(times, out=after[1:])
+    return numbers[np.repeat(starts[places] - after[:-1], times) + np.arange(after[-1])], after
 
 
 def put_together(parts: list[bytes], places: np.ndarray, ends: np.ndarray) -> list[bytes]:
     """Of each row the parts (32-bit numbers) at its places after each other."""
     numbers = np.frombuffer(b"".join(parts), dtype="<u4")
     sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts)) // 4
-    starts = np.cumsum(sizes) - sizes
-    times = sizes[places]
-    after = np.cumsum(times)
-    data = numbers[np.repeat(starts[places] - (after - times), times) + np.arange(times.sum())].tobytes()
-    cuts = (4 * np.concatenate([[0], after])[ends]).tolist()
+    return rows_of(*gathered(numbers, np.cumsum(sizes) - sizes, sizes, places), ends)
+
+
+def rows_of(numbers: np.ndarray, after: np.ndarray, ends: np.ndarray) -> list[bytes]:
+    """The bytes of each row of gathered parts."""
+    data, cuts = numbers.tobytes(), (4 * after[ends]).tolist()
     return [data[s:e] for s, e in zip([0, *cuts[:-1]], cuts)]

@@ -43,8 +43,8 @@ ROW_BITS = 36
 
 
 def directions() -> np.ndarray:
-    """A fixed random direction for each hash bucket."""
-    return np.random.default_rng(7).standard_normal((BUCKETS, DIMS)).astype(np.float32)
+    """A fixed random direction for each hash bucket (of single precision)."""
+    return np.random.default_rng(7).standard_normal((BUCKETS, DIMS)).astype(np.float32).astype(np.float64)
 
 
 def curve_keys(ids: list[np.ndarray], direction: np.ndarray) -> np.ndarray:
@@ -54,8 +54,8 @@ def curve_keys(ids: list[np.ndarray], direction: np.ndarray) -> np.ndarray:
         if len(x):
             hashed = (x.astype(np.uint32) * np.uint32(2654435761)) >> np.uint32(20)
             counts = np.bincount(hashed, minlength=BUCKETS)
-            held = np.flatnonzero(counts)
-            vectors[i] = counts[held].astype(np.float64) @ direction[held].astype(np.float64) / len(x)
+            held = np.flatnonzero(counts != 0)
+            vectors[i] = counts[held].astype(np.float64) @ direction[held] / len(x)
     share = 0.5 + np.arctan(vectors / SPREAD) / np.pi
     return hilbert.keys(np.minimum((share * (1 << BITS)).astype(np.int64), (1 << BITS) - 1), BITS)
 
@@ -69,17 +69,16 @@ def tokenised(docs: DataFrame, tokenizer: str, id_col: str, text_col: str) -> Da
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, direction = word_pieces.opened(tokenizer), directions()
-        row = TaskContext.get().partitionId() << ROW_BITS
+        row, end = TaskContext.get().partitionId() << ROW_BITS, np.uint32(END_ID).astype("<u4").tobytes()
         for part in parts:
             for run, texts in batches.runs(part, "text"):
-                ids = [np.frombuffer(x, dtype="<u4") for x in encoder.encode(texts)]
-                ended = [np.append(x, np.uint32(END_ID)) for x in ids]
-                width = [2 if int(x.max()) < 1 << 16 else 4 for x in ended]
+                ids = [np.frombuffer(x + end, dtype="<u4") for x in encoder.encode(texts)]
+                width = 2 if max(map(np.max, ids)) < 1 << 16 else 4
                 yield pa.record_batch(
                     [pa.array(range(row, row + len(texts)), pa.int64()), run.column("id"),
-                     pa.array(curve_keys(ids, direction), pa.int64()),
-                     pa.array([len(x) for x in ended], pa.int64()), pa.array(width, pa.int32()),
-                     pa.array([x.astype(f"<u{w}").tobytes() for x, w in zip(ended, width)], pa.binary())],
+                     pa.array(curve_keys([x[:-1] for x in ids], direction), pa.int64()),
+                     pa.array(list(map(len, ids)), pa.int64()), pa.array([width] * len(ids), pa.int32()),
+                     pa.array([x.astype(f"<u{width}").tobytes() for x in ids], pa.binary())],
                     names=["row", "id", "key", "n", "width", "ids"])
                 row += len(texts)
 
