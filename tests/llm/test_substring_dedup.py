@@ -1,7 +1,9 @@
 import random
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from tunefunnel.llm import substring_dedup as sd
@@ -72,3 +74,27 @@ def test_numpy_helpers():
         assert len(set(by_content.values())) == len(by_content)
 
 
+def test_windows_leave_a_task_in_bounded_batches(monkeypatch):
+    """A task's windows are added up together, but handed on in small batches."""
+    monkeypatch.setattr(sd, "BATCH_ROWS", 100, raising=False)
+    monkeypatch.setattr(sd, "TaskContext", SimpleNamespace(get=lambda: SimpleNamespace(partitionId=lambda: 3)))
+    rng = random.Random(4)
+    passage = [f"p{i}" for i in range(150)]
+    texts = [[f"w{rng.randrange(10 ** 9)}" for _ in range(300)] + passage * (i % 3) for i in range(9)]
+    part = pa.record_batch([pa.array(range(9), pa.int64()), pa.array(range(9), pa.int64()),
+                            pa.array([" ".join(t) for t in texts])], names=["id", "tag", "text"])
+    every_block = SimpleNamespace(value=b"\xff" * 4096)
+    out = list(sd._parse(every_block, 8 * 4096, 8, 4, 1 << 20)(iter([part])))
+    assert max(b.num_rows for b in out) <= 100
+
+    rows = [r for b in out for r in b.to_pylist()]
+    segment = {r["id"]: r["place"] for r in rows if r["kind"] == 2}
+    found = {}
+    for i, t in enumerate(texts):
+        for s in range(len(t) - 8 + 1):
+            found.setdefault(tuple(t[s:s + 8]), []).append((segment[i] << sd.WORD_BITS) | s)
+    lead = [(r["place"], r["known"]) for r in rows if r["kind"] == 0]
+    assert lead == sorted((places[0], len(places) > 1) for places in found.values())
+    assert len({r["hash"] for r in rows if r["kind"] == 0}) == len(found)
+    own = [r["place"] for r in rows if r["kind"] == 1]
+    assert own == sorted(p for places in found.values() if len(places) > 1 for p in places)

@@ -53,8 +53,9 @@ WINDOW, GRAM = 35, 16
 WORD_BITS, SEGMENT_BITS = 20, 24
 #: Filter bits for each repeated block.
 BITS_PER_BLOCK = 32
-#: Candidate windows that a task adds up before it hands them on.
-COMBINE_ROWS = 1 << 20
+#: Candidate windows that a task adds up before it hands them on, and rows of a
+#: batch in which it does so: Spark holds a batch whole, outside its heap.
+COMBINE_ROWS, BATCH_ROWS = 1 << 20, 1 << 16
 
 _M = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
@@ -192,12 +193,27 @@ def _parse(index, n_bits: int, window: int, gram: int, combine_rows: int):
 
         def handed_on():
             hash, place = np.concatenate(hashes), np.concatenate(places)
-            _, at, inverse, n = np.unique(hash, return_index=True, return_inverse=True, return_counts=True)
-            own = place[n[inverse] > 1]
-            order = np.argsort(at)
-            yield batch(0, known=(n > 1)[order], hash=hash[at][order], place=place[at][order], n=len(at))
-            if len(own):
-                yield batch(1, place=own, n=len(own))
+            hashes.clear()
+            places.clear()
+            by = np.argsort(hash, kind="stable")
+            in_order = hash[by]
+            start = np.flatnonzero(np.concatenate([[True], in_order[1:] != in_order[:-1]]))
+            n = np.diff(start, append=len(by))
+            # Of each window: whether it is the first of its hash, and whether there are more.
+            first, twice = np.zeros(len(by), dtype=bool), np.empty(len(by), dtype=bool)
+            first[by[start]] = True
+            twice[by] = np.repeat(n > 1, n)
+            del by, in_order, start, n
+            # One kind after the other: readers of either skip the pages of the other.
+            for kind, chosen in ((0, first), (1, twice)):
+                for at in range(0, len(hash), BATCH_ROWS):
+                    rows = slice(at, at + BATCH_ROWS)
+                    here = chosen[rows]
+                    n = int(here.sum())
+                    if n and kind == 0:
+                        yield batch(0, known=twice[rows][here], hash=hash[rows][here], place=place[rows][here], n=n)
+                    elif n:
+                        yield batch(1, place=place[rows][here], n=n)
 
         for part in parts:
             id_type = part.column("id").type
@@ -224,7 +240,7 @@ def _parse(index, n_bits: int, window: int, gram: int, combine_rows: int):
                 held += len(word)
                 if held >= combine_rows:
                     yield from handed_on()
-                    hashes, places, held = [], [], 0
+                    held = 0
         if held:
             yield from handed_on()
 
